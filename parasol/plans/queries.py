@@ -49,7 +49,7 @@ def register(name: str):
 
 def r6(c) -> F.Column:
     c = F.col(c) if isinstance(c, str) else c
-    return F.round(c.cast("double"), 6)
+    return F.round(c.cast("double"), 6) + F.lit(0.0)   # + 0.0 turns -0.0 into 0.0
 
 
 # ---------------------------------------------------------------- shared plans
@@ -543,8 +543,30 @@ def q_stream_loss(spark, sf):
     return spark.read.parquet(sink).select("run_id", "epoch", r6("mean_loss").alias("mean_loss"), "n_batches")
 
 
+def normalize_types(df: DataFrame) -> DataFrame:
+    """Integers as bigint and floats as double, the types the SQL side uses."""
+    from pyspark.sql import types as T
+    cols = []
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
+            cols.append(F.col(f.name).cast("bigint").alias(f.name))
+        elif isinstance(f.dataType, T.FloatType):
+            cols.append(F.col(f.name).cast("double").alias(f.name))
+        else:
+            cols.append(F.col(f.name))
+    return df.select(*cols)
+
+
+def _typed(fn: Q) -> Q:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return normalize_types(fn(spark, sf_dir))
+    run.__name__ = fn.__name__
+    run.__doc__ = fn.__doc__
+    return run
+
+
 def queries() -> dict[str, Q]:
-    return dict(REGISTRY)
+    return {name: _typed(fn) for name, fn in REGISTRY.items()}
 
 
 __all__ = ["queries", "REGISTRY", "pair_similarity"]

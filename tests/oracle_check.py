@@ -34,7 +34,8 @@ def norm_value(v):
             return "nan"
         if math.isinf(v):
             return str(v)
-        return round(v, 6)
+        v = round(v, 6)
+        return 0.0 if v == 0 else v
     if hasattr(v, "tolist"):
         v = v.tolist()
     if isinstance(v, (list, tuple)):
