@@ -7,6 +7,7 @@ of the exploded tokens against the weight table and a sum per row.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from parasol.functions.mathx import toxicity_score
 from parasol.functions.text import tokenize
+from parasol.session import cut_lineage
 
 FLUENT_LABEL = "LABEL_1"
 NOT_FLUENT_LABEL = "LABEL_0"
@@ -33,21 +35,29 @@ def labelled_tokens(documents: DataFrame, labels: DataFrame, label_col: str) ->
     return lab.join(documents.select("doc_id", "text"), "doc_id").select("doc_id", "y", tokenize("text").alias("tokens"))
 
 
+def class_mean(documents: DataFrame, labels: DataFrame, label_col: str) -> float:
+    """Mean label over labelled documents that exist (reads only ``doc_id`` of the documents)."""
+    lab = labels.select("doc_id", F.col(label_col).cast("int").alias("y")).where(F.col("y").isNotNull())
+    return lab.join(documents.select("doc_id"), "doc_id").agg(F.avg("y").alias("m")).first()["m"]
+
+
 def fit_nb(documents: DataFrame, labels: DataFrame, label_col: str) -> NBModel:
     """R1/R2 fit: w = ln((a+1)/(na+k)) - ln((b+1)/(nb+k)), prior = logit(mean y).
 
     ``a``/``b`` count token occurrences in positive/negative documents,
     ``na``/``nb`` are the class token totals and ``k`` the vocabulary size.
-    The three totals and the prior are scalars (one small aggregate each).
+    The count table is the model: it is written once to the shared checkpoint
+    folder (lineage cut), then the totals are one small aggregate over it and
+    every scoring join reads it back instead of re-tokenising the corpus.
     """
     lt = labelled_tokens(documents, labels, label_col)
     occ = lt.select("y", F.explode("tokens").alias("token"))
     counts = occ.groupBy("token").agg(
         F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).cast("double").alias("a"),
         F.sum(F.when(F.col("y") == 0, 1).otherwise(0)).cast("double").alias("b"))
+    counts = cut_lineage(counts)
     tot = counts.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"), F.count(F.lit(1)).alias("k")).first()
-    ybar = lt.agg(F.avg("y").alias("m")).first()["m"]
-    import math
+    ybar = class_mean(documents, labels, label_col)
     prior = math.log(ybar) - math.log(1 - ybar)
     na, nb, k = float(tot["na"] or 0), float(tot["nb"] or 0), float(tot["k"] or 0)
     weights = counts.select("token", (F.ln((F.col("a") + 1) / F.lit(na + k))
@@ -66,7 +76,8 @@ def score_tokens(df: DataFrame, key, tokens_cols: dict, model: NBModel) -> DataF
     e = df.select(*keys, F.explode(F.array(*parts)).alias("s")) \
         .select(*keys, "s.side", F.explode_outer("s.toks").alias("token"))
     j = e.join(model.weights, "token", "left")
-    g = j.groupBy(*keys).pivot("side", list(tokens_cols)).agg(F.sum(F.coalesce("w", F.lit(0.0))))
+    g = j.groupBy(*keys).agg(*[F.sum(F.when(F.col("side") == side, F.coalesce("w", F.lit(0.0)))).alias(side)
+                               for side in tokens_cols])
     out = g.select(*keys, *[(1 / (1 + F.exp(-(F.lit(model.prior) + F.coalesce(F.col(c), F.lit(0.0))))))
                            .alias(c) for c in tokens_cols])
     return out

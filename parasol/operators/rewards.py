@@ -2,12 +2,14 @@
 
 Token matching for BERTScore stays inside each row: candidate and gold token
 vectors are regrouped per (seq, kind) (bounded by the sentence length gate)
-and the greedy best match is a nested higher-order expression, so no pair rows
-are ever emitted.
+and the greedy best match is one small matrix product per row in an
+Arrow-batched ``pandas_udf``, so no token-pair rows are ever emitted.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,14 +27,21 @@ def _unit(v: Column) -> Column:
     return F.transform(v, lambda x: x / F.greatest(n, F.lit(1e-8)))
 
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
-def _best_mean(a: Column, b: Column) -> Column:
-    """Mean over vectors of ``a`` of the best dot product with any vector of ``b``."""
-    best = F.transform(a, lambda u: F.array_max(F.transform(b, lambda v: _dot(u, v))))
-    return F.aggregate(best, F.lit(0.0), lambda s, x: s + x) / F.size(a)
+@F.pandas_udf("struct<p:double,r:double>")
+def greedy_match(cands: pd.Series, golds: pd.Series) -> pd.DataFrame:
+    """Row-local greedy matching of unit vectors: P from the candidate side,
+    R from the gold side, as one small matrix product per row (Arrow batches,
+    numpy inside the task; the rows come already grouped by Spark)."""
+    ps, rs = [], []
+    for cv, gv in zip(cands, golds):
+        if cv is None or gv is None or len(cv) == 0 or len(gv) == 0:
+            ps.append(0.0)
+            rs.append(0.0)
+            continue
+        sim = np.stack(cv) @ np.stack(gv).T
+        ps.append(float(sim.max(axis=1).mean()))
+        rs.append(float(sim.max(axis=0).mean()))
+    return pd.DataFrame({"p": ps, "r": rs})
 
 
 def bert_score(cands: DataFrame, tv: TokenVectors, key: str = "seq_id", kind: str = "kind",
@@ -41,6 +50,9 @@ def bert_score(cands: DataFrame, tv: TokenVectors, key: str = "seq_id", kind: st
 
     P = mean over candidate tokens of the best cosine to a gold token, R the
     same from the gold side, F1 = 2PR / (P + R); 0 when a side is empty.
+    Token vectors are attached by one lookup join and regrouped per
+    (seq, kind) in position order (bounded by the sentence length gate); the
+    best-match search stays inside the row, so no token pairs are emitted.
     """
     sides = F.array(F.struct(F.lit("c").alias("side"), tokenize(text).alias("toks")),
                     F.struct(F.lit("g").alias("side"), tokenize(gold).alias("toks")))
@@ -50,11 +62,8 @@ def bert_score(cands: DataFrame, tv: TokenVectors, key: str = "seq_id", kind: st
     g = v.groupBy(key, kind).agg(F.array_sort(F.collect_list(F.struct("side", "pos", "vector"))).alias("_v"))
     cv = F.transform(F.filter("_v", lambda x: x["side"] == "c"), lambda x: x["vector"])
     gv = F.transform(F.filter("_v", lambda x: x["side"] == "g"), lambda x: x["vector"])
-    g = g.select(key, kind, cv.alias("_c"), gv.alias("_g"))
-    both = (F.size("_c") > 0) & (F.size("_g") > 0)
-    p = F.when(both, _best_mean(F.col("_c"), F.col("_g"))).otherwise(F.lit(0.0))
-    r = F.when(both, _best_mean(F.col("_g"), F.col("_c"))).otherwise(F.lit(0.0))
-    out = g.select(key, kind, p.alias("p"), r.alias("r"))
+    m = g.select(key, kind, greedy_match(cv, gv).alias("m"))
+    out = m.select(key, kind, F.col("m.p").alias("p"), F.col("m.r").alias("r"))
     f1 = F.when(F.col("p") + F.col("r") > 0, 2 * F.col("p") * F.col("r") / (F.col("p") + F.col("r"))).otherwise(0.0)
     # keys whose both texts are empty never explode; give them zeros
     keys = cands.select(key, kind)

@@ -32,8 +32,10 @@ def detox_lexicon(documents: DataFrame, labels: DataFrame, label_col: str = "tox
     min_share`` entries whatever the corpus size.
     """
     lt = labelled_tokens(documents, labels, label_col)
-    cls = lt.agg(F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("na"),
-                 F.sum(F.when(F.col("y") == 0, 1).otherwise(0)).alias("nb")).first()
+    lab = labels.select("doc_id", F.col(label_col).cast("int").alias("y")).where(F.col("y").isNotNull()) \
+        .join(documents.select("doc_id"), "doc_id")
+    cls = lab.agg(F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("na"),
+                  F.sum(F.when(F.col("y") == 0, 1).otherwise(0)).alias("nb")).first()
     na, nb = float(cls["na"] or 0), float(cls["nb"] or 0)
     occ = lt.select("y", F.explode(F.array_distinct("tokens")).alias("token"))
     cnt = occ.groupBy("token").agg(F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).cast("bigint").alias("a"),

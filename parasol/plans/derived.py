@@ -65,10 +65,10 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def candidates(spark: SparkSession, sf_dir: str, pairs_df: DataFrame | None = None) -> DataFrame:
     """(seq_id, kind, text, gold): greedy = hyp; sampled = only the nouns deleted."""
     nouns = F.array(*[F.lit(w) for w in NOUNS])
-    p = pairs(spark, sf_dir)
+    p = pairs_df if pairs_df is not None else pairs(spark, sf_dir)
     sampled = F.array_join(F.filter(F.split("toxic", " "), lambda t: ~F.array_contains(nouns, t)), " ")
     return p.select(F.col("pair_id").alias("seq_id"),
                     F.explode(F.array(

@@ -26,7 +26,7 @@ from parasol.operators import runs as RU
 from parasol.operators import split as SP
 from parasol.operators.vectors import TokenVectors, pair_similarity
 from parasol.plans import derived as D
-from parasol.session import scratch_dir
+from parasol.session import cut_lineage, scratch_dir
 from parasol.sources import io as IO
 from parasol.streaming import streams as ST
 
@@ -40,6 +40,22 @@ RUN_TS = "2024-05-26 13:38:42"
 LEXICON_BIAS = -4.0
 
 
+_MEMO: dict | None = None
+
+
+def memo(fn):
+    """Build a derived frame or model once per query run (see ``_typed``)."""
+    def wrapped(spark, sf, *args):
+        if _MEMO is None:
+            return fn(spark, sf, *args)
+        key = (fn.__name__, sf, args)
+        if key not in _MEMO:
+            _MEMO[key] = fn(spark, sf, *args)
+        return _MEMO[key]
+    wrapped.__name__ = fn.__name__
+    return wrapped
+
+
 def register(name: str):
     def deco(fn):
         REGISTRY[name] = fn
@@ -54,14 +70,31 @@ def r6(c) -> F.Column:
 
 # ---------------------------------------------------------------- shared plans
 
+@memo
+def _pairs(spark, sf):
+    """The derived pairs, written once to the shared checkpoint folder per query."""
+    return cut_lineage(D.pairs(spark, sf))
+
+
+@memo
+def _candidates(spark, sf):
+    return cut_lineage(D.candidates(spark, sf, _pairs(spark, sf)))
+
+
+@memo
+def _lexicon(spark, sf):
+    return RE.detox_lexicon(_docs(spark, sf), _labels(spark, sf))
+
+
 def _tok_pairs(spark, sf):
-    return D.pairs(spark, sf).withColumn("x_tokens", F.split("toxic", " ")) \
+    return _pairs(spark, sf).withColumn("x_tokens", F.split("toxic", " ")) \
         .withColumn("y_tokens", F.split("neutral1", " "))
 
 
+@memo
 def _vocab(spark, sf):
     """Vocabulary over every sentence plus the gold side of the pairs."""
-    gold = D.pairs(spark, sf).select(F.split("neutral1", " ").alias("tokens"))
+    gold = _pairs(spark, sf).select(F.split("neutral1", " ").alias("tokens"))
     return ENC.build_vocab(D.sentences(spark, sf).select("tokens").unionByName(gold))
 
 
@@ -79,14 +112,17 @@ def _labels(spark, sf):
     return D.table(spark, sf, "labels")
 
 
+@memo
 def _tox_model(spark, sf):
     return JU.fit_nb(_docs(spark, sf), _labels(spark, sf), "toxic")
 
 
+@memo
 def _flu_model(spark, sf):
     return JU.fit_nb(_docs(spark, sf), _labels(spark, sf), "quality")
 
 
+@memo
 def _tv(spark, sf):
     return TokenVectors(D.table(spark, sf, "embeddings"))
 
@@ -95,17 +131,19 @@ def _scorers(spark, sf):
     return ME.Scorers(_tox_model(spark, sf), _flu_model(spark, sf), _tv(spark, sf))
 
 
+@memo
 def _pair_batches(spark, sf):
     """Eval batches of 16 over all pairs in seeded permutation order."""
-    return SP.eval_batches(D.pairs(spark, sf).select("pair_id"), 16)
+    return SP.eval_batches(_pairs(spark, sf).select("pair_id"), 16)
 
 
 def _pair_rows(spark, sf, sc):
-    p = D.pairs(spark, sf).select("pair_id", F.col("toxic").alias("x"), F.col("hyp").alias("y_pred"),
+    p = _pairs(spark, sf).select("pair_id", F.col("toxic").alias("x"), F.col("hyp").alias("y_pred"),
                                    F.col("neutral1").alias("y_real"))
     return ME.row_scores(p, sc)
 
 
+@memo
 def _bigram(spark, sf):
     seqs = D.turn_token_arrays(spark, sf)
     return seqs, DEC.bigram_counts(seqs)
@@ -116,7 +154,7 @@ def _bigram(spark, sf):
 @register("read_pairs")
 def q_read_pairs(spark, sf):
     path = scratch_dir(spark, "pairs-tsv")
-    IO.write_pairs(D.pairs(spark, sf).select("pair_id", "toxic", "neutral1"), path)
+    IO.write_pairs(_pairs(spark, sf).select("pair_id", "toxic", "neutral1"), path)
     ok, _ = IO.read_pairs(spark, path)
     return ok
 
@@ -125,7 +163,7 @@ def q_read_pairs(spark, sf):
 def q_prediction_sink(spark, sf):
     path = scratch_dir(spark, "predictions")
     s = D.sentences(spark, sf)
-    lex = RE.detox_lexicon(_docs(spark, sf), _labels(spark, sf))
+    lex = _lexicon(spark, sf)
     out = RE.rewrite(s, "pair_id", "tokens", lex, "delete").select("pair_id", "text") \
         .withColumn("run_id", IO.run_stamp(F.to_timestamp(F.lit(RUN_TS))))
     IO.write_predictions(out, path)
@@ -135,7 +173,7 @@ def q_prediction_sink(spark, sf):
 @register("snapshot_roundtrip")
 def q_snapshot(spark, sf):
     path = scratch_dir(spark, "snapshots")
-    lex = RE.detox_lexicon(_docs(spark, sf), _labels(spark, sf))
+    lex = _lexicon(spark, sf)
     for epoch in (0, 1, 2):
         IO.write_snapshot({"lexicon": lex}, path, "run-a", epoch, every=2)
     back = IO.read_snapshot(spark, path, "lexicon", "run-a", 2)
@@ -193,31 +231,31 @@ def q_stack(spark, sf):
 
 @register("global_rank")
 def q_global_rank(spark, sf):
-    p = D.pairs(spark, sf).select("pair_id").withColumn("h", SP.hash_key(SP.DEFAULT_SEED, "pair_id"))
+    p = _pairs(spark, sf).select("pair_id").withColumn("h", SP.hash_key(SP.DEFAULT_SEED, "pair_id"))
     return SP.global_rank(p, [F.col("h"), F.col("pair_id")], SP.hash_bucket(F.col("h"))).select("pair_id", "rank")
 
 
 @register("random_split")
 def q_random_split(spark, sf):
-    return SP.random_split(D.pairs(spark, sf).select("pair_id")).select("pair_id", "split", "split_rank")
+    return SP.random_split(_pairs(spark, sf).select("pair_id")).select("pair_id", "split", "split_rank")
 
 
 @register("epoch_shuffle")
 def q_epoch_shuffle(spark, sf):
-    s = SP.random_split(D.pairs(spark, sf).select("pair_id"))
+    s = SP.random_split(_pairs(spark, sf).select("pair_id"))
     return SP.epoch_shuffle(s.where(F.col("split") == "train").select("pair_id"), EVAL_EPOCHS) \
         .select("pair_id", "epoch", "epoch_rank")
 
 
 @register("batch_assign")
 def q_batch_assign(spark, sf):
-    return SP.batch_assign(D.pairs(spark, sf).select("pair_id"), SPLIT_EPOCHS) \
+    return SP.batch_assign(_pairs(spark, sf).select("pair_id"), SPLIT_EPOCHS) \
         .select("pair_id", "split", "epoch", "batch_id")
 
 
 @register("split_sizes")
 def q_split_sizes(spark, sf):
-    s = SP.random_split(D.pairs(spark, sf).select("pair_id"))
+    s = SP.random_split(_pairs(spark, sf).select("pair_id"))
     return SP.batch_counts(s).select("split", "n", "n_batches")
 
 
@@ -225,19 +263,19 @@ def q_split_sizes(spark, sf):
 
 @register("char_bleu")
 def q_char_bleu(spark, sf):
-    b = B.bleu_rowlocal(D.pairs(spark, sf), "pair_id", "hyp", "neutral1")
+    b = B.bleu_rowlocal(_pairs(spark, sf), "pair_id", "hyp", "neutral1")
     return b.select("pair_id", r6("bleu").alias("bleu"))
 
 
 @register("word_bleu")
 def q_word_bleu(spark, sf):
-    b = B.bleu_relational(D.pairs(spark, sf), "pair_id", "hyp", "neutral1", unit="word")
+    b = B.bleu_relational(_pairs(spark, sf), "pair_id", "hyp", "neutral1", unit="word")
     return b.select("pair_id", r6("bleu").alias("bleu"))
 
 
 @register("char_bleu_relational")
 def q_char_bleu_rel(spark, sf):
-    b = B.bleu_relational(D.pairs(spark, sf), "pair_id", "hyp", "neutral1", unit="char")
+    b = B.bleu_relational(_pairs(spark, sf), "pair_id", "hyp", "neutral1", unit="char")
     return b.select("pair_id", r6("bleu").alias("bleu"))
 
 
@@ -278,8 +316,8 @@ def _evaluate(spark, sf):
     batching all candidates in a fresh seeded order; loss = mean token
     cross-entropy of the prediction under the conversation bigram model."""
     sc = _scorers(spark, sf)
-    p = D.pairs(spark, sf).select("pair_id", "toxic")
-    cands = D.candidates(spark, sf)
+    p = _pairs(spark, sf).select("pair_id", "toxic")
+    cands = _candidates(spark, sf)
     ev = cands.join(p, cands["seq_id"] == p["pair_id"]).select(
         F.col("seq_id").alias("pair_id"), F.col("kind").alias("run_id"), F.col("toxic").alias("x"),
         F.col("text").alias("y_pred"), F.col("gold").alias("y_real"))
@@ -351,21 +389,21 @@ def q_mean_loss(spark, sf):
 
 @register("toxicity_judge")
 def q_toxicity_judge(spark, sf):
-    p = D.pairs(spark, sf).select("pair_id", tokenize("toxic").alias("xt"), tokenize("hyp").alias("yt"))
+    p = _pairs(spark, sf).select("pair_id", tokenize("toxic").alias("xt"), tokenize("hyp").alias("yt"))
     s = JU.score_tokens(p, "pair_id", {"p_toxic_x": "xt", "p_toxic_hyp": "yt"}, _tox_model(spark, sf))
     return s.select("pair_id", r6("p_toxic_x").alias("p_toxic_x"), r6("p_toxic_hyp").alias("p_toxic_hyp"))
 
 
 @register("toxicity_score")
 def q_toxicity_score(spark, sf):
-    c = D.candidates(spark, sf).select("seq_id", "kind", tokenize("text").alias("t"))
+    c = _candidates(spark, sf).select("seq_id", "kind", tokenize("text").alias("t"))
     s = JU.score_tokens(c, ["seq_id", "kind"], {"p": "t"}, _tox_model(spark, sf))
     return s.select("seq_id", "kind", r6(JU.politeness(F.col("p"))).alias("tox"))
 
 
 @register("fluency_judge")
 def q_fluency_judge(spark, sf):
-    p = D.pairs(spark, sf).select("pair_id", tokenize("hyp").alias("yt"))
+    p = _pairs(spark, sf).select("pair_id", tokenize("hyp").alias("yt"))
     s = JU.score_tokens(p, "pair_id", {"p_fluent": "yt"}, _flu_model(spark, sf))
     return s.select("pair_id", r6("p_fluent").alias("p_fluent"), JU.fluency_label(F.col("p_fluent")).alias("label"))
 
@@ -373,7 +411,7 @@ def q_fluency_judge(spark, sf):
 @register("sentence_embedding")
 def q_sentence_embedding(spark, sf):
     from parasol.operators.vectors import sentence_embeddings
-    p = D.pairs(spark, sf).select("pair_id", tokenize("toxic").alias("xt"))
+    p = _pairs(spark, sf).select("pair_id", tokenize("toxic").alias("xt"))
     e = sentence_embeddings(p, "pair_id", {"emb": "xt"}, _tv(spark, sf))
     return e.select("pair_id", F.posexplode("emb").alias("dim", "value")) \
         .select("pair_id", F.col("dim").cast("bigint").alias("dim"), r6("value").alias("value"))
@@ -381,37 +419,37 @@ def q_sentence_embedding(spark, sf):
 
 @register("detox_lexicon")
 def q_detox_lexicon(spark, sf):
-    lex = RE.detox_lexicon(_docs(spark, sf), _labels(spark, sf))
+    lex = _lexicon(spark, sf)
     return lex.select("token", "a", "b", r6("lo").alias("lo"))
 
 
 @register("replacement_table")
 def q_replacement_table(spark, sf):
-    return RE.replacement_table(D.pairs(spark, sf)).select("src", "tgt", "n", "n_src")
+    return RE.replacement_table(_pairs(spark, sf)).select("src", "tgt", "n", "n_src")
 
 
 @register("rewrite_delete")
 def q_rewrite_delete(spark, sf):
     s = D.sentences(spark, sf)
-    lex = RE.detox_lexicon(_docs(spark, sf), _labels(spark, sf))
+    lex = _lexicon(spark, sf)
     return RE.rewrite(s, "pair_id", "tokens", lex, "delete").select("pair_id", "text")
 
 
 @register("rewrite_replace")
 def q_rewrite_replace(spark, sf):
     s = D.sentences(spark, sf)
-    rt = RE.replacement_table(D.pairs(spark, sf)).select(F.col("src").alias("token"), "tgt")
+    rt = RE.replacement_table(_pairs(spark, sf)).select(F.col("src").alias("token"), "tgt")
     return RE.rewrite(s, "pair_id", "tokens", rt, "replace").select("pair_id", "text")
 
 
 @register("numpy_scorer")
 def q_numpy_scorer(spark, sf):
-    lex = RE.detox_lexicon(_docs(spark, sf), _labels(spark, sf))
+    lex = _lexicon(spark, sf)
     rows = lex.select("token", "lo").limit(RE.INLINE_MAX + 1).collect()
     if len(rows) > RE.INLINE_MAX:
         raise ValueError("lexicon too large for an in-worker scorer")
     scorer = LexiconLogit({r["token"]: r["lo"] for r in rows}, LEXICON_BIAS)
-    p = D.pairs(spark, sf).select("pair_id", "toxic")
+    p = _pairs(spark, sf).select("pair_id", "toxic")
     return p.select("pair_id", r6(score_column("toxic", scorer)).alias("p_lexicon"))
 
 
@@ -453,7 +491,7 @@ def q_seq_logprob(spark, sf):
 def _gold_ce(spark, sf):
     seqs, counts = _bigram(spark, sf)
     v = DEC.vocab_size(seqs)
-    g = D.pairs(spark, sf).select("pair_id", F.split("neutral1", " ").alias("tokens"))
+    g = _pairs(spark, sf).select("pair_id", F.split("neutral1", " ").alias("tokens"))
     return DEC.token_cross_entropy(g, counts, v, key="pair_id")
 
 
@@ -466,7 +504,7 @@ def q_token_ce(spark, sf):
 # ---------------------------------------------------------------- A11 to A15: rewards
 
 def _rewards(spark, sf):
-    c = D.candidates(spark, sf)
+    c = _candidates(spark, sf)
     tv = _tv(spark, sf)
     bs = RW.bert_score(c, tv)
     tox = JU.score_tokens(c.select("seq_id", "kind", tokenize("text").alias("t")), ["seq_id", "kind"],
@@ -476,7 +514,7 @@ def _rewards(spark, sf):
 
 @register("bert_score")
 def q_bert_score(spark, sf):
-    bs = RW.bert_score(D.candidates(spark, sf), _tv(spark, sf))
+    bs = RW.bert_score(_candidates(spark, sf), _tv(spark, sf))
     return bs.select("seq_id", "kind", r6("p").alias("p"), r6("r").alias("r"), r6("f1").alias("f1"))
 
 
@@ -490,7 +528,7 @@ def q_reward_total(spark, sf):
 def _sampled_logprob(spark, sf):
     seqs, counts = _bigram(spark, sf)
     v = DEC.vocab_size(seqs)
-    s = D.candidates(spark, sf).where(F.col("kind") == "sampled").select("seq_id", tokenize("text").alias("tokens"))
+    s = _candidates(spark, sf).where(F.col("kind") == "sampled").select("seq_id", tokenize("text").alias("tokens"))
     lp = DEC.smoothed_logprob(s, counts, v, "seq_id", "tokens")
     return s.select("seq_id").join(lp.groupBy("seq_id").agg(F.sum("logp").alias("sum_log")), "seq_id", "left") \
         .fillna({"sum_log": 0.0})
@@ -525,7 +563,7 @@ def q_stream_rewrite(spark, sf):
     ck = scratch_dir(spark, "stream-ckpt")
     s = D.sentences(spark, sf).select("pair_id", F.array_join("tokens", " ").alias("text"))
     s.repartition(4, "pair_id").write.mode("overwrite").parquet(src)
-    lex = RE.detox_lexicon(_docs(spark, sf), _labels(spark, sf))
+    lex = _lexicon(spark, sf)
     rows = lex.select("token").limit(RE.INLINE_MAX + 1).collect()
     if len(rows) > RE.INLINE_MAX:
         raise ValueError("lexicon too large to inline into a stream")
@@ -559,7 +597,12 @@ def normalize_types(df: DataFrame) -> DataFrame:
 
 def _typed(fn: Q) -> Q:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return normalize_types(fn(spark, sf_dir))
+        global _MEMO
+        outer, _MEMO = _MEMO, {}
+        try:
+            return normalize_types(fn(spark, sf_dir))
+        finally:
+            _MEMO = outer
     run.__name__ = fn.__name__
     run.__doc__ = fn.__doc__
     return run
