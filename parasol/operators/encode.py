@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from parasol.functions.text import (END_ID, FIRST_WORD_ID, MAX_LENGTH, PAD_ID, SPECIAL_IDS, START_ID,
                                     UNK_ID, pad, strip_special)
 from parasol.operators.split import global_rank
+from parasol.session import cut_lineage
 
 OVERFLOW_MODES = ("reject", "truncate", "error")
 
@@ -27,6 +28,8 @@ def build_vocab(tokens_df: DataFrame, tokens_col: str = "tokens", size: int | No
     """
     counts = tokens_df.select(F.explode(tokens_col).alias("token")).groupBy("token") \
         .agg(F.count(F.lit(1)).alias("n"))
+    # the count table feeds both the bucket sizes and the ranking: write it once
+    counts = cut_lineage(counts)
     bucket = F.struct((-F.col("n")).alias("k"), F.substring("token", 1, 2).alias("p"))
     ranked = global_rank(counts, [F.col("n").desc(), F.col("token")], bucket, rank_col="_r")
     vocab = ranked.select("token", (F.col("_r") + FIRST_WORD_ID - 1).cast("int").alias("id"), "n")
@@ -49,18 +52,42 @@ def _explode_sides(df: DataFrame, key: str, sides: dict) -> DataFrame:
 
 def encode(df: DataFrame, vocab: DataFrame, key: str = "pair_id", sides: dict | None = None,
            max_length: int = MAX_LENGTH, overflow: str = "reject") -> tuple[DataFrame, DataFrame]:
-    """T3 + T4 + P2-ready: token arrays to padded id arrays.
+    """T3 + T4 + P8: token arrays to padded id arrays.
 
     ``sides`` maps output column to token-array column, e.g.
     ``{"input_ids": "toxic_tokens", "detoxified_ids": "neutral_tokens"}``.
-    All sides go through one explode, one vocabulary join and one regroup.
-    Returns ``(ok, rejected)``; with ``overflow='truncate'`` long rows are cut
-    (end token kept), with ``'error'`` the job fails on the first long row.
+    The gate runs on the token-array sizes *before* anything is exploded
+    (start and end ids take two places), so over-long rows never reach the
+    vocabulary join or the regroup. All sides then go through one explode, one
+    vocabulary join and one regroup. Returns ``(ok, rejected)``; with
+    ``overflow='truncate'`` long rows are cut (end token kept), with
+    ``'error'`` the job fails on the first long row.
     """
     if overflow not in OVERFLOW_MODES:
         raise ValueError(f"overflow must be one of {OVERFLOW_MODES}")
     sides = sides or {"input_ids": "tokens"}
-    e = _explode_sides(df, key, sides)
+    room = max_length - 2
+    is_null = None
+    too_long = None
+    for c in sides.values():
+        n = F.col(c).isNull()
+        t = F.size(c) > room
+        is_null = n if is_null is None else (is_null | n)
+        too_long = t if too_long is None else (too_long | t)
+    src = df.select(key, *sides.values())
+    nulls = src.where(is_null).select(key).withColumn("reason", F.lit("null"))
+    live = src.where(~is_null)
+    if overflow == "reject":
+        rejected = live.where(too_long).select(key).withColumn("reason", F.lit("too_long")).unionByName(nulls)
+        live = live.where(~too_long)
+    elif overflow == "truncate":
+        live = live.select(key, *[F.slice(c, 1, room).alias(c) for c in dict.fromkeys(sides.values())])
+        rejected = nulls
+    else:
+        live = live.withColumn("_chk", F.when(too_long, F.raise_error(F.lit("encoded row longer than max_length")))) \
+            .drop("_chk")
+        rejected = nulls
+    e = _explode_sides(live, key, sides)
     v = vocab.select("token", "id")
     j = e.join(v, on="token", how="left")
     item = F.when(F.col("pos").isNotNull(),
@@ -69,32 +96,9 @@ def encode(df: DataFrame, vocab: DataFrame, key: str = "pair_id", sides: dict |
     cols = [key]
     for side in sides:
         ids = F.transform(F.filter("_items", _side_is(side)), lambda x: x["id"])
-        cols.append(F.concat(F.array(F.lit(START_ID)), ids, F.array(F.lit(END_ID))).alias(side))
-    enc = g.select(*cols)
-    # rows whose source tokens were null never explode into ids: keep them as rejects
-    nulls = df.where(" OR ".join(f"{c} IS NULL" for c in sides.values())).select(key) \
-        .withColumn("reason", F.lit("null"))
-    too_long = None
-    for side in sides:
-        c = F.size(side) > max_length
-        too_long = c if too_long is None else (too_long | c)
-    if overflow == "truncate":
-        out = enc
-        for side in sides:
-            out = out.withColumn(side, F.when(F.size(side) > max_length,
-                                              F.concat(F.slice(side, 1, max_length - 1), F.array(F.lit(END_ID))))
-                                 .otherwise(F.col(side)))
-        rejected = nulls
-    elif overflow == "error":
-        out = enc.withColumn("_chk", F.when(too_long, F.raise_error(F.lit("encoded row longer than max_length"))))
-        out = out.drop("_chk")
-        rejected = nulls
-    else:
-        out = enc.where(~too_long)
-        rejected = enc.where(too_long).select(key).withColumn("reason", F.lit("too_long")).unionByName(nulls)
-    for side in sides:
-        out = out.withColumn(side, pad(side, max_length, PAD_ID))
-    return out, rejected
+        cols.append(pad(F.concat(F.array(F.lit(START_ID)), ids, F.array(F.lit(END_ID))), max_length, PAD_ID)
+                    .alias(side))
+    return g.select(*cols), rejected
 
 
 def stack(df: DataFrame, key: str = "pair_id", cols=("input_ids", "detoxified_ids", "input_mask")) -> DataFrame:

@@ -65,6 +65,41 @@ def fit_nb(documents: DataFrame, labels: DataFrame, label_col: str) -> NBModel:
     return NBModel(weights, prior, label_col)
 
 
+def fit_nb_many(documents: DataFrame, labels: DataFrame, label_cols) -> dict:
+    """R1 + R2 fitted together: one tokenisation pass and one aggregation for
+    all label columns; same weights as ``fit_nb`` per label (a token unseen in
+    a label's documents weighs 0 for that label)."""
+    label_cols = list(label_cols)
+    lab = labels.select("doc_id", *[F.col(c).cast("int").alias(c) for c in label_cols])
+    any_label = None
+    for c in label_cols:
+        cond = F.col(c).isNotNull()
+        any_label = cond if any_label is None else (any_label | cond)
+    lab = lab.where(any_label)
+    occ = lab.join(documents.select("doc_id", "text"), "doc_id") \
+        .select(*label_cols, F.explode(tokenize("text")).alias("token"))
+    aggs = []
+    for c in label_cols:
+        aggs.append(F.sum(F.when(F.col(c) == 1, 1).otherwise(0)).cast("double").alias(f"a_{c}"))
+        aggs.append(F.sum(F.when(F.col(c) == 0, 1).otherwise(0)).cast("double").alias(f"b_{c}"))
+    counts = cut_lineage(occ.groupBy("token").agg(*aggs))
+    tot_aggs = []
+    for c in label_cols:
+        tot_aggs += [F.sum(f"a_{c}").alias(f"na_{c}"), F.sum(f"b_{c}").alias(f"nb_{c}"),
+                     F.count(F.when(F.col(f"a_{c}") + F.col(f"b_{c}") > 0, 1)).alias(f"k_{c}")]
+    tot = counts.agg(*tot_aggs).first()
+    means = lab.join(documents.select("doc_id"), "doc_id").agg(*[F.avg(c).alias(c) for c in label_cols]).first()
+    models = {}
+    for c in label_cols:
+        na, nb, k = float(tot[f"na_{c}"] or 0), float(tot[f"nb_{c}"] or 0), float(tot[f"k_{c}"] or 0)
+        a, b = F.col(f"a_{c}"), F.col(f"b_{c}")
+        w = F.ln((a + 1) / F.lit(na + k)) - F.ln((b + 1) / F.lit(nb + k))
+        ybar = means[c]
+        models[c] = NBModel(counts.where(a + b > 0).select("token", w.alias("w")),
+                            math.log(ybar) - math.log(1 - ybar), c)
+    return models
+
+
 def score_tokens(df: DataFrame, key, tokens_cols: dict, model: NBModel) -> DataFrame:
     """J4 + R1 scoring: probability of class 1 for each token-array column.
 
@@ -91,3 +126,29 @@ def fluency_label(p) -> F.Column:
 def politeness(p_toxic) -> F.Column:
     """M5 on a class-1 probability."""
     return toxicity_score(1 - p_toxic, p_toxic)
+
+
+def fit_ml_judge(documents: DataFrame, labels: DataFrame, label_col: str = "toxic",
+                 num_features: int = 1 << 18, max_iter: int = 50):
+    """R1 alternative: a Spark ML pipeline (regex tokens, hashed counts,
+    logistic regression). Save and restore it with ``PipelineModel.write()``
+    / ``PipelineModel.load()`` (S6)."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import HashingTF, RegexTokenizer
+    train = labels.select("doc_id", F.col(label_col).cast("double").alias("label")) \
+        .where(F.col("label").isNotNull()).join(documents.select("doc_id", "text"), "doc_id")
+    pipe = Pipeline(stages=[
+        RegexTokenizer(inputCol="text", outputCol="_toks", pattern="[a-zß-ÿ]+", gaps=False, toLowercase=True),
+        HashingTF(inputCol="_toks", outputCol="_tf", numFeatures=num_features),
+        LogisticRegression(featuresCol="_tf", labelCol="label", maxIter=max_iter, regParam=0.01),
+    ])
+    return pipe.fit(train)
+
+
+def score_ml_judge(model, df: DataFrame, text_col: str, out: str = "p") -> DataFrame:
+    """Probability of class 1 from a fitted ML judge."""
+    from pyspark.ml.functions import vector_to_array
+    scored = model.transform(df.withColumnRenamed(text_col, "text"))
+    return scored.withColumn(out, vector_to_array("probability")[1]) \
+        .drop("_toks", "_tf", "rawPrediction", "probability", "prediction").withColumnRenamed("text", text_col)

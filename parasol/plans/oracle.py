@@ -474,6 +474,15 @@ def _q() -> dict[str, tuple[str, tuple[str, ...]]]:
         "sequence_logprob": ("SELECT seq_id, round(sum(ln(prob)), 6) AS sum_log FROM sdraw GROUP BY seq_id", ("sdraw",)),
         "token_cross_entropy": ("SELECT pair_id, n_pos, round(ce, 6) AS ce, round(exp(ce), 6) AS ppl FROM gold_ce",
                                 ("gold_ce",)),
+        "token_cross_entropy_pad": ("""
+            SELECT pair_id, n_pos + pads AS n_pos, round(ce, 6) AS ce, round(exp(ce), 6) AS ppl
+            FROM (SELECT pair_id, n_pos, pads,
+                         CASE WHEN n_pos + pads > 0 THEN (ce * n_pos + pads * ln((SELECT v FROM vsz))) / (n_pos + pads) END AS ce
+                  FROM (SELECT pair_id, n_pos, greatest(37 - n_pos, 0) AS pads, coalesce(ce, 0.0) AS ce FROM gold_ce))""",
+                                    ("gold_ce", "vsz")),
+        "align_predictions": (f"""
+            SELECT p.pair_id, p.toxic AS x, r.text AS y_pred, p.neutral1 AS y_real
+            FROM pairs p JOIN ({lexdel}) r USING (pair_id)""", ("pairs", "sentences", "sent_pos", "lexicon")),
         "bert_score": ("SELECT seq_id, kind, round(p, 6) AS p, round(r, 6) AS r, round(f1, 6) AS f1 FROM bert", ("bert",)),
         "reward_total": ("""SELECT seq_id, round(dtox, 6) + 0.0 AS dtox, round(dbert, 6) + 0.0 AS dbert,
                                    round(total_reward, 6) + 0.0 AS total_reward FROM rewards""", ("rewards",)),

@@ -122,13 +122,19 @@ def _flu_model(spark, sf):
     return JU.fit_nb(_docs(spark, sf), _labels(spark, sf), "quality")
 
 
+@memo
+def _both_models(spark, sf):
+    return JU.fit_nb_many(_docs(spark, sf), _labels(spark, sf), ["toxic", "quality"])
+
+
 @memo
 def _tv(spark, sf):
     return TokenVectors(D.table(spark, sf, "embeddings"))
 
 
 def _scorers(spark, sf):
-    return ME.Scorers(_tox_model(spark, sf), _flu_model(spark, sf), _tv(spark, sf))
+    m = _both_models(spark, sf)
+    return ME.Scorers(m["toxic"], m["quality"], _tv(spark, sf))
 
 
 @memo
@@ -501,6 +507,39 @@ def q_token_ce(spark, sf):
     return ce.select("pair_id", "n_pos", r6("ce").alias("ce"), r6("ppl").alias("ppl"))
 
 
+@register("token_cross_entropy_pad")
+def q_token_ce_pad(spark, sf):
+    """A10 with padded targets counted (labels passed unmasked)."""
+    seqs, counts = _bigram(spark, sf)
+    v = DEC.vocab_size(seqs)
+    g = _pairs(spark, sf).select("pair_id", F.split("neutral1", " ").alias("tokens"))
+    ce = DEC.token_cross_entropy(g, counts, v, key="pair_id", count_pad=True, max_length=38)
+    return ce.select("pair_id", "n_pos", r6("ce").alias("ce"), r6("ppl").alias("ppl"))
+
+
+@register("align_predictions")
+def q_align(spark, sf):
+    """Inputs, predictions and gold aligned on the row key."""
+    s = D.sentences(spark, sf)
+    x = s.select("pair_id", F.array_join("tokens", " ").alias("x"))
+    pred = RE.rewrite(s, "pair_id", "tokens", _lexicon(spark, sf), "delete", out="y_pred").select("pair_id", "y_pred")
+    gold = _pairs(spark, sf).select("pair_id", F.col("neutral1").alias("y_real"))
+    aligned, _ = ME.align(x, pred, gold)
+    return aligned.select("pair_id", "x", "y_pred", "y_real")
+
+
+@register("toxicity_judge_ml")
+def q_toxicity_judge_ml(spark, sf):
+    """R1 alternative with Spark ML, saved and restored as a PipelineModel."""
+    from pyspark.ml import PipelineModel
+    model = JU.fit_ml_judge(_docs(spark, sf), _labels(spark, sf))
+    path = scratch_dir(spark, "ml-judge")
+    model.write().overwrite().save(path)
+    back = PipelineModel.load(path)
+    p = _pairs(spark, sf).select("pair_id", "hyp")
+    return JU.score_ml_judge(back, p, "hyp", "p_toxic").select("pair_id", r6("p_toxic").alias("p_toxic"))
+
+
 # ---------------------------------------------------------------- A11 to A15: rewards
 
 def _rewards(spark, sf):
