@@ -26,6 +26,8 @@ class NBModel:
     weights: DataFrame       # (token, w)
     prior: float
     label: str
+    table: DataFrame | None = None   # shared weight table of a joint fit (token, w_<label> ...)
+    col: str | None = None           # this model's column in ``table``
 
 
 def labelled_tokens(documents: DataFrame, labels: DataFrame, label_col: str) -> DataFrame:
@@ -89,14 +91,17 @@ def fit_nb_many(documents: DataFrame, labels: DataFrame, label_cols) -> dict:
                      F.count(F.when(F.col(f"a_{c}") + F.col(f"b_{c}") > 0, 1)).alias(f"k_{c}")]
     tot = counts.agg(*tot_aggs).first()
     means = lab.join(documents.select("doc_id"), "doc_id").agg(*[F.avg(c).alias(c) for c in label_cols]).first()
-    models = {}
+    wcols = {}
     for c in label_cols:
         na, nb, k = float(tot[f"na_{c}"] or 0), float(tot[f"nb_{c}"] or 0), float(tot[f"k_{c}"] or 0)
         a, b = F.col(f"a_{c}"), F.col(f"b_{c}")
-        w = F.ln((a + 1) / F.lit(na + k)) - F.ln((b + 1) / F.lit(nb + k))
+        wcols[c] = F.when(a + b > 0, F.ln((a + 1) / F.lit(na + k)) - F.ln((b + 1) / F.lit(nb + k)))
+    table = counts.select("token", *[w.alias(f"w_{c}") for c, w in wcols.items()])
+    models = {}
+    for c in label_cols:
         ybar = means[c]
-        models[c] = NBModel(counts.where(a + b > 0).select("token", w.alias("w")),
-                            math.log(ybar) - math.log(1 - ybar), c)
+        models[c] = NBModel(table.where(F.col(f"w_{c}").isNotNull()).select("token", F.col(f"w_{c}").alias("w")),
+                            math.log(ybar) - math.log(1 - ybar), c, table, f"w_{c}")
     return models
 
 
