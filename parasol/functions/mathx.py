@@ -15,9 +15,11 @@ def _c(c) -> Column:
 def softmax(logits) -> Column:
     """M1, array form: max-shifted exp divided by its sum."""
     logits = _c(logits).cast("array<double>")
-    ex = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))
-    total = F.aggregate(ex, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(ex, lambda x: x / total)
+    # the max and the sum are lambda variables, so each is computed once per row
+    return F.aggregate(
+        logits, F.lit(float("-inf")), lambda m, x: F.greatest(m, x),
+        lambda m: F.aggregate(F.transform(logits, lambda x: F.exp(x - m)), F.lit(0.0), lambda s, x: s + x,
+                              lambda total: F.transform(logits, lambda x: F.exp(x - m) / total)))
 
 
 def softmax_long(logit: str, *keys: str) -> Column:

@@ -20,17 +20,34 @@ from parasol.session import cut_lineage
 OVERFLOW_MODES = ("reject", "truncate", "error")
 
 
+EXACT_COUNT_BUCKETS = 1024
+
+
+def vocab_bucket(n, token):
+    """Ordered bucket for the (n desc, token) rank with a bounded number of buckets.
+
+    Counts below ``EXACT_COUNT_BUCKETS`` get one bucket per (count, first
+    letter); larger counts share one bucket per power of two with no letter
+    split (a letter split there would break the order across counts). At most
+    ``EXACT_COUNT_BUCKETS x letters + 64`` buckets, whatever the corpus size.
+    """
+    big = n >= EXACT_COUNT_BUCKETS
+    band = F.when(big, F.lit(EXACT_COUNT_BUCKETS) + F.floor(F.log2(n.cast("double")))).otherwise(n).cast("bigint")
+    letter = F.when(big, F.lit("")).otherwise(F.substring(token, 1, 1))
+    return F.struct((-band).alias("k"), letter.alias("p"))
+
+
 def build_vocab(tokens_df: DataFrame, tokens_col: str = "tokens", size: int | None = None) -> DataFrame:
     """(token, id, n) by frequency, ties by token; ids start after the specials.
 
-    The rank is distributed: buckets are (-n, two-letter prefix), monotone in
-    the (n desc, token) order.
+    The rank is distributed over ``vocab_bucket`` buckets, monotone in the
+    (n desc, token) order and bounded in number.
     """
     counts = tokens_df.select(F.explode(tokens_col).alias("token")).groupBy("token") \
         .agg(F.count(F.lit(1)).alias("n"))
     # the count table feeds both the bucket sizes and the ranking: write it once
     counts = cut_lineage(counts)
-    bucket = F.struct((-F.col("n")).alias("k"), F.substring("token", 1, 2).alias("p"))
+    bucket = vocab_bucket(F.col("n"), F.col("token"))
     ranked = global_rank(counts, [F.col("n").desc(), F.col("token")], bucket, rank_col="_r")
     vocab = ranked.select("token", (F.col("_r") + FIRST_WORD_ID - 1).cast("int").alias("id"), "n")
     if size is not None:

@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parasol.functions.text import tokenize
 from parasol.operators.vectors import TokenVectors
@@ -22,12 +23,7 @@ ALPHA = 0.5
 WARMUP_EPOCHS = 100
 
 
-def _unit(v: Column) -> Column:
-    n = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(v, lambda x: x / F.greatest(n, F.lit(1e-8)))
-
-
-@F.pandas_udf("struct<p:double,r:double>")
+@F.pandas_udf(T.StructType([T.StructField("p", T.DoubleType()), T.StructField("r", T.DoubleType())]))
 def greedy_match(cands: pd.Series, golds: pd.Series) -> pd.DataFrame:
     """Row-local greedy matching of unit vectors: P from the candidate side,
     R from the gold side, as one small matrix product per row (Arrow batches,
@@ -58,7 +54,7 @@ def bert_score(cands: DataFrame, tv: TokenVectors, key: str = "seq_id", kind: st
                     F.struct(F.lit("g").alias("side"), tokenize(gold).alias("toks")))
     e = cands.select(key, kind, F.explode(sides).alias("s")) \
         .select(key, kind, "s.side", F.posexplode("s.toks").alias("pos", "token"))
-    v = tv.lookup(e).withColumn("vector", _unit(F.col("vector")))
+    v = tv.lookup(e, unit=True)
     g = v.groupBy(key, kind).agg(F.array_sort(F.collect_list(F.struct("side", "pos", "vector"))).alias("_v"))
     cv = F.transform(F.filter("_v", lambda x: x["side"] == "c"), lambda x: x["vector"])
     gv = F.transform(F.filter("_v", lambda x: x["side"] == "g"), lambda x: x["vector"])

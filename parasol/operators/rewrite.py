@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from parasol.operators.judges import labelled_tokens
 
-INLINE_MAX = 10000
+INLINE_MAX = 1024   # inlined arrays and maps are scanned linearly per token
 MIN_LOG_ODDS = 4.0
 MIN_SHARE = 0.2
 

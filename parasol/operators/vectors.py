@@ -24,15 +24,22 @@ class TokenVectors:
         self.n = embeddings.count()
         self.dim = embeddings.select(F.size("embedding").alias("d")).first()["d"]
         tab = embeddings.select("vec_id", F.col("embedding").cast(f"array<double>").alias("vector"))
+        # unit vectors are computed once per embeddings row, never per token occurrence
+        normed = tab.withColumn("_norm", F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)))
+        unit = normed.select("vec_id", F.transform("vector", lambda x: x / F.greatest(F.col("_norm"), F.lit(1e-8)))
+                             .alias("vector"))
         # proven bound: n rows of dim doubles, checked here before any broadcast hint
-        self.table = F.broadcast(tab) if self.n * self.dim * 8 <= BROADCAST_MAX_BYTES else tab
+        small = self.n * self.dim * 8 <= BROADCAST_MAX_BYTES
+        self.table = F.broadcast(tab) if small else tab
+        self.unit_table = F.broadcast(unit) if small else unit
 
     def vec_id(self, token) -> F.Column:
         return F.pmod(md5_int(token), F.lit(self.n)).cast("bigint")
 
-    def lookup(self, df: DataFrame, token_col: str = "token") -> DataFrame:
-        """Attach ``vector`` to every row by its token."""
-        return df.withColumn("vec_id", self.vec_id(F.col(token_col))).join(self.table, "vec_id", "left") \
+    def lookup(self, df: DataFrame, token_col: str = "token", unit: bool = False) -> DataFrame:
+        """Attach ``vector`` (or its unit vector) to every row by its token."""
+        tab = self.unit_table if unit else self.table
+        return df.withColumn("vec_id", self.vec_id(F.col(token_col))).join(tab, "vec_id", "left") \
             .drop("vec_id")
 
     def token_table(self, tokens: DataFrame, token_col: str = "token") -> DataFrame:

@@ -28,13 +28,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def sentences(spark: SparkSession, sf_dir: str, min_tokens: int = MIN_TOKENS,
-              max_tokens: int = MAX_TOKENS) -> DataFrame:
+              max_tokens: int = MAX_TOKENS, docs: DataFrame | None = None) -> DataFrame:
     """(pair_id, doc_id, lang, tokens): sentences of every document, 3 to 36 tokens.
 
     Row-local (posexplode + regexp), no shuffle; the token bounds are the
     length gate that also removes the very long sentences.
     """
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    if docs is None:
+        docs = table(spark, sf_dir, "documents")
+    docs = docs.select("doc_id", "lang", "text")
     s = docs.select("doc_id", "lang", F.posexplode(split_sentences("text")).alias("sent_ix", "sentence"))
     s = s.select((F.col("doc_id") * PAIR_ID_STRIDE + F.col("sent_ix")).alias("pair_id"),
                  "doc_id", "lang", tokenize("sentence").alias("tokens"))
@@ -54,7 +56,15 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     nouns = F.array(*[F.lit(w) for w in NOUNS])
     adjs = F.array(*[F.lit(w) for w in ADJECTIVES])
     listed = _listed()
-    s = sentences(spark, sf_dir).where(F.arrays_overlap("tokens", listed))
+    # exact pre-filter: a listed token implies the lower-cased text contains it,
+    # so documents without any such substring are never split or tokenised
+    low = F.lower(F.col("text"))
+    maybe = None
+    for w in NOUNS + ADJECTIVES:
+        c = low.contains(w)
+        maybe = c if maybe is None else (maybe | c)
+    docs = table(spark, sf_dir, "documents").where(maybe)
+    s = sentences(spark, sf_dir, docs=docs).where(F.arrays_overlap("tokens", listed))
     return s.select(
         "pair_id", "lang",
         F.array_join("tokens", " ").alias("toxic"),

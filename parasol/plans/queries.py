@@ -617,7 +617,8 @@ def q_stream_loss(spark, sf):
     ck = scratch_dir(spark, "loss-ckpt")
     D.losses(spark, sf).repartition(4, "batch_id").write.mode("overwrite").parquet(src)
     ST.running_loss_stream(spark, src, sink, ck, max_files_per_trigger=2)
-    return spark.read.parquet(sink).select("run_id", "epoch", r6("mean_loss").alias("mean_loss"), "n_batches")
+    return ST.read_running_state(spark, sink).select("run_id", "epoch", r6("mean_loss").alias("mean_loss"),
+                                                     "n_batches")
 
 
 def normalize_types(df: DataFrame) -> DataFrame:

@@ -40,6 +40,8 @@ def get_spark(master: str = "local[8]", shuffle_partitions: int = 8,
 def checkpoint_root(spark: SparkSession) -> str:
     """The session's shared checkpoint folder; set one only if unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if root and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(root)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:

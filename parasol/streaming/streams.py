@@ -2,8 +2,9 @@
 
 W1 applies the row-local rewrite expression to a file stream: no state, no
 shuffle, a checkpointed parquet sink. W2 keeps a running mean loss per
-(run, epoch) in streaming aggregation state and writes the complete state of
-each micro-batch with ``foreachBatch`` (overwrite, so replays are idempotent).
+(run, epoch) in streaming aggregation state and writes each micro-batch's
+updated keys with ``foreachBatch`` (one overwritten folder per batch id, so
+replays are idempotent).
 """
 
 from __future__ import annotations
@@ -43,19 +44,38 @@ def rewrite_stream(spark: SparkSession, source: str, sink: str, checkpoint: str,
 
 
 def running_loss_stream(spark: SparkSession, source: str, sink: str, checkpoint: str,
-                        max_files_per_trigger: int = 1, schema: T.StructType = LOSS_SCHEMA):
+                        max_files_per_trigger: int = 1, schema: T.StructType = LOSS_SCHEMA,
+                        output_mode: str = "update"):
     """Running mean loss per (run_id, epoch) over incoming batches.
 
     No event time exists, so there is no watermark; the state holds one row
-    per (run_id, epoch). Each micro-batch writes the complete state.
+    per (run_id, epoch). In ``update`` mode (default) each micro-batch writes
+    only the keys it changed, to its own ``batch=<id>`` folder with overwrite,
+    so a replayed batch rewrites the same folder; ``read_running_state`` takes
+    the latest row per key. ``complete`` mode rewrites the whole state each
+    micro-batch (small states only).
     """
+    if output_mode not in ("update", "complete"):
+        raise ValueError("output_mode must be 'update' or 'complete'")
     s = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(source)
     agg = s.groupBy("run_id", "epoch").agg(F.avg("loss").alias("mean_loss"), F.count(F.lit(1)).alias("n_batches"))
 
+    def write_updates(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+
     def write_state(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(sink)
 
-    q = agg.writeStream.outputMode("complete").option("checkpointLocation", checkpoint) \
-        .foreachBatch(write_state).trigger(availableNow=True).start()
+    q = agg.writeStream.outputMode(output_mode).option("checkpointLocation", checkpoint) \
+        .foreachBatch(write_updates if output_mode == "update" else write_state) \
+        .trigger(availableNow=True).start()
     q.awaitTermination()
     return q
+
+
+def read_running_state(spark: SparkSession, sink: str) -> DataFrame:
+    """Final state of an update-mode W2 sink: the latest row of each key."""
+    u = spark.read.parquet(sink)
+    latest = u.groupBy("run_id", "epoch").agg(
+        F.max_by(F.struct("mean_loss", "n_batches"), "batch").alias("s"))
+    return latest.select("run_id", "epoch", "s.mean_loss", "s.n_batches")

@@ -149,3 +149,17 @@ def test_joint_fit_equals_single_fits(spark, sf):
         b = {r.token: r.w for r in one.weights.collect()}
         assert a.keys() == b.keys()
         assert all(a[t] == pytest.approx(b[t], rel=1e-12) for t in a)
+
+
+def test_running_loss_update_and_complete_agree(spark, sf, tmp_path):
+    from parasol.streaming import streams as ST
+    src = str(tmp_path / "src")
+    D.losses(spark, sf).repartition(4, "batch_id").write.parquet(src)
+    ST.running_loss_stream(spark, src, str(tmp_path / "u"), str(tmp_path / "cu"), max_files_per_trigger=1)
+    ST.running_loss_stream(spark, src, str(tmp_path / "c"), str(tmp_path / "cc"), output_mode="complete")
+    u = {(r.run_id, r.epoch): (round(r.mean_loss, 9), r.n_batches)
+         for r in ST.read_running_state(spark, str(tmp_path / "u")).collect()}
+    c = {(r.run_id, r.epoch): (round(r.mean_loss, 9), r.n_batches) for r in spark.read.parquet(str(tmp_path / "c")).collect()}
+    direct = {(r.run_id, r.epoch): (round(r.m, 9), r.n) for r in D.losses(spark, sf).groupBy("run_id", "epoch")
+              .agg(F.avg("loss").alias("m"), F.count("*").alias("n")).collect()}
+    assert u == c == direct
