@@ -47,14 +47,26 @@ def _listed() -> F.Column:
     return F.array(*[F.lit(w) for w in NOUNS + ADJECTIVES])
 
 
+def neutral_tokens(tokens) -> F.Column:
+    """The gold side of a token array: nouns -> person, adjectives -> poor."""
+    nouns = F.array(*[F.lit(w) for w in NOUNS])
+    adjs = F.array(*[F.lit(w) for w in ADJECTIVES])
+    t = F.col(tokens) if isinstance(tokens, str) else tokens
+    return F.transform(t, lambda x: F.when(F.array_contains(nouns, x), F.lit(NOUN_TARGET))
+                       .when(F.array_contains(adjs, x), F.lit(ADJECTIVE_TARGET)).otherwise(x))
+
+
+def holds_listed(tokens) -> F.Column:
+    t = F.col(tokens) if isinstance(tokens, str) else tokens
+    return F.arrays_overlap(t, _listed())
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(pair_id, lang, toxic, neutral1, hyp): sentences holding a listed word.
 
     ``neutral1`` replaces nouns and adjectives position by position (gold),
     ``hyp`` deletes every listed word (a rewriter's output).
     """
-    nouns = F.array(*[F.lit(w) for w in NOUNS])
-    adjs = F.array(*[F.lit(w) for w in ADJECTIVES])
     listed = _listed()
     # exact pre-filter: a listed token implies the lower-cased text contains it,
     # so documents without any such substring are never split or tokenised
@@ -68,9 +80,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(
         "pair_id", "lang",
         F.array_join("tokens", " ").alias("toxic"),
-        F.array_join(F.transform("tokens", lambda t: F.when(F.array_contains(nouns, t), F.lit(NOUN_TARGET))
-                                 .when(F.array_contains(adjs, t), F.lit(ADJECTIVE_TARGET)).otherwise(t)),
-                     " ").alias("neutral1"),
+        F.array_join(neutral_tokens("tokens"), " ").alias("neutral1"),
         F.array_join(F.filter("tokens", lambda t: ~F.array_contains(listed, t)), " ").alias("hyp"),
     )
 

@@ -17,11 +17,12 @@ from parasol.operators import rewrite as RE
 from parasol.operators import split as SP
 from parasol.operators.bleu import bleu_rowlocal
 from parasol.plans import derived as D
+from parasol.session import cut_lineage
 
 
 def flagship_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = D.table(spark, sf_dir, "documents"), D.table(spark, sf_dir, "labels")
-    pairs = D.pairs(spark, sf_dir).withColumn("x_tokens", F.split("toxic", " "))
+    pairs = cut_lineage(D.pairs(spark, sf_dir), name="pairs").withColumn("x_tokens", F.split("toxic", " "))
     lex = RE.detox_lexicon(docs, labels)
     rewritten = RE.rewrite(pairs, "pair_id", "x_tokens", lex, "delete", out="y_pred")
     bleu = bleu_rowlocal(rewritten, "pair_id", "y_pred", "neutral1")

@@ -94,8 +94,10 @@ def _tok_pairs(spark, sf):
 @memo
 def _vocab(spark, sf):
     """Vocabulary over every sentence plus the gold side of the pairs."""
-    gold = _pairs(spark, sf).select(F.split("neutral1", " ").alias("tokens"))
-    return ENC.build_vocab(D.sentences(spark, sf).select("tokens").unionByName(gold))
+    s = D.sentences(spark, sf)
+    gold = F.when(D.holds_listed("tokens"), D.neutral_tokens("tokens")).otherwise(F.array().cast("array<string>"))
+    # one pass: each sentence contributes its tokens and, for pair sentences, the gold tokens
+    return ENC.build_vocab(s.select(F.concat("tokens", gold).alias("tokens")))
 
 
 def _encoded(spark, sf):

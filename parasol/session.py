@@ -60,8 +60,15 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return path
 
 
-def cut_lineage(df, spark: SparkSession | None = None):
-    """Reliable checkpoint into the shared folder (never a local checkpoint)."""
+def cut_lineage(df, spark: SparkSession | None = None, name: str = "table"):
+    """Cut lineage by writing a parquet table in the shared checkpoint folder
+    and reading it back (never a local checkpoint).
+
+    One pass over the input (``checkpoint(eager=True)`` would compute it twice:
+    once for the eager count, once more for the reliable write), and later
+    reads get column pruning and filter pushdown.
+    """
     spark = spark or df.sparkSession
-    checkpoint_root(spark)
-    return df.checkpoint(eager=True)
+    path = scratch_dir(spark, f"cut-{name}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
