@@ -33,3 +33,13 @@ def test_build_vocab_order(spark):
     df = spark.createDataFrame([(["b", "a", "c", "b"],), (["c", "b"],)], "tokens array<string>")
     v = {r.token: r.id for r in ENC.build_vocab(df).collect()}
     assert v == {"b": 3, "c": 4, "a": 5}
+
+
+def test_vocab_rank_across_count_bands(spark):
+    # counts on both sides of the exact-count limit, ties inside a power-of-two band
+    counts = {"aa": 5000, "zz": 5000, "mm": 3000, "bb": 2048, "cc": 1500, "dd": 1023, "ab": 1023, "e": 1, "d": 1}
+    rows = [([t],) for t, n in counts.items() for _ in range(n)]
+    df = spark.createDataFrame(rows, "tokens array<string>")
+    got = {r.token: r.id for r in ENC.build_vocab(df).collect()}
+    want = sorted(counts, key=lambda t: (-counts[t], t))
+    assert got == {t: i + 3 for i, t in enumerate(want)}
