@@ -24,7 +24,7 @@ from parasol.operators import rewards as RW
 from parasol.operators import rewrite as RE
 from parasol.operators import runs as RU
 from parasol.operators import split as SP
-from parasol.operators.vectors import TokenVectors, pair_similarity
+from parasol.operators.vectors import TokenVectors
 from parasol.plans import derived as D
 from parasol.session import cut_lineage, scratch_dir
 from parasol.sources import io as IO
@@ -654,4 +654,4 @@ def queries() -> dict[str, Q]:
     return {name: _typed(fn) for name, fn in REGISTRY.items()}
 
 
-__all__ = ["queries", "REGISTRY", "pair_similarity"]
+__all__ = ["queries", "REGISTRY", "normalize_types"]
