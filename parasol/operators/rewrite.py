@@ -8,8 +8,10 @@ falls back to explode, left join and ordered regroup.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parasol.operators.judges import labelled_tokens
 
@@ -81,6 +83,19 @@ def replace_words(tokens: Column, mapping: dict) -> Column:
     return F.transform(tokens, lambda t: F.coalesce(F.try_element_at(m, t), t))
 
 
+def delete_words_udf(words):
+    """R9 ``mode='delete'`` for lexicons above ``INLINE_MAX``, stateless and
+    row-local (for streams, where a join-and-regroup would need state): an
+    Arrow-batched UDF that checks tokens against a Python set."""
+    lex = frozenset(words)
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def _drop(tokens: pd.Series) -> pd.Series:
+        return tokens.map(lambda ts: None if ts is None else [t for t in ts if t not in lex])
+
+    return _drop
+
+
 def rewrite(df: DataFrame, key: str, tokens_col: str, lexicon: DataFrame, mode: str = "delete",
             out: str = "text", word_col: str = "token", target_col: str = "tgt") -> DataFrame:
     """Rewrite every row's tokens with a lexicon and join them by one blank.

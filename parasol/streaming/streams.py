@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parasol.functions.text import tokenize
-from parasol.operators.rewrite import delete_words, replace_words
+from parasol.operators.rewrite import INLINE_MAX, delete_words, delete_words_udf, replace_words
 
 SENTENCE_SCHEMA = T.StructType([T.StructField("pair_id", T.LongType()), T.StructField("text", T.StringType())])
 LOSS_SCHEMA = T.StructType([T.StructField("run_id", T.LongType()), T.StructField("epoch", T.LongType()),
@@ -35,7 +35,8 @@ def rewrite_stream(spark: SparkSession, source: str, sink: str, checkpoint: str,
     if mapping:
         toks = replace_words(toks, mapping)
     if words:
-        toks = delete_words(toks, words)
+        words = list(words)
+        toks = delete_words(toks, words) if len(words) <= INLINE_MAX else delete_words_udf(words)(toks)
     out = s.select("pair_id", F.array_join(toks, " ").alias("rewritten"))
     q = out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint) \
         .outputMode("append").trigger(availableNow=True).start()

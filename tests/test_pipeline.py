@@ -163,3 +163,18 @@ def test_running_loss_update_and_complete_agree(spark, sf, tmp_path):
     direct = {(r.run_id, r.epoch): (round(r.m, 9), r.n) for r in D.losses(spark, sf).groupBy("run_id", "epoch")
               .agg(F.avg("loss").alias("m"), F.count("*").alias("n")).collect()}
     assert u == c == direct
+
+
+def test_stream_udf_path_equals_inline(spark, sf, tmp_path, monkeypatch):
+    from parasol.streaming import streams as ST
+    s = D.sentences(spark, sf)
+    lex = RE.detox_lexicon(D.table(spark, sf, "documents"), D.table(spark, sf, "labels"))
+    words = [r.token for r in lex.collect()]
+    src = str(tmp_path / "src")
+    s.select("pair_id", F.array_join("tokens", " ").alias("text")).repartition(2).write.parquet(src)
+    ST.rewrite_stream(spark, src, str(tmp_path / "a"), str(tmp_path / "ca"), words=words)
+    monkeypatch.setattr(ST, "INLINE_MAX", 0)
+    ST.rewrite_stream(spark, src, str(tmp_path / "b"), str(tmp_path / "cb"), words=words)
+    a = {r.pair_id: r.rewritten for r in spark.read.parquet(str(tmp_path / "a")).collect()}
+    b = {r.pair_id: r.rewritten for r in spark.read.parquet(str(tmp_path / "b")).collect()}
+    assert a == b and len(a) == s.count()
