@@ -105,7 +105,7 @@ def fit_nb_many(documents: DataFrame, labels: DataFrame, label_cols) -> dict:
     return models
 
 
-def score_tokens(df: DataFrame, key, tokens_cols: dict, model: NBModel) -> DataFrame:
+def score_tokens(df: DataFrame, key, tokens_cols: dict, model: NBModel, output: str = "prob") -> DataFrame:
     """J4 + R1 scoring: probability of class 1 for each token-array column.
 
     ``tokens_cols`` maps output column to token-array column; all of them go
@@ -118,9 +118,12 @@ def score_tokens(df: DataFrame, key, tokens_cols: dict, model: NBModel) -> DataF
     j = e.join(model.weights, "token", "left")
     g = j.groupBy(*keys).agg(*[F.sum(F.when(F.col("side") == side, F.coalesce("w", F.lit(0.0)))).alias(side)
                                for side in tokens_cols])
-    out = g.select(*keys, *[(1 / (1 + F.exp(-(F.lit(model.prior) + F.coalesce(F.col(c), F.lit(0.0))))))
-                           .alias(c) for c in tokens_cols])
-    return out
+    if output not in ("prob", "logit"):
+        raise ValueError("output must be 'prob' or 'logit'")
+    logit = {c: F.lit(model.prior) + F.coalesce(F.col(c), F.lit(0.0)) for c in tokens_cols}
+    if output == "logit":
+        return g.select(*keys, *[logit[c].alias(c) for c in tokens_cols])
+    return g.select(*keys, *[(1 / (1 + F.exp(-logit[c]))).alias(c) for c in tokens_cols])
 
 
 def fluency_label(p) -> F.Column:

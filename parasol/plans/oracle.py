@@ -436,6 +436,12 @@ def _q() -> dict[str, tuple[str, tuple[str, ...]]]:
             SELECT x.pair_id, round(x.p, 6) AS p_toxic_x, round(y.p, 6) AS p_toxic_hyp
             FROM {_score('tox', 'pairs', 'pair_id', 'toxic')} x JOIN {_score('tox', 'pairs', 'pair_id', 'hyp')} y USING (pair_id)""",
                            ("pairs", "w_tox", "prior_tox")),
+        "judge_distribution": (f"""
+            SELECT seq_id, kind, round(p0, 6) AS p0, round(p1, 6) AS p1, CAST(CASE WHEN p0 >= p1 THEN 0 ELSE 1 END AS BIGINT) AS argmax,
+                   round(greatest(p0, p1), 6) AS p_argmax,
+                   round(CASE WHEN p0 >= p1 THEN (1 + p0) / 2 ELSE (1 - p1) / 2 END, 6) AS tox
+            FROM (SELECT seq_id, kind, 1 - p AS p0, p AS p1 FROM {_score('tox', 'candidates', 'seq_id, kind', 'text')})""",
+                               ("candidates", "w_tox", "prior_tox")),
         "toxicity_score": ("SELECT seq_id, kind, round(tox, 6) AS tox FROM cand_tox", ("cand_tox",)),
         "fluency_judge": (f"""
             SELECT pair_id, round(p, 6) AS p_fluent, CASE WHEN p >= 0.5::DOUBLE THEN 'LABEL_1' ELSE 'LABEL_0' END AS label

@@ -409,6 +409,22 @@ def q_toxicity_score(spark, sf):
     return s.select("seq_id", "kind", r6(JU.politeness(F.col("p"))).alias("tox"))
 
 
+@register("judge_distribution")
+def q_judge_distribution(spark, sf):
+    """M1 + M2 + M3 + M5 as the reference writes them: the judge's two class
+    logits [0, logit] -> softmax -> argmax (first index on ties) -> gather ->
+    ((-1)^argmax * p_argmax + 1) / 2."""
+    from parasol.functions.mathx import argmax, gather, softmax
+    c = _candidates(spark, sf).select("seq_id", "kind", tokenize("text").alias("t"))
+    s = JU.score_tokens(c, ["seq_id", "kind"], {"logit": "t"}, _tox_model(spark, sf), output="logit")
+    d = s.select("seq_id", "kind", softmax(F.array(F.lit(0.0), F.col("logit"))).alias("p"))
+    d = d.select("seq_id", "kind", "p", argmax("p").alias("argmax"))
+    d = d.select("seq_id", "kind", "p", "argmax", gather("p", F.col("argmax")).alias("p_argmax"))
+    sign = F.when(F.col("argmax") == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
+    return d.select("seq_id", "kind", r6(F.col("p")[0]).alias("p0"), r6(F.col("p")[1]).alias("p1"), "argmax",
+                    r6("p_argmax").alias("p_argmax"), r6((sign * F.col("p_argmax") + 1) / 2).alias("tox"))
+
+
 @register("fluency_judge")
 def q_fluency_judge(spark, sf):
     p = _pairs(spark, sf).select("pair_id", tokenize("hyp").alias("yt"))
