@@ -3,8 +3,8 @@
 Every ordering is a distributed rank (``global_rank``): rows are cut into
 buckets that are monotone in the sort key, bucket sizes are counted (partial
 aggregation, a table of at most ``buckets`` rows per partition value), their
-running sums are broadcast back as offsets, and ``row_number`` runs inside
-each bucket only. No single-partition sort of the data ever happens.
+running sums are joined back as offsets (broadcast when the table is bounded
+by the bucket count), and ``row_number`` runs inside each bucket only. No single-partition sort of the data ever happens.
 """
 
 from __future__ import annotations
@@ -41,15 +41,18 @@ def global_rank(df: DataFrame, order_cols: list, bucket: Column, rank_col: str =
 
     ``bucket`` must be monotone in the order: every row of a smaller bucket
     sorts before every row of a larger one. The offsets table holds one row
-    per (partition value, bucket) and is broadcast; its size is bounded by the
-    bucket count times the number of partition values.
+    per (partition value, bucket); it is broadcast only when there are no
+    partition columns (bounded by the bucket count), otherwise AQE chooses.
     """
     pc = list(partition_cols)
     b = df.withColumn("_bucket", bucket)
     counts = b.groupBy(*pc, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*pc).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*pc, "_bucket", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    ranked = b.join(F.broadcast(offsets), on=[*pc, "_bucket"], how="inner")
+    # without partition columns the offsets table has at most one row per bucket: a
+    # proven bound, so it is broadcast; with them it grows with the partition
+    # values, and AQE decides from its measured size
+    ranked = b.join(F.broadcast(offsets) if not pc else offsets, on=[*pc, "_bucket"], how="inner")
     wr = Window.partitionBy(*pc, "_bucket").orderBy(*order_cols)
     return ranked.withColumn(rank_col, (F.row_number().over(wr) + F.col("_off")).cast("bigint")) \
         .drop("_bucket", "_off")
