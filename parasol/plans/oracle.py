@@ -466,6 +466,11 @@ def _q() -> dict[str, tuple[str, tuple[str, ...]]]:
         "bigram_probs": ("""
             SELECT ctx, token, n, round(n / sum(n) OVER (PARTITION BY ctx), 6) AS prob,
                    row_number() OVER (PARTITION BY ctx ORDER BY n DESC, token) AS rank FROM bcounts""", ("bcounts",)),
+        "bigram_topk": ("""
+            SELECT ctx, token, n, prob, rank FROM (
+                SELECT ctx, token, n, round(n / sum(n) OVER (PARTITION BY ctx), 6) AS prob,
+                       row_number() OVER (PARTITION BY ctx ORDER BY n DESC, token) AS rank FROM bcounts)
+            WHERE rank <= 3""", ("bcounts",)),
         "bigram_softmax": ("""
             SELECT ctx, token, round(e / sum(e) OVER (PARTITION BY ctx), 6) AS prob
             FROM (SELECT ctx, token, exp(ln(n) - max(ln(n)) OVER (PARTITION BY ctx)) AS e FROM bcounts)""", ("bcounts",)),

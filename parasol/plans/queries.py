@@ -485,6 +485,13 @@ def q_bigram_probs(spark, sf):
     return DEC.bigram_probs(counts).select("ctx", "token", "n", r6("prob").alias("prob"), "rank")
 
 
+@register("bigram_topk")
+def q_bigram_topk(spark, sf):
+    """R4 report: the three most likely continuations of every context."""
+    _, counts = _bigram(spark, sf)
+    return DEC.bigram_probs(counts, top_k=3).select("ctx", "token", "n", r6("prob").alias("prob"), "rank")
+
+
 @register("bigram_softmax")
 def q_bigram_softmax(spark, sf):
     """M1 long form: softmax of ln(count) logits over each context."""
