@@ -58,7 +58,8 @@ def words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray,
     """
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    # taken, not sliced: ascii_lower misreads the offsets of a slice
+    texts = pc.fill_null(texts.cast(pa.large_string()), "").take(pa.array(np.arange(len(texts))))
     if lower:
         texts = pc.ascii_lower(texts)
     split = pc.ascii_split_whitespace(texts)
