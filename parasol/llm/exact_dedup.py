@@ -27,7 +27,11 @@ from pyspark.sql import functions as F
 
 from .common import scratch_path, stored
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: the state store; its logs take the disk that they fill, not a fixed size for each partition
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
 #: input that one micro-batch takes in
 BATCH_BYTES = 256 << 30
 #: while texts of hits are fetched: prune the scan by a filter of the hit digests
@@ -86,7 +90,7 @@ def dedup_state(spark: SparkSession, path: str, checkpoint: str, digest: Callabl
         # a replayed batch writes the same folder again
         batch.write.mode("overwrite").parquet(f"{changes}/batch={number}")
 
-    with _Conf(spark, {"spark.sql.streaming.stateStore.providerClass": STATE_STORE}):
+    with _Conf(spark, STATE_CONF):
         query = (groups.writeStream.outputMode("update").foreachBatch(save)
                  .option("checkpointLocation", f"{checkpoint}/stream").trigger(availableNow=True).start())
         query.awaitTermination()
