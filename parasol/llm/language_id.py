@@ -35,8 +35,8 @@ from .common import chunks, fold, segment_sum, stored, words
 UNKNOWN = "und"
 LONGEST = 5
 SAMPLE_DOCS = 2500
-MAX_WORDS = 100_000
-MAX_GRAMS = 200_000
+MAX_WORDS = 50_000
+MAX_GRAMS = 100_000
 #: added to every count
 SMOOTHING = 0.1
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -132,11 +132,13 @@ def fit(documents: DataFrame, training: Column, sample_docs: int = SAMPLE_DOCS,
                 yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(size, pa.int32()), pa.array(key), pa.array(n)],
                                                  names=["lang", "size", "key", "n"])
 
-    def most_frequent(counts: DataFrame, limit: int) -> list:
-        keys = ["size", "key"]
-        top = counts.groupBy(*keys).agg(F.sum("n").alias("total")).orderBy(F.desc("total"), *keys).limit(limit)
-        return (counts.join(top, keys).groupBy(*keys)
-                .agg(F.collect_list(F.struct("lang", "n")).alias("by")).orderBy(*keys).collect())
+    def most_frequent(counts: DataFrame, limit: int) -> Iterator[tuple[int, str, np.ndarray]]:
+        by_lang = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{i}")
+                   for i, x in enumerate(langs)]
+        top = (counts.groupBy("size", "key").agg(F.sum("n").alias("total"), *by_lang)
+               .orderBy(F.desc("total"), "size", "key").limit(limit).drop("total").toArrow())
+        seen = np.stack([top.column(f"n{i}").to_numpy() for i in range(len(langs))], 1)
+        yield from zip(top.column("size").to_pylist(), top.column("key").to_pylist(), seen, strict=True)
 
     chosen = sampled(rows, sample_docs, "lang").drop("doc_id")
     by_word = stored(chosen.mapInArrow(count_words, "lang string, key string, n long")
@@ -144,12 +146,11 @@ def fit(documents: DataFrame, training: Column, sample_docs: int = SAMPLE_DOCS,
     by_gram = stored(by_word.mapInArrow(count_grams, "lang string, size int, key string, n long")
                      .groupBy("lang", "size", "key").agg(F.sum("n").alias("n")), "lang-grams")
     langs = sorted(r["lang"] for r in by_word.select("lang").distinct().collect())
-    place = {x: i for i, x in enumerate(langs)}
     counts: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
-    for r in [*most_frequent(by_word.withColumn("size", F.lit(0)), max_words), *most_frequent(by_gram, max_grams)]:
-        row = counts[r["size"]][r["key"]] = np.zeros(len(langs))
-        for lang, n in r["by"]:
-            row[place[lang]] = n
+    if langs:
+        for table, limit in ((by_word.withColumn("size", F.lit(0)), max_words), (by_gram, max_grams)):
+            for size, key, seen in most_frequent(table, limit):
+                counts[size][key] = seen
     return Model(langs, counts)
 
 
