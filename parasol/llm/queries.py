@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, mixing, sharding, simhash, toxicity
+from . import decontamination, exact_dedup, language_id, mixing, sharding, simhash, token_counts, toxicity
 from .common import read_table
 
 
@@ -24,6 +24,10 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contained_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.languages(read_table(spark, sf_dir, "documents"))
 
@@ -37,8 +41,13 @@ def op8_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_records(read_table(spark, sf_dir, "documents"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.length_histogram(token_counts.token_lengths(read_table(spark, sf_dir, "documents")))
+
+
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
-    op1_exact_dedup, op2_toxicity, op4_simhash_near_dedup, op6_language_id, op7_mix_sources, op8_rendezvous_shards,
+    op1_exact_dedup, op2_toxicity, op4_simhash_near_dedup, op5_decontamination, op6_language_id,
+    op7_mix_sources, op8_rendezvous_shards, op10_token_counts,
 ]
 
 

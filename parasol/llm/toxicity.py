@@ -36,11 +36,12 @@ BUCKETS = 1 << 18
 FACTORS = 6
 SAMPLE_ROWS = 12_000
 LEAST_ROWS = 3
-EPOCHS = 12
-BATCH = 128
-RATE = 0.05
-L1 = 4e-4
-L2 = 1e-3
+EPOCHS = 10
+BATCH = 64
+RATE = 1.0
+RATE_FACTORS = 0.02
+L1 = 16.0
+L2 = 0.1
 THRESHOLD = 0.3
 CACHE = 400_000
 
@@ -101,43 +102,44 @@ class Machine:
         offsets = np.concatenate([[0], np.cumsum(often)])[offsets]
         terms = terms[often]
         ids, at = np.unique(terms, return_inverse=True)
-        w = np.zeros(len(ids))
-        v = rng.normal(0, 0.01, (len(ids), FACTORS))
-        gw, gv = np.full(len(ids), 1e-4), np.full(v.shape, 1e-4)
+        w, z, nw = np.zeros(len(ids)), np.zeros(len(ids)), np.zeros(len(ids))
+        v = rng.normal(0, 0.02, (len(ids), FACTORS))
+        nv = np.full(v.shape, 1.0)
         rate = (labels.sum() + 1) / (n + 2)
-        bias, gb = float(np.log(rate / (1 - rate))), 1e-4
+        bias, nb = float(np.log(rate / (1 - rate))), 1.0
         sizes = np.diff(offsets)
-        seen = np.zeros(len(ids))  # step at which a term's weight was last shrunk
-        step = 0
         for _ in range(EPOCHS):
             order = rng.permutation(n)
             for i in range(0, n, BATCH):
                 rows_ = order[i:i + BATCH]
-                step += 1
                 of = np.repeat(np.arange(len(rows_)), sizes[rows_])
-                where = np.concatenate([np.arange(offsets[r], offsets[r + 1]) for r in rows_] or [[]]).astype(int)
-                x = at[where]
+                x = at[np.concatenate([np.arange(offsets[r], offsets[r + 1]) for r in rows_])]
                 ends = np.concatenate([[0], np.cumsum(sizes[rows_])])
-                sums = segment_sum(v[x], ends)
-                z = bias + segment_sum(w[x], ends) + (np.square(sums).sum(1) - segment_sum(
-                    np.square(v[x]).sum(1), ends)) / 2
-                miss = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[rows_]
+                active = np.abs(w[x]) > 0
+                vx = v[x] * active[:, None]
+                sums = segment_sum(vx, ends)
+                out = bias + segment_sum(w[x], ends) + (np.square(sums).sum(1) - segment_sum(
+                    np.square(vx).sum(1), ends)) / 2
+                miss = 1 / (1 + np.exp(-np.clip(out, -30, 30))) - labels[rows_]
+                # weights: follow the regularised leader, which keeps idle terms at zero
                 u, inv = np.unique(x, return_inverse=True)
-                g = np.bincount(inv, weights=miss[of], minlength=len(u)) / len(rows_)
-                pull = miss[of][:, None] * (sums[of] - v[x]) / len(rows_)
-                h = np.stack([np.bincount(inv, weights=pull[:, k], minlength=len(u)) for k in range(FACTORS)], 1)
-                h += L2 * v[u]
-                gw[u] += g * g
-                gv[u] += h * h
-                lr = RATE / np.sqrt(gw[u])
-                new = w[u] - lr * g
-                # the penalty of all steps since the term was last seen
-                w[u] = np.sign(new) * np.maximum(np.abs(new) - L1 * lr * np.minimum(step - seen[u], 50), 0)
-                seen[u] = step
-                v[u] -= RATE * h / np.sqrt(gv[u]) * (np.abs(w[u]) > 0)[:, None]
-                g0 = float(miss.mean())
-                gb += g0 * g0
-                bias -= RATE * g0 / gb ** 0.5
+                g = np.bincount(inv, weights=miss[of], minlength=len(u))
+                turn = (np.sqrt(nw[u] + g * g) - np.sqrt(nw[u])) / RATE
+                z[u] += g - turn * w[u]
+                nw[u] += g * g
+                w[u] = -np.sign(z[u]) * np.maximum(np.abs(z[u]) - L1, 0) / ((1 + np.sqrt(nw[u])) / RATE + L2)
+                # factors: only of terms with a weight
+                if active.any():
+                    xa, oa, va = x[active], of[active], vx[active]
+                    u, inv = np.unique(xa, return_inverse=True)
+                    pull = miss[oa][:, None] * (sums[oa] - va)
+                    h = np.stack([np.bincount(inv, weights=pull[:, k], minlength=len(u)) for k in range(FACTORS)], 1)
+                    h += L2 * v[u]
+                    nv[u] += h * h
+                    v[u] -= RATE_FACTORS * h / np.sqrt(nv[u])
+                g0 = float(miss.sum())
+                nb += g0 * g0
+                bias -= RATE * g0 / nb ** 0.5
         self.bias = bias
         told = np.abs(w) > 0
         self.weights[ids[told]] = w[told]
