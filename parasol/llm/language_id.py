@@ -20,7 +20,6 @@ gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -34,13 +33,12 @@ from .common import chunks, fold, segment_sum, stored, words
 
 UNKNOWN = "und"
 LONGEST = 5
-SAMPLE_DOCS = 2500
+SAMPLE_DOCS = 1000
 MAX_WORDS = 50_000
 MAX_GRAMS = 100_000
 #: added to every count
 SMOOTHING = 0.1
 LETTERS = re.compile(r"[^\W\d_]+")
-CACHE = 400_000
 
 
 def letter_words(token: str) -> list[str]:
@@ -56,44 +54,59 @@ def grams(word: str, n: int) -> list[str]:
 
 
 class Model:
-    """Log frequencies per language of words and of n-grams by length."""
+    """Log frequencies per language of words and of n-grams by length.
+
+    The tables are stacked: a word or n-gram is a row of ``logs``.
+    """
 
     def __init__(self, langs: list[str], counts: list[dict[str, np.ndarray]]):
         """counts: of words, then of n-grams of length 1 to LONGEST."""
         self.langs = langs
         self.rows: list[dict[str, int]] = []
-        self.logs: list[np.ndarray] = []
+        logs = [np.zeros((0, max(1, len(langs))))]
+        start = 0
         for table in counts:
             keys = list(table)
-            seen = np.array([table[k] for k in keys], dtype=np.float64).reshape(len(keys), len(langs))
+            seen = np.array([table[k] for k in keys], dtype=np.float64).reshape(len(keys), max(1, len(langs)))
             totals = seen.sum(0) + SMOOTHING * (len(keys) + 1)
-            self.rows.append({k: i for i, k in enumerate(keys)})
-            self.logs.append(np.log((seen + SMOOTHING) / totals).astype(np.float32))
-
-    def word(self, word: str) -> np.ndarray | None:
-        """Log score per language; None if not even a character is known."""
-        i = self.rows[0].get(word)
-        if i is not None:
-            return self.logs[0][i]
-        for n in range(LONGEST, 0, -1):
-            table = self.rows[n]
-            known = [i for g in grams(word, n) if (i := table.get(g)) is not None]
-            if known:
-                return self.logs[n][known].mean(0)
-        return None
-
-    def token(self, token: str) -> tuple[np.ndarray, int]:
-        """Summed score of a token's words, and how many words it has."""
-        parts = letter_words(token)
-        scores = [s for w in parts if (s := self.word(w)) is not None]
-        return (np.sum(scores, axis=0) if scores else np.zeros(len(self.langs), np.float32)), len(parts)
+            self.rows.append({k: start + i for i, k in enumerate(keys)})
+            start += len(keys)
+            logs.append(np.log((seen + SMOOTHING) / totals))
+        self.logs = np.concatenate(logs)
+
+    def scores(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Summed log score per language of each token's words, and how many
+        words each token has."""
+        known = self.rows[0]
+        rows, weights, ends, lettered = [], [], [0], []
+        for token in tokens:
+            parts = letter_words(token)
+            for word in parts:
+                row = known.get(word)
+                if row is not None:
+                    rows.append(row)
+                    weights.append(1.0)
+                    continue
+                for n in range(LONGEST, 0, -1):
+                    table = self.rows[n]
+                    found = [i for g in grams(word, n) if (i := table.get(g)) is not None]
+                    if found:
+                        rows += found
+                        weights += [1 / len(found)] * len(found)
+                        break
+            ends.append(len(rows))
+            lettered.append(len(parts))
+        values = self.logs[np.array(rows, dtype=np.int64)] * np.array(weights)[:, None]
+        return segment_sum(values, np.array(ends)), np.array(lettered, dtype=np.float64)
 
 
 def sampled(rows: DataFrame, per_class: int, label: str) -> DataFrame:
-    """About ``per_class`` rows of each class at most, chosen by the id's hash."""
-    sizes = rows.groupBy(label).agg(F.count("*").alias("_n"))
+    """About ``per_class`` rows of each class at most, chosen by the id's
+    hash. Only the classes' sizes reach the driver."""
+    sizes = rows.groupBy(label).agg(F.count("*").alias("n")).collect()
     pick = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30)).cast("double") / float(1 << 30)
-    return rows.join(sizes, label).filter(pick * F.col("_n") < per_class).drop("_n")
+    share = F.coalesce(*[F.when(F.col(label) == r[label], F.lit(per_class / r["n"])) for r in sizes], F.lit(0.0))
+    return rows.filter(pick < share)
 
 
 def fit(documents: DataFrame, training: Column, sample_docs: int = SAMPLE_DOCS, max_words: int = MAX_WORDS,
@@ -162,24 +175,10 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        cache: dict[str, tuple[np.ndarray, int]] = {}
-        width = max(1, len(m.langs))
         for batch in batches:
             for part in chunks(batch, "text"):
                 ends, codes, uniques = words(part.column("text"), lower=False)
-                scores = np.zeros((len(uniques), width))
-                lettered = np.zeros(len(uniques))
-                if len(cache) > CACHE:
-                    cache.clear()
-                for i, t in enumerate(uniques.to_pylist()):
-                    hit = cache.get(t)
-                    if hit is None:
-                        hit = m.token(t)
-                        if len(t) < 24:
-                            cache[t] = hit
-                    if hit[1]:
-                        scores[i] = hit[0]
-                        lettered[i] = hit[1]
+                scores, lettered = m.scores(uniques.to_pylist())
                 total = segment_sum(scores[codes], ends)
                 has = segment_sum(lettered[codes], ends) > 0.5
                 best = total.argmax(1)
