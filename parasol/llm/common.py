@@ -34,6 +34,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sent_if_small(df: DataFrame, rows: int, most: int = 100_000) -> DataFrame:
+    """A table of a counted size for a join: broadcast up to ``most`` rows,
+    beyond them left to a shuffled join (with skewed keys split)."""
+    return F.broadcast(df) if rows <= most else df
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """Drop input columns that an operator is about to add."""
     return df.drop(*names)

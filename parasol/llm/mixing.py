@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored, without, word_count
+from .common import sent_if_small, stored, without, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -114,7 +114,7 @@ def mix(df: DataFrame, key: str, source: str, size: str, weights: Sequence[float
         epochs = whole_words // r["size"] if r["size"] else 0
         plan.append((i, r["_source"], r["size"], goal, max(1, -(-r["n"] // BLOCK_ROWS)), epochs,
                      whole_words - epochs * r["size"]))
-    plan_df = spark.createDataFrame(plan, PLAN)
+    plan_df = sent_if_small(spark.createDataFrame(plan, PLAN), len(plan))
     dealt = (df.join(plan_df, F.col("_source").eqNullSafe(F.col("_name")))
              .withColumn("_h", F.xxhash64(F.lit(seed), "_key"))
              .withColumn("_block", F.pmod("_h", F.col("_blocks"))))
@@ -129,7 +129,8 @@ def mix(df: DataFrame, key: str, source: str, size: str, weights: Sequence[float
              blocks.groupBy("_s").agg(F.sum(F.col("_e") + extra).alias("n")).collect()}
     shares = split_quotas([draws.get(i, 0) for i in range(len(plan))], shards, seed)
     ends = np.cumsum(shares, axis=0).T.tolist() if len(plan) else []
-    ranges = spark.createDataFrame([(i, e) for i, e in enumerate(ends)], "_s int, _ends array<long>")
+    ranges = sent_if_small(spark.createDataFrame([(i, e) for i, e in enumerate(ends)], "_s int, _ends array<long>"),
+                           len(ends))
     # a block's draws are numbered rank, rank + blocks, rank + 2 blocks, ...
     rank = Window.partitionBy("_s").orderBy("_block")
     per_source = blocks.groupBy("_s").agg(F.count("*").alias("_nb"))
