@@ -11,8 +11,8 @@ every task. Pair sums are taken by the identity
 The model is fitted on a bounded sample of labelled rows, at most
 ``SAMPLE_ROWS``, chosen by a hash of the id, with a gradient step per
 mini-batch. Weights have an L1 penalty by which terms that tell nothing stay
-at zero; terms in fewer than ``LEAST_ROWS`` sampled rows are left out. Every
-row is scored over its whole text.
+at zero; factors are learned for terms with a weight and for common terms.
+Terms in fewer than ``LEAST_ROWS`` sampled rows are left out. Every row is scored over its whole text.
 
 Edge cases: null, empty and blank texts get the score of the bias alone;
 without labelled rows all scores are 0.5; labels that are null are left out,
@@ -36,6 +36,8 @@ BUCKETS = 1 << 18
 FACTORS = 6
 SAMPLE_ROWS = 12_000
 LEAST_ROWS = 3
+#: share of the sampled rows that a common term is in
+COMMON = 0.05
 EPOCHS = 10
 BATCH = 64
 RATE = 1.0
@@ -108,6 +110,8 @@ class Machine:
         rate = (labels.sum() + 1) / (n + 2)
         bias, nb = float(np.log(rate / (1 - rate))), 1.0
         sizes = np.diff(offsets)
+        # terms whose pairs are learned even while their own weight tells nothing
+        common = np.bincount(at, minlength=len(ids)) >= COMMON * n
         for _ in range(EPOCHS):
             order = rng.permutation(n)
             for i in range(0, n, BATCH):
@@ -115,7 +119,7 @@ class Machine:
                 of = np.repeat(np.arange(len(rows_)), sizes[rows_])
                 x = at[np.concatenate([np.arange(offsets[r], offsets[r + 1]) for r in rows_])]
                 ends = np.concatenate([[0], np.cumsum(sizes[rows_])])
-                active = np.abs(w[x]) > 0
+                active = common[x] | (np.abs(w[x]) > 0)
                 vx = v[x] * active[:, None]
                 sums = segment_sum(vx, ends)
                 out = bias + segment_sum(w[x], ends) + (np.square(sums).sum(1) - segment_sum(
@@ -128,7 +132,7 @@ class Machine:
                 z[u] += g - turn * w[u]
                 nw[u] += g * g
                 w[u] = -np.sign(z[u]) * np.maximum(np.abs(z[u]) - L1, 0) / ((1 + np.sqrt(nw[u])) / RATE + L2)
-                # factors: only of terms with a weight
+                # factors: of common terms and of those with a weight
                 if active.any():
                     xa, oa, va = x[active], of[active], vx[active]
                     u, inv = np.unique(xa, return_inverse=True)
@@ -141,7 +145,7 @@ class Machine:
                 nb += g0 * g0
                 bias -= RATE * g0 / nb ** 0.5
         self.bias = bias
-        told = np.abs(w) > 0
+        told = common | (np.abs(w) > 0)
         self.weights[ids[told]] = w[told]
         self.factors[ids[told]] = v[told]
         return self
