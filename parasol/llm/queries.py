@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, language_id, mixing, sharding, simhash, token_counts, toxicity
+from . import context_mixing, decontamination, exact_dedup, language_id, mixing, sharding, simhash, token_counts, toxicity
 from .common import read_table
 
 
@@ -19,6 +19,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op3_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.score(read_table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -46,8 +50,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
-    op1_exact_dedup, op2_toxicity, op4_simhash_near_dedup, op5_decontamination, op6_language_id,
-    op7_mix_sources, op8_rendezvous_shards, op10_token_counts,
+    op1_exact_dedup, op2_toxicity, op3_context_mixing, op4_simhash_near_dedup, op5_decontamination,
+    op6_language_id, op7_mix_sources, op8_rendezvous_shards, op10_token_counts,
 ]
 
 
