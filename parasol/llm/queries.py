@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import context_mixing, decontamination, exact_dedup, language_id, mixing, sharding, simhash, token_counts, toxicity
+from . import context_mixing, decontamination, exact_dedup, language_id, line_dedup, mixing, sharding, simhash, token_counts, toxicity
 from .common import read_table
 
 
@@ -45,13 +45,18 @@ def op8_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_records(read_table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_groups(read_table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.length_histogram(token_counts.token_lengths(read_table(spark, sf_dir, "documents")))
 
 
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     op1_exact_dedup, op2_toxicity, op3_context_mixing, op4_simhash_near_dedup, op5_decontamination,
-    op6_language_id, op7_mix_sources, op8_rendezvous_shards, op10_token_counts,
+    op6_language_id, op7_mix_sources, op8_rendezvous_shards, op9_line_dedup,
+    op10_token_counts,
 ]
 
 
