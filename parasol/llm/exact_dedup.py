@@ -8,9 +8,9 @@ on where the last one ended.
 
 A digest with more than one row is a hit. Hits are checked on full bytes: the
 texts of all rows of such digests are read again and the least and the
-greatest text of each digest must be the same bytes. These are combined before
-the shuffle, so a digest of any number of copies moves one pair of texts from
-each task. A digest that fails (a collision) has its rows grouped by digest
+greatest text of each digest must be the same bytes. The rows of a digest with
+very many copies are dealt to many tasks, whose least and greatest texts meet
+in a second step. A digest that fails (a collision) has its rows grouped by digest
 and whole text instead.
 
 Edge cases: a null text counts as empty; empty texts are equal; of rows with
@@ -34,6 +34,8 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
 #: input that one micro-batch takes in
 BATCH_BYTES = 256 << 30
+#: shares and salts of digests with very many rows
+HOT, SALTS = 4096, 64
 #: while texts of hits are fetched: prune the scan by a filter of the hit digests
 FETCH_CONF = {"spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
               "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
@@ -119,10 +121,19 @@ def exact_duplicates(spark: SparkSession, path: str, digest: Callable[[Column],
     rows = spark.read.parquet(path).select(
         "doc_id", text.alias("_text"), F.char_length(F.coalesce("text", F.lit(""))).alias("_length"),
         digest(text).alias("_digest"))
-    hits = groups.filter("group_size > 1").select("digest")
+    # a digest with over 1 / HOT of the rows is dealt to SALTS tasks; there are fewer than HOT of them
+    n = groups.agg(F.sum("group_size").alias("n")).first()["n"] or 0
+    hot = (F.col("group_size") > 1) & (F.col("group_size") * HOT > n)
+    hits = groups.filter("group_size > 1").select("digest", F.explode(
+        F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
+    many = F.broadcast(groups.filter(hot).select(F.col("digest").alias("_hot")))
+    salted = rows.join(many, F.col("_digest") == F.col("_hot"), "left").select("_digest", "_text", F.when(
+        F.col("_hot").isNotNull(), F.pmod(F.xxhash64("doc_id", "_length"), F.lit(SALTS)).cast("int"))
+        .otherwise(F.lit(0)).alias("_salt"))
     with _Conf(spark, FETCH_CONF):
-        checked = stored(rows.select("_digest", "_text").join(hits, F.col("_digest") == F.col("digest"))
-                         .groupBy("digest").agg((F.min("_text") != F.max("_text")).alias("collides"))
+        checked = stored(salted.join(hits, (F.col("_digest") == F.col("digest")) & (F.col("_salt") == F.col("salt")))
+                         .groupBy("digest", "salt").agg(F.min("_text").alias("least"), F.max("_text").alias("most"))
+                         .groupBy("digest").agg((F.min("least") != F.max("most")).alias("collides"))
                          .filter("collides"), "collisions")
     out = ["doc_id", "keep_id", "group_size", sha256(F.col("_text")).alias("text_sha256")]
     good = rows
