@@ -36,6 +36,7 @@ result; other columns are not read.
 from __future__ import annotations
 
 import heapq
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -393,6 +394,16 @@ SLICE = 1 << 15
 TABLE = "part int, kind int, slice int, counts binary"
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts in as many bytes as the largest needs, compressed."""
+    size = 1 if counts.max() < 1 << 8 else 2 if counts.max() < 1 << 16 else 4
+    return bytes([size]) + zlib.compress(counts.astype(f"<u{size}").tobytes(), 1)
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed[1:]), f"<u{packed[0]}")
+
+
 def _slices(tables: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
     """Rows of a task's tables: those parts of them that counted anything."""
     for part, table in tables.items():
@@ -402,22 +413,19 @@ def _slices(tables: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
                 if piece.any():
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([part], pa.int32()), pa.array([k], pa.int32()), pa.array([i // SLICE], pa.int32()),
-                         pa.array([piece.astype("<u4").tobytes()], pa.binary())],
-                        names=["part", "kind", "slice", "counts"])
+                         pa.array([_packed(piece)], pa.binary())], names=["part", "kind", "slice", "counts"])
 
 
 def _summed(rows: DataFrame, kinds: int, bits: int) -> dict[int, np.ndarray]:
     """All tasks' tables added up, slice by slice; the model has a fixed size."""
     def add(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(len(group["counts"].iloc[0]) // 4, np.uint64)
-        for piece in group["counts"]:
-            total += np.frombuffer(piece, "<u4")
-        total = np.minimum(total, np.iinfo(np.uint32).max).astype("<u4")
-        return pd.DataFrame({"part": [key[0]], "kind": [key[1]], "slice": [key[2]], "counts": [total.tobytes()]})
+        total = sum((_unpacked(piece).astype(np.uint64) for piece in group["counts"]), np.zeros(1, np.uint64))
+        total = np.minimum(total, np.iinfo(np.uint32).max)
+        return pd.DataFrame({"part": [key[0]], "kind": [key[1]], "slice": [key[2]], "counts": [_packed(total)]})
 
     out = {p: np.zeros((kinds, 2 << bits), np.uint32) for p in (0, 1)}
     for r in rows.groupBy("part", "kind", "slice").applyInPandas(add, TABLE).toLocalIterator():
-        piece = np.frombuffer(r["counts"], "<u4")
+        piece = _unpacked(r["counts"])
         out[r["part"]][r["kind"], r["slice"] * SLICE:r["slice"] * SLICE + len(piece)] = piece
     return out
 
