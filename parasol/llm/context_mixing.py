@@ -7,14 +7,14 @@ bytes. Every bit is predicted by several predictors, one for each context,
 that look up how often each bit followed this context at this node in the
 training texts, in tables reached by a hash of context and node:
 
-* words: the node alone; the word before; the last two frequent words (they
-  tell the language); the two words before;
+* words: the node alone; the word before, if it is frequent; the last very
+  frequent word, which tells the language;
 * bytes: the last two, three, four and five bytes of the word; all of its
   bytes so far.
 
 The predictors' log odds are summed with weights. A gate, made of how much
 each predictor has seen, chooses the set of weights. Weights learn online:
-after every ``SEGMENT`` words of a text they move along the gradient of its
+after every ``SEGMENT`` words of a text they all move along the gradient of its
 coding cost, so each text is predicted from its own past only, starting from
 weights learned on training texts. An adaptive map per gate, learned there
 too, refines the mixed log odds. The costs of all bits are the text's total.
@@ -42,6 +42,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,12 +52,18 @@ from .common import chunks, fold, segment_sum, stored, words
 FOLDS, HELD_OUT, FITTING = 7, 2, 6
 MAX_VOCABULARY = 1 << 15
 #: words with a rank below this tell the language
-FREQUENT = 256
+FREQUENT = 64
+#: the word before is a context of its own with a rank below this
+PREVIOUS = 512
 #: a predictor's table has two to the power of this many slots: by corpus size, between these
 MIN_BITS, MAX_BITS = 16, 21
 BYTE_BITS = 20
 SEGMENT = 64
 BLOCK_CHARS = 16 << 20
+#: distinct words in a row of a block's list
+LIST_WORDS = 20_000
+#: words whose counts and costs are sent to every task; the others' meet their blocks by a join
+MAX_HEAD = 1 << 19
 #: words whose bits are expanded at once
 STEP = 1 << 15
 PRIOR = 0.4
@@ -261,7 +268,7 @@ class Spelling:
 class Phrasing:
     """The word model over vocabulary numbers: ESCAPE is n, END n + 1."""
 
-    KINDS = 3
+    KINDS = 2
 
     def __init__(self, tree: Tree, node_counts: np.ndarray, bits: int):
         self.tree = tree
@@ -281,19 +288,15 @@ class Phrasing:
         one = np.empty(n, np.uint32)
         one[1:] = symbols[:-1]
         one[starts] = none
-        two = np.empty(n, np.uint32)
-        two[1:] = one[:-1]
-        two[starts] = none
-        two[np.minimum(starts + 1, n - 1)[np.diff(offsets) > 1]] = none
         often = np.flatnonzero(symbols < FREQUENT)
         # number of frequent words before each place, and before each text
         before = np.concatenate([[0], np.cumsum(symbols < FREQUENT)])
         rank = before[:-1]
         first = np.repeat(before[starts], np.diff(offsets))
-        padded = np.concatenate([[none, none], symbols[often].astype(np.uint32)])
-        last = np.where(rank - 1 >= first, padded[rank + 1], none)
-        older = np.where(rank - 2 >= first, padded[rank], none)
-        return [_join(one, 0, 4), _join(last, older, 5), _join(one, two, 6)]
+        padded = np.concatenate([[none], symbols[often].astype(np.uint32)])
+        last = np.where(rank > first, padded[rank], none)
+        one = np.where(one < PREVIOUS, one, none - np.uint32(1))
+        return [_join(one, 0, 4), _join(last, 0, 5)]
 
     def slots(self, contexts: list[np.ndarray], of: np.ndarray, node: np.ndarray) -> list[np.ndarray]:
         return [_slot(c[of], node, self.bits) for c in contexts]
@@ -323,43 +326,47 @@ class Phrasing:
         out = np.zeros(len(sizes))
         contexts = self.contexts(symbols, offsets)
         order = np.argsort(-sizes, kind="stable")
-        gates, k = self.mixer.weights.shape
+        k = self.mixer.weights.shape[1]
+        columns = [np.ascontiguousarray(self.mixer.weights[:, j]) for j in range(k)]
         lot = max(1, STEP // SEGMENT)
         for i in range(0, len(order), lot):
             texts = order[i:i + lot]
-            weights = np.tile(self.mixer.weights.ravel(), len(texts))
+            shift = np.zeros((k, len(texts)), np.float32)
             for at in range(0, int(sizes[texts[0]]), SEGMENT):
                 active = int(np.searchsorted(-sizes[texts], -at, side="left"))
                 n = np.minimum(sizes[texts[:active]] - at, SEGMENT)
                 word = np.repeat(offsets[texts[:active]] + at - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                of, node, bit = self.tree.expand(symbols[word])
+                symbol = symbols[word]
+                of, node, bit = self.tree.expand(symbol)
                 found, gate = self.inputs([c[word] for c in contexts], of, node)
-                text = np.repeat(np.arange(active, dtype=np.int32), n)[of]
-                row = text * np.int32(gates) + gate
-                base = row * np.int32(k)
-                z = weights[base] * found[0]
+                # bits of a text stand together
+                ends = np.cumsum(np.add.reduceat(self.tree.length[symbol], np.cumsum(n) - n))
+                starts = ends - np.diff(ends, prepend=0)
+                text = np.repeat(np.arange(active), ends - starts)
+                z = (columns[0][gate] + shift[0][text]) * found[0]
                 for j in range(1, k):
-                    z += weights[base + j] * found[j]
+                    z += (columns[j][gate] + shift[j][text]) * found[j]
                 cost, miss = _outcome(self.mixer.refined(z, gate)[0], bit)
-                out[texts[:active]] += np.bincount(text, weights=cost, minlength=active)
+                out[texts[:active]] += np.add.reduceat(cost, starts, dtype=np.float64)
                 if int(sizes[texts[0]]) > at + SEGMENT:
                     for j in range(k):
-                        g = np.bincount(row, weights=miss * found[j], minlength=active * gates)
-                        weights[j:active * gates * k:k] += (RATE * g).astype(np.float32)
+                        shift[j, :active] += np.float32(RATE) * np.add.reduceat(miss * found[j], starts)
         return out
 
 
 # ----------------------------------------------------------------- Spark steps
 
 def _encode(documents: DataFrame) -> DataFrame:
-    """Blocks: a row per text with its words as numbers (kind 0), and a row
-    per distinct word of the block with its training counts (kind 1)."""
+    """Blocks: a row per text with its words as numbers (kind 0), and rows of
+    some thousand of the block's distinct words, from number ``ix`` on, with
+    their training counts (kind 1)."""
     kind = documents.schema["doc_id"].dataType.simpleString()
-    schema = f"kind int, block long, doc_id {kind}, fold int, codes binary, n_bytes long, word string, ix int, n long, m long"
+    schema = (f"kind int, block long, doc_id {kind}, fold int, codes binary, n_bytes long, ix int, "
+              "words array<string>, n array<long>, m array<long>")
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        names = [x.split()[0] for x in schema.split(", ")]
         for batch in batches:
             for part in chunks(batch, "text", BLOCK_CHARS):
                 ends, codes, uniques = words(part.column("text"))
@@ -370,19 +377,20 @@ def _encode(documents: DataFrame) -> DataFrame:
                 rows, distinct = part.num_rows, len(uniques)
                 codes = codes.astype("<i4")
                 cut = [codes[ends[i]:ends[i + 1]].tobytes() for i in range(rows)]
+                lists = [pa.nulls(rows, pa.list_(x)) for x in (pa.string(), pa.int64(), pa.int64())]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.zeros(rows, np.int32)), pa.array(np.full(rows, number)), part.column("doc_id"),
                      part.column("fold"), pa.array(cut, pa.binary()), part.column("n_bytes"),
-                     pa.nulls(rows, pa.string()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.int64()),
-                     pa.nulls(rows, pa.int64())], names=names)
-                for i in range(0, distinct, 50_000):
-                    s = uniques[i:i + 50_000]
+                     pa.nulls(rows, pa.int32()), *lists], names=names)
+                for i in range(0, distinct, LIST_WORDS):
+                    own = slice(i, min(i + LIST_WORDS, distinct))
+                    whole = pa.array([0, own.stop - i], pa.int32())
+                    lists = [pa.ListArray.from_arrays(whole, x) for x in (
+                        uniques[own].cast(pa.string()), pa.array(n[own]), pa.array(m[own]))]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.ones(len(s), np.int32)), pa.array(np.full(len(s), number)),
-                         pa.nulls(len(s), part.column("doc_id").type), pa.nulls(len(s), pa.int32()),
-                         pa.nulls(len(s), pa.binary()), pa.nulls(len(s), pa.int64()), s.cast(pa.string()),
-                         pa.array(np.arange(i, i + len(s), dtype=np.int32)), pa.array(n[i:i + len(s)]),
-                         pa.array(m[i:i + len(s)])], names=names)
+                        [pa.array([1], pa.int32()), pa.array([number]), pa.nulls(1, part.column("doc_id").type),
+                         pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()),
+                         pa.array([i], pa.int32()), *lists], names=names)
                 number += 1
 
     return documents.select(
@@ -390,6 +398,44 @@ def _encode(documents: DataFrame) -> DataFrame:
         F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes")).mapInArrow(run, schema)
 
 
+def _counted(lists: DataFrame) -> DataFrame:
+    """Training counts of every distinct word, held-out ones with 0."""
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(c).flatten() for c in ("words", "n", "m")],
+                                             names=["word", "n", "m"])
+
+    return lists.select("words", "n", "m").mapInArrow(flat, "word string, n long, m long").groupBy("word").agg(
+        F.sum("n").alias("n"), F.sum("m").alias("m"))
+
+
+def _word_hashes(column: pa.Array) -> np.ndarray:
+    """What ``xxhash64(word)`` gives in SQL."""
+    from xxhash import xxh64_intdigest
+    return np.fromiter((xxh64_intdigest(w, 42) for w in column.cast(pa.binary()).to_pylist()), np.uint64,
+                       len(column)).view(np.int64)
+
+
+class Head:
+    """Counts, ranks and costs of the most frequent words, found by hash."""
+
+    def __init__(self, found: pa.Table):
+        found = found.sort_by("h").combine_chunks()
+        self.hash = found.column("h").to_numpy()
+        self.count = found.column("c").to_numpy()
+        self.rank = found.column("rank").to_numpy()
+        self.cost = found.column("cost").to_numpy().astype(np.float32)
+
+    def find(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Which words are in it, and their places."""
+        h = _word_hashes(column)
+        if not len(self.hash):
+            return np.zeros(len(h), dtype=bool), np.zeros(len(h), np.int64)
+        at = np.searchsorted(self.hash, h)
+        at[at == len(self.hash)] = 0
+        return self.hash[at] == h, at
+
+
 SLICE = 1 << 15
 TABLE = "part int, kind int, slice int, counts binary"
 
@@ -463,11 +509,13 @@ def _spelling(counts: DataFrame, vocabulary: list) -> Spelling:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = {p: np.zeros((Spelling.KINDS, 2 << BYTE_BITS), np.uint32) for p in (0, 1)}
         for batch in batches:
-            times = [batch.column(c).to_numpy().astype(np.uint32) for c in ("n", "m")]
-            for word, slots, bit in sent.value.bits_of(batch.column("word")):
-                for k, s in enumerate(slots):
-                    for p in (0, 1):
-                        np.add.at(tables[p][k], s * np.uint32(2) + bit, times[p][word])
+            for p, c in enumerate("nm"):
+                times = batch.column(c).to_numpy().astype(np.uint32)
+                own = np.flatnonzero(times)
+                times = times[own]
+                for word, slots, bit in sent.value.bits_of(batch.column("word").take(pa.array(own))):
+                    for k, s in enumerate(slots):
+                        np.add.at(tables[p][k], s * np.uint32(2) + bit, times[word])
         yield from _slices(tables)
 
     tables = _summed(rare.mapInArrow(count, TABLE), Spelling.KINDS, BYTE_BITS)
@@ -499,7 +547,7 @@ def _texts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return flat, np.concatenate([[0], np.cumsum([len(c) // 2 for c in codes])]).astype(np.int64)
 
 
-def _lots(batch: pa.RecordBatch, limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+def _lots(batch: pa.RecordBatch, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     return chunks(batch, "symbols", 2 * limit)
 
 
@@ -510,8 +558,8 @@ def score(documents: DataFrame, max_vocabulary: int = MAX_VOCABULARY, max_bits:
     sc = spark.sparkContext
     kind = documents.schema["doc_id"].dataType.simpleString()
     encoded = stored(_encode(documents), "lm-blocks")
-    texts, distinct = encoded.filter("kind = 0"), encoded.filter("kind = 1")
-    counted = stored(distinct.groupBy("word").agg(F.sum("n").alias("n"), F.sum("m").alias("m")), "lm-counts")
+    texts, lists = encoded.filter("kind = 0"), encoded.filter("kind = 1")
+    counted = stored(_counted(lists), "lm-counts")
     in_training = counted.filter("n + m > 0")
     totals = in_training.agg(F.count("*").alias("v"), F.sum("n").alias("n"), F.sum("m").alias("m")).first()
     ends = {r["fold"]: r["count"] for r in texts.groupBy("fold").count().collect()}
@@ -522,7 +570,7 @@ def score(documents: DataFrame, max_vocabulary: int = MAX_VOCABULARY, max_bits:
     vocabulary = (in_training.orderBy(F.desc(F.col("n") + F.col("m")), "word").limit(max_vocabulary).collect())
     size = len(vocabulary)
     ranks = F.broadcast(spark.createDataFrame([(r["word"], i) for i, r in enumerate(vocabulary)], "word string, rank int"))
-    counts = counted.join(ranks, "word", "left")
+    counts = stored(counted.join(ranks, "word", "left"), "lm-ranked")
     spelling = _spelling(counts, vocabulary)
 
     # the tree of words, and what its nodes have seen
@@ -534,7 +582,7 @@ def score(documents: DataFrame, max_vocabulary: int = MAX_VOCABULARY, max_bits:
     nodes = {p: np.bincount(node * np.uint32(2) + bit, weights=s[of], minlength=2 * tree.size) for p, s in seen.items()}
     bits = int(np.clip(np.ceil(np.log2(max(1, n_train) / 2)), MIN_BITS, max_bits))
 
-    # each block meets its words' counts and costs
+    # costs of all words outside the vocabulary, once for each
     spelled = sc.broadcast(spelling)
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -542,22 +590,63 @@ def score(documents: DataFrame, max_vocabulary: int = MAX_VOCABULARY, max_bits:
             rank = batch.column("rank").fill_null(-1).to_numpy()
             cost = np.zeros(len(rank))
             rare = np.flatnonzero(rank < 0)
-            cost[rare] = spelled.value.costs(batch.column("word").take(pa.array(rare)))
+            cost[rare] = spelled.value.costs(batch.column("w").take(pa.array(rare)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("word"), batch.column("c"), pa.array(rank), pa.array(cost)], names=["w", "c", "rank", "cost"])
+                [batch.column("w"), batch.column("h"), batch.column("c"), pa.array(rank), pa.array(cost)],
+                names=["w", "h", "c", "rank", "cost"])
+
+    costed = stored(counts.select(F.col("word").alias("w"), F.xxhash64("word").alias("h"), (F.col("n") + F.col("m")).alias("c"),
+                                  "rank").mapInArrow(spell, "w string, h long, c long, rank int, cost double"), "lm-costed")
+    # the head: all words with at least so many occurrences, as many as fit
+    sizes = costed.groupBy(F.least("c", F.lit(100_000)).alias("c")).count().orderBy(F.desc("c")).collect()
+    least, held = 100_001, 0
+    for r in sizes:
+        held += r["count"]
+        if held > MAX_HEAD:
+            break
+        least = r["c"]
+    head = sc.broadcast(Head(costed.filter((F.col("c") >= least) | (F.col("rank") >= 0)).select("h", "c", "rank", "cost").toArrow()))
+
+    def tail(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, ix, own in zip(batch.column("block").to_pylist(), batch.column("ix").to_pylist(),
+                                      batch.column("words"), strict=True):
+                rest = np.flatnonzero(~head.value.find(own.values)[0])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(rest), block)), pa.array((rest + ix).astype(np.int32)),
+                     own.values.take(pa.array(rest)).cast(pa.string())], names=["b", "ix", "word"])
 
-    costed = counts.select("word", (F.col("n") + F.col("m")).alias("c"), "rank").mapInArrow(
-        spell, "w string, c long, rank int, cost double")
-    known = distinct.select(F.col("block").alias("b"), "ix", "word").join(costed, F.col("word") == F.col("w"))
+    def of_head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, ix, own in zip(batch.column("block"), batch.column("ix"), batch.column("words"), strict=True):
+                has, at = head.value.find(own.values)
+                n = len(has)
+                count, rank, cost = (np.where(has, x[at], y) if len(x) else np.full(n, y, x.dtype) for x, y in (
+                    (head.value.count, 0), (head.value.rank, -1), (head.value.cost, np.float32(0))))
+                data = [count.astype("<i8").tobytes(), rank.astype("<i4").tobytes(), cost.astype("<f4").tobytes()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block.as_py()]), pa.array([ix.as_py()], pa.int32()), pa.nulls(1, pa.int64()),
+                     pa.nulls(1, pa.float32()), *(pa.array([x], pa.binary()) for x in data)],
+                    names=["b", "ix", "c", "cost", "counts", "ranks", "costs"])
+
+    lists = lists.select("block", "ix", "words")
+    nothing = [F.lit(None).cast("binary").alias(x) for x in ("counts", "ranks", "costs")]
+    known = lists.mapInArrow(tail, "b long, ix int, word string").join(
+        costed.filter((F.col("c") < least) & (F.col("rank") < 0)), F.col("word") == F.col("w")).select(
+        "b", "ix", "c", F.col("cost").cast("float").alias("cost"), *nothing).unionByName(lists.mapInArrow(
+            of_head, "b long, ix int, c long, cost float, counts binary, ranks binary, costs binary"))
     coded_schema = (f"doc_id {kind}, fold int, n_bytes long, n_tokens long, n_known long, base_score double, "
                     "escape_bits double, symbols binary")
 
     def code(left: pa.Table, right: pa.Table) -> pa.Table:
-        right = right.sort_by("ix").combine_chunks()
-        c = right.column("c").to_numpy().astype(np.float64)
-        rank = right.column("rank").to_numpy()
+        heads = right.filter(pc.is_valid(right.column("counts"))).sort_by("ix")
+        rest = right.filter(pc.is_null(right.column("counts")))
+        c, rank, cost = (np.frombuffer(b"".join(heads.column(x).to_pylist()), t) for x, t in (
+            ("counts", "<i8"), ("ranks", "<i4"), ("costs", "<f4")))
+        c, cost = c.astype(np.float64), cost.astype(np.float64)
+        at = rest.column("ix").to_numpy()
+        c[at], cost[at] = rest.column("c").to_numpy(), rest.column("cost").to_numpy()
         symbol = np.where(rank >= 0, rank, size).astype("<u2")
-        cost = right.column("cost").to_numpy()
         raw = left.column("codes").to_pylist()
         sizes = np.array([len(x) // 4 for x in raw], dtype=np.int64)
         codes = np.frombuffer(b"".join(raw), "<i4")
@@ -575,7 +664,7 @@ def score(documents: DataFrame, max_vocabulary: int = MAX_VOCABULARY, max_bits:
             "escape_bits": pa.array(segment_sum(cost[codes], offsets)), "symbols": pa.array(symbols, pa.binary())})
 
     coded = stored(texts.select("block", "doc_id", "fold", "codes", "n_bytes").groupBy("block").cogroup(
-        known.select("b", "ix", "c", "rank", "cost").groupBy("b")).applyInArrow(code, coded_schema), "lm-coded")
+        known.groupBy("b")).applyInArrow(code, coded_schema), "lm-coded")
 
     # the word predictors
     model = Phrasing(tree, nodes[0], bits)
