@@ -22,6 +22,28 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+class Settings:
+    """Session settings that hold while a table is written."""
+
+    def __init__(self, spark: SparkSession, settings: dict[str, str]):
+        self.spark, self.settings = spark, settings
+
+    def __enter__(self):
+        self.before = {k: self.spark.conf.get(k, None) for k in self.settings}
+        for k, v in self.settings.items():
+            self.spark.conf.set(k, v)
+
+    def __exit__(self, *_):
+        for k, v in self.before.items():
+            self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
+
+
+#: for a join of few keys with a large scan: prune the scan by a bloom filter of the keys
+PRUNED = {"spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+          "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+          "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1g"}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path under the cluster's shared checkpoint folder."""
     return f"{checkpoint_root(spark)}/llm-{name}-{uuid.uuid4().hex[:12]}"

@@ -25,7 +25,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, stored
+from .common import PRUNED, Settings, scratch_path, stored
 
 #: the state store; its logs take the disk that they fill, not a fixed size for each partition
 STATE_CONF = {
@@ -36,10 +36,6 @@ STATE_CONF = {
 BATCH_BYTES = 256 << 30
 #: shares and salts of digests with very many rows
 HOT, SALTS = 4096, 64
-#: while texts of hits are fetched: prune the scan by a filter of the hit digests
-FETCH_CONF = {"spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
-              "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
-              "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1g"}
 
 
 def normalised(text: Column) -> Column:
@@ -54,22 +50,6 @@ def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-class _Conf:
-    """Session settings that hold while a table is written."""
-
-    def __init__(self, spark: SparkSession, settings: dict[str, str]):
-        self.spark, self.settings = spark, settings
-
-    def __enter__(self):
-        self.before = {k: self.spark.conf.get(k, None) for k in self.settings}
-        for k, v in self.settings.items():
-            self.spark.conf.set(k, v)
-
-    def __exit__(self, *_):
-        for k, v in self.before.items():
-            self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
-
-
 def dedup_state(spark: SparkSession, path: str, checkpoint: str, digest: Callable[[Column], Column] = sha256,
                 batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """Run the stream over what is in ``path`` and not yet in ``checkpoint``.
@@ -92,7 +72,7 @@ def dedup_state(spark: SparkSession, path: str, checkpoint: str, digest: Callabl
         # a replayed batch writes the same folder again
         batch.write.mode("overwrite").parquet(f"{changes}/batch={number}")
 
-    with _Conf(spark, STATE_CONF):
+    with Settings(spark, STATE_CONF):
         query = (groups.writeStream.outputMode("update").foreachBatch(save)
                  .option("checkpointLocation", f"{checkpoint}/stream").trigger(availableNow=True).start())
         query.awaitTermination()
@@ -130,7 +110,7 @@ def exact_duplicates(spark: SparkSession, path: str, digest: Callable[[Column],
     salted = rows.join(many, F.col("_digest") == F.col("_hot"), "left").select("_digest", "_text", F.when(
         F.col("_hot").isNotNull(), F.pmod(F.xxhash64("doc_id", "_length"), F.lit(SALTS)).cast("int"))
         .otherwise(F.lit(0)).alias("_salt"))
-    with _Conf(spark, FETCH_CONF):
+    with Settings(spark, PRUNED):
         checked = stored(salted.join(hits, (F.col("_digest") == F.col("digest")) & (F.col("_salt") == F.col("salt")))
                          .groupBy("digest", "salt").agg(F.min("_text").alias("least"), F.max("_text").alias("most"))
                          .groupBy("digest").agg((F.min("least") != F.max("most")).alias("collides"))
