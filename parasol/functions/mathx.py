@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NEG_INF = float("-inf")
@@ -22,10 +22,14 @@ def softmax(logits) -> Column:
                               lambda total: F.transform(logits, lambda x: F.exp(x - m) / total)))
 
 
-def softmax_long(logit: str, *keys: str) -> Column:
-    """M1, long form: softmax of ``logit`` over the rows sharing ``keys``."""
-    w = Window.partitionBy(*keys)
-    return F.exp(F.col(logit) - F.max(logit).over(w)) / F.sum(F.exp(F.col(logit) - F.max(logit).over(w))).over(w)
+def softmax_rows(df: DataFrame, logit: str, *keys: str, out: str = "prob") -> DataFrame:
+    """M1, long form: softmax of ``logit`` over the rows sharing ``keys``. The
+    maxima and sums are combined before the shuffle, so a hot key costs no
+    more than its joins, which can be split."""
+    top = df.groupBy(*keys).agg(F.max(logit).alias("_top"))
+    e = df.join(top, list(keys)).withColumn("_e", F.exp(F.col(logit) - F.col("_top")))
+    total = e.groupBy(*keys).agg(F.sum("_e").alias("_total"))
+    return e.join(total, list(keys)).withColumn(out, F.col("_e") / F.col("_total")).drop("_top", "_e", "_total")
 
 
 def argmax(arr) -> Column:
@@ -84,9 +88,10 @@ def joint(sta, sim, fl) -> Column:
     return _c(sta) * _c(sim) * _c(fl)
 
 
-def uniform(key) -> Column:
-    """Deterministic uniform in (0, 1) from the first 32 bits of md5(key)."""
-    return (F.conv(F.substring(F.md5(_c(key).cast("string")), 1, 8), 16, 10).cast("double") + 1) / 4294967297.0
+def md5_draw(key) -> Column:
+    """First 60 bits of md5(key) as a non-negative integer: modulo a total it
+    is a draw whose bias is below the total's share of 2^60."""
+    return F.conv(F.substring(F.md5(_c(key).cast("string")), 1, 15), 16, 10).cast("bigint")
 
 
 def md5_int(key) -> Column:

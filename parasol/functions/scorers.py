@@ -40,20 +40,13 @@ class LexiconLogit:
         self.bias = float(bias)
 
     def __call__(self):
-        import re
-        pat = re.compile("[a-zß-ÿ]+")
-        w = self.weights
+        weights = pd.Series(self.weights, dtype="float64")
         bias = self.bias
 
         def fn(texts: pd.Series):
-            out = np.empty(len(texts), dtype="float64")
-            for i, t in enumerate(texts):
-                if t is None:
-                    out[i] = np.nan
-                    continue
-                s = bias + sum(w.get(tok, 0.0) for tok in pat.findall(t.lower()))
-                out[i] = 1.0 / (1.0 + np.exp(-s))
-            return out
+            words = texts.reset_index(drop=True).str.lower().str.findall("[a-zß-ÿ]+").explode()
+            total = words.map(weights).fillna(0.0).groupby(level=0).sum()
+            return np.where(texts.isna(), np.nan, 1.0 / (1.0 + np.exp(-(bias + total.to_numpy()))))
 
         return fn
 

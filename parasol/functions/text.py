@@ -79,11 +79,6 @@ def word_ngrams(tokens, n: int) -> Column:
                   ).otherwise(F.array().cast("array<string>"))
 
 
-def format4(v) -> Column:
-    """Four decimals, as the metric log prints them."""
-    return F.format_string("%.4f", _c(v))
-
-
 def ids_text(ids) -> Column:
     """Canonical text form of an id array, for comparisons and sinks."""
     return F.array_join(F.transform(_c(ids), lambda t: t.cast("string")), ",")

@@ -8,7 +8,7 @@ positions at sf0.1):
 * greedy: one best continuation per context (a ``min_by`` aggregate), joined
   to positions on the context;
 * sampled: an exact inverse-CDF draw. Each position draws an integer
-  ``t = floor(u * total)`` from a seeded md5 uniform; continuations of a
+  ``t = h mod total`` from 60 seeded md5 bits; continuations of a
   context own disjoint integer ranges ``[cum_lo, cum_hi)`` in token order.
   Both sides are cut into ``k`` buckets per context (``k`` = number of
   continuations), so the lookup is an equi-join on ``(ctx, bucket)`` with
@@ -23,8 +23,9 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parasol.functions.mathx import NEG_INF, safe_ln, uniform
-from parasol.operators.split import DEFAULT_SEED
+from parasol.functions.mathx import NEG_INF, md5_draw, safe_ln
+from parasol.operators.encode import vocab_bucket
+from parasol.operators.split import DEFAULT_SEED, global_rank, prefix_sums
 
 
 def bigram_pairs(seqs: DataFrame, key: str = "seq_id", tokens_col: str = "tokens") -> DataFrame:
@@ -49,13 +50,20 @@ def context_totals(counts: DataFrame) -> DataFrame:
 
 def bigram_probs(counts: DataFrame, top_k: int | None = None) -> DataFrame:
     """(ctx, token, n, prob, rank) with prob = n / total of the context;
-    rank 1 is the most frequent continuation (ties by token)."""
-    w = Window.partitionBy("ctx")
-    p = counts.withColumn("prob", F.col("n") / F.sum("n").over(w)) \
-        .withColumn("rank", F.row_number().over(w.orderBy(F.col("n").desc(), F.col("token"))))
+    rank 1 is the most frequent continuation (ties by token).
+
+    All ranks of a context come from buckets by count and token prefix, so a
+    hot context is ranked by many tasks; the first ``top_k`` from a window that
+    Spark cuts down before the shuffle.
+    """
     if top_k is not None:
-        p = p.where(F.col("rank") <= top_k)
-    return p
+        w = Window.partitionBy("ctx").orderBy(F.col("n").desc(), F.col("token"))
+        p = counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)
+    else:
+        p = global_rank(counts, [F.col("n").desc(), F.col("token")], vocab_bucket(F.col("n"), F.col("token")),
+                        partition_cols=("ctx",))
+    return p.join(context_totals(counts), "ctx").withColumn("prob", F.col("n") / F.col("total")) \
+        .select("ctx", "token", "n", "prob", "rank")
 
 
 def greedy_table(counts: DataFrame) -> DataFrame:
@@ -79,10 +87,7 @@ def greedy_decode(seqs: DataFrame, counts: DataFrame, key: str = "seq_id",
 
 def sample_table(counts: DataFrame) -> DataFrame:
     """Continuations with integer ranges and their buckets (ctx, bucket, token, n, cum_lo, cum_hi)."""
-    w = Window.partitionBy("ctx").orderBy("token").rowsBetween(Window.unboundedPreceding, 0)
-    c = counts.withColumn("cum_hi", F.sum("n").over(w)) \
-        .withColumn("total", F.sum("n").over(Window.partitionBy("ctx"))) \
-        .withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("ctx"))) \
+    c = prefix_sums(counts, "ctx", "token", "n", F.substring("token", 1, 3), "cum_hi").join(context_totals(counts), "ctx") \
         .withColumn("cum_lo", F.col("cum_hi") - F.col("n"))
     b_lo = _bucket(F.col("cum_lo"), F.col("k"), F.col("total"))
     b_hi = _bucket(F.col("cum_hi") - 1, F.col("k"), F.col("total"))
@@ -101,14 +106,31 @@ def sampled_decode(seqs: DataFrame, counts: DataFrame, key: str = "seq_id", toke
     """
     pos = positions(seqs, key, tokens_col)
     tot = context_totals(counts)
-    u = uniform(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"), F.lit(":"), F.col("pos").cast("string")))
-    p = pos.join(tot, "ctx").withColumn("t", F.floor(u * F.col("total").cast("double")).cast("bigint"))
+    h = md5_draw(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"), F.lit(":"), F.col("pos").cast("string")))
+    p = pos.join(tot, "ctx").withColumn("t", F.pmod(h, F.col("total")))
     p = p.withColumn("bucket", _bucket(F.col("t"), F.col("k"), F.col("total")))
     st = sample_table(counts)
     j = p.join(st, ["ctx", "bucket"]).where((F.col("t") >= F.col("cum_lo")) & (F.col("t") < F.col("cum_hi")))
     return j.select(key, "pos", "token", (F.col("n") / F.col("total")).alias("prob"))
 
 
+def decoded_candidates(seqs: DataFrame, counts: DataFrame, key: str = "seq_id", tokens_col: str = "tokens",
+                       seed: int = DEFAULT_SEED) -> tuple[DataFrame, DataFrame]:
+    """R7 and R8 as texts: (key, kind, text) with the greedy and the sampled
+    choice at every position of a sequence, and the sampled draws.
+
+    Positions whose token has no continuation give no word; a sequence without
+    any gives an empty text.
+    """
+    sampled = sampled_decode(seqs, counts, key, tokens_col, seed)
+    both = greedy_decode(seqs, counts, key, tokens_col).select(key, F.lit("greedy").alias("kind"), "pos", "token") \
+        .unionByName(sampled.select(key, F.lit("sampled").alias("kind"), "pos", "token"))
+    texts = both.groupBy(key, "kind").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("w")) \
+        .select(key, "kind", F.array_join("w.token", " ").alias("text"))
+    every = seqs.select(key, F.explode(F.array(F.lit("greedy"), F.lit("sampled"))).alias("kind"))
+    return every.join(texts, [key, "kind"], "left").fillna({"text": ""}), sampled
+
+
 def sequence_logprob(draws: DataFrame, key: str = "seq_id") -> DataFrame:
     """M4 per sequence: sum of ln(prob), minus infinity when a prob is 0."""
     return draws.groupBy(key).agg(

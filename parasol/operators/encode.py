@@ -21,19 +21,22 @@ OVERFLOW_MODES = ("reject", "truncate", "error")
 
 
 EXACT_COUNT_BUCKETS = 1024
+LONG_PREFIX_COUNT = 64
 
 
 def vocab_bucket(n, token):
     """Ordered bucket for the (n desc, token) rank with a bounded number of buckets.
 
-    Counts below ``EXACT_COUNT_BUCKETS`` get one bucket per (count, first
-    letter); larger counts share one bucket per power of two with no letter
-    split (a letter split there would break the order across counts). At most
-    ``EXACT_COUNT_BUCKETS x letters + 64`` buckets, whatever the corpus size.
+    Counts below ``EXACT_COUNT_BUCKETS`` get one bucket per count and token
+    prefix, the longer the rarer the tokens and so the more of them: four
+    characters up to ``LONG_PREFIX_COUNT``, one above. Larger counts share one
+    bucket per power of two with no prefix (that would break the order across
+    counts).
     """
     big = n >= EXACT_COUNT_BUCKETS
     band = F.when(big, F.lit(EXACT_COUNT_BUCKETS) + F.floor(F.log2(n.cast("double")))).otherwise(n).cast("bigint")
-    letter = F.when(big, F.lit("")).otherwise(F.substring(token, 1, 1))
+    letter = F.when(big, F.lit("")).otherwise(F.when(
+        n <= LONG_PREFIX_COUNT, F.substring(token, 1, 4)).otherwise(F.substring(token, 1, 1)))
     return F.struct((-band).alias("k"), letter.alias("p"))
 
 
@@ -101,8 +104,9 @@ def encode(df: DataFrame, vocab: DataFrame, key: str = "pair_id", sides: dict |
         live = live.select(key, *[F.slice(c, 1, room).alias(c) for c in dict.fromkeys(sides.values())])
         rejected = nulls
     else:
-        live = live.withColumn("_chk", F.when(too_long, F.raise_error(F.lit("encoded row longer than max_length")))) \
-            .drop("_chk")
+        # in the token column itself, which is used, so that the check can't be pruned
+        live = live.select(key, *[F.when(too_long, F.raise_error(F.lit("encoded row longer than max_length")))
+                                  .otherwise(F.col(c)).alias(c) for c in dict.fromkeys(sides.values())])
         rejected = nulls
     e = _explode_sides(live, key, sides)
     v = vocab.select("token", "id")
@@ -138,8 +142,8 @@ def length_gate(df: DataFrame, ids_col: str, max_length: int = MAX_LENGTH,
         return df.withColumn(ids_col, F.when(long_, F.slice(ids_col, 1, max_length)).otherwise(F.col(ids_col))), \
             df.limit(0)
     if overflow == "error":
-        return df.withColumn("_c", F.when(long_, F.raise_error(F.lit("encoded row longer than max_length")))) \
-            .drop("_c"), df.limit(0)
+        checked = F.when(long_, F.raise_error(F.lit("encoded row longer than max_length"))).otherwise(F.col(ids_col))
+        return df.withColumn(ids_col, checked), df.limit(0)
     raise ValueError(f"overflow must be one of {OVERFLOW_MODES}")
 
 
@@ -153,10 +157,4 @@ def decode(df: DataFrame, vocab: DataFrame, key: str, ids_col: str, out_col: str
     return g.select(key, F.array_join(F.transform("_t", lambda x: x["token"]), " ").alias(out_col))
 
 
-def project_pairs(df: DataFrame, source: str = "toxic", target: str = "neutral1",
-                  key: str = "pair_id") -> DataFrame:
-    """The two text columns the rewriter uses (plus the row key)."""
-    return df.select(key, source, target)
-
-
-__all__ = ["build_vocab", "encode", "stack", "length_gate", "decode", "project_pairs", "PAD_ID"]
+__all__ = ["build_vocab", "encode", "stack", "length_gate", "decode", "PAD_ID"]

@@ -17,6 +17,7 @@ from parasol.functions.mathx import toxicity_score
 from parasol.functions.text import tokenize
 from parasol.session import cut_lineage
 
+# The judge's labels.
 FLUENT_LABEL = "LABEL_1"
 NOT_FLUENT_LABEL = "LABEL_0"
 
@@ -37,10 +38,18 @@ def labelled_tokens(documents: DataFrame, labels: DataFrame, label_col: str) ->
     return lab.join(documents.select("doc_id", "text"), "doc_id").select("doc_id", "y", tokenize("text").alias("tokens"))
 
 
-def class_mean(documents: DataFrame, labels: DataFrame, label_col: str) -> float:
-    """Mean label over labelled documents that exist (reads only ``doc_id`` of the documents)."""
+def _prior(mean: float | None, n: int) -> float:
+    """Log odds of class 1; with one class only, as if half a row were of the other."""
+    if not n:
+        return 0.0
+    mean = min(max(mean, 0.5 / (n + 1)), 1 - 0.5 / (n + 1))
+    return math.log(mean) - math.log(1 - mean)
+
+
+def class_mean(documents: DataFrame, labels: DataFrame, label_col: str):
+    """Mean label and number of the labelled documents that exist (reads only ``doc_id`` of the documents)."""
     lab = labels.select("doc_id", F.col(label_col).cast("int").alias("y")).where(F.col("y").isNotNull())
-    return lab.join(documents.select("doc_id"), "doc_id").agg(F.avg("y").alias("m")).first()["m"]
+    return lab.join(documents.select("doc_id"), "doc_id").agg(F.avg("y").alias("m"), F.count("y").alias("n")).first()
 
 
 def fit_nb(documents: DataFrame, labels: DataFrame, label_col: str) -> NBModel:
@@ -59,8 +68,7 @@ def fit_nb(documents: DataFrame, labels: DataFrame, label_col: str) -> NBModel:
         F.sum(F.when(F.col("y") == 0, 1).otherwise(0)).cast("double").alias("b"))
     counts = cut_lineage(counts)
     tot = counts.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"), F.count(F.lit(1)).alias("k")).first()
-    ybar = class_mean(documents, labels, label_col)
-    prior = math.log(ybar) - math.log(1 - ybar)
+    prior = _prior(*class_mean(documents, labels, label_col))
     na, nb, k = float(tot["na"] or 0), float(tot["nb"] or 0), float(tot["k"] or 0)
     weights = counts.select("token", (F.ln((F.col("a") + 1) / F.lit(na + k))
                                       - F.ln((F.col("b") + 1) / F.lit(nb + k))).alias("w"))
@@ -90,7 +98,8 @@ def fit_nb_many(documents: DataFrame, labels: DataFrame, label_cols) -> dict:
         tot_aggs += [F.sum(f"a_{c}").alias(f"na_{c}"), F.sum(f"b_{c}").alias(f"nb_{c}"),
                      F.count(F.when(F.col(f"a_{c}") + F.col(f"b_{c}") > 0, 1)).alias(f"k_{c}")]
     tot = counts.agg(*tot_aggs).first()
-    means = lab.join(documents.select("doc_id"), "doc_id").agg(*[F.avg(c).alias(c) for c in label_cols]).first()
+    means = lab.join(documents.select("doc_id"), "doc_id").agg(
+        *[F.avg(c).alias(c) for c in label_cols], *[F.count(c).alias(f"n_{c}") for c in label_cols]).first()
     wcols = {}
     for c in label_cols:
         na, nb, k = float(tot[f"na_{c}"] or 0), float(tot[f"nb_{c}"] or 0), float(tot[f"k_{c}"] or 0)
@@ -99,9 +108,8 @@ def fit_nb_many(documents: DataFrame, labels: DataFrame, label_cols) -> dict:
     table = counts.select("token", *[w.alias(f"w_{c}") for c, w in wcols.items()])
     models = {}
     for c in label_cols:
-        ybar = means[c]
         models[c] = NBModel(table.where(F.col(f"w_{c}").isNotNull()).select("token", F.col(f"w_{c}").alias("w")),
-                            math.log(ybar) - math.log(1 - ybar), c, table, f"w_{c}")
+                            _prior(means[c], means[f"n_{c}"]), c, table, f"w_{c}")
     return models
 
 

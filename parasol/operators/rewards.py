@@ -1,9 +1,8 @@
 """Reward terms and losses.
 
-Token matching for BERTScore stays inside each row: candidate and gold token
-vectors are regrouped per (seq, kind) (bounded by the sentence length gate)
-and the greedy best match is one small matrix product per row in an
-Arrow-batched ``pandas_udf``, so no token-pair rows are ever emitted.
+Token matching for BERTScore stays inside each row, as matrix products of a
+bounded size in an Arrow-batched ``pandas_udf``, so no token-pair rows are ever
+emitted.
 """
 
 from __future__ import annotations
@@ -17,6 +16,7 @@ from pyspark.sql import types as T
 from parasol.functions.text import tokenize
 from parasol.operators.vectors import TokenVectors
 
+# Weights of the reward terms and the warm-up.
 LAMBDA_TOX = 0.2
 LAMBDA_BERT = 0.8
 ALPHA = 0.5
@@ -40,27 +40,56 @@ def greedy_match(cands: pd.Series, golds: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"p": ps, "r": rs})
 
 
+def _match_ids(matrix):
+    """As ``greedy_match``, for row numbers of a matrix of unit vectors."""
+
+    @F.pandas_udf(T.StructType([T.StructField("p", T.DoubleType()), T.StructField("r", T.DoubleType())]))
+    def match(cands: pd.Series, golds: pd.Series) -> pd.DataFrame:
+        unit = matrix.value
+        out = np.zeros((len(cands), 2))
+        for i, (c, g) in enumerate(zip(cands, golds)):
+            if c is None or g is None or not len(c) or not len(g):
+                continue
+            # distinct tokens only, and a bounded piece of the product at a time
+            (cu, ci), (gu, gi) = (np.unique(np.asarray(x), return_inverse=True) for x in (c, g))
+            best_c, best_g = np.full(len(cu), -np.inf), np.full(len(gu), -np.inf)
+            for k in range(0, len(cu), 1024):
+                sim = unit[cu[k:k + 1024]] @ unit[gu].T
+                best_c[k:k + 1024] = sim.max(axis=1)
+                best_g = np.maximum(best_g, sim.max(axis=0))
+            out[i] = best_c[ci].mean(), best_g[gi].mean()
+        return pd.DataFrame(out, columns=["p", "r"])
+
+    return match
+
+
 def bert_score(cands: DataFrame, tv: TokenVectors, key: str = "seq_id", kind: str = "kind",
                text: str = "text", gold: str = "gold") -> DataFrame:
     """A11 via J3: greedy token matching with cosine similarity.
 
     P = mean over candidate tokens of the best cosine to a gold token, R the
-    same from the gold side, F1 = 2PR / (P + R); 0 when a side is empty.
-    Token vectors are attached by one lookup join and regrouped per
-    (seq, kind) in position order (bounded by the sentence length gate); the
-    best-match search stays inside the row, so no token pairs are emitted.
+    same from the gold side, F1 = 2PR / (P + R); 0 when a side is empty. With
+    an embeddings table of a checked small size, each row turns its tokens into
+    row numbers of the table and matches them in place: nothing is shuffled.
+    Otherwise token vectors are attached by a lookup join and regrouped.
     """
+    f1 = F.when(F.col("p") + F.col("r") > 0, 2 * F.col("p") * F.col("r") / (F.col("p") + F.col("r"))).otherwise(0.0)
+    if tv.small:
+        match = _match_ids(cands.sparkSession.sparkContext.broadcast(tv.unit_matrix()))
+        ids = [F.transform(tokenize(c), tv.vec_id) for c in (text, gold)]
+        return cands.select(key, kind, match(*ids).alias("m")).select(
+            key, kind, F.col("m.p").alias("p"), F.col("m.r").alias("r")).withColumn("f1", f1)
     sides = F.array(F.struct(F.lit("c").alias("side"), tokenize(text).alias("toks")),
                     F.struct(F.lit("g").alias("side"), tokenize(gold).alias("toks")))
     e = cands.select(key, kind, F.explode(sides).alias("s")) \
         .select(key, kind, "s.side", F.posexplode("s.toks").alias("pos", "token"))
     v = tv.lookup(e, unit=True)
     g = v.groupBy(key, kind).agg(F.array_sort(F.collect_list(F.struct("side", "pos", "vector"))).alias("_v"))
-    cv = F.transform(F.filter("_v", lambda x: x["side"] == "c"), lambda x: x["vector"])
-    gv = F.transform(F.filter("_v", lambda x: x["side"] == "g"), lambda x: x["vector"])
+    has = lambda x: x["vector"].isNotNull()
+    cv = F.transform(F.filter("_v", lambda x: (x["side"] == "c") & has(x)), lambda x: x["vector"])
+    gv = F.transform(F.filter("_v", lambda x: (x["side"] == "g") & has(x)), lambda x: x["vector"])
     m = g.select(key, kind, greedy_match(cv, gv).alias("m"))
     out = m.select(key, kind, F.col("m.p").alias("p"), F.col("m.r").alias("r"))
-    f1 = F.when(F.col("p") + F.col("r") > 0, 2 * F.col("p") * F.col("r") / (F.col("p") + F.col("r"))).otherwise(0.0)
     # keys whose both texts are empty never explode; give them zeros
     keys = cands.select(key, kind)
     return keys.join(out.withColumn("f1", f1), [key, kind], "left").fillna({"p": 0.0, "r": 0.0, "f1": 0.0})
@@ -99,14 +128,13 @@ def reward_gate(epoch: Column, alpha: float = ALPHA, warmup: int = WARMUP_EPOCHS
     return F.lit(alpha != 0) & (epoch >= F.lit(warmup))
 
 
-def full_loss(ml: DataFrame, rl: DataFrame, epochs, group=("batch_id",), alpha: float = ALPHA,
+def full_loss(ml: DataFrame, rl: DataFrame, group=("epoch", "batch_id"), alpha: float = ALPHA,
               warmup: int = WARMUP_EPOCHS) -> DataFrame:
     """ml_loss + alpha * rl_loss behind the warm-up gate, per epoch and batch."""
-    e = ml.withColumn("epoch", F.explode(F.array(*[F.lit(int(x)) for x in epochs])))
-    j = e.join(rl, list(group), "left")
+    j = ml.join(rl, list(group), "left")
     rl_term = F.when(reward_gate(F.col("epoch"), alpha, warmup), F.lit(alpha) * F.coalesce(F.col("rl_loss"), F.lit(0.0))) \
         .otherwise(F.lit(0.0))
-    return j.select(*group, "epoch", "ml_loss", F.coalesce(F.col("rl_loss"), F.lit(0.0)).alias("rl_loss"),
+    return j.select(*group, "ml_loss", F.coalesce(F.col("rl_loss"), F.lit(0.0)).alias("rl_loss"),
                     (F.col("ml_loss") + rl_term).alias("full_loss"))
 
 

@@ -29,6 +29,8 @@ def detox_lexicon(documents: DataFrame, labels: DataFrame, label_col: str = "tox
     ``lo = ln((a+.5)/(na-a+.5)) - ln((b+.5)/(nb-b+.5))``, kept when
     ``lo >= min_lo`` and ``a >= min_share * na``.
 
+    Without positive documents the lexicon is empty.
+
     Size bound: every kept token lies in at least ``min_share`` of the positive
     documents, so the lexicon has at most ``max distinct tokens per document /
     min_share`` entries whatever the corpus size.
@@ -44,7 +46,8 @@ def detox_lexicon(documents: DataFrame, labels: DataFrame, label_col: str = "tox
                                    F.sum(F.when(F.col("y") == 0, 1).otherwise(0)).cast("bigint").alias("b"))
     lo = (F.ln((F.col("a") + 0.5) / (F.lit(na) - F.col("a") + 0.5))
           - F.ln((F.col("b") + 0.5) / (F.lit(nb) - F.col("b") + 0.5)))
-    return cnt.withColumn("lo", lo).where((F.col("lo") >= min_lo) & (F.col("a") >= min_share * na))
+    return cnt.withColumn("lo", lo).where(
+        (F.col("a") > 0) & (F.col("lo") >= min_lo) & (F.col("a") >= min_share * na))
 
 
 def replacement_table(pairs: DataFrame, source: str = "toxic", target: str = "neutral1") -> DataFrame:
@@ -96,6 +99,17 @@ def delete_words_udf(words):
     return _drop
 
 
+def replace_words_udf(mapping: dict):
+    """R9 ``mode='replace'`` for maps above ``INLINE_MAX``, as ``delete_words_udf``."""
+    to = dict(mapping)
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def _put(tokens: pd.Series) -> pd.Series:
+        return tokens.map(lambda ts: None if ts is None else [to.get(t, t) for t in ts])
+
+    return _put
+
+
 def rewrite(df: DataFrame, key: str, tokens_col: str, lexicon: DataFrame, mode: str = "delete",
             out: str = "text", word_col: str = "token", target_col: str = "tgt") -> DataFrame:
     """Rewrite every row's tokens with a lexicon and join them by one blank.
@@ -114,13 +128,17 @@ def rewrite(df: DataFrame, key: str, tokens_col: str, lexicon: DataFrame, mode:
         else:
             expr = replace_words(F.col(tokens_col), {r[0]: r[1] for r in rows})
         return df.withColumn(out, F.array_join(expr, " "))
-    lex = lexicon.select(F.col(word_col).alias("_w"), *( [F.col(target_col).alias("_t")] if mode == "replace" else []))
-    e = df.select(key, F.posexplode_outer(tokens_col).alias("_pos", "_tok"))
+    lex = lexicon.select(F.col(word_col).alias("_w"), *([F.col(target_col).alias("_t")] if mode == "replace" else []))
+    # one rewrite for each distinct (key, tokens), so rows that share a key don't mix
+    rows = df.select(F.col(key).alias("_k"), F.col(tokens_col).alias("_toks")).where(
+        F.col("_toks").isNotNull()).distinct()
+    e = rows.select("_k", "_toks", F.posexplode_outer("_toks").alias("_pos", "_tok"))
     j = e.join(lex, e["_tok"] == lex["_w"], "left")
     if mode == "delete":
-        item = F.when(F.col("_pos").isNotNull() & F.col("_w").isNull(), F.struct("_pos", F.col("_tok").alias("t")))
+        item = F.when(F.col("_tok").isNotNull() & F.col("_w").isNull(), F.struct("_pos", F.col("_tok").alias("t")))
     else:
-        item = F.when(F.col("_pos").isNotNull(), F.struct("_pos", F.coalesce("_t", "_tok").alias("t")))
-    g = j.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("_items"))
-    g = g.select(key, F.array_join(F.transform("_items", lambda x: x["t"]), " ").alias(out))
-    return df.join(g, key, "left")
+        item = F.when(F.col("_tok").isNotNull(), F.struct("_pos", F.coalesce("_t", "_tok").alias("t")))
+    g = j.groupBy("_k", "_toks").agg(F.array_sort(F.collect_list(item)).alias("_items"))
+    g = g.select("_k", "_toks", F.array_join(F.transform("_items", lambda x: x["t"]), " ").alias(out))
+    return df.drop(out).join(g, F.col(key).eqNullSafe(F.col("_k")) & (F.col(tokens_col) == F.col("_toks")), "left") \
+        .drop("_k", "_toks")

@@ -9,8 +9,9 @@ from parasol.operators.metrics import METRICS
 
 # Fixed value: the metric log line format.
 LOG_FORMAT = "Epoch %d: Loss %.4f, BLEU %.4f, STA %.4f, SIM %.4f, FL %.4f, J %.4f"
-LOG_PATTERN = (r"^Epoch (\d+): Loss ([-0-9.naif]+), BLEU ([-0-9.naif]+), STA ([-0-9.naif]+), "
-               r"SIM ([-0-9.naif]+), FL ([-0-9.naif]+), J ([-0-9.naif]+)$")
+_VALUE = r"([-+]?(?:\d+(?:\.\d+)?|NaN|nan|Infinity|inf))"
+LOG_PATTERN = (r"^Epoch (\d+): " + ", ".join(f"{x} {_VALUE}" for x in ("Loss", "BLEU", "STA", "SIM", "FL", "J"))
+               + r"\s*$")
 SERIES = ("loss", *METRICS)
 
 
@@ -20,12 +21,16 @@ def log_line(epoch="epoch", loss="loss", bleu="bleu", sta="sta", sim="sim", fl="
                            F.col(sim), F.col(fl), F.col(j))
 
 
+def log_line_matches(line="value") -> F.Column:
+    return F.coalesce(F.col(line).rlike(LOG_PATTERN), F.lit(False))
+
+
 def parse_log_line(line="value") -> list:
     """S3: typed columns from a log line (epoch as written, i.e. 1-based)."""
     c = F.col(line)
-    cols = [F.regexp_extract(c, LOG_PATTERN, 1).cast("bigint").alias("epoch")]
+    cols = [F.regexp_extract(c, LOG_PATTERN, 1).try_cast("bigint").alias("epoch")]
     for i, name in enumerate(SERIES, start=2):
-        cols.append(F.regexp_extract(c, LOG_PATTERN, i).cast("double").alias(name))
+        cols.append(F.regexp_extract(c, LOG_PATTERN, i).try_cast("double").alias(name))
     return cols
 
 
@@ -48,12 +53,13 @@ def metrics_long(ev: DataFrame, ids=("run_id", "epoch")) -> DataFrame:
 
 
 def run_summary(ev: DataFrame, run: str = "run_id", epoch: str = "epoch") -> DataFrame:
-    """Per run: epochs, best J and its epoch, lowest loss and its epoch, last values."""
+    """Per run: epochs, best J and its epoch, lowest loss and its epoch (the first
+    of those that are equal to nine digits), last values."""
     aggs = [F.count(F.lit(1)).alias("n_epochs"), F.max(epoch).alias("last_epoch"),
-            F.max_by(epoch, F.struct("j", (-F.col(epoch)).alias("e"))).alias("best_j_epoch"),
+            F.max_by(epoch, F.struct(F.round("j", 9), (-F.col(epoch)).alias("e"))).alias("best_j_epoch"),
             F.max("j").alias("best_j")]
     if "loss" in ev.columns:
         aggs += [F.min("loss").alias("min_loss"),
-                 F.min_by(epoch, F.struct("loss", F.col(epoch).alias("e"))).alias("min_loss_epoch")]
+                 F.min_by(epoch, F.struct(F.round("loss", 9), F.col(epoch).alias("e"))).alias("min_loss_epoch")]
     aggs += [F.max_by(c, epoch).alias(f"last_{c}") for c in METRICS]
     return ev.groupBy(run).agg(*aggs)

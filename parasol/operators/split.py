@@ -14,10 +14,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parasol.functions.mathx import test_ratio
-
 DEFAULT_SEED = 42
-HASH_BUCKET_HEX = 3            # 16^3 = 4096 ordered buckets
+HASH_BUCKET_HEX = 3            # 16^3 = 4096 ordered buckets at least
+ROWS_PER_BUCKET = 1 << 16      # more hex digits keep a bucket's rows below about this
+BROADCAST_BUCKETS = 1 << 16
 SPLIT_NAMES = ("train", "val", "test")
 
 
@@ -35,24 +35,43 @@ def hash_bucket(h: Column, hex_digits: int = HASH_BUCKET_HEX) -> Column:
     return F.conv(F.substring(h, 1, hex_digits), 16, 10).cast("int")
 
 
+def hex_digits(n: int) -> int:
+    """Leading hex digits that deal ``n`` rows into buckets of a bounded size."""
+    digits = HASH_BUCKET_HEX
+    while n > ROWS_PER_BUCKET * 16 ** digits:
+        digits += 1
+    return digits
+
+
+def prefix_sums(df: DataFrame, group: str, order: str, value: str, bucket: Column, out: str) -> DataFrame:
+    """Running sums of ``value`` up to and with each row, in ``order`` within a
+    group. ``bucket`` is monotone in the order: sums run inside the buckets and
+    over the buckets' totals, so a hot group is not sorted in one task."""
+    b = df.withColumn("_b", bucket)
+    before = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = b.groupBy(group, "_b").agg(F.sum(value).alias("_s")) \
+        .select(group, "_b", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy(group, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return b.join(starts, [group, "_b"]).withColumn(out, F.sum(value).over(inside) + F.col("_start")) \
+        .drop("_b", "_start")
+
+
 def global_rank(df: DataFrame, order_cols: list, bucket: Column, rank_col: str = "rank",
-                partition_cols: tuple = ()) -> DataFrame:
+                partition_cols: tuple = (), n_buckets: int | None = None) -> DataFrame:
     """B2: 1-based rank by ``order_cols`` (within ``partition_cols``).
 
     ``bucket`` must be monotone in the order: every row of a smaller bucket
     sorts before every row of a larger one. The offsets table holds one row
     per (partition value, bucket); it is broadcast only when there are no
-    partition columns (bounded by the bucket count), otherwise AQE chooses.
+    partition columns and ``n_buckets`` bounds it, otherwise AQE chooses.
     """
     pc = list(partition_cols)
     b = df.withColumn("_bucket", bucket)
     counts = b.groupBy(*pc, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*pc).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*pc, "_bucket", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    # without partition columns the offsets table has at most one row per bucket: a
-    # proven bound, so it is broadcast; with them it grows with the partition
-    # values, and AQE decides from its measured size
-    ranked = b.join(F.broadcast(offsets) if not pc else offsets, on=[*pc, "_bucket"], how="inner")
+    small = not pc and n_buckets is not None and n_buckets <= BROADCAST_BUCKETS
+    ranked = b.join(F.broadcast(offsets) if small else offsets, on=[*pc, "_bucket"], how="inner")
     wr = Window.partitionBy(*pc, "_bucket").orderBy(*order_cols)
     return ranked.withColumn(rank_col, (F.row_number().over(wr) + F.col("_off")).cast("bigint")) \
         .drop("_bucket", "_off")
@@ -67,10 +86,6 @@ def split_lengths(n: int, ratios) -> list[int]:
     return lengths
 
 
-def split_ratios(train: float = 0.8, val: float = 0.1) -> tuple[float, float, float]:
-    return (train, val, test_ratio(train, val))
-
-
 def random_split(df: DataFrame, id_col: str = "pair_id", ratios=(0.8, 0.1, 0.1), seed: int = DEFAULT_SEED,
                  names=SPLIT_NAMES) -> DataFrame:
     """B1: disjoint parts of exact sizes, repeatable for a seed.
@@ -83,8 +98,9 @@ def random_split(df: DataFrame, id_col: str = "pair_id", ratios=(0.8, 0.1, 0.1),
     n = df.count()
     lengths = split_lengths(n, ratios)
     h = hash_key(seed, id_col)
-    ranked = global_rank(df.withColumn("_h", h), [F.col("_h"), F.col(id_col)], hash_bucket(F.col("_h")),
-                         rank_col="_grank")
+    digits = hex_digits(n)
+    ranked = global_rank(df.withColumn("_h", h), [F.col("_h"), F.col(id_col)], hash_bucket(F.col("_h"), digits),
+                         rank_col="_grank", n_buckets=16 ** digits)
     bounds, acc = [], 0
     for name, ln in zip(names, lengths):
         bounds.append((name, acc, acc + ln))
@@ -102,9 +118,10 @@ def random_split(df: DataFrame, id_col: str = "pair_id", ratios=(0.8, 0.1, 0.1),
 def epoch_shuffle(df: DataFrame, epochs, id_col: str = "pair_id", seed: int = DEFAULT_SEED,
                   partition_cols: tuple = ()) -> DataFrame:
     """A fresh order of the rows for each epoch; adds ``epoch`` and ``epoch_rank``."""
+    digits = hex_digits(df.count())
     e = df.withColumn("epoch", F.explode(F.array(*[F.lit(int(x)) for x in epochs])))
     e = e.withColumn("_h", hash_key(seed, F.col("epoch"), id_col))
-    return global_rank(e, [F.col("_h"), F.col(id_col)], hash_bucket(F.col("_h")), rank_col="epoch_rank",
+    return global_rank(e, [F.col("_h"), F.col(id_col)], hash_bucket(F.col("_h"), digits), rank_col="epoch_rank",
                        partition_cols=("epoch", *partition_cols)).drop("_h")
 
 
@@ -116,14 +133,23 @@ def batch_of(rank_col: str, batch_size: int = 16) -> Column:
 def batch_assign(df: DataFrame, epochs=(0,), batch_size: int = 16, id_col: str = "pair_id",
                  seed: int = DEFAULT_SEED, ratios=(0.8, 0.1, 0.1)) -> DataFrame:
     """B1 + B3 + B4: split, then batches. Training rows are reshuffled per epoch,
-    validation and test rows keep the split's permutation order in every epoch."""
+    validation and test rows keep the split's permutation order in every epoch.
+    ``step`` is the batch's position in its epoch, from 1 (B6)."""
     s = random_split(df, id_col, ratios, seed)
     train = epoch_shuffle(s.where(F.col("split") == "train"), epochs, id_col, seed) \
         .withColumn("batch_id", batch_of("epoch_rank", batch_size)).drop("epoch_rank")
     rest = s.where(F.col("split") != "train") \
         .withColumn("epoch", F.explode(F.array(*[F.lit(int(x)) for x in epochs]))) \
         .withColumn("batch_id", batch_of("split_rank", batch_size))
-    return train.unionByName(rest).drop("split_rank")
+    return train.unionByName(rest).drop("split_rank").withColumn("step", F.col("batch_id") + 1)
+
+
+def split_batches(df: DataFrame, split: str = "val", batch_size: int = 16, id_col: str = "pair_id",
+                  seed: int = DEFAULT_SEED, ratios=(0.8, 0.1, 0.1)) -> DataFrame:
+    """Batches of one split in its permutation order, unshuffled: id and
+    ``batch_id`` (what an evaluation pass walks)."""
+    return random_split(df, id_col, ratios, seed).where(F.col("split") == split) \
+        .withColumn("batch_id", batch_of("split_rank", batch_size)).drop("split", "split_rank")
 
 
 def split_sizes(split_df: DataFrame) -> DataFrame:
@@ -140,7 +166,7 @@ def eval_batches(df: DataFrame, batch_size: int = 16, id_col: str = "pair_id",
                  seed: int = DEFAULT_SEED) -> DataFrame:
     """Batches over all rows in seeded permutation order (an unshuffled loader
     over a whole table); adds ``batch_id``."""
-    h = hash_key(seed, id_col)
-    r = global_rank(df.withColumn("_h", h), [F.col("_h"), F.col(id_col)], hash_bucket(F.col("_h")),
-                    rank_col="_r")
+    h, digits = hash_key(seed, id_col), hex_digits(df.count())
+    r = global_rank(df.withColumn("_h", h), [F.col("_h"), F.col(id_col)], hash_bucket(F.col("_h"), digits),
+                    rank_col="_r", n_buckets=16 ** digits)
     return r.withColumn("batch_id", batch_of("_r", batch_size)).drop("_h", "_r")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parasol.functions.mathx import cosine, md5_int
+from parasol.functions.mathx import md5_int
 
 BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 
@@ -21,7 +21,11 @@ class TokenVectors:
     """The md5 token-to-row rule over an embeddings table."""
 
     def __init__(self, embeddings: DataFrame):
-        self.n = embeddings.count()
+        ids = embeddings.agg(F.count("vec_id").alias("n"), F.countDistinct("vec_id").alias("d"),
+                             F.min("vec_id").alias("lo"), F.max("vec_id").alias("hi")).first()
+        self.n = ids["n"]
+        if self.n and (ids["d"] != self.n or ids["lo"] != 0 or ids["hi"] != self.n - 1):
+            raise ValueError("vec_id must number the embeddings from 0 without gaps")
         self.dim = embeddings.select(F.size("embedding").alias("d")).first()["d"]
         tab = embeddings.select("vec_id", F.col("embedding").cast(f"array<double>").alias("vector"))
         # unit vectors are computed once per embeddings row, never per token occurrence
@@ -29,9 +33,18 @@ class TokenVectors:
         unit = normed.select("vec_id", F.transform("vector", lambda x: x / F.greatest(F.col("_norm"), F.lit(1e-8)))
                              .alias("vector"))
         # proven bound: n rows of dim doubles, checked here before any broadcast hint
-        small = self.n * self.dim * 8 <= BROADCAST_MAX_BYTES
-        self.table = F.broadcast(tab) if small else tab
-        self.unit_table = F.broadcast(unit) if small else unit
+        self.small = self.n * self.dim * 8 <= BROADCAST_MAX_BYTES
+        self.table = F.broadcast(tab) if self.small else tab
+        self.unit_table = F.broadcast(unit) if self.small else unit
+        self._unit = unit
+
+    def unit_matrix(self):
+        """The unit vectors by row number, for tables of a small size only."""
+        if not self.small:
+            raise ValueError("the table is too large to be sent to every task")
+        import numpy as np
+        rows = self._unit.toArrow().sort_by("vec_id")
+        return np.array(rows.column("vector").to_pylist(), dtype="float64").reshape(self.n, -1)
 
     def vec_id(self, token) -> F.Column:
         return F.pmod(md5_int(token), F.lit(self.n)).cast("bigint")
@@ -42,16 +55,24 @@ class TokenVectors:
         return df.withColumn("vec_id", self.vec_id(F.col(token_col))).join(tab, "vec_id", "left") \
             .drop("vec_id")
 
-    def token_table(self, tokens: DataFrame, token_col: str = "token") -> DataFrame:
-        """(token, vector) for the distinct tokens of a frame."""
-        return self.lookup(tokens.select(token_col).distinct(), token_col)
 
+class NamedVectors(TokenVectors):
+    """A caller's (token, vector) table in place of the md5 rule; tokens it
+    lacks have no vector."""
 
-def mean_vector_agg(vec_col: str, dim: int, prefix: str) -> list:
-    """D sum aggregates plus a count; finish with ``mean_vector_finish``."""
-    aggs = [F.sum(F.col(vec_col)[i]).alias(f"{prefix}{i}") for i in range(dim)]
-    aggs.append(F.count(vec_col).alias(f"{prefix}n"))
-    return aggs
+    def __init__(self, vectors: DataFrame, token_col: str = "token", vector_col: str = "vector"):
+        tab = vectors.select(F.col(token_col).alias("_token"), F.col(vector_col).cast("array<double>").alias("vector"))
+        first = tab.select(F.size("vector").alias("d")).first()
+        self.dim = first["d"] if first else 0
+        self.small = False   # it grows with the vocabulary: AQE decides how it is joined
+        norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
+        self.table = tab
+        self.unit_table = tab.withColumn("_norm", norm).select("_token", F.transform(
+            "vector", lambda x: x / F.greatest(F.col("_norm"), F.lit(1e-8))).alias("vector"))
+
+    def lookup(self, df: DataFrame, token_col: str = "token", unit: bool = False) -> DataFrame:
+        tab = self.unit_table if unit else self.table
+        return df.join(tab, df[token_col] == tab["_token"], "left").drop("_token")
 
 
 def mean_vector_finish(dim: int, prefix: str) -> F.Column:
@@ -76,8 +97,3 @@ def sentence_embeddings(df: DataFrame, key: str, tokens_cols: dict, tv: TokenVec
         aggs.append(F.count(sv).alias(f"_s{j}_n"))
     g = v.groupBy(key).agg(*aggs)
     return g.select(key, *[mean_vector_finish(tv.dim, f"_s{j}_").alias(side) for j, side in enumerate(tokens_cols)])
-
-
-def pair_similarity(emb_a, emb_b) -> F.Column:
-    """A3 ``mode='pair'`` per row: cosine of the two sentence embeddings."""
-    return cosine(emb_a, emb_b)

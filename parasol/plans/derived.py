@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parasol.functions.text import MAX_LENGTH, split_sentences, tokenize
+from parasol.functions.text import split_sentences, tokenize
 
 # The planted words that define the derived pair corpus.
 NOUNS = ("idiot", "moron", "clown", "loser", "scum", "trash")
@@ -17,8 +17,6 @@ ADJECTIVES = ("worthless", "pathetic", "stupid", "disgusting")
 NOUN_TARGET = "person"
 ADJECTIVE_TARGET = "poor"
 
-MIN_TOKENS = 3
-MAX_TOKENS = MAX_LENGTH - 2   # room for start and end
 PAIR_ID_STRIDE = 100000
 SEQ_ID_STRIDE = 1000
 
@@ -27,20 +25,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def sentences(spark: SparkSession, sf_dir: str, min_tokens: int = MIN_TOKENS,
-              max_tokens: int = MAX_TOKENS, docs: DataFrame | None = None) -> DataFrame:
-    """(pair_id, doc_id, lang, tokens): sentences of every document, 3 to 36 tokens.
+def _numbered(major: str, minor: str, stride: int) -> F.Column:
+    """One id from two numbers; fails where the minor number doesn't fit."""
+    fits = F.col(minor) < stride
+    return F.when(fits, F.col(major) * stride + F.col(minor)).otherwise(
+        F.raise_error(F.concat(F.lit(f"{minor} beyond {stride}: "), F.col(major).cast("string"))))
 
-    Row-local (posexplode + regexp), no shuffle; the token bounds are the
-    length gate that also removes the very long sentences.
+
+def sentences(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
+    """(pair_id, doc_id, lang, tokens): every sentence of every document that
+    has a token, whatever its length.
+
+    Row-local (posexplode + regexp), no shuffle.
     """
     if docs is None:
         docs = table(spark, sf_dir, "documents")
     docs = docs.select("doc_id", "lang", "text")
     s = docs.select("doc_id", "lang", F.posexplode(split_sentences("text")).alias("sent_ix", "sentence"))
-    s = s.select((F.col("doc_id") * PAIR_ID_STRIDE + F.col("sent_ix")).alias("pair_id"),
+    s = s.select(_numbered("doc_id", "sent_ix", PAIR_ID_STRIDE).alias("pair_id"),
                  "doc_id", "lang", tokenize("sentence").alias("tokens"))
-    return s.where((F.size("tokens") >= min_tokens) & (F.size("tokens") <= max_tokens))
+    return s.where(F.size("tokens") > 0)
 
 
 def _listed() -> F.Column:
@@ -85,6 +89,16 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def all_sentence_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pair_id, toxic, neutral1, hyp) of every sentence; one without a listed
+    word is its own gold and rewrite."""
+    listed = _listed()
+    return sentences(spark, sf_dir).select(
+        "pair_id", F.array_join("tokens", " ").alias("toxic"),
+        F.array_join(neutral_tokens("tokens"), " ").alias("neutral1"),
+        F.array_join(F.filter("tokens", lambda t: ~F.array_contains(listed, t)), " ").alias("hyp"))
+
+
 def candidates(spark: SparkSession, sf_dir: str, pairs_df: DataFrame | None = None) -> DataFrame:
     """(seq_id, kind, text, gold): greedy = hyp; sampled = only the nouns deleted."""
     nouns = F.array(*[F.lit(w) for w in NOUNS])
@@ -101,14 +115,14 @@ def candidates(spark: SparkSession, sf_dir: str, pairs_df: DataFrame | None = No
 def turn_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seq_id, conv_id, turn, pos, token) of every conversation turn."""
     conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    return conv.select((F.col("conv_id") * SEQ_ID_STRIDE + F.col("turn")).alias("seq_id"), "conv_id", "turn",
+    return conv.select(_numbered("conv_id", "turn", SEQ_ID_STRIDE).alias("seq_id"), "conv_id", "turn",
                        F.posexplode(tokenize("text")).alias("pos", "token"))
 
 
 def turn_token_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seq_id, tokens) of every conversation turn, one row per turn."""
     conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    return conv.select((F.col("conv_id") * SEQ_ID_STRIDE + F.col("turn")).alias("seq_id"),
+    return conv.select(_numbered("conv_id", "turn", SEQ_ID_STRIDE).alias("seq_id"),
                        tokenize("text").alias("tokens"))
 
 

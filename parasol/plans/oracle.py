@@ -4,7 +4,7 @@ plans. Doubles are rounded to 6 decimals, integers are BIGINT, arrays text.
 
 from __future__ import annotations
 
-from parasol.plans.oracle_views import register, with_views
+from parasol.plans.oracle_views import _NOUNS, register, with_views
 
 SEED = 42
 TOKEN_RE = "[a-zß-ÿ]+"
@@ -14,9 +14,9 @@ def _tok(expr: str) -> str:
     return f"regexp_extract_all(lower({expr}), '{TOKEN_RE}')"
 
 
-def _md5u(expr: str) -> str:
-    """Seeded md5 uniform in (0, 1), same bits as the Spark side."""
-    return f"((('0x' || substr(md5({expr}), 1, 8))::BIGINT)::DOUBLE + 1) / 4294967297.0::DOUBLE"
+def _draw(expr: str) -> str:
+    """The first 60 bits of an md5 as an integer."""
+    return f"('0x' || substr(md5({expr}), 1, 15))::BIGINT"
 
 
 def _hkey(*parts: str) -> str:
@@ -48,14 +48,6 @@ register("encoded", ("enc_ids",), """
   FROM enc_ids x JOIN enc_ids y ON x.pair_id = y.pair_id AND x.side = 'x' AND y.side = 'y'
   WHERE len(x.ids) <= 38 AND len(y.ids) <= 38""")
 
-register("sentences_any", (), r"""
-  SELECT doc_id * 100000 + sent_ix AS pair_id, regexp_extract_all(lower(sentence), '[a-zß-ÿ]+') AS tokens
-  FROM (
-    SELECT doc_id, unnest(parts) AS sentence, unnest(range(len(parts))) AS sent_ix
-    FROM (SELECT doc_id, regexp_split_to_array(text, '[.!?\n]+\s*') AS parts FROM documents)
-  )
-  WHERE len(regexp_extract_all(lower(sentence), '[a-zß-ÿ]+')) >= 1""")
-
 register("pair_rank", ("pairs",), f"""
   SELECT pair_id, row_number() OVER (ORDER BY {_hkey('pair_id')}, pair_id) AS r, count(*) OVER () AS n FROM pairs""")
 
@@ -152,15 +144,45 @@ register("ctot", ("bcounts",), """
 register("vsz", ("turn_tokens",), """
   SELECT CAST(count(DISTINCT token) AS DOUBLE) AS v FROM turn_tokens""")
 
-register("sdraw", ("bcounts", "ctot", "turn_tokens"), f"""
+def _sample(tokens: str, counts: str, totals: str) -> str:
+    key = "'42:' || CAST(t.seq_id AS VARCHAR) || ':' || CAST(t.pos AS VARCHAR)"
+    return f"""
   SELECT d.seq_id, d.pos, s.token, s.n / d.total AS prob
-  FROM (SELECT t.seq_id, t.pos, t.token AS ctx, c.total,
-               CAST(floor({_md5u("'42:' || CAST(t.seq_id AS VARCHAR) || ':' || CAST(t.pos AS VARCHAR)")}
-                          * c.total::DOUBLE) AS BIGINT) AS tt
-        FROM turn_tokens t JOIN ctot c ON c.ctx = t.token) d
+  FROM (SELECT t.seq_id, t.pos, t.token AS ctx, c.total, {_draw(key)} % CAST(c.total AS BIGINT) AS tt
+        FROM {tokens} t JOIN {totals} c ON c.ctx = t.token) d
   JOIN (SELECT ctx, token, n, sum(n) OVER (PARTITION BY ctx ORDER BY token
-                                           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_hi FROM bcounts) s
-    ON s.ctx = d.ctx AND d.tt >= s.cum_hi - s.n AND d.tt < s.cum_hi""")
+                                           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_hi FROM {counts}) s
+    ON s.ctx = d.ctx AND d.tt >= s.cum_hi - s.n AND d.tt < s.cum_hi"""
+
+
+register("sdraw", ("bcounts", "ctot", "turn_tokens"), _sample("turn_tokens", "bcounts", "ctot"))
+
+# greedy and sampled choices at the positions of the training pairs' gold texts
+register("gtok", ("pairs",), """
+  SELECT pair_id AS seq_id, unnest(string_split(neutral1, ' ')) AS token,
+         unnest(range(len(string_split(neutral1, ' ')))) AS pos FROM pairs""")
+register("gcounts", ("gtok",), """
+  SELECT a.token AS ctx, b.token AS token, count(*) AS n
+  FROM gtok a JOIN gtok b ON a.seq_id = b.seq_id AND b.pos = a.pos + 1 GROUP BY a.token, b.token""")
+register("gtot", ("gcounts",), "SELECT ctx, sum(n) AS total FROM gcounts GROUP BY ctx")
+register("gtrain", ("gtok", "split_def"), """
+  SELECT g.* FROM gtok g JOIN split_def s ON s.pair_id = g.seq_id WHERE s.split = 'train'""")
+register("gsampled", ("gtrain", "gcounts", "gtot"), _sample("gtrain", "gcounts", "gtot"))
+register("ggreedy", ("gtrain", "gcounts"), """
+  SELECT t.seq_id, t.pos, g.token
+  FROM gtrain t JOIN (SELECT ctx, token, row_number() OVER (PARTITION BY ctx ORDER BY n DESC, token) AS rk FROM gcounts) g
+    ON g.ctx = t.token AND g.rk = 1""")
+register("drawn", ("gtrain", "ggreedy", "gsampled", "pairs"), """
+  SELECT k.seq_id, k.kind, coalesce(c.text, '') AS text, p.neutral1 AS gold
+  FROM (SELECT DISTINCT seq_id, kind FROM gtrain, (VALUES ('greedy'), ('sampled')) v(kind)) k
+  JOIN pairs p ON p.pair_id = k.seq_id
+  LEFT JOIN (SELECT seq_id, 'greedy' AS kind, string_agg(token, ' ' ORDER BY pos) AS text FROM ggreedy GROUP BY seq_id
+             UNION ALL
+             SELECT seq_id, 'sampled' AS kind, string_agg(token, ' ' ORDER BY pos) AS text FROM gsampled GROUP BY seq_id) c
+    ON c.seq_id = k.seq_id AND c.kind = k.kind""")
+register("drawn_lp", ("gtrain", "gsampled"), """
+  SELECT k.seq_id, coalesce(s.sum_log, 0.0) AS sum_log FROM (SELECT DISTINCT seq_id FROM gtrain) k
+  LEFT JOIN (SELECT seq_id, sum(ln(prob)) AS sum_log FROM gsampled GROUP BY seq_id) s USING (seq_id)""")
 
 
 def _smoothed(src: str, key: str, text_tokens: str) -> str:
@@ -180,34 +202,44 @@ register("gold_ce", ("pairs", "bcounts", "ctot", "vsz"), f"""
   FROM pairs p LEFT JOIN {_smoothed('pairs', 'pair_id', "string_split(neutral1, ' ')")} l USING (pair_id)
   GROUP BY p.pair_id""")
 
-# BERTScore: unit token vectors of candidates and gold
-register("bvec", ("candidates", "tv"), f"""
-  SELECT seq_id, kind, side, pos, list_transform(vector, lambda x: x / greatest(sqrt(list_sum(list_transform(vector, lambda y: y * y))), 1e-8)) AS u
-  FROM (SELECT o.*, tv.vector FROM (
-          SELECT seq_id, kind, 'c' AS side, unnest({_tok('text')}) AS token, unnest(range(len({_tok('text')}))) AS pos FROM candidates
+def _bert(name: str, src: str) -> None:
+    """BERTScore of a candidates view: unit token vectors, best matches, means."""
+    register(f"{name}_vec", (src, "tv"), f"""
+  SELECT seq_id, kind, side, pos, vec_id, list_transform(vector, lambda x: x / greatest(sqrt(list_sum(list_transform(vector, lambda y: y * y))), 1e-8)) AS u
+  FROM (SELECT o.*, tv.vec_id, tv.vector FROM (
+          SELECT seq_id, kind, 'c' AS side, unnest({_tok('text')}) AS token, unnest(range(len({_tok('text')}))) AS pos FROM {src}
           UNION ALL
-          SELECT seq_id, kind, 'g' AS side, unnest({_tok('gold')}) AS token, unnest(range(len({_tok('gold')}))) AS pos FROM candidates) o
+          SELECT seq_id, kind, 'g' AS side, unnest({_tok('gold')}) AS token, unnest(range(len({_tok('gold')}))) AS pos FROM {src}) o
         JOIN tv ON tv.vec_id = (('0x' || substr(md5(o.token), 1, 8))::BIGINT) % (SELECT count(*) FROM embeddings))""")
-
-register("bert", ("bvec", "candidates"), """
+    register(f"{name}_one", (f"{name}_vec",), f"""
+  SELECT seq_id, kind, side, vec_id, any_value(u) AS u, count(*) AS n FROM {name}_vec GROUP BY seq_id, kind, side, vec_id""")
+    register(name, (f"{name}_one", src), f"""
   SELECT k.seq_id, k.kind, coalesce(pp.p, 0.0) AS p, coalesce(rr.r, 0.0) AS r,
          CASE WHEN coalesce(pp.p, 0.0) + coalesce(rr.r, 0.0) > 0
               THEN 2 * pp.p * rr.r / (pp.p + rr.r) ELSE 0.0 END AS f1
-  FROM (SELECT seq_id, kind FROM candidates) k
-  LEFT JOIN (SELECT seq_id, kind, avg(best) AS p FROM (
-        SELECT c.seq_id, c.kind, c.pos, max(list_dot_product(c.u, g.u)) AS best
-        FROM bvec c JOIN bvec g ON c.seq_id = g.seq_id AND c.kind = g.kind AND c.side = 'c' AND g.side = 'g'
-        GROUP BY c.seq_id, c.kind, c.pos) GROUP BY seq_id, kind) pp ON pp.seq_id = k.seq_id AND pp.kind = k.kind
-  LEFT JOIN (SELECT seq_id, kind, avg(best) AS r FROM (
-        SELECT g.seq_id, g.kind, g.pos, max(list_dot_product(g.u, c.u)) AS best
-        FROM bvec c JOIN bvec g ON c.seq_id = g.seq_id AND c.kind = g.kind AND c.side = 'c' AND g.side = 'g'
-        GROUP BY g.seq_id, g.kind, g.pos) GROUP BY seq_id, kind) rr ON rr.seq_id = k.seq_id AND rr.kind = k.kind""")
+  FROM (SELECT seq_id, kind FROM {src}) k
+  LEFT JOIN (SELECT seq_id, kind, sum(n * best) / sum(n) AS p FROM (
+        SELECT c.seq_id, c.kind, c.vec_id, any_value(c.n) AS n, max(list_dot_product(c.u, g.u)) AS best
+        FROM {name}_one c JOIN {name}_one g ON c.seq_id = g.seq_id AND c.kind = g.kind AND c.side = 'c' AND g.side = 'g'
+        GROUP BY c.seq_id, c.kind, c.vec_id) GROUP BY seq_id, kind) pp ON pp.seq_id = k.seq_id AND pp.kind = k.kind
+  LEFT JOIN (SELECT seq_id, kind, sum(n * best) / sum(n) AS r FROM (
+        SELECT g.seq_id, g.kind, g.vec_id, any_value(g.n) AS n, max(list_dot_product(g.u, c.u)) AS best
+        FROM {name}_one c JOIN {name}_one g ON c.seq_id = g.seq_id AND c.kind = g.kind AND c.side = 'c' AND g.side = 'g'
+        GROUP BY g.seq_id, g.kind, g.vec_id) GROUP BY seq_id, kind) rr ON rr.seq_id = k.seq_id AND rr.kind = k.kind""")
+
+
+_bert("bert", "candidates")
+_bert("drawn_bert", "drawn")
 
 register("cand_tox", ("candidates", "w_tox", "prior_tox"), f"""
   SELECT seq_id, kind, CASE WHEN 1 - p >= p THEN (1 + (1 - p)) / 2 ELSE (1 - p) / 2 END AS tox
   FROM {_score('tox', 'candidates', 'seq_id, kind', 'text')}""")
 
-register("rewards", ("cand_tox", "bert"), """
+register("drawn_tox", ("drawn", "w_tox", "prior_tox"), f"""
+  SELECT seq_id, kind, CASE WHEN 1 - p >= p THEN (1 + (1 - p)) / 2 ELSE (1 - p) / 2 END AS tox
+  FROM {_score('tox', 'drawn', 'seq_id, kind', 'text')}""")
+
+register("rewards", ("drawn_tox", "drawn_bert"), """
   SELECT seq_id, tox_s - tox_g AS dtox, f1_s - f1_g AS dbert,
          0.2::DOUBLE * (tox_s - tox_g) + 0.8::DOUBLE * (f1_s - f1_g) AS total_reward
   FROM (SELECT t.seq_id,
@@ -215,22 +247,24 @@ register("rewards", ("cand_tox", "bert"), """
                max(CASE WHEN t.kind = 'greedy' THEN t.tox END) AS tox_g,
                max(CASE WHEN b.kind = 'sampled' THEN b.f1 END) AS f1_s,
                max(CASE WHEN b.kind = 'greedy' THEN b.f1 END) AS f1_g
-        FROM cand_tox t JOIN bert b ON b.seq_id = t.seq_id AND b.kind = t.kind
+        FROM drawn_tox t JOIN drawn_bert b ON b.seq_id = t.seq_id AND b.kind = t.kind
         GROUP BY t.seq_id)
   WHERE tox_s IS NOT NULL AND tox_g IS NOT NULL""")
 
-register("sampled_cands", ("candidates",), f"""
-  SELECT seq_id, {_tok('text')} AS toks FROM candidates WHERE kind = 'sampled'""")
+register("train_batches", ("split_def",), f"""
+  SELECT pair_id, e.epoch,
+         CAST((row_number() OVER (PARTITION BY e.epoch ORDER BY {_hkey('e.epoch', 'pair_id')}, pair_id) - 1) // 16 AS BIGINT) AS batch_id
+  FROM split_def, (VALUES (99), (100)) e(epoch) WHERE split = 'train'""")
 
-register("sampled_lp", ("sampled_cands", "bcounts", "ctot", "vsz"), f"""
-  SELECT s.seq_id, coalesce(sum(l.lp), 0.0) AS sum_log
-  FROM sampled_cands s LEFT JOIN {_smoothed('sampled_cands', 'seq_id', 'toks')} l USING (seq_id)
-  GROUP BY s.seq_id""")
+register("rl", ("rewards", "drawn_lp", "train_batches"), """
+  SELECT b.epoch, b.batch_id, 1.0 * avg(r.total_reward * l.sum_log) AS rl_loss
+  FROM rewards r JOIN drawn_lp l USING (seq_id) JOIN train_batches b ON b.pair_id = r.seq_id
+  GROUP BY b.epoch, b.batch_id""")
 
-register("rl", ("rewards", "sampled_lp", "pair_batches"), """
-  SELECT b.batch_id, 1.0 * avg(r.total_reward * l.sum_log) AS rl_loss
-  FROM rewards r JOIN sampled_lp l USING (seq_id) JOIN pair_batches b ON b.pair_id = r.seq_id
-  GROUP BY b.batch_id""")
+register("gold_ce_pad", ("gold_ce", "vsz"), """
+  SELECT pair_id, n_pos + pads AS n_pos,
+         CASE WHEN n_pos + pads > 0 THEN (ce * n_pos + pads * ln((SELECT v FROM vsz))) / (n_pos + pads) END AS ce
+  FROM (SELECT pair_id, n_pos, greatest(37 - n_pos, 0) AS pads, coalesce(ce, 0.0) AS ce FROM gold_ce)""")
 
 # pair-level metric inputs (x = toxic, y_pred = hyp, y_real = neutral1)
 register("pair_scores", ("pairs", "w_tox", "prior_tox", "w_flu", "prior_flu"), f"""
@@ -299,21 +333,25 @@ register("pair_batch_metrics", ("pair_rows", "pair_batch_sim"), """
   FROM pair_rows r JOIN pair_batch_sim s USING (batch_id)
   GROUP BY r.batch_id""")
 
-# evaluation over two runs (candidate kinds) and three epochs
-register("ev", ("candidates", "pairs"), """
-  SELECT c.seq_id AS pair_id, c.kind AS run_id, p.toxic AS x, c.text AS y_pred, c.gold AS y_real,
-         c.kind || ':' || CAST(c.seq_id AS VARCHAR) AS rk
-  FROM candidates c JOIN pairs p ON p.pair_id = c.seq_id""")
-
-register("ev_batches", ("ev",), f"""
-  SELECT rk, run_id, e.epoch,
-         CAST((row_number() OVER (PARTITION BY run_id, e.epoch ORDER BY {_hkey('e.epoch', 'pair_id')}, pair_id) - 1) // 16 AS BIGINT) AS batch_id
-  FROM ev, (VALUES (0), (1), (2)) e(epoch)""")
-
-register("ev_ce", ("ev", "bcounts", "ctot", "vsz"), f"""
-  SELECT e.rk, CASE WHEN count(l.lp) > 0 THEN -sum(l.lp) / count(l.lp) END AS ce
-  FROM ev e LEFT JOIN {_smoothed('ev', 'rk', _tok('y_pred'))} l USING (rk)
-  GROUP BY e.rk""")
+# evaluation of two runs' three epochs on the validation split
+register("ev", ("pairs", "split_def"), f"""
+  SELECT p.pair_id, m.run_id, m.epoch, p.toxic AS x, p.neutral1 AS y_real,
+         CASE WHEN m.epoch = 0 THEN p.toxic
+              WHEN m.epoch = 2 AND m.run_id = 'delete' THEN p.hyp
+              WHEN m.epoch = 2 THEN p.neutral1
+              WHEN m.run_id = 'delete' THEN array_to_string(list_filter(string_split(p.toxic, ' '), lambda t: t NOT IN ({_NOUNS})), ' ')
+              ELSE array_to_string(list_transform(string_split(p.toxic, ' '),
+                                                  lambda t: CASE WHEN t IN ({_NOUNS}) THEN 'person' ELSE t END), ' ') END AS y_pred,
+         m.run_id || ':' || CAST(m.epoch AS VARCHAR) || ':' || CAST(p.pair_id AS VARCHAR) AS rk
+  FROM pairs p JOIN split_def s ON s.pair_id = p.pair_id AND s.split = 'val',
+       (SELECT run_id, epoch FROM (VALUES ('delete'), ('replace')) r(run_id), (VALUES (0), (1), (2)) e(epoch)) m""")
+
+register("ev_batches", ("ev", "split_def"), """
+  SELECT e.rk, e.run_id, e.epoch, CAST((s.split_rank - 1) // 16 AS BIGINT) AS batch_id
+  FROM ev e JOIN split_def s ON s.pair_id = e.pair_id""")
+
+register("ev_ce", ("ev", "gold_ce_pad"), """
+  SELECT e.rk, g.ce FROM ev e JOIN gold_ce_pad g ON g.pair_id = e.pair_id""")
 
 register("ev_rows", ("ev", "w_tox", "prior_tox", "w_flu", "prior_flu", "ev_ce"), f"""
   SELECT b.rk, b.bleu, t.p AS p_toxic, f.p AS p_fluent, c.ce
@@ -350,6 +388,24 @@ register("loss_means", ("losses",), """
 METRICS = ("bleu", "sta", "sim", "fl", "j")
 
 
+def _held_out() -> str:
+    """The naive Bayes judge fitted on four fifths of the labels, on the rest."""
+    def occ(where: str) -> str:
+        return f"""SELECT l.doc_id, CAST(l.toxic AS INTEGER) AS y, unnest({_tok('d.text')}) AS token
+          FROM labels l JOIN documents d USING (doc_id) WHERE l.toxic IS NOT NULL AND {where}"""
+    return f"""
+  WITH c AS (SELECT token, CAST(count(*) FILTER (y = 1) AS DOUBLE) AS a, CAST(count(*) FILTER (y = 0) AS DOUBLE) AS b
+             FROM ({occ('l.doc_id % 5 <> 0')}) GROUP BY token),
+       t AS (SELECT sum(a) AS na, sum(b) AS nb, CAST(count(*) AS DOUBLE) AS k FROM c),
+       w AS (SELECT token, ln((a + 1) / (na + k)) - ln((b + 1) / (nb + k)) AS w FROM c, t),
+       m AS (SELECT ln(avg(toxic)) - ln(1 - avg(toxic)) AS prior FROM labels JOIN documents USING (doc_id)
+             WHERE toxic IS NOT NULL AND doc_id % 5 <> 0),
+       s AS (SELECT o.doc_id, sum(coalesce(w.w, 0)) AS sw FROM ({occ('l.doc_id % 5 = 0')}) o LEFT JOIN w USING (token) GROUP BY o.doc_id)
+  SELECT CAST(l.toxic AS BIGINT) AS y, 1 / (1 + exp(-((SELECT prior FROM m) + coalesce(s.sw, 0)))) >= 0.5::DOUBLE AS predicted, count(*) AS n
+  FROM labels l JOIN documents d USING (doc_id) LEFT JOIN s USING (doc_id)
+  WHERE l.toxic IS NOT NULL AND l.doc_id % 5 = 0 GROUP BY ALL"""
+
+
 def _q() -> dict[str, tuple[str, tuple[str, ...]]]:
     """name -> (body, views)."""
     lexdel = """
@@ -371,8 +427,10 @@ def _q() -> dict[str, tuple[str, tuple[str, ...]]]:
         "strip_special": ("""SELECT pair_id, array_to_string(list_filter(input_ids, lambda t: t NOT IN (0, 1, 2)), ',') AS word_ids
                              FROM encoded""", ("encoded",)),
         "length_gate": ("""SELECT pair_id, CASE WHEN len(tokens) + 2 <= 38 THEN 'ok' ELSE 'too_long' END AS status
-                           FROM sentences_any""", ("sentences_any",)),
-        "decode_text": ("SELECT pair_id, toxic AS text FROM pairs", ("pairs",)),
+                           FROM sentences""", ("sentences",)),
+        "encode_rejects": ("""SELECT pair_id, 'too_long' AS reason FROM pairs
+                              WHERE len(string_split(toxic, ' ')) > 36 OR len(string_split(neutral1, ' ')) > 36""", ("pairs",)),
+        "decode_text": ("""SELECT pair_id, toxic AS text FROM pairs WHERE len(string_split(toxic, ' ')) <= 36""", ("pairs",)),
         "stack_rows": ("""SELECT pair_id, CAST(len(input_ids) AS BIGINT) AS n_input, CAST(len(detoxified_ids) AS BIGINT) AS n_target,
                           CAST(len(input_ids) AS BIGINT) AS n_mask FROM encoded""", ("encoded",)),
         "global_rank": ("SELECT pair_id, r AS rank FROM pair_rank", ("pair_rank",)),
@@ -381,20 +439,21 @@ def _q() -> dict[str, tuple[str, tuple[str, ...]]]:
                 row_number() OVER (PARTITION BY e.epoch ORDER BY {_hkey('e.epoch', 'pair_id')}, pair_id) AS epoch_rank
                 FROM split_def, (VALUES (0), (1), (2)) e(epoch) WHERE split = 'train'""", ("split_def",)),
         "batch_assign": (f"""
+                SELECT *, batch_id + 1 AS step FROM (
                 SELECT pair_id, split, CAST(e.epoch AS BIGINT) AS epoch,
                        CAST((row_number() OVER (PARTITION BY e.epoch ORDER BY {_hkey('e.epoch', 'pair_id')}, pair_id) - 1) // 16 AS BIGINT) AS batch_id
                 FROM split_def, (VALUES (0), (1)) e(epoch) WHERE split = 'train'
                 UNION ALL
                 SELECT pair_id, split, CAST(e.epoch AS BIGINT) AS epoch, CAST((split_rank - 1) // 16 AS BIGINT) AS batch_id
-                FROM split_def, (VALUES (0), (1)) e(epoch) WHERE split <> 'train'""", ("split_def",)),
+                FROM split_def, (VALUES (0), (1)) e(epoch) WHERE split <> 'train')""", ("split_def",)),
         "split_sizes": ("""SELECT split, count(*) AS n, CAST(ceil(count(*) / 16.0) AS BIGINT) AS n_batches
                            FROM split_def GROUP BY split""", ("split_def",)),
-        "char_bleu": (f"SELECT k AS pair_id, round(bleu, 6) AS bleu FROM {_bleu('pairs', 'pair_id', 'hyp', 'neutral1', 'char')}",
-                      ("pairs",)),
+        "char_bleu": (f"SELECT k AS pair_id, round(bleu, 6) AS bleu FROM {_bleu('all_pairs', 'pair_id', 'hyp', 'neutral1', 'char')}",
+                      ("all_pairs",)),
         "char_bleu_relational": (f"SELECT k AS pair_id, round(bleu, 6) AS bleu FROM {_bleu('pairs', 'pair_id', 'hyp', 'neutral1', 'char')}",
                                  ("pairs",)),
-        "word_bleu": (f"SELECT k AS pair_id, round(bleu, 6) AS bleu FROM {_bleu('pairs', 'pair_id', 'hyp', 'neutral1', 'word')}",
-                      ("pairs",)),
+        "word_bleu": (f"SELECT k AS pair_id, round(bleu, 6) AS bleu FROM {_bleu('all_pairs', 'pair_id', 'hyp', 'neutral1', 'word')}",
+                      ("all_pairs",)),
         "style_accuracy": ("SELECT batch_id, round(sta, 6) AS sta FROM pair_batch_metrics", ("pair_batch_metrics",)),
         "similarity_batch": ("SELECT batch_id, round(sim, 6) AS sim FROM pair_batch_sim", ("pair_batch_sim",)),
         "similarity_pair": ("""
@@ -423,8 +482,8 @@ def _q() -> dict[str, tuple[str, tuple[str, ...]]]:
                    round(max(CASE WHEN er = 1 THEN bleu END), 6) AS last_bleu, round(max(CASE WHEN er = 1 THEN sta END), 6) AS last_sta,
                    round(max(CASE WHEN er = 1 THEN sim END), 6) AS last_sim, round(max(CASE WHEN er = 1 THEN fl END), 6) AS last_fl,
                    round(max(CASE WHEN er = 1 THEN j END), 6) AS last_j
-            FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY j DESC, epoch) AS jr,
-                         row_number() OVER (PARTITION BY run_id ORDER BY loss, epoch) AS lr,
+            FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY round(j, 9) DESC, epoch) AS jr,
+                         row_number() OVER (PARTITION BY run_id ORDER BY round(loss, 9), epoch) AS lr,
                          row_number() OVER (PARTITION BY run_id ORDER BY epoch DESC) AS er FROM evaluation)
             GROUP BY run_id""", ("evaluation",)),
         "epoch_axis": ("""
@@ -434,8 +493,8 @@ def _q() -> dict[str, tuple[str, tuple[str, ...]]]:
         "mean_loss": ("SELECT run_id, epoch, round(mean_loss, 6) AS mean_loss, n_batches FROM loss_means", ("loss_means",)),
         "toxicity_judge": (f"""
             SELECT x.pair_id, round(x.p, 6) AS p_toxic_x, round(y.p, 6) AS p_toxic_hyp
-            FROM {_score('tox', 'pairs', 'pair_id', 'toxic')} x JOIN {_score('tox', 'pairs', 'pair_id', 'hyp')} y USING (pair_id)""",
-                           ("pairs", "w_tox", "prior_tox")),
+            FROM {_score('tox', 'all_pairs', 'pair_id', 'toxic')} x JOIN {_score('tox', 'all_pairs', 'pair_id', 'hyp')} y USING (pair_id)""",
+                           ("all_pairs", "w_tox", "prior_tox")),
         "judge_distribution": (f"""
             SELECT seq_id, kind, round(p0, 6) AS p0, round(p1, 6) AS p1, CAST(CASE WHEN p0 >= p1 THEN 0 ELSE 1 END AS BIGINT) AS argmax,
                    round(greatest(p0, p1), 6) AS p_argmax,
@@ -445,7 +504,7 @@ def _q() -> dict[str, tuple[str, tuple[str, ...]]]:
         "toxicity_score": ("SELECT seq_id, kind, round(tox, 6) AS tox FROM cand_tox", ("cand_tox",)),
         "fluency_judge": (f"""
             SELECT pair_id, round(p, 6) AS p_fluent, CASE WHEN p >= 0.5::DOUBLE THEN 'LABEL_1' ELSE 'LABEL_0' END AS label
-            FROM {_score('flu', 'pairs', 'pair_id', 'hyp')}""", ("pairs", "w_flu", "prior_flu")),
+            FROM {_score('flu', 'all_pairs', 'pair_id', 'hyp')}""", ("all_pairs", "w_flu", "prior_flu")),
         "sentence_embedding": (f"SELECT pair_id, dim, round(v, 6) AS value FROM {_emb('pairs', 'pair_id', 'toxic')}",
                                ("pairs", "tv")),
         "detox_lexicon": ("SELECT token, a, b, round(lo, 6) AS lo FROM lexicon", ("lexicon",)),
@@ -459,10 +518,10 @@ def _q() -> dict[str, tuple[str, tuple[str, ...]]]:
                             ("sentences", "sent_pos", "repl")),
         "numpy_scorer": (f"""
             SELECT p.pair_id, round(1 / (1 + exp(-(-4.0::DOUBLE + coalesce(s.sl, 0.0)))), 6) AS p_lexicon
-            FROM pairs p LEFT JOIN (
+            FROM all_pairs p LEFT JOIN (
                 SELECT pair_id, sum(lo) AS sl
-                FROM (SELECT pair_id, unnest({_tok('toxic')}) AS token FROM pairs) JOIN lexicon USING (token)
-                GROUP BY pair_id) s USING (pair_id)""", ("pairs", "lexicon")),
+                FROM (SELECT pair_id, unnest({_tok('toxic')}) AS token FROM all_pairs) JOIN lexicon USING (token)
+                GROUP BY pair_id) s USING (pair_id)""", ("all_pairs", "lexicon")),
         "bigram_probs": ("""
             SELECT ctx, token, n, round(n / sum(n) OVER (PARTITION BY ctx), 6) AS prob,
                    row_number() OVER (PARTITION BY ctx ORDER BY n DESC, token) AS rank FROM bcounts""", ("bcounts",)),
@@ -485,26 +544,28 @@ def _q() -> dict[str, tuple[str, tuple[str, ...]]]:
         "sequence_logprob": ("SELECT seq_id, round(sum(ln(prob)), 6) AS sum_log FROM sdraw GROUP BY seq_id", ("sdraw",)),
         "token_cross_entropy": ("SELECT pair_id, n_pos, round(ce, 6) AS ce, round(exp(ce), 6) AS ppl FROM gold_ce",
                                 ("gold_ce",)),
-        "token_cross_entropy_pad": ("""
-            SELECT pair_id, n_pos + pads AS n_pos, round(ce, 6) AS ce, round(exp(ce), 6) AS ppl
-            FROM (SELECT pair_id, n_pos, pads,
-                         CASE WHEN n_pos + pads > 0 THEN (ce * n_pos + pads * ln((SELECT v FROM vsz))) / (n_pos + pads) END AS ce
-                  FROM (SELECT pair_id, n_pos, greatest(37 - n_pos, 0) AS pads, coalesce(ce, 0.0) AS ce FROM gold_ce))""",
-                                    ("gold_ce", "vsz")),
+        "token_cross_entropy_pad": ("SELECT pair_id, n_pos, round(ce, 6) AS ce, round(exp(ce), 6) AS ppl FROM gold_ce_pad",
+                                    ("gold_ce_pad",)),
+        "align_unmatched": ("""SELECT pair_id, true AS in_x, true AS in_y_pred, false AS in_y_real FROM sentences
+                               WHERE pair_id NOT IN (SELECT pair_id FROM pairs)""", ("sentences", "pairs")),
+        "decoded_candidates": ("SELECT seq_id, kind, text FROM drawn", ("drawn",)),
+        "toxicity_judge_ml": ("""SELECT count(*) AS n_held_out, true AS accurate FROM labels JOIN documents USING (doc_id)
+                                 WHERE doc_id % 5 = 0 AND toxic IS NOT NULL""", ()),
+        "judge_held_out": (_held_out(), ()),
         "align_predictions": (f"""
             SELECT p.pair_id, p.toxic AS x, r.text AS y_pred, p.neutral1 AS y_real
             FROM pairs p JOIN ({lexdel}) r USING (pair_id)""", ("pairs", "sentences", "sent_pos", "lexicon")),
         "bert_score": ("SELECT seq_id, kind, round(p, 6) AS p, round(r, 6) AS r, round(f1, 6) AS f1 FROM bert", ("bert",)),
         "reward_total": ("""SELECT seq_id, round(dtox, 6) + 0.0 AS dtox, round(dbert, 6) + 0.0 AS dbert,
                                    round(total_reward, 6) + 0.0 AS total_reward FROM rewards""", ("rewards",)),
-        "rl_loss": ("SELECT batch_id, round(rl_loss, 6) AS rl_loss FROM rl", ("rl",)),
+        "rl_loss": ("SELECT CAST(epoch AS BIGINT) AS epoch, batch_id, round(rl_loss, 6) AS rl_loss FROM rl", ("rl",)),
         "full_loss": ("""
-            SELECT m.batch_id, CAST(e.epoch AS BIGINT) AS epoch, round(m.ml_loss, 6) AS ml_loss,
+            SELECT m.batch_id, CAST(m.epoch AS BIGINT) AS epoch, round(m.ml_loss, 6) AS ml_loss,
                    round(coalesce(r.rl_loss, 0.0), 6) AS rl_loss,
-                   round(m.ml_loss + CASE WHEN e.epoch >= 100 THEN 0.5 * coalesce(r.rl_loss, 0.0) ELSE 0.0 END, 6) AS full_loss
-            FROM (SELECT b.batch_id, avg(g.ce) AS ml_loss FROM gold_ce g JOIN pair_batches b USING (pair_id) GROUP BY b.batch_id) m
-            CROSS JOIN (VALUES (99), (100)) e(epoch)
-            LEFT JOIN rl r ON r.batch_id = m.batch_id""", ("gold_ce", "pair_batches", "rl")),
+                   round(m.ml_loss + CASE WHEN m.epoch >= 100 THEN 0.5 * coalesce(r.rl_loss, 0.0) ELSE 0.0 END, 6) AS full_loss
+            FROM (SELECT b.epoch, b.batch_id, avg(g.ce) AS ml_loss FROM gold_ce_pad g JOIN train_batches b USING (pair_id)
+                  GROUP BY b.epoch, b.batch_id) m
+            LEFT JOIN rl r ON r.batch_id = m.batch_id AND r.epoch = m.epoch""", ("gold_ce_pad", "train_batches", "rl")),
         "stream_rewrite": (lexdel, ("sentences", "sent_pos", "lexicon")),
         "stream_running_loss": ("SELECT run_id, epoch, round(mean_loss, 6) AS mean_loss, n_batches FROM loss_means",
                                 ("loss_means",)),

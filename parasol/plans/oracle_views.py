@@ -20,7 +20,7 @@ VIEWS: list[tuple[str, tuple[str, ...], str]] = [
     SELECT doc_id, lang, unnest(parts) AS sentence, unnest(range(len(parts))) AS sent_ix
     FROM (SELECT doc_id, lang, regexp_split_to_array(text, '[.!?\n]+\s*') AS parts FROM documents)
   )
-  WHERE len(regexp_extract_all(lower(sentence), '[a-zß-ÿ]+')) BETWEEN 3 AND 36"""),
+  WHERE len(regexp_extract_all(lower(sentence), '[a-zß-ÿ]+')) >= 1"""),
     ("pairs", ("sentences",), f"""
   SELECT pair_id, lang,
          array_to_string(tokens, ' ') AS toxic,
@@ -29,6 +29,12 @@ VIEWS: list[tuple[str, tuple[str, ...], str]] = [
          array_to_string(list_filter(tokens, lambda t: t NOT IN ({_NOUNS}, {_ADJS})), ' ') AS hyp
   FROM sentences
   WHERE list_has_any(tokens, [{_NOUNS}, {_ADJS}])"""),
+    ("all_pairs", ("sentences",), f"""
+  SELECT pair_id, array_to_string(tokens, ' ') AS toxic,
+         array_to_string(list_transform(tokens, lambda t: CASE WHEN t IN ({_NOUNS}) THEN 'person'
+                                                               WHEN t IN ({_ADJS}) THEN 'poor' ELSE t END), ' ') AS neutral1,
+         array_to_string(list_filter(tokens, lambda t: t NOT IN ({_NOUNS}, {_ADJS})), ' ') AS hyp
+  FROM sentences"""),
     ("candidates", ("pairs",), f"""
   SELECT pair_id AS seq_id, 'greedy' AS kind, hyp AS text, neutral1 AS gold FROM pairs
   UNION ALL

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parasol.functions.mathx import softmax_long
+from parasol.functions.mathx import softmax_rows
 from parasol.functions.scorers import LexiconLogit, score_column
 from parasol.functions.text import attention_mask, ids_text, strip_special, tokenize
 from parasol.operators import bleu as B
@@ -145,10 +145,10 @@ def _pair_batches(spark, sf):
     return SP.eval_batches(_pairs(spark, sf).select("pair_id"), 16)
 
 
-def _pair_rows(spark, sf, sc):
+def _pair_rows(spark, sf, sc, parts=ME.PARTS):
     p = _pairs(spark, sf).select("pair_id", F.col("toxic").alias("x"), F.col("hyp").alias("y_pred"),
                                    F.col("neutral1").alias("y_real"))
-    return ME.row_scores(p, sc)
+    return ME.row_scores(p, sc, parts=parts)
 
 
 @memo
@@ -217,12 +217,20 @@ def q_strip_special(spark, sf):
 
 @register("length_gate")
 def q_length_gate(spark, sf):
-    s = D.sentences(spark, sf, min_tokens=1, max_tokens=10 ** 9)
+    s = D.sentences(spark, sf)
     ok, rej = ENC.encode(s, _vocab(spark, sf), "pair_id", {"input_ids": "tokens"}, overflow="reject")
     return ok.select("pair_id", F.lit("ok").alias("status")) \
         .unionByName(rej.select("pair_id", F.col("reason").alias("status")))
 
 
+@register("encode_rejects")
+def q_encode_rejects(spark, sf):
+    """P8 on pairs: the rows that don't fit, with the reason."""
+    _, rej = ENC.encode(_tok_pairs(spark, sf), _vocab(spark, sf), "pair_id",
+                        {"input_ids": "x_tokens", "detoxified_ids": "y_tokens"})
+    return rej.select("pair_id", "reason")
+
+
 @register("decode_text")
 def q_decode_text(spark, sf):
     return ENC.decode(_encoded(spark, sf), _vocab(spark, sf), "pair_id", "input_ids", "text")
@@ -258,7 +266,7 @@ def q_epoch_shuffle(spark, sf):
 @register("batch_assign")
 def q_batch_assign(spark, sf):
     return SP.batch_assign(_pairs(spark, sf).select("pair_id"), SPLIT_EPOCHS) \
-        .select("pair_id", "split", "epoch", "batch_id")
+        .select("pair_id", "split", "epoch", "batch_id", "step")
 
 
 @register("split_sizes")
@@ -271,13 +279,13 @@ def q_split_sizes(spark, sf):
 
 @register("char_bleu")
 def q_char_bleu(spark, sf):
-    b = B.bleu_rowlocal(_pairs(spark, sf), "pair_id", "hyp", "neutral1")
+    b = B.bleu_rowlocal(D.all_sentence_pairs(spark, sf), "pair_id", "hyp", "neutral1")
     return b.select("pair_id", r6("bleu").alias("bleu"))
 
 
 @register("word_bleu")
 def q_word_bleu(spark, sf):
-    b = B.bleu_relational(_pairs(spark, sf), "pair_id", "hyp", "neutral1", unit="word")
+    b = B.bleu_rowlocal(D.all_sentence_pairs(spark, sf), "pair_id", "hyp", "neutral1", unit="word")
     return b.select("pair_id", r6("bleu").alias("bleu"))
 
 
@@ -287,30 +295,30 @@ def q_char_bleu_rel(spark, sf):
     return b.select("pair_id", r6("bleu").alias("bleu"))
 
 
-def _pair_batch_metrics(spark, sf, sim_mode="batch"):
+def _pair_batch_metrics(spark, sf, sim_mode="batch", parts=ME.PARTS):
     sc = _scorers(spark, sf)
-    rows = _pair_rows(spark, sf, sc)
+    rows = _pair_rows(spark, sf, sc, parts)
     return ME.batch_metrics(rows, _pair_batches(spark, sf), sc.vectors.dim, group=("batch_id",), sim_mode=sim_mode)
 
 
 @register("style_accuracy")
 def q_style_accuracy(spark, sf):
-    return _pair_batch_metrics(spark, sf).select("batch_id", r6("sta").alias("sta"))
+    return _pair_batch_metrics(spark, sf, parts=("judges",)).select("batch_id", r6("sta").alias("sta"))
 
 
 @register("similarity_batch")
 def q_similarity_batch(spark, sf):
-    return _pair_batch_metrics(spark, sf, "batch").select("batch_id", r6("sim").alias("sim"))
+    return _pair_batch_metrics(spark, sf, "batch", ("vectors",)).select("batch_id", r6("sim").alias("sim"))
 
 
 @register("similarity_pair")
 def q_similarity_pair(spark, sf):
-    return _pair_batch_metrics(spark, sf, "pair").select("batch_id", r6("sim").alias("sim"))
+    return _pair_batch_metrics(spark, sf, "pair", ("vectors",)).select("batch_id", r6("sim").alias("sim"))
 
 
 @register("fluency")
 def q_fluency(spark, sf):
-    return _pair_batch_metrics(spark, sf).select("batch_id", r6("fl").alias("fl"))
+    return _pair_batch_metrics(spark, sf, parts=("judges",)).select("batch_id", r6("fl").alias("fl"))
 
 
 @register("batch_metrics")
@@ -319,32 +327,32 @@ def q_batch_metrics(spark, sf):
     return m.select("batch_id", "n_rows", *[r6(c).alias(c) for c in ME.METRICS])
 
 
-def _evaluate(spark, sf):
-    """Two runs (greedy and sampled candidates) over three epochs, each epoch
-    batching all candidates in a fresh seeded order; loss = mean token
-    cross-entropy of the prediction under the conversation bigram model."""
-    sc = _scorers(spark, sf)
-    p = _pairs(spark, sf).select("pair_id", "toxic")
-    cands = _candidates(spark, sf)
-    ev = cands.join(p, cands["seq_id"] == p["pair_id"]).select(
-        F.col("seq_id").alias("pair_id"), F.col("kind").alias("run_id"), F.col("toxic").alias("x"),
-        F.col("text").alias("y_pred"), F.col("gold").alias("y_real"))
-    rows = ME.row_scores(ev, sc, keys=("run_id",))
-    seqs, counts = _bigram(spark, sf)
-    v = DEC.vocab_size(seqs)
-    ce = DEC.token_cross_entropy(ev.select("pair_id", "run_id", tokenize("y_pred").alias("tokens"))
-                                 .withColumn("k", F.concat_ws(":", "run_id", "pair_id")),
-                                 counts, v, key="k").select("k", "ce")
-    rows = rows.withColumn("k", F.concat_ws(":", "run_id", "pair_id")).join(ce, "k").drop("k")
-    batches = SP.epoch_shuffle(ev.select("pair_id", "run_id"), EVAL_EPOCHS, partition_cols=("run_id",)) \
-        .withColumn("batch_id", SP.batch_of("epoch_rank", 16)).drop("epoch_rank")
-    return ME.evaluate(_batch_metrics_runs(rows, batches, sc))
+@memo
+def _val_batches(spark, sf):
+    """Evaluation batches: the validation split, unshuffled."""
+    return cut_lineage(SP.split_batches(_pairs(spark, sf).select("pair_id"), "val"))
 
 
-def _batch_metrics_runs(rows, batches, sc):
-    r = rows.withColumn("_k", F.concat_ws(":", "run_id", "pair_id")).drop("run_id", "pair_id")
-    b = batches.withColumn("_k", F.concat_ws(":", "run_id", "pair_id")).drop("pair_id")
-    return ME.batch_metrics(r, b, sc.vectors.dim, key="_k", group=("run_id", "epoch", "batch_id"), loss_col="ce")
+def _evaluate(spark, sf):
+    """Two runs over three epochs on the validation split, its batches
+    unshuffled. A run's rewriter knows nothing at epoch 0, the nouns at epoch 1
+    and all words at epoch 2, and deletes or replaces what it knows. Loss: mean
+    token cross-entropy of the gold target, pads counted, under the
+    conversation bigram model."""
+    sc = _scorers(spark, sf)
+    b = _val_batches(spark, sf)
+    p = _pairs(spark, sf).join(b.select("pair_id"), "pair_id", "left_semi")
+    nouns, adjs = (F.array(*[F.lit(w) for w in x]) for x in (D.NOUNS, D.ADJECTIVES))
+    toks = F.split("toxic", " ")
+    to_person = F.transform(toks, lambda t: F.when(F.array_contains(nouns, t), F.lit(D.NOUN_TARGET)).otherwise(t))
+    without = F.filter(toks, lambda t: ~F.array_contains(nouns, t))
+    made = [("delete", 0, F.col("toxic")), ("delete", 1, F.array_join(without, " ")), ("delete", 2, F.col("hyp")),
+            ("replace", 0, F.col("toxic")), ("replace", 1, F.array_join(to_person, " ")), ("replace", 2, F.col("neutral1"))]
+    ev = p.select("pair_id", F.col("toxic").alias("x"), F.col("neutral1").alias("y_real"), F.explode(F.array(*[
+        F.struct(F.lit(r).alias("run_id"), F.lit(e).alias("epoch"), y.alias("y_pred")) for r, e, y in made])).alias("m")) \
+        .select("pair_id", "x", "y_real", "m.run_id", "m.epoch", "m.y_pred")
+    rows = ME.row_scores(ev, sc, keys=("run_id", "epoch")).join(_gold_ce(spark, sf, count_pad=True).select("pair_id", "ce"), "pair_id")
+    return ME.evaluate(ME.batch_metrics(rows, b, sc.vectors.dim, loss_col="ce"))
 
 
 @register("evaluate")
@@ -397,7 +405,7 @@ def q_mean_loss(spark, sf):
 
 @register("toxicity_judge")
 def q_toxicity_judge(spark, sf):
-    p = _pairs(spark, sf).select("pair_id", tokenize("toxic").alias("xt"), tokenize("hyp").alias("yt"))
+    p = D.all_sentence_pairs(spark, sf).select("pair_id", tokenize("toxic").alias("xt"), tokenize("hyp").alias("yt"))
     s = JU.score_tokens(p, "pair_id", {"p_toxic_x": "xt", "p_toxic_hyp": "yt"}, _tox_model(spark, sf))
     return s.select("pair_id", r6("p_toxic_x").alias("p_toxic_x"), r6("p_toxic_hyp").alias("p_toxic_hyp"))
 
@@ -427,7 +435,7 @@ def q_judge_distribution(spark, sf):
 
 @register("fluency_judge")
 def q_fluency_judge(spark, sf):
-    p = _pairs(spark, sf).select("pair_id", tokenize("hyp").alias("yt"))
+    p = D.all_sentence_pairs(spark, sf).select("pair_id", tokenize("hyp").alias("yt"))
     s = JU.score_tokens(p, "pair_id", {"p_fluent": "yt"}, _flu_model(spark, sf))
     return s.select("pair_id", r6("p_fluent").alias("p_fluent"), JU.fluency_label(F.col("p_fluent")).alias("label"))
 
@@ -469,11 +477,9 @@ def q_rewrite_replace(spark, sf):
 @register("numpy_scorer")
 def q_numpy_scorer(spark, sf):
     lex = _lexicon(spark, sf)
-    rows = lex.select("token", "lo").limit(RE.INLINE_MAX + 1).collect()
-    if len(rows) > RE.INLINE_MAX:
-        raise ValueError("lexicon too large for an in-worker scorer")
-    scorer = LexiconLogit({r["token"]: r["lo"] for r in rows}, LEXICON_BIAS)
-    p = _pairs(spark, sf).select("pair_id", "toxic")
+    # the lexicon has a proven bound (see detox_lexicon), so each worker can hold it
+    scorer = LexiconLogit({r["token"]: r["lo"] for r in lex.select("token", "lo").collect()}, LEXICON_BIAS)
+    p = D.all_sentence_pairs(spark, sf).select("pair_id", "toxic")
     return p.select("pair_id", r6(score_column("toxic", scorer)).alias("p_lexicon"))
 
 
@@ -497,7 +503,7 @@ def q_bigram_softmax(spark, sf):
     """M1 long form: softmax of ln(count) logits over each context."""
     _, counts = _bigram(spark, sf)
     lg = counts.withColumn("logit", F.ln("n"))
-    return lg.select("ctx", "token", r6(softmax_long("logit", "ctx")).alias("prob"))
+    return softmax_rows(lg, "logit", "ctx").select("ctx", "token", r6("prob").alias("prob"))
 
 
 @register("greedy_decode")
@@ -519,11 +525,11 @@ def q_seq_logprob(spark, sf):
     return lp.select("seq_id", r6("sum_log").alias("sum_log"))
 
 
-def _gold_ce(spark, sf):
+def _gold_ce(spark, sf, count_pad=False):
     seqs, counts = _bigram(spark, sf)
     v = DEC.vocab_size(seqs)
     g = _pairs(spark, sf).select("pair_id", F.split("neutral1", " ").alias("tokens"))
-    return DEC.token_cross_entropy(g, counts, v, key="pair_id")
+    return DEC.token_cross_entropy(g, counts, v, key="pair_id", count_pad=count_pad, max_length=38)
 
 
 @register("token_cross_entropy")
@@ -535,10 +541,7 @@ def q_token_ce(spark, sf):
 @register("token_cross_entropy_pad")
 def q_token_ce_pad(spark, sf):
     """A10 with padded targets counted (labels passed unmasked)."""
-    seqs, counts = _bigram(spark, sf)
-    v = DEC.vocab_size(seqs)
-    g = _pairs(spark, sf).select("pair_id", F.split("neutral1", " ").alias("tokens"))
-    ce = DEC.token_cross_entropy(g, counts, v, key="pair_id", count_pad=True, max_length=38)
+    ce = _gold_ce(spark, sf, count_pad=True)
     return ce.select("pair_id", "n_pos", r6("ce").alias("ce"), r6("ppl").alias("ppl"))
 
 
@@ -553,24 +556,73 @@ def q_align(spark, sf):
     return aligned.select("pair_id", "x", "y_pred", "y_real")
 
 
+@register("align_unmatched")
+def q_align_unmatched(spark, sf):
+    """Sentences without a gold row, with the sides that have them."""
+    x = D.sentences(spark, sf).select("pair_id")
+    _, unmatched = ME.align(x, x, _pairs(spark, sf).select("pair_id"))
+    return unmatched.select("pair_id", "in_x", "in_y_pred", "in_y_real")
+
+
+ML_LEAST_ACCURACY = 0.85
+
+
 @register("toxicity_judge_ml")
 def q_toxicity_judge_ml(spark, sf):
-    """R1 alternative with Spark ML, saved and restored as a PipelineModel."""
+    """R1 alternative with Spark ML, saved and restored as a PipelineModel
+    (S6): held-out documents (every fifth id), and whether enough of their
+    labels are told right."""
     from pyspark.ml import PipelineModel
-    model = JU.fit_ml_judge(_docs(spark, sf), _labels(spark, sf))
+    held = F.col("doc_id") % 5 == 0
+    labels = _labels(spark, sf)
+    model = JU.fit_ml_judge(_docs(spark, sf), labels.where(~held))
     path = scratch_dir(spark, "ml-judge")
     model.write().overwrite().save(path)
-    back = PipelineModel.load(path)
-    p = _pairs(spark, sf).select("pair_id", "hyp")
-    return JU.score_ml_judge(back, p, "hyp", "p_toxic").select("pair_id", r6("p_toxic").alias("p_toxic"))
+    rows = labels.where(held & F.col("toxic").isNotNull()).join(_docs(spark, sf).select("doc_id", "text"), "doc_id")
+    scored = JU.score_ml_judge(PipelineModel.load(path), rows, "text", "p_toxic")
+    return scored.agg(F.count(F.lit(1)).alias("n_held_out"), (F.avg(((F.col("p_toxic") >= 0.5).cast("int") == F.col(
+        "toxic")).cast("double")) >= ML_LEAST_ACCURACY).alias("accurate"))
+
+
+@register("judge_held_out")
+def q_judge_held_out(spark, sf):
+    """R1 on held-out documents (every fifth id): the naive Bayes judge's counts
+    of right and wrong labels."""
+    held = F.col("doc_id") % 5 == 0
+    labels = _labels(spark, sf)
+    model = JU.fit_nb(_docs(spark, sf), labels.where(~held), "toxic")
+    rows = JU.labelled_tokens(_docs(spark, sf), labels.where(held), "toxic")
+    s = JU.score_tokens(rows, ["doc_id", "y"], {"p": "tokens"}, model)
+    return s.groupBy("y", (F.col("p") >= 0.5).alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # ---------------------------------------------------------------- A11 to A15: rewards
 
+@memo
+def _drawn(spark, sf):
+    """R7 and R8 on the training split: for every pair the greedy and the
+    sampled choice at each position of its gold text under the bigram model of
+    all gold texts, as texts, and log probabilities of the samples."""
+    train = SP.random_split(_pairs(spark, sf).select("pair_id")).where(F.col("split") == "train").select("pair_id")
+    gold = _pairs(spark, sf).select(F.col("pair_id").alias("seq_id"), F.col("neutral1").alias("gold"),
+                                    F.split("neutral1", " ").alias("tokens"))
+    counts = cut_lineage(DEC.bigram_counts(gold))
+    mine = gold.join(train.select(F.col("pair_id").alias("seq_id")), "seq_id", "left_semi")
+    texts, draws = DEC.decoded_candidates(mine, counts)
+    texts = cut_lineage(texts.join(mine.select("seq_id", "gold"), "seq_id"))
+    logs = mine.select("seq_id").join(DEC.sequence_logprob(draws), "seq_id", "left").fillna({"sum_log": 0.0})
+    return texts, logs
+
+
+@register("decoded_candidates")
+def q_decoded_candidates(spark, sf):
+    return _drawn(spark, sf)[0].select("seq_id", "kind", "text")
+
+
 def _rewards(spark, sf):
-    c = _candidates(spark, sf)
-    tv = _tv(spark, sf)
-    bs = RW.bert_score(c, tv)
+    """A11 to A13 on the drawn texts, judged and matched."""
+    c = _drawn(spark, sf)[0]
+    bs = RW.bert_score(c, _tv(spark, sf))
     tox = JU.score_tokens(c.select("seq_id", "kind", tokenize("text").alias("t")), ["seq_id", "kind"],
                           {"p": "t"}, _tox_model(spark, sf)).select("seq_id", "kind", JU.politeness(F.col("p")).alias("tox"))
     return RW.reward_differences(bs.join(tox, ["seq_id", "kind"]))
@@ -589,31 +641,26 @@ def q_reward_total(spark, sf):
                     r6("total_reward").alias("total_reward"))
 
 
-def _sampled_logprob(spark, sf):
-    seqs, counts = _bigram(spark, sf)
-    v = DEC.vocab_size(seqs)
-    s = _candidates(spark, sf).where(F.col("kind") == "sampled").select("seq_id", tokenize("text").alias("tokens"))
-    lp = DEC.smoothed_logprob(s, counts, v, "seq_id", "tokens")
-    return s.select("seq_id").join(lp.groupBy("seq_id").agg(F.sum("logp").alias("sum_log")), "seq_id", "left") \
-        .fillna({"sum_log": 0.0})
+def _train_batches(spark, sf):
+    """Batches of 16 of the training split, shuffled anew for each epoch."""
+    s = SP.batch_assign(_pairs(spark, sf).select("pair_id"), FULL_LOSS_EPOCHS).where(F.col("split") == "train")
+    return s.select(F.col("pair_id").alias("seq_id"), "epoch", "batch_id")
 
 
-def _seq_batches(spark, sf):
-    return _pair_batches(spark, sf).withColumnRenamed("pair_id", "seq_id")
+def _rl(spark, sf):
+    return RW.rl_loss(_rewards(spark, sf), _drawn(spark, sf)[1], _train_batches(spark, sf), group=("epoch", "batch_id"))
 
 
 @register("rl_loss")
 def q_rl_loss(spark, sf):
-    rl = RW.rl_loss(_rewards(spark, sf), _sampled_logprob(spark, sf), _seq_batches(spark, sf))
-    return rl.select("batch_id", r6("rl_loss").alias("rl_loss"))
+    return _rl(spark, sf).select("epoch", "batch_id", r6("rl_loss").alias("rl_loss"))
 
 
 @register("full_loss")
 def q_full_loss(spark, sf):
-    ml = _gold_ce(spark, sf).join(_pair_batches(spark, sf), "pair_id").groupBy("batch_id") \
-        .agg(F.avg("ce").alias("ml_loss"))
-    rl = RW.rl_loss(_rewards(spark, sf), _sampled_logprob(spark, sf), _seq_batches(spark, sf))
-    f = RW.full_loss(ml, rl, FULL_LOSS_EPOCHS)
+    ml = _gold_ce(spark, sf, count_pad=True).withColumnRenamed("pair_id", "seq_id").join(
+        _train_batches(spark, sf), "seq_id").groupBy("epoch", "batch_id").agg(F.avg("ce").alias("ml_loss"))
+    f = RW.full_loss(ml, _rl(spark, sf), group=("epoch", "batch_id"))
     return f.select("batch_id", "epoch", r6("ml_loss").alias("ml_loss"), r6("rl_loss").alias("rl_loss"),
                     r6("full_loss").alias("full_loss"))
 

@@ -7,7 +7,6 @@ the session has none (local tests) do we create one and set it.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -38,13 +37,17 @@ def get_spark(master: str = "local[8]", shuffle_partitions: int = 8,
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The session's shared checkpoint folder; set one only if unset."""
+    """The session's shared checkpoint folder; set one only if unset, and only
+    where driver and executors are one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root and not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(root)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="parasol-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
@@ -52,12 +55,9 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh, unique folder under the shared checkpoint root."""
-    root = checkpoint_root(spark)
-    path = f"{root}/parasol-{name}-{uuid.uuid4().hex[:12]}"
-    if "://" not in path or path.startswith("file:"):
-        os.makedirs(path.replace("file:", ""), exist_ok=True)
-    return path
+    """A fresh, unique path under the shared checkpoint root; Spark's writers
+    make the folder."""
+    return f"{checkpoint_root(spark)}/parasol-{name}-{uuid.uuid4().hex[:12]}"
 
 
 def cut_lineage(df, spark: SparkSession | None = None, name: str = "table"):

@@ -14,39 +14,51 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parasol.functions.text import tokenize
-from parasol.operators.rewrite import INLINE_MAX, delete_words, delete_words_udf, replace_words
+from parasol.operators.rewrite import INLINE_MAX, delete_words, delete_words_udf, replace_words, replace_words_udf
 
 SENTENCE_SCHEMA = T.StructType([T.StructField("pair_id", T.LongType()), T.StructField("text", T.StringType())])
 LOSS_SCHEMA = T.StructType([T.StructField("run_id", T.LongType()), T.StructField("epoch", T.LongType()),
                             T.StructField("batch_id", T.LongType()), T.StructField("loss", T.DoubleType())])
 
 
+AVAILABLE = {"availableNow": True}
+
+
+def _finished(query, trigger: dict | None):
+    """Wait for a query that ends by itself; leave an unbounded one running."""
+    if trigger is None or trigger.get("availableNow") or trigger.get("once"):
+        query.awaitTermination()
+    return query
+
+
 def rewrite_stream(spark: SparkSession, source: str, sink: str, checkpoint: str, words=None, mapping=None,
-                   max_files_per_trigger: int = 1, schema: T.StructType = SENTENCE_SCHEMA):
+                   max_files_per_trigger: int = 1, schema: T.StructType = SENTENCE_SCHEMA,
+                   trigger: dict | None = None):
     """Rewrite a stream of sentences; empty rows are dropped, not an end marker.
 
-    Uses ``trigger(availableNow=True)``: all files present are processed in
-    micro-batches of ``max_files_per_trigger`` files, then the query stops.
-    Returns the finished query.
+    ``trigger`` holds the arguments of ``DataStreamWriter.trigger``. Without
+    one, all files present are processed in micro-batches of
+    ``max_files_per_trigger`` files and the finished query is returned; with
+    another one (such as ``{"processingTime": "10 seconds"}``) the query is
+    returned running and goes on until it is stopped.
     """
     s = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(source)
     s = s.where(F.col("text").isNotNull() & (F.trim("text") != ""))
     toks = tokenize("text")
     if mapping:
-        toks = replace_words(toks, mapping)
+        toks = replace_words(toks, mapping) if len(mapping) <= INLINE_MAX else replace_words_udf(mapping)(toks)
     if words:
         words = list(words)
         toks = delete_words(toks, words) if len(words) <= INLINE_MAX else delete_words_udf(words)(toks)
     out = s.select("pair_id", F.array_join(toks, " ").alias("rewritten"))
     q = out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint) \
-        .outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return q
+        .outputMode("append").trigger(**(trigger or AVAILABLE)).start()
+    return _finished(q, trigger)
 
 
 def running_loss_stream(spark: SparkSession, source: str, sink: str, checkpoint: str,
                         max_files_per_trigger: int = 1, schema: T.StructType = LOSS_SCHEMA,
-                        output_mode: str = "update"):
+                        output_mode: str = "update", trigger: dict | None = None):
     """Running mean loss per (run_id, epoch) over incoming batches.
 
     No event time exists, so there is no watermark; the state holds one row
@@ -69,9 +81,8 @@ def running_loss_stream(spark: SparkSession, source: str, sink: str, checkpoint:
 
     q = agg.writeStream.outputMode(output_mode).option("checkpointLocation", checkpoint) \
         .foreachBatch(write_updates if output_mode == "update" else write_state) \
-        .trigger(availableNow=True).start()
-    q.awaitTermination()
-    return q
+        .trigger(**(trigger or AVAILABLE)).start()
+    return _finished(q, trigger)
 
 
 def read_running_state(spark: SparkSession, sink: str) -> DataFrame:

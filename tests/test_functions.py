@@ -63,7 +63,3 @@ def test_char_ngrams(spark):
 
 def test_tokenize(spark):
     assert one(spark, T.tokenize(F.lit("Éidiot idiot, Straße 42!"))) == ["éidiot", "idiot", "straße"]
-
-
-def test_format4(spark):
-    assert one(spark, T.format4(F.lit(0.5))) == "0.5000"

@@ -1,6 +1,6 @@
 """Design rules checked on every registered query's physical plan."""
 
-import __spark_entry__ as E
+from parasol.plans.queries import queries
 
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython")
 # these run their work while being built (stream, model fit) and return a plain parquet read
@@ -9,7 +9,7 @@ SKIP = {"stream_rewrite", "stream_running_loss", "toxicity_judge_ml"}
 
 def test_no_cartesian_nested_loop_or_row_python(spark, sf):
     bad = {}
-    for name, q in E.queries().items():
+    for name, q in queries().items():
         if name in SKIP:
             continue
         plan = q(spark, sf)._jdf.queryExecution().executedPlan().toString()
@@ -17,3 +17,12 @@ def test_no_cartesian_nested_loop_or_row_python(spark, sf):
         if hits:
             bad[name] = hits
     assert bad == {}
+
+
+def test_metrics_plan_only_what_is_asked(spark, sf):
+    def plan(name):
+        return queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    for name in ("style_accuracy", "fluency", "similarity_batch", "similarity_pair"):
+        assert "MapInPandas" not in plan(name) and "MapInArrow" not in plan(name), name
+    match = plan("bert_score")
+    assert "Exchange" not in match and "ArrowEvalPython" in match
