@@ -66,6 +66,7 @@ LIST_WORDS = 20_000
 MAX_HEAD = 1 << 19
 #: words whose bits are expanded at once
 STEP = 1 << 15
+COUNT_STEP = 1 << 18
 PRIOR = 0.4
 LEAST_SEEN = np.array([3, 30])
 RATE = 0.008
@@ -140,10 +141,10 @@ def _log_odds(counts: np.ndarray) -> np.ndarray:
 
 def _look(tables: list[np.ndarray], slots: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
     """Each predictor's log odds, and the gate: how much each has seen."""
-    found, gate = [], np.zeros(len(slots[0]), np.int32)
+    found, gate = [], np.zeros(len(slots[0]), np.intp)
     for table, s in zip(tables, slots, strict=True):
         odds = table[s]
-        gate *= np.int32(3)
+        gate *= 3
         gate += (odds.view(np.uint32) & np.uint32(3)).view(np.int32)
         found.append(odds)
     return found, gate
@@ -156,16 +157,12 @@ class Mixer:
         self.weights = np.full((gates, predictors), 0.3, np.float32)
         self.cells = np.tile(np.linspace(-LIMIT, LIMIT, CELLS + 1, dtype=np.float32), (gates, 1))
 
-    def refined(self, z: np.ndarray, gate: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Mixed log odds and their refinement in equal parts; the cell and
-        the place within it."""
-        z = np.clip(z, -LIMIT + 1e-3, LIMIT - 1e-3)
-        place = (z + np.float32(LIMIT)) * np.float32(CELLS / (2 * LIMIT))
-        cell = place.astype(np.int32)
-        part = place - cell
-        cell += gate * np.int32(CELLS + 1)
-        flat = self.cells.ravel()
-        return (z + flat[cell] * (1 - part) + flat[cell + 1] * part) / 2, cell, part
+    def refined(self, z: np.ndarray, gate: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Mixed log odds and their refinement in equal parts; the cell."""
+        cell = ((np.clip(z, -LIMIT, LIMIT) + np.float32(LIMIT)) * np.float32(CELLS / (2 * LIMIT))
+                + np.float32(0.5)).astype(np.intp)
+        cell += gate * (CELLS + 1)
+        return (z + self.cells.ravel()[cell]) * np.float32(0.5), cell
 
 
 def _outcome(z: np.ndarray, bit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -184,7 +181,7 @@ def fit_mixer(mixer: Mixer, batches: Iterator[tuple[list[np.ndarray], np.ndarray
     total = 0.0
     for inputs, gate, bit, times in batches:
         z = sum(mixer.weights[gate, i] * x for i, x in enumerate(inputs))
-        final, cell, part = mixer.refined(z, gate)
+        final, cell = mixer.refined(z, gate)
         total += float(times.sum())
         miss = _outcome(z, bit)[1] * times
         for i, x in enumerate(inputs):
@@ -192,8 +189,7 @@ def fit_mixer(mixer: Mixer, batches: Iterator[tuple[list[np.ndarray], np.ndarray
             seen_w[:, i] += g * g
             mixer.weights[:, i] += 5 * FIT_RATE * g / np.sqrt(seen_w[:, i])
         miss = _outcome(final, bit)[1] * times
-        g = (np.bincount(cell, weights=miss * (1 - part), minlength=len(seen_c))
-             + np.bincount(cell + 1, weights=miss * part, minlength=len(seen_c)))
+        g = np.bincount(cell, weights=miss, minlength=len(seen_c))
         seen_c += g * g
         mixer.cells += (5 * FIT_RATE * g / np.sqrt(seen_c)).reshape(mixer.cells.shape)
     return total
@@ -304,10 +300,10 @@ class Phrasing:
     def count(self, symbols: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> None:
         """Add the outcomes of all bits to the tables' counts."""
         contexts = self.contexts(symbols, offsets)
-        for i in range(0, len(symbols), STEP):
-            of, node, bit = self.tree.expand(symbols[i:i + STEP])
-            for k, s in enumerate(self.slots([c[i:i + STEP] for c in contexts], of, node)):
-                np.add.at(table[k], s * np.uint32(2) + bit, np.uint32(1))
+        for i in range(0, len(symbols), COUNT_STEP):
+            of, node, bit = self.tree.expand(symbols[i:i + COUNT_STEP])
+            for k, s in enumerate(self.slots([c[i:i + COUNT_STEP] for c in contexts], of, node)):
+                table[k] += np.bincount(s * np.uint32(2) + bit, minlength=table.shape[1]).astype(np.uint32)
 
     def inputs(self, contexts: list[np.ndarray], of: np.ndarray, node: np.ndarray):
         found, gate = _look(self.odds, self.slots(contexts, of, node))
@@ -515,7 +511,8 @@ def _spelling(counts: DataFrame, vocabulary: list) -> Spelling:
                 times = times[own]
                 for word, slots, bit in sent.value.bits_of(batch.column("word").take(pa.array(own))):
                     for k, s in enumerate(slots):
-                        np.add.at(tables[p][k], s * np.uint32(2) + bit, times[word])
+                        tables[p][k] += np.bincount(s * np.uint32(2) + bit, weights=times[word],
+                                                    minlength=tables[p].shape[1]).astype(np.uint32)
         yield from _slices(tables)
 
     tables = _summed(rare.mapInArrow(count, TABLE), Spelling.KINDS, BYTE_BITS)
@@ -570,7 +567,7 @@ def score(documents: DataFrame, max_vocabulary: int = MAX_VOCABULARY, max_bits:
     vocabulary = (in_training.orderBy(F.desc(F.col("n") + F.col("m")), "word").limit(max_vocabulary).collect())
     size = len(vocabulary)
     ranks = F.broadcast(spark.createDataFrame([(r["word"], i) for i, r in enumerate(vocabulary)], "word string, rank int"))
-    counts = stored(counted.join(ranks, "word", "left"), "lm-ranked")
+    counts = counted.join(ranks, "word", "left")
     spelling = _spelling(counts, vocabulary)
 
     # the tree of words, and what its nodes have seen
