@@ -9,6 +9,8 @@ aggregation, fixed-size state) instead of collecting vectors.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,15 @@ from parasol.functions.mathx import md5_int
 BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 
 
+def _mean_by_ids(matrix):
+    @F.pandas_udf("array<double>")
+    def mean(ids: pd.Series) -> pd.Series:
+        vectors = matrix.value
+        return ids.map(lambda x: vectors[np.asarray(x)].mean(axis=0) if x is not None and len(x) else None)
+
+    return mean
+
+
 class TokenVectors:
     """The md5 token-to-row rule over an embeddings table."""
 
@@ -36,16 +47,26 @@ class TokenVectors:
         self.small = self.n * self.dim * 8 <= BROADCAST_MAX_BYTES
         self.table = F.broadcast(tab) if self.small else tab
         self.unit_table = F.broadcast(unit) if self.small else unit
-        self._unit = unit
+        self._raw, self._unit, self._mean = tab, unit, None
 
     def unit_matrix(self):
         """The unit vectors by row number, for tables of a small size only."""
         if not self.small:
             raise ValueError("the table is too large to be sent to every task")
-        import numpy as np
-        rows = self._unit.toArrow().sort_by("vec_id")
+        return self._matrix(self._unit)
+
+    def _matrix(self, table: DataFrame):
+        rows = table.toArrow().sort_by("vec_id")
         return np.array(rows.column("vector").to_pylist(), dtype="float64").reshape(self.n, -1)
 
+    def mean_column(self, tokens) -> F.Column:
+        """Mean vector of a token array as a column, for tables of a small size:
+        the row turns its tokens into row numbers and averages in place; null
+        for an empty array."""
+        if self._mean is None:
+            self._mean = _mean_by_ids(self._unit.sparkSession.sparkContext.broadcast(self._matrix(self._raw)))
+        return self._mean(F.transform(tokens, self.vec_id))
+
     def vec_id(self, token) -> F.Column:
         return F.pmod(md5_int(token), F.lit(self.n)).cast("bigint")
 
@@ -83,9 +104,11 @@ def mean_vector_finish(dim: int, prefix: str) -> F.Column:
 def sentence_embeddings(df: DataFrame, key: str, tokens_cols: dict, tv: TokenVectors) -> DataFrame:
     """Mean token vector per row and side (NULL for an empty side).
 
-    One explode, one lookup join and one group-by for all sides: per side D
+    With a small table, in place. Otherwise one explode, one lookup join and one group-by for all sides: per side D
     conditional sums and a count.
     """
+    if tv.small:
+        return df.select(key, *[tv.mean_column(F.col(c)).alias(out) for out, c in tokens_cols.items()])
     parts = [F.struct(F.lit(out).alias("side"), F.col(c).alias("toks")) for out, c in tokens_cols.items()]
     e = df.select(key, F.explode(F.array(*parts)).alias("s")) \
         .select(key, "s.side", F.explode_outer("s.toks").alias("token"))

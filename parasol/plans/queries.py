@@ -154,7 +154,7 @@ def _pair_rows(spark, sf, sc, parts=ME.PARTS):
 @memo
 def _bigram(spark, sf):
     seqs = D.turn_token_arrays(spark, sf)
-    return seqs, DEC.bigram_counts(seqs)
+    return seqs, cut_lineage(DEC.bigram_counts(seqs))   # several branches read the counts
 
 
 # ---------------------------------------------------------------- S: sources and sinks
