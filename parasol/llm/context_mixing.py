@@ -9,7 +9,7 @@ training texts, in tables reached by a hash of context and node:
 
 * words: the node alone; the word before, if it is frequent; the last very
   frequent word, which tells the language;
-* bytes: the last two, three, four and five bytes of the word; all of its
+* bytes: the last three, four and five bytes of the word; all of its
   bytes so far.
 
 The predictors' log odds are summed with weights. A gate, made of how much
@@ -65,8 +65,7 @@ LIST_WORDS = 20_000
 #: words whose counts and costs are sent to every task; the others' meet their blocks by a join
 MAX_HEAD = 1 << 19
 #: words whose bits are expanded at once
-STEP = 1 << 15
-COUNT_STEP = 1 << 18
+STEP = 1 << 13
 PRIOR = 0.4
 LEAST_SEEN = np.array([3, 30])
 RATE = 0.008
@@ -103,16 +102,16 @@ class Tree:
             paths.append(path[::-1])
             bits.append(bit[::-1])
         self.length = np.array([len(p) for p in paths], dtype=np.int32)
-        self.start = np.concatenate([[0], np.cumsum(self.length)[:-1]]).astype(np.int32)
+        self.start = np.concatenate([[0], np.cumsum(self.length)[:-1]])
         self.node = np.array([x for p in paths for x in p], dtype=np.uint32)
         self.bit = np.array([x for b in bits for x in b], dtype=np.uint8)
 
     def expand(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For all bits of the symbols: which symbol, node, bit."""
         n = self.length[symbols]
-        of = np.repeat(np.arange(len(symbols), dtype=np.int32), n)
-        first = (self.start[symbols] - (np.cumsum(n, dtype=np.int32) - n))
-        at = np.repeat(first, n) + np.arange(len(of), dtype=np.int32)
+        of = np.repeat(np.arange(len(symbols)), n)
+        at = (self.start[symbols] - (np.cumsum(n) - n))[of]
+        at += np.arange(len(of))
         return of, self.node[at], self.bit[at]
 
 
@@ -168,8 +167,17 @@ class Mixer:
 def _outcome(z: np.ndarray, bit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bits that the outcome costs at these log odds, and the outcome less
     its expectation."""
-    p = np.float32(1) / (np.float32(1) + np.exp(np.where(bit, -z, z)))  # of what happened
-    return np.log2(p) * np.float32(-1), np.where(bit, 1 - p, p - 1)
+    sign = bit.astype(np.float32)
+    sign *= np.float32(2)
+    sign -= np.float32(1)
+    wrong = np.exp(-sign * z)
+    wrong += np.float32(1)
+    cost = np.log2(wrong)
+    # what did not happen had 1 - 1 / wrong
+    np.reciprocal(wrong, out=wrong)
+    np.subtract(np.float32(1), wrong, out=wrong)
+    wrong *= sign
+    return cost, wrong
 
 
 def fit_mixer(mixer: Mixer, batches: Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]]) -> float:
@@ -203,7 +211,7 @@ END_OF_WORD = 256
 class Spelling:
     """The byte model: costs of words outside the vocabulary."""
 
-    ORDERS = (2, 3, 4, 5)
+    ORDERS = (3, 4, 5)
     KINDS = len(ORDERS) + 1
 
     def __init__(self, tree: Tree):
@@ -300,10 +308,10 @@ class Phrasing:
     def count(self, symbols: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> None:
         """Add the outcomes of all bits to the tables' counts."""
         contexts = self.contexts(symbols, offsets)
-        for i in range(0, len(symbols), COUNT_STEP):
-            of, node, bit = self.tree.expand(symbols[i:i + COUNT_STEP])
-            for k, s in enumerate(self.slots([c[i:i + COUNT_STEP] for c in contexts], of, node)):
-                table[k] += np.bincount(s * np.uint32(2) + bit, minlength=table.shape[1]).astype(np.uint32)
+        for i in range(0, len(symbols), STEP):
+            of, node, bit = self.tree.expand(symbols[i:i + STEP])
+            for k, s in enumerate(self.slots([c[i:i + STEP] for c in contexts], of, node)):
+                np.add.at(table[k], s * np.uint32(2) + bit, np.uint32(1))
 
     def inputs(self, contexts: list[np.ndarray], of: np.ndarray, node: np.ndarray):
         found, gate = _look(self.odds, self.slots(contexts, of, node))
@@ -511,8 +519,7 @@ def _spelling(counts: DataFrame, vocabulary: list) -> Spelling:
                 times = times[own]
                 for word, slots, bit in sent.value.bits_of(batch.column("word").take(pa.array(own))):
                     for k, s in enumerate(slots):
-                        tables[p][k] += np.bincount(s * np.uint32(2) + bit, weights=times[word],
-                                                    minlength=tables[p].shape[1]).astype(np.uint32)
+                        np.add.at(tables[p][k], s * np.uint32(2) + bit, times[word])
         yield from _slices(tables)
 
     tables = _summed(rare.mapInArrow(count, TABLE), Spelling.KINDS, BYTE_BITS)
