@@ -36,7 +36,6 @@ result; other columns are not read.
 from __future__ import annotations
 
 import heapq
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -396,6 +395,8 @@ def _encode(documents: DataFrame) -> DataFrame:
                          pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()),
                          pa.array([i], pa.int32()), *lists], names=names)
                 number += 1
+                del ends, codes, uniques, of, n, m, cut, lists
+                pa.default_memory_pool().release_unused()
 
     return documents.select(
         "doc_id", "text", fold(F.col("doc_id"), FOLDS).cast("int").alias("fold"),
@@ -447,23 +448,23 @@ TABLE = "part int, kind int, slice int, counts binary"
 def _packed(counts: np.ndarray) -> bytes:
     """Counts in as many bytes as the largest needs, compressed."""
     size = 1 if counts.max() < 1 << 8 else 2 if counts.max() < 1 << 16 else 4
-    return bytes([size]) + zlib.compress(counts.astype(f"<u{size}").tobytes(), 1)
+    return bytes([size]) + pa.compress(counts.astype(f"<u{size}").tobytes(), codec="zstd", asbytes=True)
 
 
 def _unpacked(packed: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(packed[1:]), f"<u{packed[0]}")
+    size = packed[0]
+    return np.frombuffer(pa.decompress(packed[1:], decompressed_size=SLICE * size, codec="zstd", asbytes=True), f"<u{size}")
 
 
-def _slices(tables: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Rows of a task's tables: those parts of them that counted anything."""
-    for part, table in tables.items():
-        for k, row in enumerate(table):
-            for i in range(0, len(row), SLICE):
-                piece = row[i:i + SLICE]
-                if piece.any():
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([part], pa.int32()), pa.array([k], pa.int32()), pa.array([i // SLICE], pa.int32()),
-                         pa.array([_packed(piece)], pa.binary())], names=["part", "kind", "slice", "counts"])
+def _slices(part: int, table: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of a task's table: those parts of it that counted anything."""
+    for k, row in enumerate(table):
+        for i in range(0, len(row), SLICE):
+            piece = row[i:i + SLICE]
+            if piece.any():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part], pa.int32()), pa.array([k], pa.int32()), pa.array([i // SLICE], pa.int32()),
+                     pa.array([_packed(piece)], pa.binary())], names=["part", "kind", "slice", "counts"])
 
 
 def _summed(rows: DataFrame, kinds: int, bits: int) -> dict[int, np.ndarray]:
@@ -510,19 +511,21 @@ def _spelling(counts: DataFrame, vocabulary: list) -> Spelling:
     sent = spark.sparkContext.broadcast(model)
     rare = counts.filter("rank IS NULL AND n + m > 0").select("word", "n", "m")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = {p: np.zeros((Spelling.KINDS, 2 << BYTE_BITS), np.uint32) for p in (0, 1)}
-        for batch in batches:
-            for p, c in enumerate("nm"):
-                times = batch.column(c).to_numpy().astype(np.uint32)
-                own = np.flatnonzero(times)
-                times = times[own]
-                for word, slots, bit in sent.value.bits_of(batch.column("word").take(pa.array(own))):
+    def counter(part: int):
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = np.zeros((Spelling.KINDS, 2 << BYTE_BITS), np.uint32)
+            for batch in batches:
+                times = batch.column("times").to_numpy().astype(np.uint32)
+                for word, slots, bit in sent.value.bits_of(batch.column("word")):
                     for k, s in enumerate(slots):
-                        np.add.at(tables[p][k], s * np.uint32(2) + bit, times[word])
-        yield from _slices(tables)
-
-    tables = _summed(rare.mapInArrow(count, TABLE), Spelling.KINDS, BYTE_BITS)
+                        np.add.at(table[k], s * np.uint32(2) + bit, times[word])
+            yield from _slices(part, table)
+        return count
+
+    # a part of the counts at a time, so that a task holds one table of each kind
+    parts = [rare.filter(f"{c} > 0").select("word", F.col(c).alias("times")).mapInArrow(counter(p), TABLE)
+             for p, c in enumerate("nm")]
+    tables = _summed(parts[0].unionByName(parts[1]), Spelling.KINDS, BYTE_BITS)
     model.load(tables[0])
     sent = spark.sparkContext.broadcast(model)
 
@@ -674,17 +677,18 @@ def score(documents: DataFrame, max_vocabulary: int = MAX_VOCABULARY, max_bits:
     model = Phrasing(tree, nodes[0], bits)
     sent = sc.broadcast(model)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = {p: np.zeros((Phrasing.KINDS, 2 << bits), np.uint32) for p in (0, 1)}
-        for batch in batches:
-            for p in (0, 1):
-                part = batch.filter(pa.array((batch.column("fold").to_numpy() == FITTING) == bool(p)))
-                for lot in _lots(part):
-                    sent.value.count(*_texts(lot), tables[p])
-        yield from _slices(tables)
-
-    training = coded.filter(F.col("fold") != HELD_OUT).select("fold", "symbols")
-    tables = _summed(training.mapInArrow(count, TABLE), Phrasing.KINDS, bits)
+    def counter(part: int):
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = np.zeros((Phrasing.KINDS, 2 << bits), np.uint32)
+            for batch in batches:
+                for lot in _lots(batch):
+                    sent.value.count(*_texts(lot), table)
+            yield from _slices(part, table)
+        return count
+
+    folds = ((F.col("fold") != HELD_OUT) & (F.col("fold") != FITTING), F.col("fold") == FITTING)
+    parts = [coded.filter(f).select("symbols").mapInArrow(counter(p), TABLE) for p, f in enumerate(folds)]
+    tables = _summed(parts[0].unionByName(parts[1]), Phrasing.KINDS, bits)
     model.load(tables[0])
     first = sc.broadcast(model)
 
