@@ -378,8 +378,8 @@ def _encode(documents: DataFrame) -> DataFrame:
                 n = np.bincount(codes[(of != HELD_OUT) & (of != FITTING)], minlength=len(uniques))
                 m = np.bincount(codes[of == FITTING], minlength=len(uniques))
                 rows, distinct = part.num_rows, len(uniques)
-                codes = codes.astype("<i4")
-                cut = [codes[ends[i]:ends[i + 1]].tobytes() for i in range(rows)]
+                low, high = (codes & 0xFFFF).astype("<u2"), (codes >> 16).astype("u1" if distinct < 1 << 24 else "<u4")
+                cut = [low[a:b].tobytes() + high[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
                 lists = [pa.nulls(rows, pa.list_(x)) for x in (pa.string(), pa.int64(), pa.int64())]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.zeros(rows, np.int32)), pa.array(np.full(rows, number)), part.column("doc_id"),
@@ -395,7 +395,7 @@ def _encode(documents: DataFrame) -> DataFrame:
                          pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()),
                          pa.array([i], pa.int32()), *lists], names=names)
                 number += 1
-                del ends, codes, uniques, of, n, m, cut, lists
+                del ends, codes, low, high, uniques, of, n, m, cut, lists
                 pa.default_memory_pool().release_unused()
 
     return documents.select(
@@ -655,8 +655,10 @@ def score(documents: DataFrame, max_vocabulary: int = MAX_VOCABULARY, max_bits:
         c[at], cost[at] = rest.column("c").to_numpy(), rest.column("cost").to_numpy()
         symbol = np.where(rank >= 0, rank, size).astype("<u2")
         raw = left.column("codes").to_pylist()
-        sizes = np.array([len(x) // 4 for x in raw], dtype=np.int64)
-        codes = np.frombuffer(b"".join(raw), "<i4")
+        wide = 3 if len(c) < 1 << 24 else 6  # bytes of a word: two low ones of all, then the high ones
+        sizes = np.array([len(x) // wide for x in raw], dtype=np.int64)
+        codes = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, "<u2", n) + (
+            np.frombuffer(x, "u1" if wide == 3 else "<u4", n, 2 * n).astype(np.int64) << 16) for x, n in zip(raw, sizes.tolist(), strict=True))])
         offsets = np.concatenate([[0], np.cumsum(sizes)])
         end_c = end_n + end_m
         log_c, has = np.log10(c + 1), (c > 0).astype(np.float64)
