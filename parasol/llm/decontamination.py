@@ -13,8 +13,15 @@ an edit spoils few keys and some other one is found. A key whose walk rested
 on too few words to tell an item is left to the other windows, unless the item
 has none better. The spans follow the items' sizes (``CLASSES``).
 
-A window of a text that shares a key with an item is followed by an exact
-check: the least edit distance in characters between the item and any part of
+Edits spread over letters spoil nearly every word, so items are also looked for
+by their letters, blanks left out: a run of ``RUN`` letters (``SHORT_RUN`` for
+items of fewer than ``PART`` letters) that an item shares with a text is a
+place where both are compared, ``PART`` letters of the item around the run
+against the text there, by edit distances of many places at once. Places where
+this part needs more than ``PART_EDITS`` of it are dropped.
+
+A place that is left, or a window of a text that shares a key with an item, is
+followed by an exact check: the least edit distance in characters between the item and any part of
 the text around that place, the item's size and some words more. The text
 contains the item if it is at most ``MOST_EDITS`` of the item's characters.
 
@@ -49,6 +56,14 @@ PADDING = 14
 #: characters of items that are sent to the tasks at once
 BLOCK_CHARS = 4 << 20
 SEED = 41
+#: letters of a run by which an item is found, and of a run of an item shorter than a part
+RUN, SHORT_RUN = 8, 4
+#: letters of an item that are compared first, and the edits that they may need
+PART, PART_EDITS = 64, 0.3
+#: places compared at once; words whose letters are laid out at once, and words around them
+PLACES, WORDS_AT_ONCE, AROUND = 1 << 15, 1 << 18, 128
+#: places of an item that differ by less are one
+NEAR = 8
 ONE, LOW = np.uint64(1), np.uint64(0xFFFF)
 #: characters of the texts that are searched at once
 CHUNK_CHARS = 32 << 20
@@ -100,10 +115,98 @@ def _extend(key: np.ndarray, shown: np.ndarray, step: int) -> np.ndarray:
     return _mix(key * np.uint64(31) + shown, step + 1)
 
 
+def _symbols(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def _runs(symbols: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of all runs of ``length`` (a power of two) symbols."""
+    h = _mix(symbols.astype(np.uint64), 1)
+    step = 1
+    while step < length:
+        h = h[:-step] * np.uint64(0x9E3779B97F4A7C15) + h[step:] if len(h) > step else h[:0]
+        h ^= h >> np.uint64(32)
+        step *= 2
+    return h
+
+
+class Letters:
+    """The runs of letters of a block of items."""
+
+    def __init__(self, texts: list[str], limits: list[int]):
+        self.limits = np.array(limits, dtype=np.int64)
+        self.sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        self.bases = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.flat = np.concatenate([_symbols("".join(texts)), np.zeros(PART, np.uint32)])
+        #: per length: a look at low bits, keys in order, where each one's spots begin, spots as (item, offset)
+        self.tables = []
+        for length, which in ((RUN, self.sizes >= PART), (SHORT_RUN, self.sizes < PART)):
+            own = [(i, o) for i in np.flatnonzero(which).tolist() for o in range(self.sizes[i] - length + 1)]
+            if not own:
+                continue
+            spots = np.array(own, dtype=np.int64)
+            hashes = _runs(self.flat, length)[self.bases[spots[:, 0]] + spots[:, 1]]
+            order = np.argsort(hashes, kind="stable")
+            keys, begin = np.unique(hashes[order], return_index=True)
+            maybe = np.zeros(1 << 20, dtype=bool)
+            maybe[keys & np.uint64(0xFFFFF)] = True
+            self.tables.append((length, maybe, keys, np.append(begin, len(order)), spots[order]))
+
+    def places(self, symbols: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Items, offsets of letters in them, and places of these in the text,
+        where a part of the item is near the text."""
+        for length, maybe, keys, begin, spots in self.tables:
+            hashes = _runs(symbols, length)
+            at = np.flatnonzero(maybe[hashes & np.uint64(0xFFFFF)])
+            found = np.minimum(np.searchsorted(keys, hashes[at]), len(keys) - 1)
+            same = keys[found] == hashes[at]
+            at, found = at[same], found[same]
+            many = begin[found + 1] - begin[found]
+            # as many runs at once as have about PLACES places
+            cuts = np.flatnonzero(np.diff(np.cumsum(many) // PLACES)) + 1 if len(at) else []
+            for a, f, n in zip(np.split(at, cuts), np.split(found, cuts), np.split(many, cuts), strict=True):
+                if len(a):
+                    yield self._near(symbols, np.repeat(a, n), spots[
+                        np.repeat(begin[f] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+
+    def _near(self, symbols: np.ndarray, at: np.ndarray, spots: np.ndarray):
+        item, offset = spots[:, 0], spots[:, 1]
+        size = np.minimum(self.sizes[item], PART)
+        part = np.clip((offset - PART // 2 + 4) // 16 * 16, 0, self.sizes[item] - size)
+        _, first = np.unique(np.stack([self.bases[item] + part, (at - offset) // NEAR]), axis=1, return_index=True)
+        at, item, offset, size, part = at[first], item[first], offset[first], size[first], part[first]
+        # letters of the parts, as masks by a letter's low bits
+        starts, own = np.unique(self.bases[item] + part, return_inverse=True)
+        masks = np.zeros((len(starts), 64), dtype=np.uint64)
+        lengths = np.zeros(len(starts), dtype=np.int64)
+        lengths[own] = size
+        for j in range(PART):
+            rows = np.flatnonzero(lengths > j)
+            masks[rows, self.flat[starts[rows] + j] & 63] |= ONE << np.uint64(j)
+        limit = np.where(self.sizes[item] > PART, int(PART_EDITS * PART), self.limits[item])
+        most = int(limit.max()) + NEAR
+        top = (size - 1).astype(np.uint64)
+        more, less = np.full(len(at), ~np.uint64(0)), np.zeros(len(at), np.uint64)
+        score, best = size.copy(), size.copy()
+        begin = at - (offset - part) - most
+        for step in range(2 * most + PART):
+            place = begin + step
+            inside = (place >= 0) & (place < len(symbols))
+            eq = np.where(inside, masks[own, symbols[np.where(inside, place, 0)] & 63], np.uint64(0))
+            diagonal = (((eq & more) + more) ^ more) | eq | less
+            up, down = less | ~(diagonal | more), more & diagonal
+            score += ((up >> top) & ONE).astype(np.int64) - ((down >> top) & ONE).astype(np.int64)
+            up, down = up << ONE, down << ONE
+            more, less = down | ~(diagonal | up), up & diagonal
+            np.minimum(best, score, out=best)
+        good = best <= limit
+        return item[good], offset[good], at[good]
+
+
 class Index:
     """LSH tables of a block of items."""
 
-    def __init__(self, items: list[tuple[object, str]]):
+    def __init__(self, items: list[tuple[object, str]], most_edits: float = MOST_EDITS):
         self.ids: list[object] = []
         self.texts: list[str] = []
         self.sizes: list[int] = []
@@ -128,6 +231,8 @@ class Index:
             most = least
             for r in range(REPETITIONS if len(spots) else 0):
                 self.tables.append(self._table(flat, spots, r, sampled_steps(r, span, samples), words_))
+        self.letters = Letters([t.replace(" ", "") for t in self.texts],
+                               [int(most_edits * len(t)) for t in self.texts])
 
     @staticmethod
     def _table(flat: np.ndarray, spots: np.ndarray, repetition: int, steps: list[int], words_: int):
@@ -228,7 +333,7 @@ def contained_items(documents: DataFrame, benchmark: DataFrame, most_edits: floa
               "start_word long")
     out = spark.createDataFrame([], schema)
     for block in _blocks(benchmark):
-        sent = spark.sparkContext.broadcast(Index(block))
+        sent = spark.sparkContext.broadcast(Index(block, most_edits))
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = sent.value
@@ -276,10 +381,47 @@ def _search(index: Index, part: pa.RecordBatch, most_edits: float) -> Iterator[t
                 best[doc, i] = (edits, start)
             if edits == 0:
                 break
+    for doc, i, start, text in _letter_places(index, names, codes, ends):
+        if best.get((doc, i), (1, 0))[0] > 0:
+            limit = int(most_edits * len(index.texts[i]))
+            edits = least_edits(index.texts[i], text)
+            if edits <= limit and (edits, start) < best.get((doc, i), (limit + 1, 0)):
+                best[doc, i] = (edits, start)
     for (doc, i), (edits, start) in best.items():
         yield doc, i, edits, len(index.texts[i]), max(0, start - int(ends[doc]))
 
 
+def _letter_places(index: Index, names: pa.Array, codes: np.ndarray, ends: np.ndarray) -> Iterator[tuple]:
+    """Text, item, first word and the part of the text in which the item must
+    lie if it is near the text at a run of its letters."""
+    letters = index.letters
+    own = names.to_pylist()
+    sizes = np.array([len(w) for w in own], dtype=np.int64)
+    flat, begin = _symbols("".join(own)), np.cumsum(sizes) - sizes
+    behind = np.cumsum(sizes[codes])  # letters up to the end of each word
+    seen: set[tuple[int, int, int]] = set()
+    for first in range(0, len(codes), WORDS_AT_ONCE):
+        a, b = max(0, first - AROUND), min(len(codes), first + WORDS_AT_ONCE + AROUND)
+        some, base = codes[a:b], int(behind[a] - sizes[codes[a]])
+        n = sizes[some]
+        symbols = flat[np.repeat(begin[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        for items, offsets, places in letters.places(symbols):
+            docs = np.searchsorted(ends, np.searchsorted(behind, places + base, "right"), "right") - 1
+            for i, o, p, doc in zip(items.tolist(), offsets.tolist(), (places + base).tolist(), docs.tolist(), strict=True):
+                if (doc, i, (p - o) // NEAR) in seen:
+                    continue
+                seen.add((doc, i, (p - o) // NEAR))
+                lowest = int(behind[ends[doc] - 1]) if ends[doc] else 0
+                low = max(lowest, p - o - int(letters.limits[i]) - NEAR)
+                high = min(int(behind[ends[doc + 1] - 1]), p - o + int(letters.sizes[i] + letters.limits[i]) + NEAR)
+                c, d = int(np.searchsorted(behind, low, "right")), int(np.searchsorted(behind, high - 1, "right"))
+                words_ = [own[k] for k in codes[c:d + 1].tolist()]
+                words_[-1] = words_[-1][:len(words_[-1]) - (int(behind[d]) - high)]
+                words_[0] = words_[0][low - (int(behind[c]) - int(sizes[codes[c]])):]
+                start = int(np.searchsorted(behind, max(lowest, p - o), "right"))
+                yield doc, i, start, " ".join(words_)
+
+
 def decontaminated(documents: DataFrame, benchmark: DataFrame, most_edits: float = MOST_EDITS) -> DataFrame:
     """The documents that contain no item, all columns kept."""
     bad = contained_items(documents, benchmark, most_edits).select(F.col("doc_id").alias("_bad")).distinct()

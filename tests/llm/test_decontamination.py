@@ -96,3 +96,27 @@ def test_edges(spark, docs_of, monkeypatch):
     assert dc.contained_items(docs_of([]), items).count() == 0
     assert dc.decontaminated(docs_of(rows), items.limit(0)).count() == len(rows)
     assert np.array_equal(dc.Index([]).candidates(np.zeros(0, np.uint64), np.zeros(0, np.int64)), set())
+
+
+def test_recall_of_letter_edits_against_brute_force(spark, sf):
+    rng = random.Random(6)
+    items = spark.read.parquet(f"{sf}/benchmark.parquet")
+    texts = {r.item_id: plain(r.text) for r in items.collect()}
+    around = plain(" ".join(r.text for r in spark.read.parquet(f"{sf}/documents.parquet").limit(20).collect())).split()
+    rows = []
+    for text in texts.values():
+        for rate in (0.1, 0.15, 0.19):
+            letters = [c if c == " " or rng.random() >= rate else rng.choice("abcdefghijklmnopqrstuvwxyz") for c in text]
+            rows.append((len(rows), " ".join(rng.choices(around, k=30)) + f" {''.join(letters)} " + rng.choice(around)))
+        rows.append((len(rows), text.replace(" ", "")))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.edits for r in dc.contained_items(df, items).collect()}
+    want = {}
+    for doc, text in rows:
+        i = list(texts)[doc // 4]
+        edits = dc.least_edits(texts[i], plain(text))
+        if edits <= int(0.2 * len(texts[i])):
+            want[doc, i] = edits
+    found = {k: got[k] for k in want if k in got}
+    print(len(found), len(want))
+    assert len(found) >= 0.97 * len(want) and all(want[k] == e for k, e in found.items())
