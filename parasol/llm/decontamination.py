@@ -173,7 +173,9 @@ class Letters:
         item, offset = spots[:, 0], spots[:, 1]
         size = np.minimum(self.sizes[item], PART)
         part = np.clip((offset - PART // 2 + 4) // 16 * 16, 0, self.sizes[item] - size)
-        _, first = np.unique(np.stack([self.bases[item] + part, (at - offset) // NEAR]), axis=1, return_index=True)
+        places = (at - offset) // NEAR
+        places -= places.min()
+        _, first = np.unique((self.bases[item] + part) * (int(places.max()) + 1) + places, return_index=True)
         at, item, offset, size, part = at[first], item[first], offset[first], size[first], part[first]
         # letters of the parts, as masks by a letter's low bits
         starts, own = np.unique(self.bases[item] + part, return_inverse=True)
@@ -187,15 +189,21 @@ class Letters:
         most = int(limit.max()) + NEAR
         top = (size - 1).astype(np.uint64)
         more, less = np.full(len(at), ~np.uint64(0)), np.zeros(len(at), np.uint64)
-        score, best = size.copy(), size.copy()
+        score, best = size.astype(np.int32), size.astype(np.int32)
+        # letters of the text from the first place on, 64 for what is before or behind it
         begin = at - (offset - part) - most
+        before, end = int(begin.min()), int(begin.max()) + 2 * most + PART
+        inner = symbols[max(0, before):max(0, min(end, len(symbols)))] & 63
+        text = np.full(end - before, 64, dtype=np.int32)
+        text[max(0, -before):max(0, -before) + len(inner)] = inner
+        masks = np.concatenate([masks, np.zeros((len(starts), 1), np.uint64)], axis=1).ravel()
+        own, begin = own * 65, begin - before
         for step in range(2 * most + PART):
-            place = begin + step
-            inside = (place >= 0) & (place < len(symbols))
-            eq = np.where(inside, masks[own, symbols[np.where(inside, place, 0)] & 63], np.uint64(0))
+            eq = masks[own + text[begin + step]]
             diagonal = (((eq & more) + more) ^ more) | eq | less
             up, down = less | ~(diagonal | more), more & diagonal
-            score += ((up >> top) & ONE).astype(np.int64) - ((down >> top) & ONE).astype(np.int64)
+            score += ((up >> top) & ONE).astype(np.int32)
+            score -= ((down >> top) & ONE).astype(np.int32)
             up, down = up << ONE, down << ONE
             more, less = down | ~(diagonal | up), up & diagonal
             np.minimum(best, score, out=best)
@@ -404,7 +412,8 @@ def _letter_places(index: Index, names: pa.Array, codes: np.ndarray, ends: np.nd
         a, b = max(0, first - AROUND), min(len(codes), first + WORDS_AT_ONCE + AROUND)
         some, base = codes[a:b], int(behind[a] - sizes[codes[a]])
         n = sizes[some]
-        symbols = flat[np.repeat(begin[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        shift = (begin[some] - (np.cumsum(n) - n)).astype(np.int32 if len(flat) + n.sum() < 1 << 31 else np.int64)
+        symbols = flat[np.repeat(shift, n) + np.arange(n.sum(), dtype=shift.dtype)]
         for items, offsets, places in letters.places(symbols):
             docs = np.searchsorted(ends, np.searchsorted(behind, places + base, "right"), "right") - 1
             for i, o, p, doc in zip(items.tolist(), offsets.tolist(), (places + base).tolist(), docs.tolist(), strict=True):
