@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (context_mixing, decontamination, exact_dedup, filter_audit, hard_negatives, language_id, line_dedup, mixing,
-               sharding, simhash, token_counts, toxicity)
+               sharding, simhash, substring_dedup, token_counts, toxicity)
 from .common import read_table
 
 
@@ -54,6 +54,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.length_histogram(token_counts.token_lengths(read_table(spark, sf_dir, "documents")))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(read_table(spark, sf_dir, "documents"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(read_table(spark, sf_dir, "embeddings"))
 
@@ -65,7 +69,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     op1_exact_dedup, op2_toxicity, op3_context_mixing, op4_simhash_near_dedup, op5_decontamination,
     op6_language_id, op7_mix_sources, op8_rendezvous_shards, op9_line_dedup,
-    op10_token_counts, op12_hard_negatives, op13_filter_audit,
+    op10_token_counts, op11_substring_dedup, op12_hard_negatives, op13_filter_audit,
 ]
 
 
@@ -74,5 +78,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.ORACLE, "op12_hard_negatives": hard_negatives.ORACLE,
-            "op13_filter_audit": filter_audit.ORACLE}
+    return {"op1_exact_dedup": exact_dedup.ORACLE, "op11_substring_dedup": substring_dedup.ORACLE,
+            "op12_hard_negatives": hard_negatives.ORACLE, "op13_filter_audit": filter_audit.ORACLE}
