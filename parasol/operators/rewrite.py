@@ -1,9 +1,11 @@
-"""Lexicons learned from data and the batch rewrite.
+"""Lexicons learned from data and the rewrite of tokens and of texts.
 
 The rewrite is row-local: a bounded lexicon is inlined into the plan as a
-literal array or map, so the same expression runs in batch and streaming
-plans with no join and no shuffle. A lexicon above ``INLINE_MAX`` entries
-falls back to explode, left join and ordered regroup.
+literal list or map, so the same expression runs in batch and streaming
+plans with no join and no shuffle. For a lexicon above ``INLINE_MAX`` entries
+each row gets the few entries that its words hit by a join, and the same
+expression runs with those. Either way the lexicon is put into one form first
+(``canonical``), so its size never changes a result.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parasol.functions import spans as SP
 from parasol.operators.judges import labelled_tokens
 
 INLINE_MAX = 1024   # inlined arrays and maps are scanned linearly per token
@@ -66,15 +69,25 @@ def replacement_table(pairs: DataFrame, source: str = "toxic", target: str = "ne
     return best.where(F.col("src") != F.col("tgt"))
 
 
-def _bounded_collect(df: DataFrame, limit: int):
+def canonical(lexicon: DataFrame, word_col: str = "token", target_col: str | None = None) -> DataFrame:
+    """One row per word: ``word`` and, with targets, ``target``. Null words and
+    null targets change nothing and go; of a word's targets the least counts."""
+    lex = lexicon.where(F.col(word_col).isNotNull())
+    if target_col is None:
+        return lex.select(F.col(word_col).alias("word")).distinct()
+    return lex.where(F.col(target_col).isNotNull()).groupBy(F.col(word_col).alias("word")).agg(F.min(target_col).alias("target"))
+
+
+def bounded_collect(df: DataFrame, limit: int):
+    """All rows, or None if there are more than ``limit``."""
     rows = df.limit(limit + 1).collect()
     return rows if len(rows) <= limit else None
 
 
 def delete_words(tokens: Column, words) -> Column:
     """R9 ``mode='delete'`` as an expression over an inlined word list."""
-    arr = F.array(*[F.lit(w) for w in sorted(words)]) if words else F.array().cast("array<string>")
-    return F.filter(tokens, lambda t: ~F.array_contains(arr, t))
+    words = sorted(words)
+    return F.filter(tokens, lambda t: ~t.isin(words) if words else t.isNotNull())
 
 
 def replace_words(tokens: Column, mapping: dict) -> Column:
@@ -110,35 +123,102 @@ def replace_words_udf(mapping: dict):
     return _put
 
 
+def lexicon_hits(df: DataFrame, key: str, words: Column, lex: DataFrame) -> DataFrame:
+    """(_k, _hits): for every key the entries of a canonical lexicon that its
+    rows' words hit, as a map. Only words that the lexicon has are regrouped."""
+    target = F.col("target") if "target" in lex.columns else F.lit("")
+    e = df.select(F.col(key).alias("_k"), F.explode(words).alias("_word")).where(F.col("_word").isNotNull())
+    return e.join(lex, e["_word"] == lex["word"]).groupBy("_k").agg(
+        F.map_from_entries(F.collect_set(F.struct("word", target))).alias("_hits"))
+
+
+def _with_hits(df: DataFrame, key: str, words: Column, lex: DataFrame) -> DataFrame:
+    hits = lexicon_hits(df, key, words, lex)
+    none = F.create_map().cast("map<string,string>")
+    return df.join(hits, F.col(key).eqNullSafe(F.col("_k")), "left").drop("_k") \
+        .withColumn("_hits", F.coalesce("_hits", none))
+
+
 def rewrite(df: DataFrame, key: str, tokens_col: str, lexicon: DataFrame, mode: str = "delete",
             out: str = "text", word_col: str = "token", target_col: str = "tgt") -> DataFrame:
     """Rewrite every row's tokens with a lexicon and join them by one blank.
 
     ``lexicon`` is a table of words (``delete``) or of ``(word, target)``
-    pairs (``replace``). Bounded lexicons are inlined; larger ones are applied
-    by an explode/left-join/regroup plan.
+    pairs (``replace``), see ``canonical`` for nulls and repeated words. Null
+    tokens vanish; null token arrays give null.
     """
     if mode not in ("delete", "replace"):
         raise ValueError("mode must be 'delete' or 'replace'")
-    cols = [word_col] if mode == "delete" else [word_col, target_col]
-    rows = _bounded_collect(lexicon.select(*cols), INLINE_MAX)
+    lex = canonical(lexicon, word_col, target_col if mode == "replace" else None)
+    rows = bounded_collect(lex, INLINE_MAX)
+    tokens = F.col(tokens_col)
     if rows is not None:
-        if mode == "delete":
-            expr = delete_words(F.col(tokens_col), [r[0] for r in rows])
-        else:
-            expr = replace_words(F.col(tokens_col), {r[0]: r[1] for r in rows})
+        expr = delete_words(tokens, [r[0] for r in rows]) if mode == "delete" else replace_words(tokens, dict(map(tuple, rows)))
         return df.withColumn(out, F.array_join(expr, " "))
-    lex = lexicon.select(F.col(word_col).alias("_w"), *([F.col(target_col).alias("_t")] if mode == "replace" else []))
-    # one rewrite for each distinct (key, tokens), so rows that share a key don't mix
-    rows = df.select(F.col(key).alias("_k"), F.col(tokens_col).alias("_toks")).where(
-        F.col("_toks").isNotNull()).distinct()
-    e = rows.select("_k", "_toks", F.posexplode_outer("_toks").alias("_pos", "_tok"))
-    j = e.join(lex, e["_tok"] == lex["_w"], "left")
+    df = _with_hits(df.drop(out) if out != tokens_col else df, key, F.array_distinct(tokens), lex)
+    hit = F.col("_hits")
     if mode == "delete":
-        item = F.when(F.col("_tok").isNotNull() & F.col("_w").isNull(), F.struct("_pos", F.col("_tok").alias("t")))
+        expr = F.filter(tokens, lambda t: ~F.map_contains_key(hit, t))
     else:
-        item = F.when(F.col("_tok").isNotNull(), F.struct("_pos", F.coalesce("_t", "_tok").alias("t")))
-    g = j.groupBy("_k", "_toks").agg(F.array_sort(F.collect_list(item)).alias("_items"))
-    g = g.select("_k", "_toks", F.array_join(F.transform("_items", lambda x: x["t"]), " ").alias(out))
-    return df.drop(out).join(g, F.col(key).eqNullSafe(F.col("_k")) & (F.col(tokens_col) == F.col("_toks")), "left") \
-        .drop("_k", "_toks")
+        expr = F.transform(tokens, lambda t: F.when(t.isNotNull(), F.coalesce(F.try_element_at(hit, t), t)))
+    return df.withColumn(out, F.array_join(expr, " ")).drop("_hits")
+
+
+def _changed(parts: Column, found, mode: str) -> Column:
+    """Pieces with those words deleted or replaced that ``found`` gives a value for."""
+    def one(p):
+        to = found(F.lower(p))
+        return F.when(to.isNull(), p).otherwise(F.lit("") if mode == "delete" else SP.in_case_of(to, p))
+    return SP.joined(F.transform(parts, one))
+
+
+def rewrite_piece_column(parts: Column, words=None, mapping: dict | None = None) -> Column:
+    """R9 on pieces (``spans.pieces``) with an inlined lexicon: the listed words
+    go, or give way to their targets in the word's own case; all other code
+    points stay as they are."""
+    if mapping:
+        keys = sorted(mapping)
+        m = F.map_from_arrays(F.array(*[F.lit(k) for k in keys]), F.array(*[F.lit(mapping[k]) for k in keys]))
+        return _changed(parts, lambda w: F.try_element_at(m, w), "replace")
+    words = sorted(words or ())
+    return _changed(parts, lambda w: F.when(w.isin(words), F.lit("")), "delete") if words else SP.joined(parts)
+
+
+def rewrite_pieces_udf(words=None, mapping: dict | None = None):
+    """As ``rewrite_piece_column`` for a large lexicon inside a stream: an
+    Arrow-batched UDF that looks the words up in a Python map."""
+    to = dict(mapping) if mapping else dict.fromkeys(words or (), "")
+
+    def cased(target: str, piece: str) -> str:
+        if len(piece) > 1 and piece == piece.upper() != piece.lower():
+            return target.upper()
+        return target[:1].upper() + target[1:] if piece[0] != piece[0].lower() else target
+
+    @F.pandas_udf(T.StringType())
+    def change(parts: pd.Series) -> pd.Series:
+        return parts.map(lambda ps: None if ps is None else "".join(
+            p if (t := to.get(p.lower())) is None else cased(t, p) for p in ps))
+
+    return change
+
+
+def rewrite_text(df: DataFrame, key: str, text_col: str, lexicon: DataFrame, mode: str = "delete",
+                 out: str = "rewritten", word_col: str = "token", target_col: str = "tgt") -> DataFrame:
+    """R9 on whole texts: every word of the lexicon (lower case) goes, or gives
+    way to its target; all other code points are equal to the text's.
+
+    A null text gives null; a text without a listed word is returned as it
+    is; rows that share a key are each rewritten by their own words.
+    """
+    if mode not in ("delete", "replace"):
+        raise ValueError("mode must be 'delete' or 'replace'")
+    lex = canonical(lexicon, word_col, target_col if mode == "replace" else None)
+    rows = bounded_collect(lex, INLINE_MAX)
+    parts = SP.pieces(text_col)
+    if rows is not None:
+        made = rewrite_piece_column(parts, [r[0] for r in rows]) if mode == "delete" else (
+            rewrite_piece_column(parts, mapping=dict(map(tuple, rows))))
+        return df.withColumn(out, made)
+    df = _with_hits(df, key, SP.words(parts), lex)
+    hit = F.col("_hits")
+    return df.withColumn(out, _changed(parts, lambda w: F.try_element_at(hit, w), mode)).drop("_hits")

@@ -17,8 +17,10 @@ ADJECTIVES = ("worthless", "pathetic", "stupid", "disgusting")
 NOUN_TARGET = "person"
 ADJECTIVE_TARGET = "poor"
 
-PAIR_ID_STRIDE = 100000
-SEQ_ID_STRIDE = 1000
+# more sentences than a text of the longest size that a row holds is likely to have;
+# leaves room for 2^39 documents and conversations
+PAIR_ID_STRIDE = 1 << 24
+SEQ_ID_STRIDE = 1 << 24
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -133,6 +133,38 @@ register("repl", ("pairs",), """
 register("sent_pos", ("sentences",), """
   SELECT pair_id, unnest(tokens) AS token, unnest(range(len(tokens))) AS pos FROM sentences""")
 
+# a text as the pieces that cover it, and which of them are words of the lexicon or have a replacement
+_PIECES = r"regexp_extract_all(text, '\p{L}[\p{L}\p{M}]*|\p{N}+|[\x09-\x0D\x20]+|[^\p{L}\p{N}\x09-\x0D\x20]')"
+register("doc_pieces", (), f"""
+  SELECT doc_id, p AS ps, unnest(p) AS piece, unnest(range(len(p))) AS ix FROM (SELECT doc_id, {_PIECES} AS p FROM documents)""")
+register("texts_deleted", ("doc_pieces", "lexicon"), """
+  SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(k.rewritten, '') END AS rewritten
+  FROM documents d LEFT JOIN (
+    SELECT doc_id, string_agg(CASE WHEN token IS NULL THEN piece ELSE '' END, '' ORDER BY ix) AS rewritten
+    FROM doc_pieces LEFT JOIN lexicon ON token = lower(piece) GROUP BY doc_id) k USING (doc_id)""")
+
+def _alignment(name: str, src: str, given: str, made: str, rounds: int = 3) -> None:
+    """Rounds of expectation maximisation of word alignment, pair by pair."""
+    register(f"{name}_co", (src,), f"""
+  SELECT g.pair_id, g.word AS given, g.n AS n_given, m.word AS made, m.n AS n_made
+  FROM (SELECT pair_id, word, count(*) AS n FROM (SELECT pair_id, unnest(string_split({given}, ' ')) AS word FROM {src})
+        WHERE word <> '' GROUP BY ALL UNION ALL SELECT pair_id, '', 1 FROM {src}) g
+  JOIN (SELECT pair_id, word, count(*) AS n FROM (SELECT pair_id, unnest(string_split({made}, ' ')) AS word FROM {src})
+        WHERE word <> '' GROUP BY ALL) m USING (pair_id)""")
+    for i in range(1, rounds + 1):
+        weight, join = "c.n_given", ""
+        if i > 1:
+            weight, join = "c.n_given * t.p", f"JOIN {name}_{i - 1} t ON t.given = c.given AND t.made = c.made"
+        register(f"{name}_{i}", (f"{name}_co", *([f"{name}_{i - 1}"] if i > 1 else [])), f"""
+  SELECT given, made, s / sum(s) OVER (PARTITION BY given) AS p FROM (
+    SELECT given, made, sum(share) AS s FROM (
+      SELECT c.given, c.made, c.n_made * {weight} / sum({weight}) OVER (PARTITION BY c.pair_id, c.made) AS share
+      FROM {name}_co c {join}) GROUP BY given, made)""")
+
+
+_alignment("al_made", "pairs", "toxic", "hyp")
+_alignment("al_pairs", "pairs", "hyp", "toxic")
+
 register("bcounts", ("turn_tokens",), """
   SELECT a.token AS ctx, b.token AS token, count(*) AS n
   FROM turn_tokens a JOIN turn_tokens b ON a.seq_id = b.seq_id AND b.pos = a.pos + 1
@@ -415,7 +447,7 @@ def _q() -> dict[str, tuple[str, tuple[str, ...]]]:
       FROM sent_pos WHERE token NOT IN (SELECT token FROM lexicon) GROUP BY pair_id) k USING (pair_id)"""
     return {
         "read_pairs": ("SELECT pair_id, toxic, neutral1 FROM pairs", ("pairs",)),
-        "prediction_sink": (f"SELECT '2024-05-26,13-38-42' AS run_id, pair_id, text FROM ({lexdel})",
+        "prediction_sink": (f"SELECT '2025-02-03,04-05-06' AS run_id, pair_id, text FROM ({lexdel})",
                             ("sentences", "sent_pos", "lexicon")),
         "snapshot_roundtrip": ("SELECT token, a, b, round(lo, 6) AS lo FROM lexicon", ("lexicon",)),
         "build_vocab": ("SELECT token, id, n FROM vocab", ("vocab",)),
@@ -522,6 +554,35 @@ def _q() -> dict[str, tuple[str, tuple[str, ...]]]:
                 SELECT pair_id, sum(lo) AS sl
                 FROM (SELECT pair_id, unnest({_tok('toxic')}) AS token FROM all_pairs) JOIN lexicon USING (token)
                 GROUP BY pair_id) s USING (pair_id)""", ("all_pairs", "lexicon")),
+        "alignment_model": ("""
+            SELECT given AS src, made AS tgt, round(p, 6) AS p FROM (
+              SELECT *, row_number() OVER (PARTITION BY given ORDER BY round(p, 9) DESC, made) AS r FROM al_made_3 WHERE given <> '')
+            WHERE r = 1""", ("al_made_3",)),
+        "word_alignment": ("""
+            SELECT pair_id, pos, word, source, round(p, 6) AS p FROM (
+              SELECT w.pair_id, w.pos, w.word, w.source, coalesce(m.p, 0) AS p,
+                     row_number() OVER (PARTITION BY w.pair_id, w.pos ORDER BY round(coalesce(m.p, 0), 9) DESC, w.source) AS r
+              FROM (SELECT pair_id, pos, word, unnest(g) AS source FROM (
+                      SELECT pair_id, unnest(string_split(toxic, ' ')) AS word, unnest(range(len(string_split(toxic, ' ')))) AS pos,
+                             list_distinct([''] || list_filter(string_split(hyp, ' '), lambda t: t <> '')) AS g FROM pairs)) w
+              LEFT JOIN al_pairs_3 m ON m.given = w.source AND m.made = w.word)
+            WHERE r = 1""", ("pairs", "al_pairs_3")),
+        "token_spans": (r"""
+            SELECT doc_id, ix, CAST(before AS BIGINT) AS start, CAST(before + length(piece) AS BIGINT) AS "end",
+                   CASE WHEN regexp_matches(piece, '^\p{L}') THEN 'word' WHEN regexp_matches(piece, '^\p{N}') THEN 'number'
+                        ELSE 'sign' END AS kind, piece AS text
+            FROM (SELECT doc_id, ix, piece, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY ix
+                         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM doc_pieces)
+            WHERE NOT regexp_matches(piece, '^[\x09-\x0D\x20]')""", ("doc_pieces",)),
+        "rewrite_text_delete": ("SELECT doc_id, rewritten FROM texts_deleted", ("texts_deleted",)),
+        "rewrite_text_replace": ("""
+            SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(k.rewritten, '') END AS rewritten
+            FROM documents d LEFT JOIN (
+                SELECT doc_id, string_agg(CASE WHEN tgt IS NULL THEN piece
+                         WHEN length(piece) > 1 AND piece = upper(piece) AND piece <> lower(piece) THEN upper(tgt)
+                         WHEN piece[1] <> lower(piece[1]) THEN upper(tgt[1]) || tgt[2:] ELSE tgt END, '' ORDER BY ix) AS rewritten
+                FROM doc_pieces LEFT JOIN repl ON src = lower(piece) GROUP BY doc_id) k USING (doc_id)""", ("doc_pieces", "repl")),
+        "stream_rewrite_text": ("SELECT doc_id, rewritten FROM texts_deleted", ("texts_deleted",)),
         "bigram_probs": ("""
             SELECT ctx, token, n, round(n / sum(n) OVER (PARTITION BY ctx), 6) AS prob,
                    row_number() OVER (PARTITION BY ctx ORDER BY n DESC, token) AS rank FROM bcounts""", ("bcounts",)),

@@ -14,7 +14,7 @@ _ADJS = ", ".join(f"'{w}'" for w in ADJECTIVES)
 # (name, dependencies, body) in definition order.
 VIEWS: list[tuple[str, tuple[str, ...], str]] = [
     ("sentences", (), r"""
-  SELECT doc_id * 100000 + sent_ix AS pair_id, doc_id, lang,
+  SELECT doc_id * 16777216 + sent_ix AS pair_id, doc_id, lang,
          regexp_extract_all(lower(sentence), '[a-zß-ÿ]+') AS tokens
   FROM (
     SELECT doc_id, lang, unnest(parts) AS sentence, unnest(range(len(parts))) AS sent_ix
@@ -43,7 +43,7 @@ VIEWS: list[tuple[str, tuple[str, ...], str]] = [
          neutral1 AS gold
   FROM pairs"""),
     ("turn_tokens", (), r"""
-  SELECT conv_id * 1000 + turn AS seq_id, conv_id, turn, unnest(toks) AS token, unnest(range(len(toks))) AS pos
+  SELECT conv_id * 16777216 + turn AS seq_id, conv_id, turn, unnest(toks) AS token, unnest(range(len(toks))) AS pos
   FROM (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-zß-ÿ]+') AS toks FROM conversations)"""),
     ("losses", (), r"""
   SELECT user_id AS run_id, CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS BIGINT) AS epoch,

@@ -12,9 +12,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parasol.functions import spans as SPN
 from parasol.functions.mathx import softmax_rows
 from parasol.functions.scorers import LexiconLogit, score_column
 from parasol.functions.text import attention_mask, ids_text, strip_special, tokenize
+from parasol.operators import alignment as AL
 from parasol.operators import bleu as B
 from parasol.operators import decode as DEC
 from parasol.operators import encode as ENC
@@ -36,8 +38,9 @@ REGISTRY: dict[str, Q] = {}
 EVAL_EPOCHS = (0, 1, 2)
 SPLIT_EPOCHS = (0, 1)
 FULL_LOSS_EPOCHS = (RW.WARMUP_EPOCHS - 1, RW.WARMUP_EPOCHS)
-RUN_TS = "2024-05-26 13:38:42"
+RUN_TS = "2025-02-03 04:05:06"
 LEXICON_BIAS = -4.0
+SENT_WORDS = 1_000_000   # entries of a lexicon that a worker is sent
 
 
 _MEMO: dict | None = None
@@ -460,6 +463,26 @@ def q_replacement_table(spark, sf):
     return RE.replacement_table(_pairs(spark, sf)).select("src", "tgt", "n", "n_src")
 
 
+@register("alignment_model")
+def q_alignment_model(spark, sf):
+    """R6 by expectation maximisation over pairs whose sides differ in length:
+    what each word most likely becomes, with its probability."""
+    p = _pairs(spark, sf).select(F.split("toxic", " ").alias("x"), F.split("hyp", " ").alias("y"))
+    best = AL.fit_alignment(p, "x", "y").where(F.col("given") != AL.NONE).groupBy("given").agg(
+        F.min_by(F.struct("made", "p"), F.struct(-F.round("p", 9), F.col("made"))).alias("b"))
+    return best.select(F.col("given").alias("src"), F.col("b.made").alias("tgt"), r6("b.p").alias("p"))
+
+
+@register("word_alignment")
+def q_word_alignment(spark, sf):
+    """R6 on sides of different length: for each word of a pair the word of the
+    shorter rewrite that it goes with, or the empty word."""
+    p = _pairs(spark, sf).select("pair_id", F.split("toxic", " ").alias("x"),
+                                 F.filter(F.split("hyp", " "), lambda t: t != "").alias("y"))
+    a = AL.aligned_words(p, AL.fit_alignment(p, "y", "x"), "y", "x")
+    return a.select("pair_id", "pos", "word", "source", r6("p").alias("p"))
+
+
 @register("rewrite_delete")
 def q_rewrite_delete(spark, sf):
     s = D.sentences(spark, sf)
@@ -476,13 +499,39 @@ def q_rewrite_replace(spark, sf):
 
 @register("numpy_scorer")
 def q_numpy_scorer(spark, sf):
-    lex = _lexicon(spark, sf)
-    # the lexicon has a proven bound (see detox_lexicon), so each worker can hold it
-    scorer = LexiconLogit({r["token"]: r["lo"] for r in lex.select("token", "lo").collect()}, LEXICON_BIAS)
+    lex = _lexicon(spark, sf).select("token", "lo")
     p = D.all_sentence_pairs(spark, sf).select("pair_id", "toxic")
+    rows = RE.bounded_collect(lex, SENT_WORDS)
+    if rows is None:   # too large for every worker to hold: looked up by a join
+        scored = JU.score_tokens(p.select("pair_id", tokenize("toxic").alias("t")), "pair_id", {"p": "t"},
+                                 JU.NBModel(lex.withColumnRenamed("lo", "w"), LEXICON_BIAS, "toxic"))
+        return scored.select("pair_id", r6("p").alias("p_lexicon"))
+    scorer = LexiconLogit({r["token"]: r["lo"] for r in rows}, LEXICON_BIAS)
     return p.select("pair_id", r6(score_column("toxic", scorer)).alias("p_lexicon"))
 
 
+@register("token_spans")
+def q_token_spans(spark, sf):
+    """T1 with positions: every span of every document but white space."""
+    d = _docs(spark, sf).select("doc_id", F.posexplode(SPN.spans(SPN.pieces("text"))).alias("ix", "s"))
+    return d.select("doc_id", "ix", "s.start", "s.end", "s.kind", "s.text").where(F.col("kind") != SPN.SPACE)
+
+
+@register("rewrite_text_delete")
+def q_rewrite_text_delete(spark, sf):
+    """R9 on whole documents: the lexicon's words go, all else stays."""
+    d = _docs(spark, sf).select("doc_id", "text")
+    return RE.rewrite_text(d, "doc_id", "text", _lexicon(spark, sf), "delete").select("doc_id", "rewritten")
+
+
+@register("rewrite_text_replace")
+def q_rewrite_text_replace(spark, sf):
+    """R9 on whole documents: learned replacements in the words' own case."""
+    d = _docs(spark, sf).select("doc_id", "text")
+    rt = RE.replacement_table(_pairs(spark, sf)).select(F.col("src").alias("token"), "tgt")
+    return RE.rewrite_text(d, "doc_id", "text", rt, "replace").select("doc_id", "rewritten")
+
+
 # ---------------------------------------------------------------- R4 to R8: decoding
 
 @register("bigram_probs")
@@ -673,21 +722,35 @@ def q_stream_rewrite(spark, sf):
     sink = scratch_dir(spark, "stream-sink")
     ck = scratch_dir(spark, "stream-ckpt")
     s = D.sentences(spark, sf).select("pair_id", F.array_join("tokens", " ").alias("text"))
-    s.repartition(4, "pair_id").write.mode("overwrite").parquet(src)
-    lex = _lexicon(spark, sf)
-    # the lexicon is bounded (see detox_lexicon); small ones are inlined, larger
-    # ones go through a stateless set-lookup UDF inside the stream
-    words = [r[0] for r in lex.select("token").collect()]
-    ST.rewrite_stream(spark, src, sink, ck, words=words, max_files_per_trigger=2)
+    s.write.mode("overwrite").parquet(src)
+    ST.rewrite_stream(spark, src, sink, ck, words=_sent_words(spark, sf), max_files_per_trigger=2)
     return spark.read.parquet(sink).select("pair_id", F.col("rewritten").alias("text"))
 
 
+def _sent_words(spark, sf):
+    """The lexicon's words for a stream: small lexicons are inlined, larger ones go
+    through a stateless set-lookup UDF, and one that no worker should hold fails."""
+    rows = RE.bounded_collect(_lexicon(spark, sf).select("token"), SENT_WORDS)
+    if rows is None:
+        raise ValueError(f"a lexicon of over {SENT_WORDS} words is too large for a stream")
+    return [r[0] for r in rows]
+
+
+@register("stream_rewrite_text")
+def q_stream_rewrite_text(spark, sf):
+    """W1 on whole documents, which arrive as files of a stream."""
+    src, sink, ck = (scratch_dir(spark, f"text-stream-{x}") for x in ("src", "sink", "ckpt"))
+    _docs(spark, sf).select("doc_id", "text").write.mode("overwrite").parquet(src)
+    ST.rewrite_text_stream(spark, src, sink, ck, words=_sent_words(spark, sf), max_files_per_trigger=2)
+    return spark.read.parquet(sink).select("doc_id", "rewritten")
+
+
 @register("stream_running_loss")
 def q_stream_loss(spark, sf):
     src = scratch_dir(spark, "loss-src")
     sink = scratch_dir(spark, "loss-sink")
     ck = scratch_dir(spark, "loss-ckpt")
-    D.losses(spark, sf).repartition(4, "batch_id").write.mode("overwrite").parquet(src)
+    D.losses(spark, sf).write.mode("overwrite").parquet(src)
     ST.running_loss_stream(spark, src, sink, ck, max_files_per_trigger=2)
     return ST.read_running_state(spark, sink).select("run_id", "epoch", r6("mean_loss").alias("mean_loss"),
                                                      "n_batches")

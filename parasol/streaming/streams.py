@@ -13,8 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parasol.functions import spans as SP
 from parasol.functions.text import tokenize
-from parasol.operators.rewrite import INLINE_MAX, delete_words, delete_words_udf, replace_words, replace_words_udf
+from parasol.operators.rewrite import (INLINE_MAX, delete_words, delete_words_udf, replace_words, replace_words_udf,
+                                       rewrite_piece_column, rewrite_pieces_udf)
 
 SENTENCE_SCHEMA = T.StructType([T.StructField("pair_id", T.LongType()), T.StructField("text", T.StringType())])
 LOSS_SCHEMA = T.StructType([T.StructField("run_id", T.LongType()), T.StructField("epoch", T.LongType()),
@@ -56,6 +58,24 @@ def rewrite_stream(spark: SparkSession, source: str, sink: str, checkpoint: str,
     return _finished(q, trigger)
 
 
+def rewrite_text_stream(spark: SparkSession, source: str, sink: str, checkpoint: str, words=None, mapping=None,
+                        key: str = "doc_id", text_col: str = "text", max_files_per_trigger: int = 1,
+                        trigger: dict | None = None):
+    """W1 on whole texts: ``key`` and ``rewritten``, where all code points but
+    those of the listed words are the text's (see ``rewrite.rewrite_text``).
+    Null texts stay null, empty ones empty. ``words`` are deleted or ``mapping``
+    replaces words; ``trigger`` as in ``rewrite_stream``."""
+    if words and mapping:
+        raise ValueError("give words to delete or a mapping, not both")
+    schema = T.StructType([T.StructField(key, T.LongType()), T.StructField(text_col, T.StringType())])
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(source)
+    parts, lexicon = SP.pieces(text_col), mapping or list(words or ())
+    made = rewrite_piece_column(parts, words, mapping) if len(lexicon) <= INLINE_MAX else rewrite_pieces_udf(words, mapping)(parts)
+    q = s.select(key, made.alias("rewritten")).writeStream.format("parquet").option("path", sink) \
+        .option("checkpointLocation", checkpoint).outputMode("append").trigger(**(trigger or AVAILABLE)).start()
+    return _finished(q, trigger)
+
+
 def running_loss_stream(spark: SparkSession, source: str, sink: str, checkpoint: str,
                         max_files_per_trigger: int = 1, schema: T.StructType = LOSS_SCHEMA,
                         output_mode: str = "update", trigger: dict | None = None):

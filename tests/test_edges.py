@@ -32,7 +32,7 @@ def test_every_sentence_is_read(spark, sf):
 
 def test_ids_fail_rather_than_collide(spark, tmp_path):
     path = tmp_path / "conversations.parquet"
-    spark.createDataFrame([(1, 1000, "a b")], "conv_id long, turn long, text string").write.parquet(str(path))
+    spark.createDataFrame([(1, D.SEQ_ID_STRIDE, "a b")], "conv_id long, turn long, text string").write.parquet(str(path))
     with pytest.raises(PySparkException):
         D.turn_tokens(spark, str(tmp_path)).collect()
 

@@ -43,11 +43,11 @@ def test_pairs_by_column_name(spark, tmp_path, header, line):
 
 
 def test_log_round_trip(spark, tmp_path):
-    for folder in ("run_id=r1", "2024-05-26,13-38-42"):
+    for folder in ("run_id=r1", "2025-02-03,04-05-06"):
         (tmp_path / folder).mkdir()
         (tmp_path / folder / "metrics.txt").write_text("\n".join([*LOG_LINES, "", "not a line"]) + "\n")
     typed = IO.read_metrics_log(spark, str(tmp_path))
-    assert {r.run_id for r in typed.collect()} == {"r1", "2024-05-26,13-38-42"}
+    assert {r.run_id for r in typed.collect()} == {"r1", "2025-02-03,04-05-06"}
     back = typed.where(F.col("run_id") == "r1").withColumn("epoch", F.col("epoch") - 1).select(log_line().alias("l"))
     assert sorted(r.l for r in back.collect()) == sorted(LOG_LINES)
     assert sorted(r.value for r in IO.rejected_log_lines(spark, str(tmp_path)).collect()) == ["", "", "not a line", "not a line"]
@@ -66,8 +66,8 @@ def test_written_log_keeps_order_and_run(spark, tmp_path):
 
 
 def test_run_stamp(spark):
-    v = spark.range(1).select(IO.run_stamp(F.to_timestamp(F.lit("2024-05-26 13:38:42"))).alias("v")).first().v
-    assert v == "2024-05-26,13-38-42"
+    v = spark.range(1).select(IO.run_stamp(F.to_timestamp(F.lit("2025-02-03 04:05:06"))).alias("v")).first().v
+    assert v == "2025-02-03,04-05-06"
 
 
 def test_snapshot_every_k(spark):
