@@ -44,6 +44,8 @@ SEED = 12
 CHOICES = WINDOW - SEED + 1
 #: factors of the two hashes of word sequences, and the inverses modulo 2^64
 FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+#: characters of texts that are hashed at once (a longer text is taken as a whole)
+PIECE = 2 << 20
 NOTHING = hashlib.sha256(b"").digest()
 
 SKETCH_SCHEMA = ("doc_id {}, d binary, n_words long, sha binary, h array<long>, e array<long>, a array<int>, m array<int>")
@@ -143,7 +145,7 @@ def _sketched(kind: pa.DataType):
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", PIECE):
                 texts = part.column("text")
                 hashes = Hashes(texts)
                 seeds = Seeds(hashes)
@@ -175,7 +177,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The windows of the extents that a text is asked for, a row each."""
     names = ["h", "e", "n", "bit", "w1", "w2"]
     for batch in batches:
-        for part in chunks(batch, "text"):
+        for part in chunks(batch, "text", PIECE):
             hashes = Hashes(part.column("text"))
             asked = part.column("extents")
             text = np.repeat(np.arange(len(asked)), np.diff(asked.offsets.to_numpy()))
@@ -250,7 +252,7 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What is left of texts with repeated windows, and where their repeats are."""
     spans_type = pa.list_(pa.struct([("first", pa.int64()), ("n", pa.int64())]))
     for batch in batches:
-        for part in chunks(batch, "text"):
+        for part in chunks(batch, "text", PIECE):
             split = [t.as_buffer().to_pybytes().split() for t in part.column("text").cast(pa.large_binary())]
             ends = np.concatenate([[0], np.cumsum([len(s) for s in split])]).astype(np.int64)
             runs = part.column("runs")
