@@ -27,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _numbered(major: str, minor: str, stride: int) -> F.Column:
+def numbered(major: str, minor: str, stride: int) -> F.Column:
     """One id from two numbers; fails where the minor number doesn't fit."""
     fits = F.col(minor) < stride
     return F.when(fits, F.col(major) * stride + F.col(minor)).otherwise(
@@ -44,7 +44,7 @@ def sentences(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -
         docs = table(spark, sf_dir, "documents")
     docs = docs.select("doc_id", "lang", "text")
     s = docs.select("doc_id", "lang", F.posexplode(split_sentences("text")).alias("sent_ix", "sentence"))
-    s = s.select(_numbered("doc_id", "sent_ix", PAIR_ID_STRIDE).alias("pair_id"),
+    s = s.select(numbered("doc_id", "sent_ix", PAIR_ID_STRIDE).alias("pair_id"),
                  "doc_id", "lang", tokenize("sentence").alias("tokens"))
     return s.where(F.size("tokens") > 0)
 
@@ -117,14 +117,14 @@ def candidates(spark: SparkSession, sf_dir: str, pairs_df: DataFrame | None = No
 def turn_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seq_id, conv_id, turn, pos, token) of every conversation turn."""
     conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    return conv.select(_numbered("conv_id", "turn", SEQ_ID_STRIDE).alias("seq_id"), "conv_id", "turn",
+    return conv.select(numbered("conv_id", "turn", SEQ_ID_STRIDE).alias("seq_id"), "conv_id", "turn",
                        F.posexplode(tokenize("text")).alias("pos", "token"))
 
 
 def turn_token_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seq_id, tokens) of every conversation turn, one row per turn."""
     conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    return conv.select(_numbered("conv_id", "turn", SEQ_ID_STRIDE).alias("seq_id"),
+    return conv.select(numbered("conv_id", "turn", SEQ_ID_STRIDE).alias("seq_id"),
                        tokenize("text").alias("tokens"))
 
 

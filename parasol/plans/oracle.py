@@ -4,6 +4,8 @@ plans. Doubles are rounded to 6 decimals, integers are BIGINT, arrays text.
 
 from __future__ import annotations
 
+import math
+
 from parasol.plans.oracle_views import _NOUNS, register, with_views
 
 SEED = 42
@@ -419,6 +421,100 @@ register("loss_means", ("losses",), """
 
 METRICS = ("bleu", "sta", "sim", "fl", "j")
 
+# a Poisson bootstrap: the distribution function of mean one, in 60 bits
+_POISSON, _p, _sum = [], math.exp(-1), 0.0
+for _k in range(18):
+    _sum += _p
+    _bound = int(_sum * 2 ** 60)
+    if _bound >= 2 ** 60 - 1 or _POISSON and _bound <= _POISSON[-1]:
+        break
+    _POISSON.append(_bound)
+    _p /= _k + 1
+register("boot_rows", ("ev", "ev_rows"), """
+  SELECT e.pair_id, e.run_id, e.epoch, r.bleu, CASE WHEN r.p_toxic < 0.8::DOUBLE THEN 1.0 ELSE 0.0 END AS sta,
+         CASE WHEN r.p_fluent >= 0.5::DOUBLE THEN 1.0 ELSE 0.0 END AS fl
+  FROM ev e JOIN ev_rows r USING (rk)""")
+register("boot_means", ("boot_rows",), f"""
+  SELECT run_id, epoch, i, sum(w * bleu) / sum(w) AS bleu, sum(w * sta) / sum(w) AS sta, sum(w * fl) / sum(w) AS fl
+  FROM (SELECT *, {" + ".join(f"(d >= {b})::INT" for b in _POISSON)} AS w
+        FROM (SELECT *, {_draw("'42:' || CAST(i AS VARCHAR) || ':' || CAST(pair_id AS VARCHAR)")} AS d
+              FROM boot_rows, (SELECT unnest(range(100)) AS i))) GROUP BY run_id, epoch, i""")
+
+# the judge of three fifths, its scores of the others, and the best rising function of those of one fifth
+for _f, _where in (("cal_fit", "l.doc_id % 5 > 1"), ("cal_one", "l.doc_id % 5 = 1"), ("cal_held", "l.doc_id % 5 = 0")):
+    register(f"{_f}_docs", (), f"""
+  SELECT l.doc_id, CAST(l.toxic AS INTEGER) AS y, {_tok('d.text')} AS toks
+  FROM labels l JOIN documents d USING (doc_id) WHERE l.toxic IS NOT NULL AND {_where}""")
+register("cal_w", ("cal_fit_docs",), """
+  SELECT token, ln((a + 1) / (na + k)) - ln((b + 1) / (nb + k)) AS w
+  FROM (SELECT *, sum(a) OVER () AS na, sum(b) OVER () AS nb, CAST(count(*) OVER () AS DOUBLE) AS k
+        FROM (SELECT token, CAST(count(*) FILTER (y = 1) AS DOUBLE) AS a, CAST(count(*) FILTER (y = 0) AS DOUBLE) AS b
+              FROM (SELECT y, unnest(toks) AS token FROM cal_fit_docs) GROUP BY token))""")
+for _f in ("cal_one", "cal_held"):
+    register(f"{_f}_s", (f"{_f}_docs", "cal_fit_docs", "cal_w"), f"""
+  SELECT d.doc_id, d.y, round((SELECT ln(avg(y)) - ln(1 - avg(y)) FROM cal_fit_docs) + coalesce(s.sw, 0), 9) AS score
+  FROM {_f}_docs d LEFT JOIN (SELECT doc_id, sum(w) AS sw FROM (SELECT doc_id, unnest(toks) AS token FROM {_f}_docs)
+                              JOIN cal_w USING (token) GROUP BY doc_id) s USING (doc_id)""")
+register("cal_points", ("cal_one_s",), """
+  SELECT score, row_number() OVER (ORDER BY score) AS i, sum(sum(y)) OVER (ORDER BY score) AS ys, sum(count(*)) OVER (ORDER BY score) AS ns
+  FROM cal_one_s GROUP BY score""")
+register("cal_f", ("cal_points",), """
+  SELECT score, i, max(least_mean) AS f FROM (
+    SELECT p.score, p.i, a.i AS first, min((b.ys - coalesce(z.ys, 0)) / CAST(b.ns - coalesce(z.ns, 0) AS DOUBLE)) AS least_mean
+    FROM cal_points p JOIN cal_points a ON a.i <= p.i JOIN cal_points b ON b.i >= p.i LEFT JOIN cal_points z ON z.i = a.i - 1
+    GROUP BY p.score, p.i, a.i) GROUP BY score, i""")
+
+# interpolated Kneser-Ney of order three
+register("kn_grams", (), """
+  SELECT conv_id, seq_id, t[i] AS u, t[i + 1] AS v, t[i + 2] AS w
+  FROM (SELECT conv_id, seq_id, t, unnest(range(1, len(t) - 1)) AS i
+        FROM (SELECT conv_id, conv_id * 16777216 + turn AS seq_id,
+                     ['<s>', '<s>'] || regexp_extract_all(lower(text), '[a-zß-ÿ]+') || ['</s>'] AS t
+              FROM conversations WHERE text IS NOT NULL))""")
+register("kn3", ("kn_grams",), "SELECT u, v, w, count(*) AS c FROM kn_grams WHERE conv_id % 5 <> 0 GROUP BY u, v, w")
+register("kn3t", ("kn3",), "SELECT u, v, sum(c) AS c, count(*) AS k FROM kn3 GROUP BY u, v")
+register("kn2", ("kn3",), "SELECT v, w, count(*) AS c FROM kn3 GROUP BY v, w")
+register("kn2t", ("kn2",), "SELECT v, sum(c) AS c, count(*) AS k FROM kn2 GROUP BY v")
+register("kn1", ("kn2",), """
+  SELECT w, (c - 0.75::DOUBLE) / t + 0.75::DOUBLE * k / t / (k + 1) AS p
+  FROM (SELECT w, c, sum(c) OVER () AS t, count(*) OVER () AS k FROM (SELECT w, count(*) AS c FROM kn2 GROUP BY w))""")
+register("kn_floor", ("kn2",), """
+  SELECT 0.75::DOUBLE * count(DISTINCT w) / count(*) / (count(DISTINCT w) + 1) AS p FROM kn2""")
+register("kn_p", ("kn_grams", "kn3", "kn3t", "kn2", "kn2t", "kn1", "kn_floor"), """
+  SELECT seq_id, CASE WHEN t3.c IS NULL THEN p2 ELSE (greatest(coalesce(c3.c, 0) - 0.75::DOUBLE, 0) + 0.75::DOUBLE * t3.k * p2) / t3.c END AS p
+  FROM (SELECT g.*, CASE WHEN t2.c IS NULL THEN p1
+                         ELSE (greatest(coalesce(c2.c, 0) - 0.75::DOUBLE, 0) + 0.75::DOUBLE * t2.k * p1) / t2.c END AS p2
+        FROM (SELECT g.*, coalesce(o.p, (SELECT p FROM kn_floor)) AS p1 FROM kn_grams g LEFT JOIN kn1 o USING (w) WHERE conv_id % 5 = 0) g
+        LEFT JOIN kn2 c2 ON c2.v = g.v AND c2.w = g.w LEFT JOIN kn2t t2 ON t2.v = g.v) g
+  LEFT JOIN kn3 c3 ON c3.u = g.u AND c3.v = g.v AND c3.w = g.w LEFT JOIN kn3t t3 ON t3.u = g.u AND t3.v = g.v""")
+
+# phrases of up to three words by log-odds, without those that tell no more than one inside them
+_GRAMS = " || ".join(f"list_transform(range(1, len(toks) - {n} + 2), lambda i: array_to_string(toks[i:i + {n - 1}], ' '))" for n in (1, 2, 3))
+register("phrase_lo", ("lab_tox",), f"""
+  SELECT phrase, a, b, ln((a + 0.5::DOUBLE) / (na - a + 0.5::DOUBLE)) - ln((b + 0.5::DOUBLE) / (nb - b + 0.5::DOUBLE)) AS lo, na
+  FROM (SELECT phrase, count(*) FILTER (y = 1) AS a, count(*) FILTER (y = 0) AS b
+        FROM (SELECT y, unnest(list_distinct({_GRAMS})) AS phrase FROM lab_tox) GROUP BY phrase),
+       (SELECT CAST(count(*) FILTER (y = 1) AS DOUBLE) AS na, CAST(count(*) FILTER (y = 0) AS DOUBLE) AS nb FROM lab_tox)""")
+register("phrase_kept", ("phrase_lo",), """
+  SELECT phrase, string_split(phrase, ' ') AS ws, a, b, lo FROM phrase_lo WHERE a > 0 AND lo >= 4 AND a >= 0.2::DOUBLE * na""")
+register("phrases", ("phrase_kept",), """
+  SELECT k.phrase, CAST(len(k.ws) AS BIGINT) AS words, k.a, k.b, k.lo FROM phrase_kept k
+  WHERE NOT EXISTS (SELECT 1 FROM phrase_kept p WHERE p.phrase <> k.phrase AND round(p.lo, 9) >= round(k.lo, 9)
+                    AND contains(' ' || k.phrase || ' ', ' ' || p.phrase || ' '))""")
+register("phrase_hits", ("sentences", "phrases"), """
+  SELECT pair_id, start, max(n) AS n FROM (
+    SELECT s.pair_id, s.start, s.n FROM (
+      SELECT pair_id, start, n, array_to_string(tokens[start:start + n - 1], ' ') AS phrase
+      FROM (SELECT pair_id, tokens, unnest(range(1, len(tokens) + 1)) AS start FROM sentences), (VALUES (1), (2), (3)) v(n)
+      WHERE start + n - 1 <= len(tokens)) s JOIN phrases USING (phrase))
+  GROUP BY pair_id, start""")
+register("taken_recursive", ("phrase_hits",), """
+  SELECT pair_id, start, n FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY start) AS r FROM phrase_hits) WHERE r = 1
+  UNION ALL
+  SELECT pair_id, start, n FROM (
+    SELECT h.pair_id, h.start, h.n, row_number() OVER (PARTITION BY h.pair_id ORDER BY h.start) AS r
+    FROM taken_recursive t JOIN phrase_hits h ON h.pair_id = t.pair_id AND h.start >= t.start + t.n) WHERE r = 1""")
+
 
 def _held_out() -> str:
     """The naive Bayes judge fitted on four fifths of the labels, on the rest."""
@@ -554,6 +650,37 @@ def _q() -> dict[str, tuple[str, tuple[str, ...]]]:
                 SELECT pair_id, sum(lo) AS sl
                 FROM (SELECT pair_id, unnest({_tok('toxic')}) AS token FROM all_pairs) JOIN lexicon USING (token)
                 GROUP BY pair_id) s USING (pair_id)""", ("all_pairs", "lexicon")),
+        "bootstrap_intervals": (" UNION ALL ".join(f"""
+            SELECT run_id, CAST(epoch AS BIGINT) AS epoch, '{c}' AS metric, round(m, 6) AS mean,
+                   round(quantile_cont({c}, 0.05::DOUBLE), 6) AS low, round(quantile_cont({c}, 0.95::DOUBLE), 6) AS high
+            FROM boot_means JOIN (SELECT run_id, epoch, avg({c}) AS m FROM boot_rows GROUP BY run_id, epoch) USING (run_id, epoch)
+            GROUP BY run_id, epoch, m""" for c in ("bleu", "sta", "fl")), ("boot_means", "boot_rows")),
+        "calibrated_judge": ("""
+            SELECT doc_id, CAST(y AS BIGINT) AS y, round(score, 6) AS score,
+                   round(CASE WHEN lo.i IS NULL THEN hi.f WHEN hi.i IS NULL OR hi.score = lo.score THEN lo.f
+                              ELSE lo.f + (hi.f - lo.f) * (s.score - lo.score) / (hi.score - lo.score) END, 6) AS p
+            FROM (SELECT h.*, (SELECT max(i) FROM cal_f WHERE score <= h.score) AS below, (SELECT min(i) FROM cal_f WHERE score >= h.score) AS above
+                  FROM cal_held_s h) s
+            LEFT JOIN (SELECT i, score, f FROM cal_f) lo ON lo.i = s.below LEFT JOIN (SELECT i, score, f FROM cal_f) hi ON hi.i = s.above"""
+                             .replace("round(score, 6)", "round(s.score, 6)"), ("cal_f", "cal_held_s")),
+        "kneser_ney_logprob": ("""
+            SELECT seq_id, count(*) AS n_pos, round(sum(ln(p)), 6) AS logp, round(exp(-sum(ln(p)) / count(*)), 6) AS ppl
+            FROM kn_p GROUP BY seq_id""", ("kn_p",)),
+        "detox_phrases": ("SELECT phrase, words, a, b, round(lo, 6) AS lo FROM phrases", ("phrases",)),
+        "rewrite_phrases": ("""
+            SELECT s.pair_id, coalesce(k.text, '') AS text FROM sentences s LEFT JOIN (
+              SELECT p.pair_id, string_agg(p.token, ' ' ORDER BY p.pos) AS text FROM sent_pos p
+              LEFT JOIN taken_recursive t ON t.pair_id = p.pair_id AND p.pos + 1 >= t.start AND p.pos + 1 < t.start + t.n
+              WHERE t.start IS NULL GROUP BY p.pair_id) k USING (pair_id)""", ("sentences", "sent_pos", "taken_recursive")),
+        "stream_newest_lexicon": ("""
+            SELECT d.doc_id, d.doc_id % 2 AS epoch, CASE WHEN d.text IS NOT NULL THEN coalesce(k.rewritten, '') END AS rewritten
+            FROM documents d LEFT JOIN (
+                SELECT doc_id, string_agg(CASE WHEN token IS NULL OR doc_id % 2 = 0 AND token >= 'm' THEN piece ELSE '' END, '' ORDER BY ix) AS rewritten
+                FROM doc_pieces LEFT JOIN lexicon ON token = lower(piece) GROUP BY doc_id) k USING (doc_id)""", ("doc_pieces", "lexicon")),
+        "stream_batch_metrics": ("""SELECT batch_id, n_rows, round(bleu, 6) AS bleu, round(sta, 6) AS sta, round(sim, 6) AS sim,
+                                           round(fl, 6) AS fl, round(sta * sim * fl, 6) AS j FROM pair_batch_metrics""",
+                                 ("pair_batch_metrics",)),
+        "resumed_judge": ("SELECT token, round(w, 6) AS w FROM w_tox", ("w_tox",)),
         "alignment_model": ("""
             SELECT given AS src, made AS tgt, round(p, 6) AS p FROM (
               SELECT *, row_number() OVER (PARTITION BY given ORDER BY round(p, 9) DESC, made) AS r FROM al_made_3 WHERE given <> '')

@@ -78,4 +78,4 @@ def with_views(body: str, *names: str) -> str:
     ctes = [f"{n} AS ({b}\n)" for n, _, b in VIEWS if n in need]
     if not ctes:
         return body
-    return "WITH " + ",\n".join(ctes) + "\n" + body
+    return ("WITH RECURSIVE " if any(n.endswith("_recursive") for n in need) else "WITH ") + ",\n".join(ctes) + "\n" + body

@@ -100,6 +100,35 @@ def write_snapshot(tables: dict, path: str, run_id: str, epoch: int, every: int
     return True
 
 
+def _marks(path: str) -> str:
+    return f"{path}/_complete"
+
+
+def commit_snapshot(spark: SparkSession, path: str, run_id: str, epoch: int, note: str = "") -> None:
+    """Mark a snapshot as complete, once all its tables are written. Readers
+    of ``latest_snapshot`` never see one that was cut off in the middle."""
+    row = spark.createDataFrame([(run_id, int(epoch), note)], "run_id string, epoch bigint, note string")
+    row.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "epoch").parquet(_marks(path))
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def complete_snapshots(spark: SparkSession, path: str, run_id: str) -> DataFrame:
+    """(epoch, note) of a run's complete snapshots."""
+    schema = "note string, run_id string, epoch bigint"
+    if not path_exists(spark, _marks(path)):
+        return spark.createDataFrame([], schema).select("epoch", "note")
+    return spark.read.schema(schema).parquet(_marks(path)).where(F.col("run_id") == run_id).select("epoch", "note")
+
+
+def latest_snapshot(spark: SparkSession, path: str, run_id: str) -> int | None:
+    """Epoch of a run's last complete snapshot, None if it has none."""
+    return complete_snapshots(spark, path, run_id).agg(F.max("epoch")).first()[0]
+
+
 def read_snapshot(spark: SparkSession, path: str, name: str, run_id: str, epoch: int) -> DataFrame:
     """S6 restore: partition-pruned read of one table of one snapshot."""
     df = spark.read.parquet(f"{path}/{name}")

@@ -9,14 +9,19 @@ replays are idempotent).
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parasol.functions import spans as SP
 from parasol.functions.text import tokenize
+from parasol.operators.judges import FLUENT_LABEL
+from parasol.operators.metrics import DEFAULT_THRESHOLD
 from parasol.operators.rewrite import (INLINE_MAX, delete_words, delete_words_udf, replace_words, replace_words_udf,
-                                       rewrite_piece_column, rewrite_pieces_udf)
+                                       rewrite_piece_column, rewrite_pieces_udf, rewrite_text)
+from parasol.sources import io as IO
 
 SENTENCE_SCHEMA = T.StructType([T.StructField("pair_id", T.LongType()), T.StructField("text", T.StringType())])
 LOSS_SCHEMA = T.StructType([T.StructField("run_id", T.LongType()), T.StructField("epoch", T.LongType()),
@@ -76,6 +81,101 @@ def rewrite_text_stream(spark: SparkSession, source: str, sink: str, checkpoint:
     return _finished(q, trigger)
 
 
+def newest_lexicon_stream(spark: SparkSession, source: str, sink: str, checkpoint: str, snapshots: str, run_id: str,
+                          table: str = "lexicon", mode: str = "delete", word_col: str = "token", target_col: str = "tgt",
+                          key: str = "doc_id", text_col: str = "text", max_files_per_trigger: int = 1,
+                          trigger: dict | None = None):
+    """W1 with S6: every micro-batch is rewritten by the newest lexicon whose
+    snapshot is complete when the batch begins; ``epoch`` tells which.
+
+    The choice is written down before the rewrite, so that a batch that is
+    played again after a crash is rewritten by the same lexicon, and its folder
+    overwritten: each row is in the sink once. Without a complete snapshot the
+    texts stay as they are and ``epoch`` is null.
+    """
+    schema = T.StructType([T.StructField(key, T.LongType()), T.StructField(text_col, T.StringType())])
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(source)
+
+    def chosen_epoch(spark: SparkSession, batch_id: int) -> int | None:
+        choice = f"{checkpoint}/lexicons/batch={batch_id}"
+        if not IO.path_exists(spark, f"{choice}/_SUCCESS"):
+            spark.createDataFrame([(IO.latest_snapshot(spark, snapshots, run_id),)], "epoch bigint").coalesce(1) \
+                .write.mode("overwrite").parquet(choice)
+        return spark.read.schema("epoch bigint").parquet(choice).first()["epoch"]
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        epoch = chosen_epoch(batch.sparkSession, batch_id)
+        if epoch is None:
+            out = batch.withColumn("rewritten", F.col(text_col))
+        else:
+            lexicon = IO.read_snapshot(batch.sparkSession, snapshots, table, run_id, epoch)
+            out = rewrite_text(batch, key, text_col, lexicon, mode, "rewritten", word_col, target_col)
+        out.select(key, F.lit(epoch).cast("bigint").alias("epoch"), "rewritten").write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+
+    q = s.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).trigger(**(trigger or AVAILABLE)).start()
+    return _finished(q, trigger)
+
+
+def batch_metrics_stream(spark: SparkSession, source: str, sink: str, checkpoint: str, group=("batch_id",),
+                         size_col: str = "n_rows", threshold: float = DEFAULT_THRESHOLD, max_files_per_trigger: int = 1,
+                         schema: T.StructType | None = None, trigger: dict | None = None):
+    """A6 on a stream (W2): the metrics of every batch, once its last row is in.
+
+    The source holds scored rows (``metrics.row_scores`` with embeddings, its
+    ``group`` columns and in ``size_col`` how many rows the batch has), in any
+    order and any files. Keyed state holds the open batches: number and sums of
+    the rows seen, of a fixed size whatever the batch's. When a batch is full its metrics go to the sink and its
+    state is dropped. A row with a null embedding counts for all but the
+    similarity; null scores are left out of their means. State and files read
+    advance together in the checkpoint, and each micro-batch overwrites its own
+    folder, so that a restart neither loses nor repeats a batch.
+    """
+    group = list(group)
+    schema = schema or spark.read.parquet(source).schema
+    kinds = {f.name: f.dataType.simpleString() for f in schema.fields}
+    state_schema = "n long, sums array<double>, counts array<long>, x array<double>, y array<double>"
+    out_schema = ", ".join([*[f"{g} {kinds[g]}" for g in group], "n_rows long, bleu double, sta double, sim double, fl double, j double"])
+
+    def update(key, frames, state):
+        n, sums, counts, x, y = state.get if state.exists else (0, [0.0] * 3, [0] * 5, [], [])
+        sums, counts, sides, size = np.array(sums), np.array(counts), [np.array(x), np.array(y)], None
+        for f in frames:
+            n, size = n + len(f), int(f[size_col].iloc[0])
+            for i, v in enumerate((f["bleu"], (f["p_toxic"] < threshold).where(f["p_toxic"].notna()).astype("float64"),
+                                   (f["fl_label"] == FLUENT_LABEL).where(f["fl_label"].notna()).astype("float64"))):
+                sums[i] += v.sum()
+                counts[i] += v.notna().sum()
+            for i, name in enumerate(("x_emb", "y_emb")):
+                vectors = [v for v in f[name] if v is not None]
+                if vectors:
+                    total = np.sum(np.array([np.asarray(v, dtype="float64") for v in vectors]), axis=0)
+                    sides[i] = sides[i] + total if len(sides[i]) else total
+                    counts[3 + i] += len(vectors)
+        if n < size:
+            state.update((int(n), sums.tolist(), counts.tolist(), sides[0].tolist(), sides[1].tolist()))
+            return
+        if state.exists:
+            state.remove()
+        means = [s / c if c else None for s, c in zip(sums, counts)]
+        sim = None
+        if len(sides[0]) and len(sides[1]):
+            a, b = (v / c for v, c in zip(sides, counts[3:]))
+            sim = float(a @ b / (max(np.sqrt(a @ a), 1e-8) * max(np.sqrt(b @ b), 1e-8)))
+        j = None if None in (means[1], means[2], sim) else means[1] * sim * means[2]
+        yield pd.DataFrame([(*key, n, means[0], means[1], sim, means[2], j)],
+                           columns=[*group, "n_rows", "bleu", "sta", "sim", "fl", "j"])
+
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(source)
+    made = s.groupBy(*group).applyInPandasWithState(update, out_schema, state_schema, "append", "NoTimeout")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink}/part={batch_id}")
+
+    q = made.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write) \
+        .trigger(**(trigger or AVAILABLE)).start()
+    return _finished(q, trigger)
+
+
 def running_loss_stream(spark: SparkSession, source: str, sink: str, checkpoint: str,
                         max_files_per_trigger: int = 1, schema: T.StructType = LOSS_SCHEMA,
                         output_mode: str = "update", trigger: dict | None = None):
