@@ -74,6 +74,8 @@ def bert_score(cands: DataFrame, tv: TokenVectors, key: str = "seq_id", kind: st
     Otherwise token vectors are attached by a lookup join and regrouped.
     """
     f1 = F.when(F.col("p") + F.col("r") > 0, 2 * F.col("p") * F.col("r") / (F.col("p") + F.col("r"))).otherwise(0.0)
+    if tv.small and not tv.n:    # no token has a vector
+        return cands.select(key, kind, *[F.lit(0.0).alias(c) for c in ("p", "r", "f1")])
     if tv.small:
         match = _match_ids(cands.sparkSession.sparkContext.broadcast(tv.unit_matrix()))
         ids = [F.transform(tokenize(c), tv.vec_id) for c in (text, gold)]

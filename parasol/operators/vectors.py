@@ -23,7 +23,16 @@ def _mean_by_ids(matrix):
     @F.pandas_udf("array<double>")
     def mean(ids: pd.Series) -> pd.Series:
         vectors = matrix.value
-        return ids.map(lambda x: vectors[np.asarray(x)].mean(axis=0) if x is not None and len(x) else None)
+        rows = [np.asarray(x) if x is not None else np.zeros(0, dtype="int64") for x in ids]
+        sizes = np.array([len(x) for x in rows])
+        some = np.flatnonzero(sizes)
+        out = np.empty(len(rows), dtype=object)
+        if len(some):   # all rows' vectors in one piece, added up between the rows' bounds
+            starts = np.concatenate([[0], np.cumsum(sizes[some])[:-1]])
+            sums = np.add.reduceat(vectors[np.concatenate([rows[i] for i in some])], starts, axis=0)
+            for i, mean in zip(some, sums / sizes[some][:, None]):
+                out[i] = mean
+        return pd.Series(out)
 
     return mean
 
@@ -37,7 +46,8 @@ class TokenVectors:
         self.n = ids["n"]
         if self.n and (ids["d"] != self.n or ids["lo"] != 0 or ids["hi"] != self.n - 1):
             raise ValueError("vec_id must number the embeddings from 0 without gaps")
-        self.dim = embeddings.select(F.size("embedding").alias("d")).first()["d"]
+        first = embeddings.select(F.size("embedding").alias("d")).first()
+        self.dim = first["d"] if first else 0     # an empty table: no token has a vector
         tab = embeddings.select("vec_id", F.col("embedding").cast(f"array<double>").alias("vector"))
         # unit vectors are computed once per embeddings row, never per token occurrence
         normed = tab.withColumn("_norm", F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)))
@@ -57,18 +67,20 @@ class TokenVectors:
 
     def _matrix(self, table: DataFrame):
         rows = table.toArrow().sort_by("vec_id")
-        return np.array(rows.column("vector").to_pylist(), dtype="float64").reshape(self.n, -1)
+        return np.array(rows.column("vector").to_pylist(), dtype="float64").reshape(self.n, self.dim)
 
     def mean_column(self, tokens) -> F.Column:
         """Mean vector of a token array as a column, for tables of a small size:
         the row turns its tokens into row numbers and averages in place; null
         for an empty array."""
+        if not self.n:
+            return F.lit(None).cast("array<double>")
         if self._mean is None:
             self._mean = _mean_by_ids(self._unit.sparkSession.sparkContext.broadcast(self._matrix(self._raw)))
         return self._mean(F.transform(tokens, self.vec_id))
 
     def vec_id(self, token) -> F.Column:
-        return F.pmod(md5_int(token), F.lit(self.n)).cast("bigint")
+        return F.pmod(md5_int(token), F.lit(self.n)).cast("bigint") if self.n else F.lit(None).cast("bigint")
 
     def lookup(self, df: DataFrame, token_col: str = "token", unit: bool = False) -> DataFrame:
         """Attach ``vector`` (or its unit vector) to every row by its token."""
@@ -98,6 +110,8 @@ class NamedVectors(TokenVectors):
 
 def mean_vector_finish(dim: int, prefix: str) -> F.Column:
     n = F.col(f"{prefix}n")
+    if not dim:
+        return F.lit(None).cast("array<double>")
     return F.when(n > 0, F.array(*[F.col(f"{prefix}{i}") / n for i in range(dim)]))
 
 

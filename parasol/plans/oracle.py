@@ -50,10 +50,10 @@ register("encoded", ("enc_ids",), """
   FROM enc_ids x JOIN enc_ids y ON x.pair_id = y.pair_id AND x.side = 'x' AND y.side = 'y'
   WHERE len(x.ids) <= 38 AND len(y.ids) <= 38""")
 
-register("pair_rank", ("pairs",), f"""
-  SELECT pair_id, row_number() OVER (ORDER BY {_hkey('pair_id')}, pair_id) AS r, count(*) OVER () AS n FROM pairs""")
-
-register("split_def", ("pair_rank",), """
+for _rank, _split, _src in (("pair_rank", "split_def", "pairs"), ("all_rank", "all_split", "all_pairs")):
+    register(_rank, (_src,), f"""
+  SELECT pair_id, row_number() OVER (ORDER BY {_hkey('pair_id')}, pair_id) AS r, count(*) OVER () AS n FROM {_src}""")
+    register(_split, (_rank,), f"""
   SELECT pair_id,
          CASE WHEN r <= la THEN 'train' WHEN r <= la + lb THEN 'val' ELSE 'test' END AS split,
          r - CASE WHEN r <= la THEN 0 WHEN r <= la + lb THEN la ELSE la + lb END AS split_rank
@@ -61,10 +61,10 @@ register("split_def", ("pair_rank",), """
         FROM (SELECT *, n - fa - fb - fc AS rem
               FROM (SELECT pair_id, r, n, CAST(floor(n * 0.8::DOUBLE) AS BIGINT) AS fa,
                            CAST(floor(n * 0.1::DOUBLE) AS BIGINT) AS fb,
-                           CAST(floor(n * 0.1::DOUBLE) AS BIGINT) AS fc FROM pair_rank)))""")
+                           CAST(floor(n * 0.1::DOUBLE) AS BIGINT) AS fc FROM {_rank})))""")
 
-register("pair_batches", ("pair_rank",), """
-  SELECT pair_id, CAST((r - 1) // 16 AS BIGINT) AS batch_id FROM pair_rank""")
+register("pair_batches", ("all_rank",), """
+  SELECT pair_id, CAST((r - 1) // 16 AS BIGINT) AS batch_id FROM all_rank""")
 
 
 def _nb(label: str, p: str) -> None:
@@ -301,13 +301,13 @@ register("gold_ce_pad", ("gold_ce", "vsz"), """
   FROM (SELECT pair_id, n_pos, greatest(37 - n_pos, 0) AS pads, coalesce(ce, 0.0) AS ce FROM gold_ce)""")
 
 # pair-level metric inputs (x = toxic, y_pred = hyp, y_real = neutral1)
-register("pair_scores", ("pairs", "w_tox", "prior_tox", "w_flu", "prior_flu"), f"""
+register("pair_scores", ("all_pairs", "w_tox", "prior_tox", "w_flu", "prior_flu"), f"""
   SELECT t.pair_id, t.p AS p_toxic, f.p AS p_fluent
-  FROM {_score('tox', 'pairs', 'pair_id', 'hyp')} t JOIN {_score('flu', 'pairs', 'pair_id', 'hyp')} f USING (pair_id)""")
+  FROM {_score('tox', 'all_pairs', 'pair_id', 'hyp')} t JOIN {_score('flu', 'all_pairs', 'pair_id', 'hyp')} f USING (pair_id)""")
 
-register("pair_emb", ("pairs", "tv"), f"""
+register("pair_emb", ("all_pairs", "tv"), f"""
   SELECT coalesce(x.pair_id, y.pair_id) AS pair_id, coalesce(x.dim, y.dim) AS dim, x.v AS xv, y.v AS yv
-  FROM {_emb('pairs', 'pair_id', 'toxic')} x FULL JOIN {_emb('pairs', 'pair_id', 'hyp')} y
+  FROM {_emb('all_pairs', 'pair_id', 'toxic')} x FULL JOIN {_emb('all_pairs', 'pair_id', 'hyp')} y
     ON x.pair_id = y.pair_id AND x.dim = y.dim""")
 
 
@@ -347,7 +347,7 @@ def _bleu(src: str, key: str, hyp: str, ref: str, unit: str) -> str:
                GROUP BY k) p ON p.k = s.k)"""
 
 
-register("pair_bleu", ("pairs",), f"SELECT k AS pair_id, bleu FROM {_bleu('pairs', 'pair_id', 'hyp', 'neutral1', 'char')}")
+register("pair_bleu", ("all_pairs",), f"SELECT k AS pair_id, bleu FROM {_bleu('all_pairs', 'pair_id', 'hyp', 'neutral1', 'char')}")
 
 register("pair_rows", ("pair_bleu", "pair_scores", "pair_batches"), """
   SELECT b.pair_id, pb.batch_id, b.bleu, s.p_toxic, s.p_fluent
@@ -368,24 +368,61 @@ register("pair_batch_metrics", ("pair_rows", "pair_batch_sim"), """
   GROUP BY r.batch_id""")
 
 # evaluation of two runs' three epochs on the validation split
-register("ev", ("pairs", "split_def"), f"""
-  SELECT p.pair_id, m.run_id, m.epoch, p.toxic AS x, p.neutral1 AS y_real,
-         CASE WHEN m.epoch = 0 THEN p.toxic
-              WHEN m.epoch = 2 AND m.run_id = 'delete' THEN p.hyp
-              WHEN m.epoch = 2 THEN p.neutral1
-              WHEN m.run_id = 'delete' THEN array_to_string(list_filter(string_split(p.toxic, ' '), lambda t: t NOT IN ({_NOUNS})), ' ')
-              ELSE array_to_string(list_transform(string_split(p.toxic, ' '),
-                                                  lambda t: CASE WHEN t IN ({_NOUNS}) THEN 'person' ELSE t END), ' ') END AS y_pred,
-         m.run_id || ':' || CAST(m.epoch AS VARCHAR) || ':' || CAST(p.pair_id AS VARCHAR) AS rk
-  FROM pairs p JOIN split_def s ON s.pair_id = p.pair_id AND s.split = 'val',
-       (SELECT run_id, epoch FROM (VALUES ('delete'), ('replace')) r(run_id), (VALUES (0), (1), (2)) e(epoch)) m""")
-
-register("ev_batches", ("ev", "split_def"), """
+def _lexicon(labels: str) -> str:
+    """The lexicon's words learned from some of the labels."""
+    return f"""
+  SELECT token FROM (
+    SELECT token, count(*) FILTER (y = 1) AS a, count(*) FILTER (y = 0) AS b
+    FROM (SELECT doc_id, y, unnest(list_distinct(toks)) AS token FROM lab_tox) WHERE {labels} GROUP BY token),
+    (SELECT CAST(count(*) FILTER (y = 1) AS DOUBLE) AS na, CAST(count(*) FILTER (y = 0) AS DOUBLE) AS nb FROM lab_tox WHERE {labels})
+  WHERE ln((a + 0.5::DOUBLE) / (na - a + 0.5::DOUBLE)) - ln((b + 0.5::DOUBLE) / (nb - b + 0.5::DOUBLE)) >= 4 AND a >= 0.2::DOUBLE * na"""
+
+
+for _e, _some in ((1, "{} % 2 = 0"), (2, "true")):
+    register(f"learned_words_{_e}", ("lab_tox",), _lexicon(_some.format("doc_id")))
+    register(f"learned_targets_{_e}", ("pairs", "all_split"), f"""
+  SELECT src, tgt FROM (
+    SELECT src, tgt, row_number() OVER (PARTITION BY src ORDER BY n DESC, tgt DESC) AS rk
+    FROM (SELECT src, tgt, count(*) AS n FROM (
+            SELECT unnest(string_split(toxic, ' ')) AS src, unnest(string_split(neutral1, ' ')) AS tgt
+            FROM pairs JOIN all_split USING (pair_id)
+            WHERE split = 'train' AND {_some.format('pair_id')} AND len(string_split(toxic, ' ')) = len(string_split(neutral1, ' ')))
+          GROUP BY src, tgt))
+  WHERE rk = 1 AND src <> tgt""")
+
+register("val_pairs", ("all_pairs", "all_split"), """
+  SELECT p.*, s.split_rank FROM all_pairs p JOIN all_split s USING (pair_id) WHERE s.split = 'val'""")
+register("val_tokens", ("val_pairs",), """
+  SELECT pair_id, unnest(string_split(toxic, ' ')) AS token, unnest(range(len(string_split(toxic, ' ')))) AS pos FROM val_pairs""")
+
+
+def _epoch(e: int) -> str:
+    return f"""
+  SELECT p.pair_id, 'delete' AS run_id, {e} AS epoch, p.toxic AS x, p.neutral1 AS y_real, coalesce(k.text, '') AS y_pred
+  FROM val_pairs p LEFT JOIN (SELECT pair_id, string_agg(token, ' ' ORDER BY pos) AS text FROM val_tokens
+                              WHERE token NOT IN (SELECT token FROM learned_words_{e}) GROUP BY pair_id) k USING (pair_id)
+  UNION ALL
+  SELECT p.pair_id, 'replace', {e}, p.toxic, p.neutral1, k.text
+  FROM val_pairs p JOIN (SELECT pair_id, string_agg(coalesce(tgt, token), ' ' ORDER BY pos) AS text FROM val_tokens
+                         LEFT JOIN learned_targets_{e} ON src = token GROUP BY pair_id) k USING (pair_id)"""
+
+
+register("ev", ("val_pairs", "val_tokens", *[f"learned_{x}_{e}" for x in ("words", "targets") for e in (1, 2)]), f"""
+  SELECT *, run_id || ':' || CAST(epoch AS VARCHAR) || ':' || CAST(pair_id AS VARCHAR) AS rk FROM (
+  SELECT pair_id, r.run_id, 0 AS epoch, toxic AS x, neutral1 AS y_real, toxic AS y_pred
+  FROM val_pairs, (VALUES ('delete'), ('replace')) r(run_id) UNION ALL {_epoch(1)} UNION ALL {_epoch(2)})""")
+
+register("ev_batches", ("ev", "val_pairs"), """
   SELECT e.rk, e.run_id, e.epoch, CAST((s.split_rank - 1) // 16 AS BIGINT) AS batch_id
-  FROM ev e JOIN split_def s ON s.pair_id = e.pair_id""")
+  FROM ev e JOIN val_pairs s ON s.pair_id = e.pair_id""")
+
+register("val_ce", ("val_pairs", "bcounts", "ctot", "vsz"), f"""
+  SELECT pair_id, CASE WHEN n + pads > 0 THEN (pads * ln((SELECT v FROM vsz)) - s) / (n + pads) END AS ce
+  FROM (SELECT p.pair_id, count(l.lp) AS n, coalesce(sum(l.lp), 0) AS s, greatest(37 - count(l.lp), 0) AS pads
+        FROM val_pairs p LEFT JOIN {_smoothed('val_pairs', 'pair_id', "string_split(neutral1, ' ')")} l USING (pair_id) GROUP BY p.pair_id)""")
 
-register("ev_ce", ("ev", "gold_ce_pad"), """
-  SELECT e.rk, g.ce FROM ev e JOIN gold_ce_pad g ON g.pair_id = e.pair_id""")
+register("ev_ce", ("ev", "val_ce"), """
+  SELECT e.rk, g.ce FROM ev e JOIN val_ce g ON g.pair_id = e.pair_id""")
 
 register("ev_rows", ("ev", "w_tox", "prior_tox", "w_flu", "prior_flu", "ev_ce"), f"""
   SELECT b.rk, b.bleu, t.p AS p_toxic, f.p AS p_fluent, c.ce
@@ -591,7 +628,7 @@ def _q() -> dict[str, tuple[str, tuple[str, ...]]]:
             GROUP BY b.batch_id""", ("pair_emb", "pair_batches")),
         "fluency": ("SELECT batch_id, round(fl, 6) AS fl FROM pair_batch_metrics", ("pair_batch_metrics",)),
         "batch_metrics": ("""SELECT batch_id, n_rows, round(bleu, 6) AS bleu, round(sta, 6) AS sta, round(sim, 6) AS sim,
-                                    round(fl, 6) AS fl, round(sta * sim * fl, 6) AS j FROM pair_batch_metrics""",
+                                    round(fl, 6) AS fl, round(round(sta * sim * fl, 9), 6) AS j FROM pair_batch_metrics""",
                           ("pair_batch_metrics",)),
         "evaluate": ("""SELECT run_id, epoch, n_batches, round(loss, 6) AS loss, round(bleu, 6) AS bleu, round(sta, 6) AS sta,
                                round(sim, 6) AS sim, round(fl, 6) AS fl, round(j, 6) AS j FROM evaluation""", ("evaluation",)),
@@ -633,8 +670,9 @@ def _q() -> dict[str, tuple[str, tuple[str, ...]]]:
         "fluency_judge": (f"""
             SELECT pair_id, round(p, 6) AS p_fluent, CASE WHEN p >= 0.5::DOUBLE THEN 'LABEL_1' ELSE 'LABEL_0' END AS label
             FROM {_score('flu', 'all_pairs', 'pair_id', 'hyp')}""", ("all_pairs", "w_flu", "prior_flu")),
-        "sentence_embedding": (f"SELECT pair_id, dim, round(v, 6) AS value FROM {_emb('pairs', 'pair_id', 'toxic')}",
-                               ("pairs", "tv")),
+        "sentence_embedding": (f"""
+            SELECT pair_id, max(dim) + 1 AS dim, round(sum(v), 6) + 0.0 AS total, round(sqrt(sum(v * v)), 6) AS norm
+            FROM {_emb('all_pairs', 'pair_id', 'toxic')} GROUP BY pair_id""", ("all_pairs", "tv")),
         "detox_lexicon": ("SELECT token, a, b, round(lo, 6) AS lo FROM lexicon", ("lexicon",)),
         "replacement_table": ("SELECT src, tgt, n, n_src FROM repl", ("repl",)),
         "rewrite_delete": (lexdel, ("sentences", "sent_pos", "lexicon")),
@@ -678,7 +716,7 @@ def _q() -> dict[str, tuple[str, tuple[str, ...]]]:
                 SELECT doc_id, string_agg(CASE WHEN token IS NULL OR doc_id % 2 = 0 AND token >= 'm' THEN piece ELSE '' END, '' ORDER BY ix) AS rewritten
                 FROM doc_pieces LEFT JOIN lexicon ON token = lower(piece) GROUP BY doc_id) k USING (doc_id)""", ("doc_pieces", "lexicon")),
         "stream_batch_metrics": ("""SELECT batch_id, n_rows, round(bleu, 6) AS bleu, round(sta, 6) AS sta, round(sim, 6) AS sim,
-                                           round(fl, 6) AS fl, round(sta * sim * fl, 6) AS j FROM pair_batch_metrics""",
+                                           round(fl, 6) AS fl, round(round(sta * sim * fl, 9), 6) AS j FROM pair_batch_metrics""",
                                  ("pair_batch_metrics",)),
         "resumed_judge": ("SELECT token, round(w, 6) AS w FROM w_tox", ("w_tox",)),
         "alignment_model": ("""

@@ -35,13 +35,13 @@ VIEWS: list[tuple[str, tuple[str, ...], str]] = [
                                                                WHEN t IN ({_ADJS}) THEN 'poor' ELSE t END), ' ') AS neutral1,
          array_to_string(list_filter(tokens, lambda t: t NOT IN ({_NOUNS}, {_ADJS})), ' ') AS hyp
   FROM sentences"""),
-    ("candidates", ("pairs",), f"""
-  SELECT pair_id AS seq_id, 'greedy' AS kind, hyp AS text, neutral1 AS gold FROM pairs
+    ("candidates", ("all_pairs",), f"""
+  SELECT pair_id AS seq_id, 'greedy' AS kind, hyp AS text, neutral1 AS gold FROM all_pairs
   UNION ALL
   SELECT pair_id AS seq_id, 'sampled' AS kind,
          array_to_string(list_filter(string_split(toxic, ' '), lambda t: t NOT IN ({_NOUNS})), ' ') AS text,
          neutral1 AS gold
-  FROM pairs"""),
+  FROM all_pairs"""),
     ("turn_tokens", (), r"""
   SELECT conv_id * 16777216 + turn AS seq_id, conv_id, turn, unnest(toks) AS token, unnest(range(len(toks))) AS pos
   FROM (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-zß-ÿ]+') AS toks FROM conversations)"""),

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parasol.functions import spans as SPN
-from parasol.functions.mathx import softmax_rows
+from parasol.functions.mathx import norm, softmax_rows
 from parasol.functions.scorers import LexiconLogit, score_column
 from parasol.functions.text import attention_mask, ids_text, strip_special, tokenize
 from parasol.operators import alignment as AL
@@ -84,9 +84,15 @@ def _pairs(spark, sf):
     return cut_lineage(D.pairs(spark, sf))
 
 
+@memo
+def _all_pairs(spark, sf):
+    """Every sentence with its gold and rewrite, written once."""
+    return cut_lineage(D.all_sentence_pairs(spark, sf))
+
+
 @memo
 def _candidates(spark, sf):
-    return cut_lineage(D.candidates(spark, sf, _pairs(spark, sf)))
+    return cut_lineage(D.candidates(spark, sf, _all_pairs(spark, sf)))
 
 
 @memo
@@ -149,13 +155,13 @@ def _scorers(spark, sf):
 
 @memo
 def _pair_batches(spark, sf):
-    """Eval batches of 16 over all pairs in seeded permutation order."""
-    return SP.eval_batches(_pairs(spark, sf).select("pair_id"), 16)
+    """Eval batches of 16 over all sentences in seeded permutation order."""
+    return cut_lineage(SP.eval_batches(_all_pairs(spark, sf).select("pair_id"), 16))
 
 
 def _pair_rows(spark, sf, sc, parts=ME.PARTS):
-    p = _pairs(spark, sf).select("pair_id", F.col("toxic").alias("x"), F.col("hyp").alias("y_pred"),
-                                   F.col("neutral1").alias("y_real"))
+    p = _all_pairs(spark, sf).select("pair_id", F.col("toxic").alias("x"), F.col("hyp").alias("y_pred"),
+                                     F.col("neutral1").alias("y_real"))
     return ME.row_scores(p, sc, parts=parts)
 
 
@@ -332,38 +338,70 @@ def q_fluency(spark, sf):
 @register("batch_metrics")
 def q_batch_metrics(spark, sf):
     m = _pair_batch_metrics(spark, sf)
-    return m.select("batch_id", "n_rows", *[r6(c).alias(c) for c in ME.METRICS])
+    return m.select("batch_id", "n_rows", *[r6(F.round(c, 9)).alias(c) for c in ME.METRICS])
+
+
+@memo
+def _all_split(spark, sf):
+    """Train, validation and test sentences."""
+    return cut_lineage(SP.random_split(_all_pairs(spark, sf).select("pair_id")))
 
 
 @memo
 def _val_batches(spark, sf):
     """Evaluation batches: the validation split, unshuffled."""
-    return cut_lineage(SP.split_batches(_pairs(spark, sf).select("pair_id"), "val"))
+    val = _all_split(spark, sf).where(F.col("split") == "val")
+    return val.select("pair_id", SP.batch_of("split_rank").alias("batch_id"))
+
+
+@memo
+def _learned(spark, sf):
+    """What two runs have learned after each epoch, as committed snapshots (S6): a
+    lexicon (R5) from half of the labels, then from all; replacements (R6) from
+    half of the training pairs, then from all. At epoch 0 nothing is known."""
+    path = scratch_dir(spark, "learned")
+    docs, labels = _docs(spark, sf), _labels(spark, sf)
+    train = _pairs(spark, sf).join(_all_split(spark, sf).where(F.col("split") == "train").select("pair_id"), "pair_id", "left_semi")
+    for epoch in EVAL_EPOCHS:
+        def known(df, col):
+            return df if epoch == 2 else df.where(F.pmod(col, F.lit(2)) == 0) if epoch else df.limit(0)
+        tables = {"delete": RE.detox_lexicon(docs, known(labels, "doc_id")).select("token"),
+                  "replace": RE.replacement_table(known(train, "pair_id")).select(F.col("src").alias("token"), "tgt")}
+        for run, table in tables.items():
+            IO.write_snapshot({run: table}, path, run, epoch)
+            IO.commit_snapshot(spark, path, run, epoch)
+    return path
 
 
 def _evaluate(spark, sf):
     """Two runs over three epochs on the validation split, its batches
-    unshuffled. A run's rewriter knows nothing at epoch 0, the nouns at epoch 1
-    and all words at epoch 2, and deletes or replaces what it knows. Loss: mean
-    token cross-entropy of the gold target, pads counted, under the
-    conversation bigram model."""
+    unshuffled. A run's rewriter deletes or replaces what it has learned by
+    then. Loss: mean token cross-entropy of the gold target, pads counted,
+    under the conversation bigram model."""
     sc = _scorers(spark, sf)
-    rows = _evaluated_rows(spark, sf, sc).join(_gold_ce(spark, sf, count_pad=True).select("pair_id", "ce"), "pair_id")
+    seqs, counts = _bigram(spark, sf)
+    gold = _val_pairs(spark, sf).select("pair_id", F.split("neutral1", " ").alias("tokens"))
+    ce = DEC.token_cross_entropy(gold, counts, DEC.vocab_size(seqs), key="pair_id", count_pad=True).select("pair_id", "ce")
+    rows = _evaluated_rows(spark, sf, sc).join(ce, "pair_id")
     return ME.evaluate(ME.batch_metrics(rows, _val_batches(spark, sf), sc.vectors.dim, loss_col="ce"))
 
 
+@memo
+def _val_pairs(spark, sf):
+    return cut_lineage(_all_pairs(spark, sf).join(_val_batches(spark, sf).select("pair_id"), "pair_id", "left_semi"))
+
+
 def _evaluated_rows(spark, sf, sc, parts=ME.PARTS):
-    """Row scores of the two runs' epochs."""
-    p = _pairs(spark, sf).join(_val_batches(spark, sf).select("pair_id"), "pair_id", "left_semi")
-    nouns, adjs = (F.array(*[F.lit(w) for w in x]) for x in (D.NOUNS, D.ADJECTIVES))
-    toks = F.split("toxic", " ")
-    to_person = F.transform(toks, lambda t: F.when(F.array_contains(nouns, t), F.lit(D.NOUN_TARGET)).otherwise(t))
-    without = F.filter(toks, lambda t: ~F.array_contains(nouns, t))
-    made = [("delete", 0, F.col("toxic")), ("delete", 1, F.array_join(without, " ")), ("delete", 2, F.col("hyp")),
-            ("replace", 0, F.col("toxic")), ("replace", 1, F.array_join(to_person, " ")), ("replace", 2, F.col("neutral1"))]
-    ev = p.select("pair_id", F.col("toxic").alias("x"), F.col("neutral1").alias("y_real"), F.explode(F.array(*[
-        F.struct(F.lit(r).alias("run_id"), F.lit(e).alias("epoch"), y.alias("y_pred")) for r, e, y in made])).alias("m")) \
-        .select("pair_id", "x", "y_real", "m.run_id", "m.epoch", "m.y_pred")
+    """Row scores of the two runs' epochs, each with the rewriter of its snapshot."""
+    path = _learned(spark, sf)
+    p = _val_pairs(spark, sf).select("pair_id", F.col("toxic").alias("x"), F.col("neutral1").alias("y_real"), F.split("toxic", " ").alias("t"))
+    made = []
+    for run in ("delete", "replace"):
+        for epoch in EVAL_EPOCHS:
+            p = RE.rewrite(p, "pair_id", "t", IO.read_snapshot(spark, path, run, run, epoch), run, out=f"{run}_{epoch}")
+            made.append(F.struct(F.lit(run).alias("run_id"), F.lit(epoch).alias("epoch"), F.col(f"{run}_{epoch}").alias("y_pred")))
+    ev = p.select("pair_id", "x", "y_real", F.explode(F.array(*made)).alias("m")).select(
+        "pair_id", "x", "y_real", "m.run_id", "m.epoch", "m.y_pred")
     return ME.row_scores(ev, sc, keys=("run_id", "epoch"), parts=parts)
 
 
@@ -466,10 +504,10 @@ def q_fluency_judge(spark, sf):
 @register("sentence_embedding")
 def q_sentence_embedding(spark, sf):
     from parasol.operators.vectors import sentence_embeddings
-    p = _pairs(spark, sf).select("pair_id", tokenize("toxic").alias("xt"))
+    p = D.all_sentence_pairs(spark, sf).select("pair_id", tokenize("toxic").alias("xt"))
     e = sentence_embeddings(p, "pair_id", {"emb": "xt"}, _tv(spark, sf))
-    return e.select("pair_id", F.posexplode("emb").alias("dim", "value")) \
-        .select("pair_id", F.col("dim").cast("bigint").alias("dim"), r6("value").alias("value"))
+    total = F.aggregate("emb", F.lit(0.0), lambda s, x: s + x)
+    return e.select("pair_id", F.size("emb").alias("dim"), r6(total).alias("total"), r6(norm("emb")).alias("norm"))
 
 
 @register("detox_lexicon")
@@ -834,7 +872,7 @@ def q_stream_batch_metrics(spark, sf):
     rows = _pair_rows(spark, sf, sc).join(b, "pair_id").join(b.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_rows")), "batch_id")
     rows.write.mode("overwrite").parquet(src)
     ST.batch_metrics_stream(spark, src, sink, ck, max_files_per_trigger=2)
-    return spark.read.parquet(sink).select("batch_id", "n_rows", *[r6(c).alias(c) for c in ME.METRICS])
+    return spark.read.parquet(sink).select("batch_id", "n_rows", *[r6(F.round(c, 9)).alias(c) for c in ME.METRICS])
 
 
 @register("resumed_judge")

@@ -5,6 +5,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from parasol.operators import decode as DEC
+from parasol.operators.bleu import sentence_bleu
 from parasol.operators import encode as ENC
 from parasol.operators import judges as JU
 from parasol.operators import rewards as RW
@@ -134,3 +135,34 @@ def test_large_maps_in_streams(spark, tmp_path, monkeypatch):
     spark.createDataFrame([(1, "a x b")], ST.SENTENCE_SCHEMA).write.parquet(str(tmp_path / "src"))
     ST.rewrite_stream(spark, str(tmp_path / "src"), str(tmp_path / "sink"), str(tmp_path / "ck"), mapping={"x": "y"})
     assert [r.rewritten for r in spark.read.parquet(str(tmp_path / "sink")).collect()] == ["a y b"]
+
+
+def test_empty_embeddings_give_null_vectors(spark, sf):
+    from parasol.operators import metrics as ME
+    from parasol.operators.vectors import sentence_embeddings
+    tv = TokenVectors(spark.createDataFrame([], "vec_id long, embedding array<float>"))
+    rows = spark.createDataFrame([(1, ["a", "b"]), (2, []), (3, None)], "k long, t array<string>")
+    for small in (True, False):
+        tv.small = small
+        assert [r.e for r in sentence_embeddings(rows, "k", {"e": "t"}, tv).collect()] == [None] * 3
+    tv.small = True
+    c = spark.createDataFrame([(1, "greedy", "a b", "a")], "seq_id long, kind string, text string, gold string")
+    assert [(r.p, r.r) for r in RW.bert_score(c, tv).collect()] == [(0.0, 0.0)]
+    docs, labels = D.table(spark, sf, "documents"), D.table(spark, sf, "labels")
+    both = JU.fit_nb_many(docs, labels, ["toxic", "quality"])
+    df = spark.createDataFrame([(1, "a b", "a", "a b")], "pair_id long, x string, y_pred string, y_real string")
+    scored = ME.row_scores(df, ME.Scorers(both["toxic"], both["quality"], tv))
+    m = ME.batch_metrics(scored, df.selectExpr("pair_id", "0 AS batch_id"), tv.dim, group=("batch_id",)).first()
+    assert m.sim is None and m.bleu is not None
+
+
+def test_row_scores_by_any_keys(spark, sf):
+    """Keys that read alike when joined, and null keys, are rows of their own."""
+    from parasol.operators import metrics as ME
+    docs, labels = D.table(spark, sf, "documents"), D.table(spark, sf, "labels")
+    both = JU.fit_nb_many(docs, labels, ["toxic", "quality"])
+    sc = ME.Scorers(both["toxic"], both["quality"], TokenVectors(D.table(spark, sf, "embeddings")))
+    rows = [(1, None, "a", "u v w x", "u v w x", "u v w x"), (1, "a", None, "u v w x", "x", "u v w x"), (1, "a", "a", "q", "q rst u", "q rst v")]
+    df = spark.createDataFrame(rows, "pair_id long, run_id string, epoch string, x string, y_pred string, y_real string")
+    got = {(r.run_id, r.epoch): r.bleu for r in ME.row_scores(df, sc, keys=("run_id", "epoch")).collect()}
+    assert got == {(r[1], r[2]): pytest.approx(sentence_bleu(r[4], r[5])) for r in rows}
