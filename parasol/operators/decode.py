@@ -28,6 +28,10 @@ from parasol.operators.encode import vocab_bucket
 from parasol.operators.split import DEFAULT_SEED, global_rank, prefix_sums
 
 
+#: continuations of a context that one task ranks
+WINDOW_ROWS = 1_000_000
+
+
 def bigram_pairs(seqs: DataFrame, key: str = "seq_id", tokens_col: str = "tokens") -> DataFrame:
     """(key, pos, ctx, token): consecutive token pairs, built row-locally."""
     t = F.col(tokens_col)
@@ -52,18 +56,26 @@ def bigram_probs(counts: DataFrame, top_k: int | None = None) -> DataFrame:
     """(ctx, token, n, prob, rank) with prob = n / total of the context;
     rank 1 is the most frequent continuation (ties by token).
 
-    All ranks of a context come from buckets by count and token prefix, so a
-    hot context is ranked by many tasks; the first ``top_k`` from a window that
-    Spark cuts down before the shuffle.
+    Contexts of up to ``WINDOW_ROWS`` continuations are ranked by one window;
+    the ranks of a larger one come from buckets by count and token prefix, so
+    that many tasks rank it. With ``top_k`` Spark cuts the window down before
+    the shuffle.
     """
+    totals = context_totals(counts)
+    w = Window.partitionBy("ctx").orderBy(F.col("n").desc(), F.col("token"))
     if top_k is not None:
-        w = Window.partitionBy("ctx").orderBy(F.col("n").desc(), F.col("token"))
-        p = counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)
+        p = counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k).join(totals, "ctx")
     else:
-        p = global_rank(counts, [F.col("n").desc(), F.col("token")], vocab_bucket(F.col("n"), F.col("token")),
-                        partition_cols=("ctx",))
-    return p.join(context_totals(counts), "ctx").withColumn("prob", F.col("n") / F.col("total")) \
-        .select("ctx", "token", "n", "prob", "rank")
+        # the window that ranks a context sums it up too: no aggregate, no join
+        whole = Window.partitionBy("ctx")
+        hot = [r["ctx"] for r in totals.where(F.col("k") > WINDOW_ROWS).select("ctx").collect()]   # one for each WINDOW_ROWS rows at most
+        cold = counts.where(~F.coalesce(F.col("ctx").isin(hot), F.lit(False))) if hot else counts
+        p = cold.withColumn("rank", F.row_number().over(w).cast("bigint")).withColumn("total", F.sum("n").over(whole))
+        if hot:
+            many = counts.where(F.col("ctx").isin(hot))
+            ranked = global_rank(many, [F.col("n").desc(), F.col("token")], vocab_bucket(F.col("n"), F.col("token")), partition_cols=("ctx",))
+            p = p.unionByName(ranked.join(totals.select("ctx", "total"), "ctx"))
+    return p.withColumn("prob", F.col("n") / F.col("total")).select("ctx", "token", "n", "prob", "rank")
 
 
 def greedy_table(counts: DataFrame) -> DataFrame:

@@ -8,10 +8,14 @@ of the exploded tokens against the weight table and a sum per row.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parasol.functions.mathx import toxicity_score
 from parasol.functions.text import tokenize
@@ -21,6 +25,9 @@ from parasol.session import cut_lineage
 FLUENT_LABEL = "LABEL_1"
 NOT_FLUENT_LABEL = "LABEL_0"
 
+#: tokens whose weights every worker is sent; a larger model is looked up by a join
+SENT_WEIGHTS = 1_000_000
+
 
 @dataclass
 class NBModel:
@@ -30,6 +37,32 @@ class NBModel:
     table: DataFrame | None = None   # shared weight table of a joint fit (token, w_<label> ...)
     col: str | None = None           # this model's column in ``table``
 
+    def logit_column(self):
+        """A column function, token array -> log odds, for a weight table of a
+        checked small size, which every worker is sent once; None for a larger one."""
+        if not hasattr(self, "_logit"):
+            self._logit = None
+            if self.weights.count() <= SENT_WEIGHTS:
+                table = self.weights.select("token", "w").toArrow()
+                self._logit = _local_logit(self.weights.sparkSession.sparkContext.broadcast(
+                    (table.column("token").to_numpy(), table.column("w").to_numpy())), self.prior)
+        return self._logit
+
+
+def _local_logit(sent, prior: float):
+    """Sums of the tokens' weights, added up for all rows of an Arrow batch at once."""
+    def logit(batches):
+        tokens, weights = sent.value
+        index, weights = pd.Index(tokens), np.append(weights, 0.0)      # the last one for unknown tokens
+        for batch in batches:
+            rows = [x if x is not None else () for x in batch]
+            flat = np.concatenate([np.asarray(x, dtype=object) for x in rows]) if len(rows) else np.zeros(0, dtype=object)
+            codes, words = pd.factorize(flat)           # a null token is -1
+            w = np.append(weights[index.get_indexer(words)], 0.0)[codes]
+            yield pd.Series(prior + np.bincount(np.repeat(np.arange(len(rows)), [len(x) for x in rows]), weights=w, minlength=len(rows)))
+    logit.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(logit, T.DoubleType())
+
 
 def labelled_tokens(documents: DataFrame, labels: DataFrame, label_col: str) -> DataFrame:
     """(doc_id, y, tokens) for labelled documents; labels carry no broadcast hint
@@ -116,18 +149,24 @@ def fit_nb_many(documents: DataFrame, labels: DataFrame, label_cols) -> dict:
 def score_tokens(df: DataFrame, key, tokens_cols: dict, model: NBModel, output: str = "prob") -> DataFrame:
     """J4 + R1 scoring: probability of class 1 for each token-array column.
 
-    ``tokens_cols`` maps output column to token-array column; all of them go
-    through one explode, one weight join and one group-by. Unknown tokens add 0.
+    ``tokens_cols`` maps output column to token-array column. Unknown tokens add
+    0, null arrays give the prior. A small model scores every row in place; a
+    larger one goes through one explode, one weight join and one group-by by
+    ``key``, which then has to tell the rows apart.
     """
     keys = [key] if isinstance(key, str) else list(key)
+    if output not in ("prob", "logit"):
+        raise ValueError("output must be 'prob' or 'logit'")
+    local = model.logit_column()
+    if local is not None:
+        score = (lambda x: x) if output == "logit" else (lambda x: 1 / (1 + F.exp(-x)))
+        return df.select(*keys, *[score(local(c)).alias(out) for out, c in tokens_cols.items()])
     parts = [F.struct(F.lit(out).alias("side"), F.col(c).alias("toks")) for out, c in tokens_cols.items()]
     e = df.select(*keys, F.explode(F.array(*parts)).alias("s")) \
         .select(*keys, "s.side", F.explode_outer("s.toks").alias("token"))
     j = e.join(model.weights, "token", "left")
     g = j.groupBy(*keys).agg(*[F.sum(F.when(F.col("side") == side, F.coalesce("w", F.lit(0.0)))).alias(side)
                                for side in tokens_cols])
-    if output not in ("prob", "logit"):
-        raise ValueError("output must be 'prob' or 'logit'")
     logit = {c: F.lit(model.prior) + F.coalesce(F.col(c), F.lit(0.0)) for c in tokens_cols}
     if output == "logit":
         return g.select(*keys, *[logit[c].alias(c) for c in tokens_cols])

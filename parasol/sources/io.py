@@ -25,13 +25,13 @@ def write_pairs(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def read_pairs(spark: SparkSession, path: str, source: str = "toxic", target: str = "neutral1",
-               key: str = "pair_id", multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
+               key: str = "pair_id", multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
     """Tab-separated pairs with a header; columns are taken by name, others ignored.
 
     A file without a ``key`` column gets one: the rank of the row by a hash of
-    its texts, the same for the same rows in any order and any files. Large
-    files are split among tasks unless ``multi_line`` says that cells may hold
-    line breaks. Returns ``(pairs, rejected)``: rows with a null or empty
+    its texts, the same for the same rows in any order and any files. Cells may
+    hold line breaks, as ``write_pairs`` writes them; where none does,
+    ``multi_line=False`` lets large files be split among tasks. Returns ``(pairs, rejected)``: rows with a null or empty
     source or target are rejected. The strings ``NA`` and ``null`` stay text.
     """
     df = spark.read.options(**_TSV, multiLine=multi_line).csv(path)

@@ -64,8 +64,10 @@ def test_one_class_fits(spark, sf):
     assert JU.fit_nb(docs, labels.limit(0), "toxic").prior == 0
 
 
-def test_hot_context(spark):
+@pytest.mark.parametrize("window_rows", [100, DEC.WINDOW_ROWS])
+def test_hot_context(spark, monkeypatch, window_rows):
     """One context holds half of the rows: ranks, sums and draws as for any."""
+    monkeypatch.setattr(DEC, "WINDOW_ROWS", window_rows)
     rows = [("hot", f"{chr(97 + i % 26)}{i:04d}", 1 + i % 7) for i in range(2000)]
     rows += [(f"c{i}", "t", 3) for i in range(2000)]
     counts = spark.createDataFrame(rows, "ctx string, token string, n long")
@@ -166,3 +168,23 @@ def test_row_scores_by_any_keys(spark, sf):
     df = spark.createDataFrame(rows, "pair_id long, run_id string, epoch string, x string, y_pred string, y_real string")
     got = {(r.run_id, r.epoch): r.bleu for r in ME.row_scores(df, sc, keys=("run_id", "epoch")).collect()}
     assert got == {(r[1], r[2]): pytest.approx(sentence_bleu(r[4], r[5])) for r in rows}
+
+
+def test_scores_in_place_equal_scores_by_join(spark, sf, monkeypatch):
+    from parasol.operators import metrics as ME
+    docs, labels = D.table(spark, sf, "documents"), D.table(spark, sf, "labels")
+    rows = [(1, ["idiot", "the", "zzz", None]), (2, []), (3, None), (4, ["the"] * 5000)]
+    df = spark.createDataFrame(rows, "k long, t array<string>")
+    pairs = D.pairs(spark, sf).select("pair_id", F.col("toxic").alias("x"), F.col("hyp").alias("y_pred"), F.col("neutral1").alias("y_real"))
+    got = []
+    for limit in (JU.SENT_WEIGHTS, 0):
+        monkeypatch.setattr(JU, "SENT_WEIGHTS", limit)
+        both = JU.fit_nb_many(docs, labels, ["toxic", "quality"])
+        sc = ME.Scorers(both["toxic"], both["quality"], TokenVectors(D.table(spark, sf, "embeddings")))
+        got.append({r.k: r.p for r in JU.score_tokens(df, "k", {"p": "t"}, both["toxic"]).collect()}
+                   | {("s", r.pair_id): (r.bleu, r.p_toxic, r.p_fluent, r.fl_label, sum(r.x_emb)) for r in ME.row_scores(pairs, sc).collect()})
+    assert got[0].keys() == got[1].keys()
+    for k, v in got[0].items():
+        w = got[1][k]
+        assert v == pytest.approx(w, abs=1e-12) if not isinstance(v, tuple) else (
+            v[3] == w[3] and v[:3] + v[4:] == pytest.approx(w[:3] + w[4:], abs=1e-9))
