@@ -13,6 +13,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,14 +56,15 @@ def _local_logit(sent, prior: float):
     def logit(batches):
         tokens, weights = sent.value
         index, weights = pd.Index(tokens), np.append(weights, 0.0)      # the last one for unknown tokens
-        for batch in batches:
-            rows = [x if x is not None else () for x in batch]
-            flat = np.concatenate([np.asarray(x, dtype=object) for x in rows]) if len(rows) else np.zeros(0, dtype=object)
-            codes, words = pd.factorize(flat)           # a null token is -1
-            w = np.append(weights[index.get_indexer(words)], 0.0)[codes]
-            yield pd.Series(prior + np.bincount(np.repeat(np.arange(len(rows)), [len(x) for x in rows]), weights=w, minlength=len(rows)))
-    logit.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(logit, T.DoubleType())
+        for rows in batches:
+            sizes = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)
+            coded = rows.flatten().dictionary_encode()
+            words = coded.dictionary.to_numpy(zero_copy_only=False)
+            w = np.append(weights[index.get_indexer(words)], 0.0) if len(words) else np.zeros(1)
+            codes = pc.fill_null(coded.indices, len(words)).to_numpy(zero_copy_only=False)
+            yield pa.array(prior + np.bincount(np.repeat(np.arange(len(rows)), sizes), weights=w[codes], minlength=len(rows)))
+    logit.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(logit, T.DoubleType())
 
 
 def labelled_tokens(documents: DataFrame, labels: DataFrame, label_col: str) -> DataFrame:

@@ -10,31 +10,39 @@ aggregation, fixed-size state) instead of collecting vectors.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parasol.functions.mathx import md5_int
 
 BROADCAST_MAX_BYTES = 64 * 1024 * 1024
+# vectors that are gathered at once
+PIECE = 1 << 17
 
 
 def _mean_by_ids(matrix):
-    @F.pandas_udf("array<double>")
-    def mean(ids: pd.Series) -> pd.Series:
+    """Mean rows of a matrix for lists of row numbers; null for an empty list.
+    All lists of an Arrow batch are gathered at once, in pieces of a bounded size."""
+    def mean(ids: pa.Array) -> pa.Array:
         vectors = matrix.value
-        rows = [np.asarray(x) if x is not None else np.zeros(0, dtype="int64") for x in ids]
-        sizes = np.array([len(x) for x in rows])
-        some = np.flatnonzero(sizes)
-        out = np.empty(len(rows), dtype=object)
-        if len(some):   # all rows' vectors in one piece, added up between the rows' bounds
-            starts = np.concatenate([[0], np.cumsum(sizes[some])[:-1]])
-            sums = np.add.reduceat(vectors[np.concatenate([rows[i] for i in some])], starts, axis=0)
-            for i, mean in zip(some, sums / sizes[some][:, None]):
-                out[i] = mean
-        return pd.Series(out)
-
-    return mean
+        sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = ids.flatten().to_numpy(zero_copy_only=False)
+        ends, some = np.cumsum(sizes), np.flatnonzero(sizes)
+        means = np.empty((len(some), vectors.shape[1]))
+        at = 0
+        while at < len(some):
+            end = max(at + 1, int(np.searchsorted(ends[some], (ends[some[at - 1]] if at else 0) + PIECE)))
+            first = ends[some[at]] - sizes[some[at]]
+            starts = (ends - sizes)[some[at:end]] - first
+            means[at:end] = np.add.reduceat(vectors[flat[first:ends[some[end - 1]]]], starts, axis=0) / sizes[some[at:end], None]
+            at = end
+        offsets = np.concatenate([[0], np.cumsum(sizes > 0)]) * vectors.shape[1]
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(means.ravel()), mask=pa.array(sizes == 0))
+    mean.__annotations__ = {"ids": pa.Array, "return": pa.Array}
+    return F.arrow_udf(mean, T.ArrayType(T.DoubleType()))
 
 
 class TokenVectors:

@@ -17,6 +17,7 @@ ADJECTIVES = ("worthless", "pathetic", "stupid", "disgusting")
 NOUN_TARGET = "person"
 ADJECTIVE_TARGET = "poor"
 
+SPREAD_BYTES = 32 << 20
 # more sentences than a text of the longest size that a row holds is likely to have;
 # leaves room for 2^39 documents and conversations
 PAIR_ID_STRIDE = 1 << 24
@@ -27,6 +28,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small table over as many tasks as there are cores: one that is one row
+    group would keep a single core busy with all that is done row by row. A
+    table above ``SPREAD_BYTES`` for each core has row groups enough and stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * SPREAD_BYTES else df
+
+
 def numbered(major: str, minor: str, stride: int) -> F.Column:
     """One id from two numbers; fails where the minor number doesn't fit."""
     fits = F.col(minor) < stride
@@ -42,7 +52,7 @@ def sentences(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -
     """
     if docs is None:
         docs = table(spark, sf_dir, "documents")
-    docs = docs.select("doc_id", "lang", "text")
+    docs = spread(docs.select("doc_id", "lang", "text"))
     s = docs.select("doc_id", "lang", F.posexplode(split_sentences("text")).alias("sent_ix", "sentence"))
     s = s.select(numbered("doc_id", "sent_ix", PAIR_ID_STRIDE).alias("pair_id"),
                  "doc_id", "lang", tokenize("sentence").alias("tokens"))

@@ -121,7 +121,7 @@ def _encoded(spark, sf):
 
 
 def _docs(spark, sf):
-    return D.table(spark, sf, "documents")
+    return D.spread(D.table(spark, sf, "documents").select("doc_id", "text"))
 
 
 def _labels(spark, sf):
