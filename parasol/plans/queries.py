@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parasol.functions import spans as SPN
+from parasol.functions import subwords as SW
 from parasol.functions.mathx import norm, softmax_rows
 from parasol.functions.scorers import LexiconLogit, score_column
 from parasol.functions.text import attention_mask, ids_text, strip_special, tokenize
@@ -25,6 +26,7 @@ from parasol.operators import intervals as IV
 from parasol.operators import judges as JU
 from parasol.operators import kneser_ney as KN
 from parasol.operators import metrics as ME
+from parasol.operators import learned_vectors as LV
 from parasol.operators import phrases as PH
 from parasol.operators import resume as RS
 from parasol.operators import rewards as RW
@@ -250,6 +252,13 @@ def q_decode_text(spark, sf):
     return ENC.decode(_encoded(spark, sf), _vocab(spark, sf), "pair_id", "input_ids", "text")
 
 
+@register("subword_roundtrip")
+def q_subwords(spark, sf):
+    """T3 and T5 with a public sub-word vocabulary: every document from its ids."""
+    ids = _docs(spark, sf).select("doc_id", SW.encode_text()("text").alias("ids"))
+    return ids.select("doc_id", SW.decode_ids()("ids").alias("text"))
+
+
 @register("stack_rows")
 def q_stack(spark, sf):
     st = ENC.stack(_encoded(spark, sf))
@@ -510,6 +519,26 @@ def q_sentence_embedding(spark, sf):
     return e.select("pair_id", F.size("emb").alias("dim"), r6(total).alias("total"), r6(norm("emb")).alias("norm"))
 
 
+@memo
+def _pmi(spark, sf):
+    return LV.positive_pmi(LV.cooccurrences(D.turn_token_arrays(spark, sf)))
+
+
+@register("token_pmi")
+def q_token_pmi(spark, sf):
+    """R3, learned: mutual information of the words of all turns."""
+    return _pmi(spark, sf).select("a", "b", "n", r6("x").alias("x"))
+
+
+@register("learned_vectors")
+def q_learned_vectors(spark, sf):
+    """R3, learned: how many words have a vector, of how many dimensions, and
+    whether the values found fall in size."""
+    vectors, values = LV.factorise(_pmi(spark, sf))
+    falling = bool(all(abs(a) >= abs(b) > 0 for a, b in zip(values, values[1:])))
+    return vectors.agg(F.count(F.lit(1)).alias("n_words"), F.min(F.size("vector")).alias("n_dims"), F.lit(falling).alias("falling"))
+
+
 @register("detox_lexicon")
 def q_detox_lexicon(spark, sf):
     lex = _lexicon(spark, sf)
