@@ -20,12 +20,12 @@ gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +38,8 @@ MAX_WORDS = 50_000
 MAX_GRAMS = 100_000
 #: added to every count
 SMOOTHING = 0.1
-LETTERS = re.compile(r"[^\W\d_]+")
+#: letters with their marks; digits, fractions and signs are none
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
 def letter_words(token: str) -> list[str]:

@@ -59,3 +59,14 @@ def test_edges(docs_of):
     assert language_id.languages(docs_of([])).count() == 0
     unknown = language_id.languages(docs_of(odd[:1] + odd[3:4])).collect()
     assert {r.lang_pred for r in unknown} == {"und"}
+
+
+def test_texts_without_letters_are_unknown(spark, docs_of):
+    docs = docs_of([(1, "the cat sat", "en", None, 0), (2, "½ ² ① 42 %", "en", None, 0), (3, "१२३", "en", None, 0), (4, "x", "en", None, 0)])
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(docs, language_id.fit(docs, F.lit(True))).collect()}
+    assert got == {1: "en", 2: "und", 3: "und", 4: "en"}
+
+
+def test_marks_belong_to_their_letters():
+    assert language_id.letter_words("हिन्दी") == ["हिन्दी"]
+    assert language_id.letter_words("a1b½C") == ["a", "b", "c"]
