@@ -9,7 +9,10 @@ all replicates and adds up sums of a fixed size, which then meet.
 from __future__ import annotations
 
 import math
+from hashlib import md5
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +20,9 @@ from parasol.functions.mathx import md5_draw
 
 REPLICATES = 100
 DRAW_BITS = 60
+#: rows that are weighed at once, and groups whose sums a task holds
+PIECE = 1 << 13
+HELD_GROUPS = 1 << 10
 
 
 def poisson_bounds(bits: int = DRAW_BITS) -> list[int]:
@@ -39,15 +45,67 @@ def poisson_weight(key: Column) -> Column:
     return sum(((draw >= F.lit(b)).cast("int") for b in poisson_bounds()), F.lit(0)).cast("bigint")
 
 
+def _drawn_weights(keys: list[str], replicates: int, seed: int) -> np.ndarray:
+    """``poisson_weight`` of each key in each replicate."""
+    texts = [f"{seed}:{r}:".encode() for r in range(replicates)]
+    drawn = b"".join(md5(t + k).digest()[:8] for k in (k.encode() for k in keys) for t in texts)
+    draws = np.frombuffer(drawn, dtype=">u8").astype(np.uint64) >> np.uint64(64 - DRAW_BITS)
+    bounds = np.array(poisson_bounds(), dtype=np.uint64)
+    return np.searchsorted(bounds, draws, side="right").reshape(len(keys), replicates).astype(np.float64)
+
+
+def _partial_sums(group: list[str], values: list[str], replicates: int, seed: int):
+    """Of a task's rows: for each group and replicate the weights' sum ``n``, and for
+    each value the weighted sum and the weights of its rows. A key is
+    drawn for once in a piece, however many groups hold it."""
+    def flushed(sums: dict, kinds: list[pa.DataType]) -> pa.RecordBatch:
+        columns = [pa.array([k[i] for k in sums for _ in range(replicates)], type=kinds[i]) for i in range(len(group))]
+        columns.append(pa.array(np.tile(np.arange(replicates, dtype=np.int32), len(sums))))
+        found = np.concatenate(list(sums.values()), axis=1)
+        names = [*group, "replicate", "n", *[f"_{x}{i}" for x in "sc" for i in range(len(values))]]
+        return pa.RecordBatch.from_arrays([*columns, *[pa.array(row) for row in found]], names=names)
+
+    def partial(batches):
+        sums, kinds = {}, None
+        for batch in batches:
+            kinds = [batch.schema.field(g).type for g in group]
+            for at in range(0, batch.num_rows, PIECE):
+                rows = batch.slice(at, PIECE)
+                keys = rows.column("_k").dictionary_encode()
+                weights = _drawn_weights(keys.dictionary.to_pylist(), replicates, seed)
+                key = keys.indices.to_numpy()
+                cols = [rows.column(f"_v{i}") for i in range(len(values))]
+                there = np.array([c.is_valid().to_numpy(zero_copy_only=False) for c in cols], dtype=np.float64).reshape(len(cols), -1)
+                found = np.array([c.fill_null(0.0).to_numpy() for c in cols]).reshape(len(cols), -1)
+                members = {}
+                for i, g in enumerate(zip(*[rows.column(g).to_pylist() for g in group]) if group else [()] * rows.num_rows):
+                    members.setdefault(g, []).append(i)
+                for g, ix in members.items():
+                    w = weights[key[ix]]
+                    part = np.vstack([w.sum(axis=0)[None], found[:, ix] @ w, there[:, ix] @ w])
+                    sums[g] = sums[g] + part if g in sums else part
+                if len(sums) > HELD_GROUPS:
+                    yield flushed(sums, kinds)
+                    sums = {}
+        if sums:
+            yield flushed(sums, kinds)
+    return partial
+
+
 def bootstrap_sums(rows: DataFrame, key: str, values: list[str], group=(), replicates: int = REPLICATES,
                    seed: int = 42) -> DataFrame:
     """(group, replicate, n, value means): the weighted mean of each value in
     each replicate; null values are left out of their own mean only."""
-    r = rows.select(*group, F.col(key).cast("string").alias("_k"), *values, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    w = poisson_weight(F.concat(F.lit(f"{seed}:"), F.col("replicate").cast("string"), F.lit(":"), F.coalesce("_k", F.lit(""))))
-    r = r.withColumn("_w", w)
-    means = [(F.sum(F.col("_w") * F.col(v)) / F.sum(F.when(F.col(v).isNotNull() & (F.col("_w") > 0), F.col("_w")))).alias(v) for v in values]
-    return r.groupBy(*group, "replicate").agg(F.sum("_w").alias("n"), *means)
+    group, values = list(group), list(values)
+    r = rows.select(*group, F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_k"),
+                    *[F.col(v).cast("double").alias(f"_v{i}") for i, v in enumerate(values)])
+    kinds = [f"`{g}` {r.schema[g].dataType.simpleString()}" for g in group]
+    sums = [f"_{x}{i}" for x in "sc" for i in range(len(values))]
+    part = r.mapInArrow(_partial_sums(group, values, replicates, seed),
+                        ", ".join([*kinds, "replicate int", "n double", *[f"{c} double" for c in sums]]))
+    g = part.groupBy(*group, "replicate").agg(F.sum("n").cast("bigint").alias("n"), *[F.sum(c).alias(c) for c in sums])
+    means = [F.when(F.col(f"_c{i}") > 0, F.col(f"_s{i}") / F.col(f"_c{i}")).alias(v) for i, v in enumerate(values)]
+    return g.select(*group, "replicate", "n", *means)
 
 
 def bootstrap_intervals(rows: DataFrame, key: str, values: list[str], group=(), level: float = 0.9,

@@ -67,3 +67,24 @@ def test_sent_weights_are_numbers_only():
     assert sum(a.nbytes for a in sent) == 24 * len(words)
     assert JU._looked_up(np.array(["zz", "unknown", "idiot", ""], dtype=object), sent).tolist() == [4.0, 0.0, 1.0, 0.0]
     assert JU._looked_up(np.array(["a"], dtype=object), JU._sorted_weights(pa.table({"token": pa.array([], pa.string()), "w": pa.array([], pa.float64())}))).tolist() == [0.0]
+
+
+def test_bootstrap_draws_once_per_key(spark, monkeypatch):
+    """Rows aren't copied for each replicate, and groups share their keys' draws."""
+    from parasol.operators import intervals as IV
+    rows = [(k, g, 1.0 * k if k % 3 else None) for k in range(50) for g in "abc"]
+    df = spark.createDataFrame(rows, "k long, g string, v double")
+    got = IV.bootstrap_sums(df, "k", ["v"], ["g"], replicates=20)
+    assert "explode" not in got._jdf.queryExecution().optimizedPlan().toString()
+    weights = {(r.k, i): r[f"w{i}"] for r in spark.range(50).select(F.col("id").alias("k"), *[
+        IV.poisson_weight(F.concat(F.lit(f"42:{i}:"), F.col("id").cast("string"))).alias(f"w{i}") for i in range(20)]).collect() for i in range(20)}
+    for r in got.collect():
+        ws = {k: weights[k, r.replicate] for k in range(50)}
+        assert r.n == sum(ws.values())
+        assert r.v == pytest.approx(sum(w * k for k, w in ws.items() if k % 3) / sum(w for k, w in ws.items() if k % 3))
+    seen = []
+    drawn = IV._drawn_weights
+    monkeypatch.setattr(IV, "_drawn_weights", lambda keys, *a: seen.append(len(keys)) or drawn(keys, *a))
+    batch = pa.RecordBatch.from_pylist([{"g": g, "_k": str(k), "_v0": v} for k, g, v in rows])
+    list(IV._partial_sums(["g"], ["v"], 20, 42)([batch]))
+    assert seen == [50]
