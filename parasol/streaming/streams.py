@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,6 +31,8 @@ LOSS_SCHEMA = T.StructType([T.StructField("run_id", T.LongType()), T.StructField
 
 
 AVAILABLE = {"availableNow": True}
+# groups in which the full batches of a micro-batch are finished
+FULL_GROUPS = 64
 
 
 def _finished(query, trigger: dict | None):
@@ -116,6 +120,55 @@ def newest_lexicon_stream(spark: SparkSession, source: str, sink: str, checkpoin
     return _finished(q, trigger)
 
 
+def _vector_sums(column: pa.Array, codes: np.ndarray, groups: int) -> tuple[list, np.ndarray]:
+    """Sum of each group's vectors, empty if it has none, and their number."""
+    there = column.is_valid().to_numpy(zero_copy_only=False)
+    counts = np.bincount(codes[there], minlength=groups)
+    if not there.any():
+        return [[]] * groups, counts
+    vectors = np.asarray(column.drop_null().flatten().to_numpy(zero_copy_only=False), dtype="float64").reshape(int(there.sum()), -1)
+    order = np.argsort(codes[there], kind="stable")
+    some = np.flatnonzero(counts)
+    sums = np.add.reduceat(vectors[order], (np.cumsum(counts) - counts)[some], axis=0)
+    out = [[]] * groups
+    for i, v in zip(some, sums):
+        out[i] = v
+    return out, counts
+
+
+def _batch_sums(group: list[str], size_col: str, threshold: float):
+    """Numbers and sums of the rows of each batch in an Arrow batch."""
+    def add(rows: pa.RecordBatch) -> pa.RecordBatch:
+        keys = rows.select(group).to_pandas(integer_object_nulls=True)
+        codes = keys.groupby(group, dropna=False, sort=False).ngroup().to_numpy()
+        groups = int(codes.max()) + 1
+        first = np.unique(codes, return_index=True)[1]
+        sums, counts = [], []
+        p, label = (rows.column(c) for c in ("p_toxic", "fl_label"))
+        for v in (rows.column("bleu"), pc.less(p, threshold), pc.equal(label, FLUENT_LABEL)):
+            there = v.is_valid().to_numpy(zero_copy_only=False)
+            values = v.cast(pa.float64()).fill_null(0.0).to_numpy()
+            sums.append(np.bincount(codes, weights=values, minlength=groups))
+            counts.append(np.bincount(codes[there], minlength=groups))
+        sides = []
+        for name in ("x_emb", "y_emb"):
+            total, number = _vector_sums(rows.column(name), codes, groups)
+            sides.append(total)
+            counts.append(number)
+        of = rows.take(pa.array(first))
+        doubles, longs = pa.list_(pa.float64()), pa.list_(pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [*[of.column(g) for g in group], of.column(size_col).cast(pa.int64()), pa.array(np.bincount(codes, minlength=groups)),
+             pa.array(list(np.array(sums).T), type=doubles), pa.array(list(np.array(counts).T), type=longs),
+             *[pa.array(x, type=doubles) for x in sides]], names=[*group, size_col, "n", "sums", "counts", "x", "y"])
+
+    def partial(batches):
+        for rows in batches:
+            if rows.num_rows:
+                yield add(rows)
+    return partial
+
+
 def batch_metrics_stream(spark: SparkSession, source: str, sink: str, checkpoint: str, group=("batch_id",),
                          size_col: str = "n_rows", threshold: float = DEFAULT_THRESHOLD, max_files_per_trigger: int = 1,
                          schema: T.StructType | None = None, trigger: dict | None = None):
@@ -123,7 +176,9 @@ def batch_metrics_stream(spark: SparkSession, source: str, sink: str, checkpoint
 
     The source holds scored rows (``metrics.row_scores`` with embeddings, its
     ``group`` columns and in ``size_col`` how many rows the batch has), in any
-    order and any files. Keyed state holds the open batches: number and sums of
+    order and any files. A task first adds up its rows of each batch, a whole
+    Arrow batch of rows at once. A batch that this finds full needs no state;
+    such batches are finished many at a time. Keyed state holds the other open batches: number and sums of
     the rows seen, of a fixed size whatever the batch's. When a batch is full its metrics go to the sink and its
     state is dropped. A row with a null embedding counts for all but the
     similarity; null scores are left out of their means. State and files read
@@ -133,40 +188,48 @@ def batch_metrics_stream(spark: SparkSession, source: str, sink: str, checkpoint
     group = list(group)
     schema = schema or spark.read.parquet(source).schema
     kinds = {f.name: f.dataType.simpleString() for f in schema.fields}
-    state_schema = "n long, sums array<double>, counts array<long>, x array<double>, y array<double>"
+    sums_schema = "n long, sums array<double>, counts array<long>, x array<double>, y array<double>"
     out_schema = ", ".join([*[f"{g} {kinds[g]}" for g in group], "n_rows long, bleu double, sta double, sim double, fl double, j double"])
 
+    def metrics(key, n, sums, counts, x, y):
+        means = [v / c if c else None for v, c in zip(sums, counts)]
+        sim = None
+        if len(x) and len(y):
+            a, b = x / counts[3], y / counts[4]
+            sim = float(a @ b / (max(np.sqrt(a @ a), 1e-8) * max(np.sqrt(b @ b), 1e-8)))
+        j = None if None in (means[1], means[2], sim) else means[1] * sim * means[2]
+        return (*key, int(n), means[0], means[1], sim, means[2], j)
+
     def update(key, frames, state):
+        if key[0] >= 0:     # full batches, a row each
+            for f in frames:
+                rows = zip(zip(*[f[g] for g in group]), f["n"], f["sums"], f["counts"], f["x"], f["y"])
+                yield pd.DataFrame([metrics(*r) for r in rows], columns=[*group, "n_rows", "bleu", "sta", "sim", "fl", "j"])
+            return
         n, sums, counts, x, y = state.get if state.exists else (0, [0.0] * 3, [0] * 5, [], [])
-        sums, counts, sides, size = np.array(sums), np.array(counts), [np.array(x), np.array(y)], None
+        sums, counts, sides, size, of = np.array(sums), np.array(counts), [np.array(x), np.array(y)], None, None
         for f in frames:
-            n, size = n + len(f), int(f[size_col].iloc[0])
-            for i, v in enumerate((f["bleu"], (f["p_toxic"] < threshold).where(f["p_toxic"].notna()).astype("float64"),
-                                   (f["fl_label"] == FLUENT_LABEL).where(f["fl_label"].notna()).astype("float64"))):
-                sums[i] += v.sum()
-                counts[i] += v.notna().sum()
-            for i, name in enumerate(("x_emb", "y_emb")):
-                vectors = [v for v in f[name] if v is not None]
-                if vectors:
-                    total = np.sum(np.array([np.asarray(v, dtype="float64") for v in vectors]), axis=0)
-                    sides[i] = sides[i] + total if len(sides[i]) else total
-                    counts[3 + i] += len(vectors)
+            n, size, of = n + int(f["n"].sum()), int(f[size_col].iloc[0]), [f[g].iloc[0] for g in group]
+            sums, counts = sums + np.sum(f["sums"].tolist(), axis=0), counts + np.sum(f["counts"].tolist(), axis=0)
+            for i, name in enumerate(("x", "y")):
+                for v in f[name]:
+                    if len(v):
+                        sides[i] = sides[i] + v if len(sides[i]) else np.array(v)
         if n < size:
             state.update((int(n), sums.tolist(), counts.tolist(), sides[0].tolist(), sides[1].tolist()))
             return
         if state.exists:
             state.remove()
-        means = [s / c if c else None for s, c in zip(sums, counts)]
-        sim = None
-        if len(sides[0]) and len(sides[1]):
-            a, b = (v / c for v, c in zip(sides, counts[3:]))
-            sim = float(a @ b / (max(np.sqrt(a @ a), 1e-8) * max(np.sqrt(b @ b), 1e-8)))
-        j = None if None in (means[1], means[2], sim) else means[1] * sim * means[2]
-        yield pd.DataFrame([(*key, n, means[0], means[1], sim, means[2], j)],
-                           columns=[*group, "n_rows", "bleu", "sta", "sim", "fl", "j"])
+        yield pd.DataFrame([metrics(of, n, sums, counts, *sides)], columns=[*group, "n_rows", "bleu", "sta", "sim", "fl", "j"])
 
     s = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(source)
-    made = s.groupBy(*group).applyInPandasWithState(update, out_schema, state_schema, "append", "NoTimeout")
+    part_schema = ", ".join([*[f"{g} {kinds[g]}" for g in group], f"{size_col} long", sums_schema])
+    part = s.mapInArrow(_batch_sums(group, size_col, threshold), part_schema)
+    route = F.when(F.col("n") == F.col(size_col), F.pmod(F.xxhash64(*group), F.lit(FULL_GROUPS))).otherwise(-1)
+    part = part.withColumn("_route", route.cast("long")).withColumns(
+        {f"_k{i}": F.when(F.col("_route") < 0, F.col(g)) for i, g in enumerate(group)})
+    made = part.groupBy("_route", *[f"_k{i}" for i in range(len(group))]).applyInPandasWithState(
+        update, out_schema, sums_schema, "append", "NoTimeout")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{sink}/part={batch_id}")

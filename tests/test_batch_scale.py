@@ -88,3 +88,26 @@ def test_bootstrap_draws_once_per_key(spark, monkeypatch):
     batch = pa.RecordBatch.from_pylist([{"g": g, "_k": str(k), "_v0": v} for k, g, v in rows])
     list(IV._partial_sums(["g"], ["v"], 20, 42)([batch]))
     assert seen == [50]
+
+
+def test_full_batches_need_no_state(spark, tmp_path):
+    """Batches that a task sees whole are finished many at a time; the others wait in the state."""
+    from parasol.streaming import streams as ST
+    kinds = "pair_id long, batch_id long, n_rows long, bleu double, p_toxic double, fl_label string, x_emb array<double>, y_emb array<double>"
+    rows = [(i, i // 4, 4, i / 100 if i % 5 else None, i / 200, "LABEL_1" if i % 2 else None, [1.0 * i, 2.0] if i % 3 else None, [2.0, 1.0 * i])
+            for i in range(120)]
+    df = spark.createDataFrame(rows, kinds)
+    src, sink, ck = (str(tmp_path / x) for x in ("src", "sink", "ck"))
+    apart = F.col("batch_id") % 10 == 0     # the rows of these batches come in two files
+    df.where(~apart | (F.col("pair_id") % 2 == 0)).coalesce(1).write.mode("append").parquet(src)
+    q = ST.batch_metrics_stream(spark, src, sink, ck)
+    assert [o.numRowsTotal for o in q.lastProgress.stateOperators] == [3]
+    assert spark.read.parquet(sink).count() == 27
+    df.where(apart & (F.col("pair_id") % 2 == 1)).coalesce(1).write.mode("append").parquet(src)
+    ST.batch_metrics_stream(spark, src, sink, ck)
+    want = {r.batch_id: r for r in ME.batch_metrics(df, None, 2, group=("batch_id",)).collect()}
+    got = spark.read.parquet(sink).collect()
+    assert len(got) == len(want) == 30
+    for r in got:
+        for c in ("n_rows", *ME.METRICS):
+            assert getattr(r, c) == (None if want[r.batch_id][c] is None else pytest.approx(want[r.batch_id][c], abs=1e-9)), (r, c)
