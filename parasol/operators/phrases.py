@@ -12,19 +12,36 @@ one symbol to it, so that phrases match whole words only.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parasol.functions.text import word_ngrams
 from parasol.operators.judges import labelled_tokens
-from parasol.operators.rewrite import MIN_LOG_ODDS, MIN_SHARE, bounded_collect
+from parasol.operators.rewrite import INLINE_MAX, MIN_LOG_ODDS, MIN_SHARE, bounded_collect
 from parasol.session import cut_lineage
 
 MAX_WORDS = 3
 #: phrases that a worker is sent; the sum of their lengths is bounded by MAX_CHARACTERS
 MAX_PHRASES = 1_000_000
 MAX_CHARACTERS = 64 << 20
+#: candidates that a join may broadcast
+SENT_PHRASES = 100_000
+
+
+def _runs(tokens: str, max_words: int, words=None) -> Column:
+    """Distinct runs of one to ``max_words`` words of a token column, and a
+    null; with ``words``, only runs of those."""
+    known = F.transform(tokens, lambda t: F.when(t.isin(words), t)) if words else F.col(tokens)
+    runs = [known]
+    for n in range(2, max_words + 1):     # null where a word isn't known, or beyond the end
+        runs.append(F.zip_with(runs[-1], F.slice(known, n, F.size(tokens)), lambda run, t: F.concat(run, F.lit(" "), t)))
+    return F.array_distinct(F.concat(*runs))
+
+
+def sent_if_few(phrases: DataFrame) -> DataFrame:
+    """Phrases for a join: broadcast up to ``SENT_PHRASES``, which are counted."""
+    return F.broadcast(phrases) if phrases.limit(SENT_PHRASES + 1).count() <= SENT_PHRASES else phrases
 
 
 def detox_phrases(documents: DataFrame, labels: DataFrame, label_col: str = "toxic", max_words: int = MAX_WORDS,
@@ -37,15 +54,24 @@ def detox_phrases(documents: DataFrame, labels: DataFrame, label_col: str = "tox
     documents there are no phrases. At most (words of the longest document
     times ``max_words`` / ``min_share``) phrases are kept, whatever the corpus.
     """
-    lt = labelled_tokens(documents, labels, label_col)
+    lt = cut_lineage(labelled_tokens(documents, labels, label_col).select("y", "tokens"), name="labelled")
     cls = lt.agg(F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("na"), F.sum(F.when(F.col("y") == 0, 1).otherwise(0)).alias("nb")).first()
     na, nb = float(cls["na"] or 0), float(cls["nb"] or 0)
-    grams = F.array_distinct(F.concat(*[word_ngrams("tokens", n) for n in range(1, max_words + 1)]))
-    counts = lt.select("y", F.explode(grams).alias("phrase")).groupBy("phrase").agg(
-        F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).cast("bigint").alias("a"),
-        F.sum(F.when(F.col("y") == 0, 1).otherwise(0)).cast("bigint").alias("b"))
+
+    def held(rows, phrases, count):
+        return rows.select(F.explode(phrases).alias("phrase")).where(F.col("phrase").isNotNull()).groupBy("phrase").agg(
+            F.count(F.lit(1)).alias(count))
+    enough = (F.col("a") > 0) & (F.col("a") >= min_share * na)
+    # a phrase is in no more documents than each of its words: only runs of words with enough positive documents are made
+    positive = lt.where("y = 1")
+    words = bounded_collect(held(positive, F.array_distinct("tokens"), "a").where(enough).select("phrase"), INLINE_MAX)
+    grams = _runs("tokens", max_words, words and [r[0] for r in words])
+    candidates = cut_lineage(held(positive, grams, "a").where(enough), name="candidates")
+    others = lt.where("y = 0").select(F.explode(grams).alias("phrase")).join(
+        sent_if_few(candidates.select("phrase")), "phrase").groupBy("phrase").agg(F.count(F.lit(1)).alias("b"))
+    counts = candidates.join(others, "phrase", "left").fillna({"b": 0})
     lo = (F.ln((F.col("a") + 0.5) / (F.lit(na) - F.col("a") + 0.5)) - F.ln((F.col("b") + 0.5) / (F.lit(nb) - F.col("b") + 0.5)))
-    kept = counts.withColumn("lo", lo).where((F.col("a") > 0) & (F.col("lo") >= min_lo) & (F.col("a") >= min_share * na))
+    kept = counts.withColumn("lo", lo).where(F.col("lo") >= min_lo)
     kept = cut_lineage(kept.select("phrase", F.size(F.split("phrase", " ")).alias("words"), "a", "b", "lo"), name="phrases")
     tokens = F.split("phrase", " ")
     inside = F.array_distinct(F.concat(*[word_ngrams(tokens, n) for n in range(1, max_words)])) if max_words > 1 else F.array().cast("array<string>")
