@@ -11,13 +11,15 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
-#: characters that are encoded at once
-PIECE = 4 << 20
+#: bytes of texts that are encoded, or ids that are decoded, at once
+PIECE = 1 << 18
 
 
 def _loaded(path: str):
@@ -30,16 +32,24 @@ def _loaded(path: str):
     return tokenizer
 
 
-def _pieces(values: list, size) -> Iterator[list]:
-    part, held = [], 0
-    for v in values:
-        part.append(v)
-        held += size(v)
-        if held >= PIECE:
-            yield part
-            part, held = [], 0
-    if part:
-        yield part
+def _pieces(rows: pa.Array, sizes: pa.Array) -> Iterator[pa.Array]:
+    """Slices of about ``PIECE`` bytes or ids; a longer row is one alone."""
+    start, held = 0, 0
+    for i, n in enumerate(pc.fill_null(sizes, 0).to_pylist()):
+        if i > start and held + n > PIECE:
+            yield rows.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    if start < len(rows):
+        yield rows.slice(start)
+
+
+def _lists(values: list[np.ndarray], null: np.ndarray) -> pa.Array:
+    """Lists of ids, null where ``null``; ``values`` has the others."""
+    sizes = np.zeros(len(null), dtype=np.int32)
+    sizes[~null] = [len(v) for v in values]
+    flat = np.concatenate(values) if values else np.zeros(0, dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat), mask=pa.array(null))
 
 
 def encode_text(path: str = VOCABULARY):
@@ -47,11 +57,12 @@ def encode_text(path: str = VOCABULARY):
     def encode(batches):
         tokenizer = _loaded(path)
         for texts in batches:
-            out = []
-            for part in _pieces(texts.to_pylist(), lambda t: len(t or "")):
-                ids = iter(tokenizer.encode_batch([t for t in part if t is not None], add_special_tokens=False))
-                out += [None if t is None else next(ids).ids for t in part]
-            yield pa.array(out, pa.list_(pa.int32()))
+            out = [pa.array([], pa.list_(pa.int32()))]
+            for part in _pieces(texts, pc.binary_length(texts)):
+                # only ids are kept, as numbers of four bytes, before the next piece is encoded
+                made = tokenizer.encode_batch_fast(part.drop_null().to_pylist(), add_special_tokens=False)
+                out.append(_lists([np.array(e.ids, dtype=np.int32) for e in made], part.is_null().to_numpy(zero_copy_only=False)))
+            yield pa.concat_arrays(out)
     encode.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(encode, T.ArrayType(T.IntegerType()))
 
@@ -61,10 +72,10 @@ def decode_ids(path: str = VOCABULARY):
     def decode(batches):
         tokenizer = _loaded(path)
         for ids in batches:
-            out = []
-            for part in _pieces(ids.to_pylist(), lambda x: len(x or ())):
-                texts = iter(tokenizer.decode_batch([x for x in part if x is not None], skip_special_tokens=False))
-                out += [None if x is None else next(texts) for x in part]
-            yield pa.array(out, pa.string())
+            out = [pa.array([], pa.string())]
+            for part in _pieces(ids, pc.list_value_length(ids)):
+                texts = iter(tokenizer.decode_batch(part.drop_null().to_pylist(), skip_special_tokens=False))
+                out.append(pa.array([next(texts) if x else None for x in part.is_valid().to_pylist()], pa.string()))
+            yield pa.concat_arrays(out)
     decode.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(decode, T.StringType())
