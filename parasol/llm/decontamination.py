@@ -76,17 +76,20 @@ def plain(words_: pa.Array) -> pa.Array:
 
 def symbol_hashes(plain_words: pa.Array) -> np.ndarray:
     """A number for each word, 0 for the empty one."""
-    crc = zlib.crc32
-    return np.array([crc(w) + 1 if w else 0 for w in plain_words.cast(pa.large_binary()).to_pylist()],
-                    dtype=np.uint64)
+    own = plain_words.cast(pa.large_binary())
+    hashes = np.fromiter(map(zlib.crc32, own.to_pylist()), np.uint64, len(own))
+    hashes[pc.binary_length(own).to_numpy(zero_copy_only=False) > 0] += ONE
+    return hashes
 
 
 def _known(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Places of the keys that are known, after a look at their low bits."""
+    """Places of the keys that are among the known ones, which are in order,
+    after a look at their low bits."""
     maybe = np.zeros(1 << 16, dtype=bool)
     maybe[known & LOW] = True
     stay = np.flatnonzero(maybe[keys & LOW])
-    return stay[np.isin(keys[stay], known)]
+    some = keys[stay]
+    return stay[known[np.minimum(np.searchsorted(known, some), len(known) - 1)] == some] if len(known) else stay[:0]
 
 
 def _mix(h: np.ndarray, salt: int) -> np.ndarray:
@@ -189,7 +192,8 @@ class Letters:
         most = int(limit.max()) + NEAR
         top = (size - 1).astype(np.uint64)
         more, less = np.full(len(at), ~np.uint64(0)), np.zeros(len(at), np.uint64)
-        score, best = size.astype(np.int32), size.astype(np.int32)
+        score, best = size.astype(np.int64), size.astype(np.int64)
+        diagonal, up, down, eq = (np.empty(len(at), np.uint64) for _ in range(4))
         # letters of the text from the first place on, 64 for what is before or behind it
         begin = at - (offset - part) - most
         before, end = int(begin.min()), int(begin.max()) + 2 * most + PART
@@ -199,13 +203,28 @@ class Letters:
         masks = np.concatenate([masks, np.zeros((len(starts), 1), np.uint64)], axis=1).ravel()
         own, begin = own * 65, begin - before
         for step in range(2 * most + PART):
-            eq = masks[own + text[begin + step]]
-            diagonal = (((eq & more) + more) ^ more) | eq | less
-            up, down = less | ~(diagonal | more), more & diagonal
-            score += ((up >> top) & ONE).astype(np.int32)
-            score -= ((down >> top) & ONE).astype(np.int32)
-            up, down = up << ONE, down << ONE
-            more, less = down | ~(diagonal | up), up & diagonal
+            np.take(masks, own + text[step:].take(begin), out=eq, mode="clip")
+            # diagonal = (((eq & more) + more) ^ more) | eq | less
+            np.bitwise_and(eq, more, out=diagonal)
+            diagonal += more
+            diagonal ^= more
+            diagonal |= eq
+            diagonal |= less
+            # up, down = less | ~(diagonal | more), more & diagonal
+            np.bitwise_or(diagonal, more, out=up)
+            np.invert(up, out=up)
+            up |= less
+            np.bitwise_and(more, diagonal, out=down)
+            for moved, change in ((up, np.add), (down, np.subtract)):
+                np.right_shift(moved, top, out=eq)
+                eq &= ONE
+                change(score, eq.view(np.int64), out=score)
+                moved <<= ONE
+            # more, less = down | ~(diagonal | up), up & diagonal
+            np.bitwise_or(diagonal, up, out=more)
+            np.invert(more, out=more)
+            more |= down
+            np.bitwise_and(up, diagonal, out=less)
             np.minimum(best, score, out=best)
         good = best <= limit
         return item[good], offset[good], at[good]
@@ -271,15 +290,21 @@ class Index:
         hashes = np.concatenate([hashes, np.zeros(1, np.uint64)])  # the word behind the last text
         codes = np.concatenate([codes, np.full(PADDING, len(hashes) - 1)])
         symbols = hashes[codes]
-        for repetition, steps, going, full in self.tables:
-            bits = _mix(hashes, 1000 + repetition)
-            # at the first step a window is known by its word: one look per distinct word
-            key = _extend(np.zeros(len(hashes), np.uint64), hashes, 0)
-            first = np.zeros(len(hashes), dtype=bool)
-            first[_known(key, going[0])] = True
-            first[-1] = False
-            start = at = np.flatnonzero(first[codes])
-            key, before = key[codes[start]], 0
+        # at the first step a window is known by its word: one look per distinct word
+        word_key = _extend(np.zeros(len(hashes), np.uint64), hashes, 0)
+        firsts = np.zeros(len(hashes), dtype=np.uint64)  # a bit for each table, which are fewer than 64
+        for table, (_, _, going, _) in enumerate(self.tables):
+            firsts[_known(word_key, going[0])] |= ONE << np.uint64(table)
+        firsts[-1] = 0
+        begins = np.flatnonzero((firsts != 0)[codes])
+        begin_codes = codes[begins]
+        own_firsts = firsts[begin_codes]
+        bits_of = {r: _mix(hashes, 1000 + r) for r in {table[0] for table in self.tables}}
+        for table, (repetition, steps, going, full) in enumerate(self.tables):
+            bits = bits_of[repetition]
+            own = np.flatnonzero(own_firsts & (ONE << np.uint64(table)))
+            start = at = begins[own]
+            key, before = word_key[begin_codes[own]], 0
             for t, known in zip(steps[1:], going[1:], strict=True):
                 for step in range(before, t):
                     at = at + ((bits[codes[at]] >> np.uint64(step)) & ONE).astype(np.int64)
@@ -403,20 +428,22 @@ def _letter_places(index: Index, names: pa.Array, codes: np.ndarray, ends: np.nd
     """Text, item, first word and the part of the text in which the item must
     lie if it is near the text at a run of its letters."""
     letters = index.letters
-    own = names.to_pylist()
-    sizes = np.array([len(w) for w in own], dtype=np.int64)
-    flat, begin = _symbols("".join(own)), np.cumsum(sizes) - sizes
+    sizes = pc.utf8_length(names).to_numpy(zero_copy_only=False).astype(np.int64)
     behind = np.cumsum(sizes[codes])  # letters up to the end of each word
     seen: set[tuple[int, int, int]] = set()
     for first in range(0, len(codes), WORDS_AT_ONCE):
         a, b = max(0, first - AROUND), min(len(codes), first + WORDS_AT_ONCE + AROUND)
         some, base = codes[a:b], int(behind[a] - sizes[codes[a]])
-        n = sizes[some]
-        shift = (begin[some] - (np.cumsum(n) - n)).astype(np.int32 if len(flat) + n.sum() < 1 << 31 else np.int64)
-        symbols = flat[np.repeat(shift, n) + np.arange(n.sum(), dtype=shift.dtype)]
+        joined = pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), names.take(pa.array(some)))
+        symbols = _symbols(pc.binary_join(joined, pa.scalar("", names.type))[0].as_py())
         for items, offsets, places in letters.places(symbols):
             docs = np.searchsorted(ends, np.searchsorted(behind, places + base, "right"), "right") - 1
-            for i, o, p, doc in zip(items.tolist(), offsets.tolist(), (places + base).tolist(), docs.tolist(), strict=True):
+            places = places + base
+            # one of each text, item and place: the first
+            spots = np.stack([docs, items, (places - offsets) // NEAR], axis=1)
+            one = np.sort(np.unique(spots, axis=0, return_index=True)[1])
+            for i, o, p, doc in zip(items[one].tolist(), offsets[one].tolist(), places[one].tolist(), docs[one].tolist(),
+                                    strict=True):
                 if (doc, i, (p - o) // NEAR) in seen:
                     continue
                 seen.add((doc, i, (p - o) // NEAR))
@@ -424,7 +451,7 @@ def _letter_places(index: Index, names: pa.Array, codes: np.ndarray, ends: np.nd
                 low = max(lowest, p - o - int(letters.limits[i]) - NEAR)
                 high = min(int(behind[ends[doc + 1] - 1]), p - o + int(letters.sizes[i] + letters.limits[i]) + NEAR)
                 c, d = int(np.searchsorted(behind, low, "right")), int(np.searchsorted(behind, high - 1, "right"))
-                words_ = [own[k] for k in codes[c:d + 1].tolist()]
+                words_ = names.take(pa.array(codes[c:d + 1])).to_pylist()
                 words_[-1] = words_[-1][:len(words_[-1]) - (int(behind[d]) - high)]
                 words_[0] = words_[0][low - (int(behind[c]) - int(sizes[codes[c]])):]
                 start = int(np.searchsorted(behind, max(lowest, p - o), "right"))

@@ -120,3 +120,18 @@ def test_recall_of_letter_edits_against_brute_force(spark, sf):
     found = {k: got[k] for k in want if k in got}
     print(len(found), len(want))
     assert len(found) >= 0.97 * len(want) and all(want[k] == e for k, e in found.items())
+
+
+def test_words_are_mixed_once_a_repetition(monkeypatch):
+    rng = random.Random(31)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n)) for n in (1, 2, 3, 4, 6, 14, 30)]
+    index = dc.Index(list(enumerate(texts)))
+    assert len(index.tables) > 4 * dc.REPETITIONS
+    ends, codes, uniques = dc.words(dc.pa.array([" ".join(texts) + " and more words"]), lower=False)
+    mixed, mix = [], dc._mix
+    monkeypatch.setattr(dc, "_mix", lambda h, salt: mixed.append(salt) or mix(h, salt))
+    found = index.candidates(dc.symbol_hashes(dc.plain(uniques)), codes)
+    assert {i for _, i in found} == set(range(len(texts)))
+    assert sum(salt >= 1000 for salt in mixed) == dc.REPETITIONS
+    assert dc._known(np.array([1, 5, 9, 70000], np.uint64), np.array([5, 9, 65545], np.uint64)).tolist() == [1, 2]
+    assert dc._known(np.array([1], np.uint64), np.zeros(0, np.uint64)).tolist() == []
