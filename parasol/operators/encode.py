@@ -40,14 +40,20 @@ def vocab_bucket(n, token):
     return F.struct((-band).alias("k"), letter.alias("p"))
 
 
+def counted(tokens_df: DataFrame, tokens_col: str = "tokens") -> DataFrame:
+    """(token, n) of token arrays."""
+    # not the bare column: Spark would test its size in a filter below, which makes the tokens a second time
+    tokens = F.coalesce(F.col(tokens_col), F.array().cast("array<string>"))
+    return tokens_df.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
 def build_vocab(tokens_df: DataFrame, tokens_col: str = "tokens", size: int | None = None) -> DataFrame:
     """(token, id, n) by frequency, ties by token; ids start after the specials.
 
     The rank is distributed over ``vocab_bucket`` buckets, monotone in the
     (n desc, token) order and bounded in number.
     """
-    counts = tokens_df.select(F.explode(tokens_col).alias("token")).groupBy("token") \
-        .agg(F.count(F.lit(1)).alias("n"))
+    counts = counted(tokens_df, tokens_col)
     # the count table feeds both the bucket sizes and the ranking: write it once
     counts = cut_lineage(counts)
     bucket = vocab_bucket(F.col("n"), F.col("token"))

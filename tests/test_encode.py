@@ -1,6 +1,8 @@
 from pyspark.sql import functions as F
 
+from parasol.functions.text import tokenize
 from parasol.operators import encode as ENC
+from parasol.plans import derived as D
 
 
 def _vocab(spark):
@@ -43,3 +45,17 @@ def test_vocab_rank_across_count_bands(spark):
     got = {r.token: r.id for r in ENC.build_vocab(df).collect()}
     want = sorted(counts, key=lambda t: (-counts[t], t))
     assert got == {t: i + 3 for i, t in enumerate(want)}
+
+
+def test_tokens_of_the_vocabulary_are_made_once(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    s = D.sentences(spark, sf)
+    gold = F.when(D.holds_listed("tokens"), D.neutral_tokens("tokens")).otherwise(F.array().cast("array<string>"))
+    counts = [df.select(F.explode("tokens").alias("token")).groupBy("token").count()
+              for df in (s.select(F.concat("tokens", gold).alias("tokens")), D.pair_vocabulary_tokens(spark, sf))]
+    assert sorted(counts[0].collect()) == sorted(counts[1].collect())
+    texts = spark.createDataFrame([("You IDIOT",), ("idi. ot",), (None,), ("",)], "text string")
+    assert [bool(r[0]) for r in texts.select(D.may_hold_listed("text")).collect()] == [True, False, False, False]
+    # the filter that Spark puts below an explode of a column would tokenise every text again
+    plan = ENC.counted(docs.select(tokenize("text").alias("tokens")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
