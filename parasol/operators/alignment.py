@@ -156,19 +156,69 @@ def fit_alignment(pairs: DataFrame, given: str, made: str, iterations: int = ITE
     return cut_lineage(model, name="alignment")
 
 
+def _best_given(rows: pa.Table, model: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """For each row (made, g: its given words) the number of its likeliest given
+    word and its probability by the model (given, made, p, r: p in nine digits);
+    of as likely ones the smallest. The last result are the numbered words."""
+    flat = pc.list_flatten(rows.column("g")).combine_chunks().dictionary_encode()
+    order = pc.array_sort_indices(flat.dictionary)
+    words, rank = flat.dictionary.take(order), np.argsort(order.to_numpy())
+    made = pc.unique(rows.column("made"))
+    of, given = (pc.index_in(model.column(c), v) for c, v in (("made", made), ("given", words)))
+    known = pc.and_(pc.is_valid(of), pc.is_valid(given))
+    model = model.append_column("cell", pc.add(pc.multiply(of.cast(pa.int64()), len(words)), given.cast(pa.int64()))).filter(known).sort_by("cell")
+    cells, p, r = (np.append(model.column(c).to_numpy(), -1 if c == "cell" else 0.0) for c in ("cell", "p", "r"))
+    sizes = pc.list_value_length(rows.column("g")).to_numpy().astype(np.int64)
+    starts, of = np.cumsum(sizes) - sizes, pc.index_in(rows.column("made"), made).to_numpy().astype(np.int64)
+    given, best, best_p = flat.indices.to_numpy(), np.zeros(rows.num_rows, np.int64), np.zeros(rows.num_rows)
+    at = 0
+    while at < rows.num_rows:    # a bounded number of cells at a time
+        end = max(at + 1, int(np.searchsorted(starts + sizes, starts[at] + CELLS, "right")))
+        row = np.repeat(np.arange(at, end), sizes[at:end])
+        word = rank[given[starts[at]:starts[end - 1] + sizes[end - 1]]]
+        cell = of[row] * len(words) + word
+        place = np.searchsorted(cells[:-1], cell)
+        place = np.where(cells[place] == cell, place, len(cells) - 1)     # the last one for word pairs that the model lacks
+        first = starts[at:end] - starts[at]
+        most = r[place] == np.maximum.reduceat(r[place], first)[row - at]
+        best[at:end] = np.minimum.reduceat(np.where(most, word, len(words)), first)
+        found, where = np.unique(of[at:end] * len(words) + best[at:end], return_inverse=True)
+        place = np.searchsorted(cells[:-1], found)
+        best_p[at:end] = p[np.where(cells[place] == found, place, len(cells) - 1)][where]
+        at = end
+    return best, best_p, words
+
+
+def _aligned_bucket(rows: pa.Table, model: pa.Table) -> pa.Table:
+    rows, model = rows.combine_chunks(), model.combine_chunks()
+    best, p, words = _best_given(rows, model)
+    row = pc.list_parent_indices(rows.column("at")).combine_chunks()
+    of = row.to_numpy()
+    return pa.table({"_key": rows.column("_key").take(row), "pos": pc.list_flatten(rows.column("at")), "word": rows.column("made").take(row),
+                     "source": words.take(pa.array(best[of])), "p": p[of]})
+
+
 def aligned_words(pairs: DataFrame, model: DataFrame, given: str, made: str, key: str = "pair_id") -> DataFrame:
     """(key, pos, word, source, p): for every made word of every pair the given
     word that it most likely comes from, the empty word if none is as likely.
-    Probabilities are compared to nine digits, ties go to the smaller word; a word pair that the model lacks has probability 0."""
+    Probabilities are compared to nine digits, ties go to the smaller word; a word pair that the model lacks has probability 0.
+
+    The pairs' given words and the model are dealt out by made word, so a
+    co-occurrence is a number within a task only; none is shuffled."""
     none = F.array(F.lit(NONE))
     g = F.array_distinct(F.concat(none, F.filter(F.coalesce(F.col(given), F.array().cast("array<string>")), lambda x: x.isNotNull())))
-    rows = pairs.select(key, g.alias("g"), F.array_distinct(made).alias("words"))
-    e = rows.select(key, "g", F.explode("words").alias("made")).where(F.col("made").isNotNull()).select(key, "made", F.explode("g").alias("given"))
-    scored = e.join(model.select("given", "made", "p"), ["given", "made"], "left").fillna({"p": 0.0})
-    best = scored.groupBy(key, "made").agg(F.min_by(F.struct("given", "p"), F.struct(-F.round("p", 9), F.col("given"))).alias("b"))
-    words = pairs.select(key, F.posexplode(made).alias("pos", "word")).where(F.col("word").isNotNull())
-    return words.join(best.withColumnRenamed("made", "word"), [key, "word"]).select(
-        key, "pos", "word", F.col("b.given").alias("source"), F.col("b.p").alias("p"))
+    words = F.filter(F.array_distinct(made), lambda x: x.isNotNull())
+    s = pairs.select(F.col(key).alias("_key"), g.alias("g"), F.col(made).alias("m"), words.alias("words"))
+    cells = s.agg(F.sum(F.size("g").cast("bigint") * F.size("words"))).first()[0] or 0
+    buckets = max(pairs.sparkSession.sparkContext.defaultParallelism, math.ceil(cells / CELLS))
+    places = F.filter(F.transform("m", lambda x, i: F.when(x == F.col("made"), i)), lambda i: i.isNotNull())
+    bucket = F.pmod(F.xxhash64("made"), F.lit(buckets)).alias("bucket")
+    e = s.select("_key", "g", "m", F.explode("words").alias("made")).select(bucket, "_key", "made", places.alias("at"), "g")
+    known = model.select(bucket, "given", "made", "p", F.round("p", 9).alias("r"))
+    kind = pairs.schema[key].dataType.simpleString()
+    out = e.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(
+        _aligned_bucket, f"_key {kind}, pos int, word string, source string, p double")
+    return out.withColumnRenamed("_key", key)
 
 
 def aligned_replacements(model: DataFrame, least: float = 0.0) -> DataFrame:
